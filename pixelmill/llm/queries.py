@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import suffix_array, suffix_tree
+from . import suffix_array, suffix_tree, warc
 
 QUERIES = {
     "op2_suffix_array": suffix_array.op2,
+    "op3_warc": warc.op3,
     "op10_suffix_trees": suffix_tree.op10,
 }
 
