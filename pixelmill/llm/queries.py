@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import suffix_array, suffix_tree, warc
+from . import media, mixing, suffix_array, suffix_tree, warc
 
 QUERIES = {
     "op2_suffix_array": suffix_array.op2,
     "op3_warc": warc.op3,
+    "op7_mixing": mixing.op7,
+    "op8_media": media.op8,
     "op10_suffix_trees": suffix_tree.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_mixing": mixing.OP7_SQL}
