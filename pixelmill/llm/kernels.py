@@ -196,9 +196,27 @@ def gather(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarr
     return raw[shift + np.arange(total)]
 
 
-def covered(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of n elements lie in one of the ranges [a, b)."""
-    d = np.zeros(n + 1, np.int32)
-    np.add.at(d, a, 1)
-    np.add.at(d, b, -1)
-    return np.cumsum(d[:-1]) > 0
+def covered(starts: np.ndarray, window: int) -> np.ndarray:
+    """From a mask of window starts, which elements lie in a window."""
+    n, last = len(starts), -window
+    out = np.empty(n, bool)
+    for a in range(0, n, CHUNK):
+        at = np.arange(a, min(n, a + CHUNK))
+        seen = np.where(starts[a : a + CHUNK], at, last)
+        np.maximum.accumulate(seen, out=seen)
+        out[a : a + CHUNK] = at - seen < window
+        last = int(seen[-1])
+    return out
+
+
+def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20):
+    """Slices of a record batch whose texts have about ``most`` bytes together, one row at least."""
+    if not batch.num_rows:
+        return
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        base = int(size[a - 1]) if a else 0
+        b = max(int(np.searchsorted(size, base + most, "right")), a + 1)
+        yield batch.slice(a, b - a)
+        a = b

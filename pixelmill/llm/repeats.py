@@ -87,7 +87,7 @@ def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
 
 def _distinct_keys(keys, docs):
     """Sorted distinct keys, and whether more than one document in the batch has them."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k, d = keys[order], docs[order]
     at = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
     if not len(at):
@@ -96,30 +96,33 @@ def _distinct_keys(keys, docs):
 
 
 def _by_bucket(keys, n):
-    """Order of keys by bucket then key, and the bounds of the buckets present."""
+    """Order of sorted keys by bucket then key, and the bounds of the buckets present."""
     b = _bucket(keys, n)
-    order = np.lexsort((keys, b))
+    order = np.argsort(b, kind="stable")
     present, first = np.unique(b[order], return_index=True)
     return order, present, np.append(first, len(keys))
 
 
 def _sketcher(view, length: int, buckets: int):
-    def run(batches):
-        keys, many, batch = [], [], None
-        for rb in batches:
-            if not rb.num_rows:
-                continue
-            batch = rb.column("batch")[0].as_py()
+    def run(rows):
+        parts: dict[int, list] = {}
+        for rb in rows:
+            owner = rb.column("batch").to_numpy()
             v = view(*K.text_buffer(rb.column("text")))
             seg = K.segments(v.symbols, v.offsets, length, view.gram)
-            k, m = _distinct_keys(seg.key, _ids(rb.column("doc_id"))[seg.row])
-            keys.append(k)
-            many.append(m)
-        if batch is None or not sum(map(len, keys)):
-            return
+            ids = _ids(rb.column("doc_id"))
+            for b in np.unique(owner).tolist():
+                mine = owner[seg.row] == b
+                parts.setdefault(b, []).append(_distinct_keys(seg.key[mine], ids[seg.row[mine]]))
+        for b in list(parts):
+            yield from sent(b, *zip(*parts.pop(b)))
+
+    def sent(batch, keys, many):
         k, m = np.concatenate(keys), np.concatenate(many)
+        if not len(k):
+            return
         if len(keys) > 1:  # the same key in two Arrow batches: taken as shared, later steps decide exactly
-            order = np.argsort(k, kind="stable")
+            order = np.argsort(k)
             k, m = k[order], m[order]
             at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
             m = np.logical_or.reduceat(m, at) | (np.diff(np.append(at, len(k))) > 1)
@@ -140,7 +143,7 @@ def _shared_keys(table: pa.Table) -> pa.Table:
     parts = [np.frombuffer(x, np.uint64) for x in table.column("data").to_pylist()]
     keys = np.concatenate(parts)
     many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(p)) for m, p in zip(table.column("meta").to_pylist(), parts)]).astype(bool)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k = keys[order]
     at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
     size = np.diff(np.append(at, len(k)))
@@ -174,15 +177,19 @@ class _Candidates:
         self.start, self.count, self.row = seg.start[keep], seg.count[keep], seg.row[keep]
         self.key, content = seg.key[keep], seg.content[keep]
         self.doc = self.docs[self.row]
-        # distinct contents, those of one bucket together; the first of each has the smallest document
-        self.part = _bucket(self.key, parts)
-        order = np.lexsort((self.doc, content, self.part))
-        c, p = content[order], self.part[order]
-        new = np.append(True, (c[1:] != c[:-1]) | (p[1:] != p[:-1])) if len(c) else np.zeros(0, bool)
-        self.first = order[new]
+        # distinct contents, those of one bucket together, with the smallest document of each
+        part = _bucket(self.key, parts)
+        order = np.argsort(content)
+        c = content[order]
+        heads = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, np.int64)
+        first, low = order[heads], np.minimum.reduceat(self.doc[order], heads) if len(heads) else self.doc
+        by = np.argsort(part[first], kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        self.first, self.low = first[by], low[by]
         self.which = np.empty(len(c), np.int64)
-        self.which[order] = np.cumsum(new) - 1
-        self.present, at = np.unique(self.part[self.first], return_index=True)
+        self.which[order] = np.repeat(place, np.diff(np.append(heads, len(c))))
+        self.present, at = np.unique(part[self.first], return_index=True)
         self.cut = np.append(at, len(self.first))
 
 
@@ -195,7 +202,7 @@ def _sender(view, length, buckets, parts):
         for i, j in zip(c.cut, c.cut[1:]):
             f = c.first[i:j]
             data.append(c.view.content(c.start[f], c.count[f] + length - 1).tobytes())
-            meta.append(_pack_meta(c.doc[f], (c.key[f] & K.U(0xFFFFFFFF)).astype(np.uint32), c.count[f].astype(np.uint8), c.view.left(c.start[f], c.row[f])))
+            meta.append(_pack_meta(c.low[i:j], (c.key[f] & K.U(0xFFFFFFFF)).astype(np.uint32), c.count[f].astype(np.uint8), c.view.left(c.start[f], c.row[f])))
         batch = table.column("batch")[0].as_py()
         return pa.table({"bucket": pa.array(c.present, pa.int64()), "batch": pa.array([batch] * len(c.present), pa.int64()), "data": pa.array(data, pa.binary()), "meta": pa.array(meta, pa.binary())})
 
@@ -229,15 +236,17 @@ class Entries:
             lo, hi = int(at[i]), int(at[j - 1] + size[j - 1])
             content[i:j] = K.Rolling(K.BYTE_SYMBOLS[self.raw[lo:hi]]).slices(at[i:j] - lo, at[i:j] - lo + size[i:j])
             i = j
-        order = np.lexsort((content, self.key))
-        k, c = self.key[order], content[order]
-        new = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]))
-        first = np.flatnonzero(new)
+        order = np.argsort(content)
+        c = content[order]
+        heads = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+        rep, low = order[heads], np.minimum.reduceat(self.doc[order], heads)
+        by = np.argsort(self.key[rep], kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
         self.entry = np.empty(len(at), np.int64)
-        self.entry[order] = np.cumsum(new) - 1
-        rep = order[first]
-        self.at, self.n, self.group = at[rep], self.count[rep], k[first]
-        self.low = np.minimum.reduceat(self.doc[order], first)
+        self.entry[order] = np.repeat(place, np.diff(np.append(heads, len(c))))
+        rep, self.low = rep[by], low[by]
+        self.at, self.n, self.group = at[rep], self.count[rep], self.key[rep]
         self.window_at = np.cumsum(self.n) - self.n  # where an entry's windows start in the answer
         #: smallest document of each window; an entry alone under its key needs no comparison
         self.smallest = np.repeat(self.low, self.n)
@@ -260,9 +269,15 @@ class Entries:
 
     def bits(self, length: int) -> np.ndarray:
         """Per window of every segment sent: is it in a document smaller than the sender's?"""
-        own = np.repeat(self.doc, self.count)
-        at = np.repeat(self.window_at[self.entry] - (np.cumsum(self.count) - self.count), self.count) + np.arange(len(own))
-        return self.smallest[at] < own
+        ends = np.cumsum(self.count)
+        out = np.empty(int(ends[-1]), bool)
+        for i in range(0, len(ends), 1 << 15):
+            k = slice(i, i + (1 << 15))
+            count, begin = self.count[k], ends[k] - self.count[k]
+            a, b = int(begin[0]), int(ends[k][-1])
+            at = np.repeat(self.window_at[self.entry[k]] - begin, count) + np.arange(a, b)
+            out[a:b] = self.smallest[at] < np.repeat(self.doc[k], count)
+        return out
 
 
 def _resolver(index: Callable, width: int, length: int):
@@ -298,12 +313,16 @@ def _marks(table, answers, view, length, buckets, parts):
         held.append(np.unpackbits(np.frombuffer(got[p], np.uint8), count=m).astype(bool))
     held = np.concatenate(held)
     at = np.cumsum(size) - size
-    low = c.doc[c.first][c.which]
-    own = np.repeat(np.arange(len(c.start)), c.count)
-    j = np.arange(len(own)) - np.repeat(np.cumsum(c.count) - c.count, c.count)
-    gone = held[at[c.which][own] + j] | (low < c.doc)[own]
-    s = (c.start[own] + j)[gone]
-    return c, K.covered(n, s, s + length)
+    low = c.low[c.which]
+    gone = np.zeros(n, bool)
+    for i in range(0, len(c.start), 1 << 15):
+        k = slice(i, i + (1 << 15))
+        count = c.count[k]
+        own = np.repeat(np.arange(len(count)), count)
+        j = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+        yes = held[at[c.which[k]][own] + j] | (low[k] < c.doc[k])[own]
+        gone[(c.start[k][own] + j)[yes]] = True
+    return c, K.covered(gone, length)
 
 
 def removals(spark: SparkSession, docs: DataFrame, length: int, view, index: Callable, finish: Callable, schema, name: str) -> DataFrame:

@@ -64,13 +64,17 @@ class Scratch:
     def stage(self, docs: DataFrame, name: str = "corpus") -> tuple[DataFrame, int]:
         """Write ``docs`` once, without a shuffle, as a table bucketed by ``batch``.
 
-        Every input partition becomes one batch and one bucket, so later per-batch answers meet
-        the texts without moving them. Returns the table and the number of batches.
+        Every input partition becomes one bucket, of a few batches that each fit in a Python worker
+        many times over, so later per-batch answers meet the texts without moving them. Returns the
+        table and the number of buckets.
         """
         n = max(1, min(docs.rdd.getNumPartitions(), 100_000))
-        ids = bucket_values(n)
-        pick = self.spark.createDataFrame(list(enumerate(ids)), "pid_ int, batch long")
-        out = docs.withColumn("pid_", F.spark_partition_id() % n).join(F.broadcast(pick), "pid_").drop("pid_")
+        split = max(1, min(64, _megabytes(self.spark) // BATCH_MB))
+        ids = bucket_values(n, split)
+        pick = self.spark.createDataFrame(list(enumerate(ids)), "pid_ int, batches array<long>")
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(split)).cast("int")
+        out = docs.withColumn("pid_", F.spark_partition_id() % n).join(F.broadcast(pick), "pid_")
+        out = out.withColumn("batch", F.get("batches", part)).drop("pid_", "batches")
         table = f"stage_{uuid.uuid4().hex[:16]}"
         self.tables.append(table)
         writer = out.write.bucketBy(n, "batch").option("path", f"{self.path}/{name}").option("compression", "zstd")
@@ -99,15 +103,23 @@ def _murmur3_long(x: np.ndarray, seed: int = 42) -> np.ndarray:
     return h.view(np.int32)
 
 
-def bucket_values(n: int) -> list[int]:
-    """For each bucket 0..n-1 the smallest long that Spark hashes into it."""
-    found = np.full(n, -1, np.int64)
-    at, step = 0, max(1024, 8 * n)
-    while (found < 0).any():
+#: MB of input files to a batch.
+BATCH_MB = 4
+
+
+def _megabytes(spark: SparkSession) -> int:
+    return spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() >> 20
+
+
+def bucket_values(n: int, each: int = 1) -> list[list[int]]:
+    """For each bucket 0..n-1 the smallest ``each`` longs that Spark hashes into it."""
+    found: list[list[int]] = [[] for _ in range(n)]
+    at, step, missing = 0, max(1024, 4 * n * each), n
+    while missing:
         ids = np.arange(at, at + step, dtype=np.int64)
-        b = np.mod(_murmur3_long(ids).astype(np.int64), n)
-        first, where = np.unique(b, return_index=True)
-        new = found[first] < 0
-        found[first[new]] = ids[where[new]]
+        for i, b in zip(ids.tolist(), np.mod(_murmur3_long(ids).astype(np.int64), n).tolist()):
+            if len(found[b]) < each:
+                found[b].append(i)
+                missing -= len(found[b]) == each
         at += step
-    return found.tolist()
+    return found

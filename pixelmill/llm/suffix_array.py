@@ -117,8 +117,9 @@ def _finish(schema: pa.Schema, texts: bool):
             return schema.empty_table()
         raw, offsets = c.view.raw, c.view.offsets
         n = len(offsets) - 1
-        removed = np.diff(np.concatenate(([0], np.cumsum(gone)))[offsets]) if len(raw) else np.zeros(n, np.int64)
         a, b, rows = _spans(gone, offsets)
+        removed = np.zeros(n, np.int64)
+        np.add.at(removed, rows, b - a)
         keep = raw[~gone]
         at = offsets - np.concatenate(([0], np.cumsum(removed)))
         blob = keep.tobytes()
