@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, mixing, suffix_array, suffix_tree, warc
+from . import licenses, media, mixing, quality, suffix_array, suffix_tree, toxicity, warc
 
 QUERIES = {
     "op2_suffix_array": suffix_array.op2,
     "op3_warc": warc.op3,
+    "op4_licenses": licenses.op4,
+    "op5_quality": quality.op5,
+    "op6_toxicity": toxicity.op6,
     "op7_mixing": mixing.op7,
     "op8_media": media.op8,
     "op10_suffix_trees": suffix_tree.op10,
