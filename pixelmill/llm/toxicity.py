@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 #: Hash buckets; labelled rows to learn from at most; features kept for each category; folds; penalty; where a category holds.
-BUCKETS, SAMPLE, KEEP, FOLDS, PENALTY, TOXIC = 1 << 18, 12_000, 96, 4, 1.0, 0.5
+BUCKETS, SAMPLE, KEEP, FOLDS, PENALTY, TOXIC = 1 << 18, 12_000, 96, 4, 0.1, 0.5
 #: Lengths of the word beginnings, in bytes, that count as features beside whole words.
 PREFIXES = (4, 5, 6)
 _PARTS = 16
