@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import licenses, media, mixing, quality, suffix_array, suffix_tree, toxicity, warc
+from . import decontaminate, licenses, media, mixing, quality, suffix_array, suffix_tree, toxicity, warc
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1,
     "op2_suffix_array": suffix_array.op2,
     "op3_warc": warc.op3,
     "op4_licenses": licenses.op4,
