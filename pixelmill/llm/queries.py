@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, media, mixing, quality, suffix_array, suffix_tree, toxicity, warc
+from . import decontaminate, licenses, media, mixing, near_dup, quality, suffix_array, suffix_tree, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6,
     "op7_mixing": mixing.op7,
     "op8_media": media.op8,
+    "op9_near_dup": near_dup.op9,
     "op10_suffix_trees": suffix_tree.op10,
 }
 
