@@ -1,12 +1,78 @@
-"""The corpus pipeline: stages in order, each over all that its predecessor kept."""
+"""The corpus pipeline: toxicity, near-dedup, repeats, decontamination, mixing.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of
+``documents``; the last one returns how much of each document the mix takes. Between stages the rows are
+written as Parquet and read again, so a stage's intermediates can go when the next one begins.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pixelmill.llm import decontaminate, mixing, near_dup, suffix_array, toxicity
+from pixelmill.llm.scratch import Scratch, pipeline_stage
+
+#: Percent of shared five-word shingles from which documents are near copies.
+SIMILAR = 80
+#: The columns that stages pass on.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the chain rejects go."""
+    with pipeline_stage(spark):
+        labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+        scored = toxicity.score_toxicity(spark, docs.select(*COLUMNS), labels)
+        return scored.filter("toxic = 0").select(*COLUMNS)
+
+
+def near_dup_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: that with the smallest doc_id. Rows without doc_id stay."""
+    with pipeline_stage(spark):
+        gone = near_dup.near_duplicates(spark, docs, SIMILAR).filter(~F.col("kept")).select("doc_id").distinct()
+        return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+
+
+def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes that an earlier document holds go; characters of which only some bytes are left go whole. Documents that
+    lose all their text go, those that were empty stay."""
+    with pipeline_stage(spark):
+        cut = suffix_array.remove_repeats(spark, docs.select(*COLUMNS), 50).filter("n_removed < n_bytes or n_bytes = 0")
+        changed = F.col("n_removed") > 0
+        text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
+        out = cut.select("doc_id", text.alias("text"), "lang", "source", "n_chars", changed.alias("changed"))
+        return out.withColumn("n_chars", F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item within its error budget go."""
+    with pipeline_stage(spark):
+        return decontaminate.clean(spark, docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How much of each document the mix takes: doc_id, size, source_size, target, taken."""
+    with pipeline_stage(spark):
+        return mixing.mix(spark, docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+STAGES = [
+    ("toxicity", toxic_out),
+    ("near_dedup", near_dup_out),
+    ("suffix_array_dedup", repeats_out),
+    ("decontamination", benchmark_out),
+    ("mixing", mix),
+]
 
-STAGES: list = []
+#: SQL expresses neither the fitted chain nor the components; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = held.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

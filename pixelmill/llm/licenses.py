@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .scratch import Scratch
 
 #: Words to a gram; the shortest phrase has two.
 GRAM = 2
@@ -105,10 +106,10 @@ def license_spans(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, gap
     hits = marked.join(F.broadcast(template_grams(spark, templates)), "gram")
     diagonal = F.when(F.col("template") < 0, F.lit(0)).otherwise(F.col("pos") - F.col("tpos"))
     votes = hits.groupBy("row_id", "doc_id", "n_words", "template", diagonal.alias("diagonal")).agg(F.sort_array(F.collect_set("tpos")).alias("held"))
-    return _merge(spark, votes, templates, gap)
+    return _merge(Scratch(spark, "licenses").keep(votes, "votes"), templates, gap)
 
 
-def _merge(spark: SparkSession, votes: DataFrame, templates, gap: int) -> DataFrame:
+def _merge(votes: DataFrame, templates, gap: int) -> DataFrame:
     size = F.element_at(F.array(*[F.lit(len(t.text.split()) - 1) for t in templates]), F.col("template") + 1)
     exact = F.element_at(F.array(*[F.lit(t.share == 1.0) for t in templates]), F.col("template") + 1)
     least = F.element_at(F.array(*[F.lit(t.share) for t in templates]), F.col("template") + 1)

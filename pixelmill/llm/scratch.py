@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LIVE: list[tuple[str, list[str]]] = []
+#: Folders and tables made so far: (path, tables, made by a pipeline stage).
+_LIVE: list[tuple[str, list[str], bool]] = []
+_in_stage = False
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,13 +37,26 @@ def _remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every scratch folder made so far; only when earlier results have been written."""
-    while _LIVE:
-        path, tables = _LIVE.pop()
+def release(spark: SparkSession, stages_only: bool = False) -> None:
+    """Delete scratch folders; call it only when the results that read them have been written."""
+    for entry in [e for e in _LIVE if e[2] or not stages_only]:
+        path, tables, _ = entry
         for t in tables:
             spark.sql(f"DROP TABLE IF EXISTS {t}")
         _remove(spark, path)
+        _LIVE.remove(entry)
+
+
+@contextmanager
+def pipeline_stage(spark: SparkSession):
+    """Within, scratch folders belong to a stage; those of earlier stages, whose rows are written by now, go first."""
+    global _in_stage
+    release(spark, stages_only=True)
+    _in_stage = True
+    try:
+        yield
+    finally:
+        _in_stage = False
 
 
 class Scratch:
@@ -50,7 +66,7 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.tables: list[str] = []
-        _LIVE.append((self.path, self.tables))
+        _LIVE.append((self.path, self.tables, _in_stage))
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write and reread: cuts the lineage without a copy that dies with its executor."""

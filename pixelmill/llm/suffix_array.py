@@ -130,6 +130,7 @@ def _finish(schema: pa.Schema, texts: bool):
             first = np.searchsorted(rows, np.arange(n + 1))
             a, b = (a - offsets[rows]).tolist(), (b - offsets[rows]).tolist()
             cols["kept"] = kept
+            cols["kept_text"] = [x.decode("utf-8", "ignore") for x in kept]
             cols["spans"] = [[{"start": s, "end": t} for s, t in zip(a[i:j], b[i:j])] for i, j in zip(first, first[1:])]
         return pa.table([pa.chunked_array(cols[f.name].chunks, f.type) if isinstance(cols[f.name], pa.ChunkedArray) else pa.array(cols[f.name], f.type) for f in schema], schema=schema)
 
@@ -137,14 +138,15 @@ def _finish(schema: pa.Schema, texts: bool):
 
 
 _DIGEST = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
-_TEXTS = [T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
+_TEXTS = [T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, texts: bool = True) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts in a document with a smaller doc_id.
 
     Strings are judged on the input; matches never cross documents. Returns the columns of ``docs`` with
-    n_bytes, n_removed, n_spans, kept_sha256 and, with ``texts``, ``kept`` (the remaining bytes) and ``spans``.
+    n_bytes, n_removed, n_spans, kept_sha256 and, with ``texts``, ``kept`` (the remaining bytes), ``kept_text`` (without
+    characters of which only some bytes remain) and ``spans``.
 
     Null text is empty; a null doc_id counts as larger than every other; rows with the same doc_id do not
     take bytes from each other; an empty table gives an empty result. Further columns are returned as they

@@ -271,7 +271,7 @@ class WarcWriter(DataSourceArrowWriter):
         stem = f"{root}/part-{task.partitionId():06d}-{task.taskAttemptId()}"
         done, out, name, size = [], None, "", 0
         for rb in iterator:
-            for row in rb.to_pylist():
+            for row in (row for i in range(0, rb.num_rows, 128) for row in rb.slice(i, 128).to_pylist()):
                 record = _record(row)
                 if self.compress:
                     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
