@@ -325,13 +325,18 @@ def _marks(table, answers, view, length, buckets, parts):
     return c, K.covered(gone, length)
 
 
+def shared_keys(work: Scratch, corpus: DataFrame, length: int, view, buckets: int) -> DataFrame:
+    """The first pass: per batch and bucket a bit for each minimiser, whether more than one document has it."""
+    sketch = corpus.select("batch", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketcher(view, length, buckets), _SENT)
+    return work.keep(sketch.groupBy("bucket").applyInArrow(_shared_keys, _ANSWER), "shared")
+
+
 def removals(spark: SparkSession, docs: DataFrame, length: int, view, index: Callable, finish: Callable, schema, name: str) -> DataFrame:
     """Run the three passes; ``finish(table, candidates, removed)`` makes the rows of a batch."""
     work = Scratch(spark, name)
     corpus, n = work.stage(docs)
     buckets, parts = max(12, n), max(24, 4 * n)
-    sketch = corpus.select("batch", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketcher(view, length, buckets), _SENT)
-    shared = work.keep(sketch.groupBy("bucket").applyInArrow(_shared_keys, _ANSWER), "shared")
+    shared = shared_keys(work, corpus, length, view, buckets)
     thin = corpus.select("batch", F.col("doc_id").cast("long").alias("doc_id"), "text")
     sent = thin.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_sender(view, length, buckets, parts), _SENT)
     known = work.keep(sent.groupBy("bucket").applyInArrow(_resolver(index, view.width, length), _ANSWER), "known")

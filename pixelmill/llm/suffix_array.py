@@ -51,7 +51,7 @@ class EnhancedSuffixArray:
             differs = x != 0
             _, exponent = np.frexp((x[differs] >> K.U(11)).astype(np.float64))
             small = (x[differs] >> K.U(11)) == 0
-            high = np.where(small, 11, exponent + 11)  # a position at or above the highest set bit, exact to the byte
+            high = np.where(small, np.where(x[differs] < K.U(256), 8, 11), exponent + 11)  # a position at or above the highest set bit, exact to the byte
             same[differs] = (64 - high) // 8
             lcp[1:] += np.where(open_, same, 0)
             open_ &= ~differs
@@ -161,14 +161,62 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, texts
     return R.removals(spark, docs, length, R.ByteView, index, _finish(to_arrow_schema(schema), texts), schema, "suffixes")
 
 
+_OCCURRENCES = "bucket long, content binary, places binary"
+_PLACE = np.dtype([("doc", "<i8"), ("start", "<i8"), ("count", "<i4"), ("size", "<i4"), ("left", "u1")])
+
+
 def maximal_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, context: int = 256) -> DataFrame:
-    """Maximal repeat groups: ``repeat`` (bytes), ``size``, ``occurrences`` of (doc_id, start), over all documents.
+    """Maximal repeat groups of more than one document: ``repeat`` (bytes), ``size``, ``occurrences`` of (doc_id, start).
 
-    For corpora whose shared passages are small enough to list every occurrence: a group's occurrences are
-    one row. Repeats longer than ``context`` bytes are reported by overlapping groups of that length.
-    Null or short texts take part in no group; an empty table has none.
+    Every occurrence is listed, in one row for each group, so this is for corpora whose groups fit in a row; ``remove_repeats``
+    has no such limit. A group is maximal to the left if the bytes before its occurrences differ or a document
+    starts there, to the right as far as ``context`` bytes; longer repeats are reported by their first ``context`` bytes.
+    Null, empty and short texts are in no group; a null doc_id is a document of its own, after all others; rows that repeat a
+    doc_id count as one document; an empty table has no groups. Only doc_id and text are used.
     """
-    raise NotImplementedError
+    work = Scratch(spark, "groups")
+    corpus, n = work.stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    buckets, parts = max(12, n), max(24, 4 * n)
+    shared = R.shared_keys(work, corpus, length, R.ByteView, buckets)
+
+    def send(table: pa.Table, answers: pa.Table) -> pa.Table:
+        out: tuple[list, list, list] = ([], [], [])
+        if table.num_rows:
+            c = R._Candidates(table, answers, R.ByteView, length, buckets, parts)
+            place = np.zeros(len(c.start), _PLACE)
+            ends = c.view.offsets[c.row + 1]
+            place["doc"], place["start"], place["count"] = c.doc, c.start - c.view.offsets[c.row], c.count
+            place["size"], place["left"] = np.minimum(ends - c.start, c.count - 1 + context), c.view.left(c.start, c.row)
+            part = R._bucket(c.key, parts)
+            order = np.argsort(part, kind="stable")
+            cut = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1])) if len(order) else []
+            for i, j in zip(cut, np.append(cut[1:], len(order))):
+                k = order[i:j]
+                for col, v in zip(out, (int(part[k[0]]), c.view.content(c.start[k], place["size"][k].astype(np.int64)).tobytes(), place[k].tobytes())):
+                    col.append(v)
+        return pa.table({"bucket": pa.array(out[0], pa.int64()), "content": pa.array(out[1], pa.binary()), "places": pa.array(out[2], pa.binary())})
+
+    kinds = pa.schema([("repeat", pa.binary()), ("size", pa.int64()), ("occurrences", pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64())])))])
+
+    def find(table: pa.Table) -> pa.Table:
+        raw = np.frombuffer(b"".join(table.column("content").to_pylist()), np.uint8)
+        p = np.concatenate([np.frombuffer(x, _PLACE) for x in table.column("places").to_pylist()])
+        at = np.cumsum(p["size"].astype(np.int64)) - p["size"]
+        n = p["count"].astype(np.int64)
+        own = np.repeat(np.arange(len(p)), n)
+        j = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        here = at[own] + j
+        esa = EnhancedSuffixArray(raw, here, np.minimum(p["size"][own] - j, context), context)
+        before = np.where(j == 0, p["left"][own], raw[np.maximum(here - 1, 0)])
+        rows = []
+        for size, members in esa.maximal(length, before):
+            found = sorted({(int(p["doc"][own[m]]), int(p["start"][own[m]] + j[m])) for m in members})
+            if len({d for d, _ in found}) > 1:
+                rows.append({"repeat": raw[here[members[0]] : here[members[0]] + size].tobytes(), "size": int(size), "occurrences": [{"doc_id": None if d == R.LAST else d, "start": s} for d, s in found]})
+        return pa.Table.from_pylist(rows, schema=kinds)
+
+    sent = corpus.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(send, _OCCURRENCES)
+    return sent.groupBy("bucket").applyInArrow(find, "repeat binary, size long, occurrences array<struct<doc_id:long,start:long>>")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
