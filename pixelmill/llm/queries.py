@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, media, mixing, near_dup, quality, suffix_array, suffix_tree, toxicity, warc
+from . import decontaminate, licenses, media, mixing, near_dup, oracles, quality, suffix_array, suffix_tree, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1,
@@ -17,4 +17,10 @@ QUERIES = {
     "op10_suffix_trees": suffix_tree.op10,
 }
 
-ORACLES: dict[str, str] = {"op7_mixing": mixing.OP7_SQL}
+ORACLES: dict[str, str] = {
+    "op2_suffix_array": oracles.OP2,
+    "op3_warc": oracles.OP3,
+    "op7_mixing": mixing.OP7_SQL,
+    "op9_near_dup": oracles.OP9,
+    "op10_suffix_trees": oracles.OP10,
+}

@@ -15,7 +15,7 @@ from .test_repeats import brute_bytes
 
 def test_names():
     q = entry.queries()
-    assert [sum(k.startswith(f"op{n}_") for k in q) for n in range(1, 11)] == [1] * 10 and q["pipeline"] is P.run
+    assert [sum(k.startswith(f"op{n}_") for k in q) for n in range(1, 11)] == [1] * 10 and q["pipeline"].__wrapped__ is P.run
     assert [n for n, _ in P.STAGES] == ["toxicity", "near_dedup", "suffix_array_dedup", "decontamination", "mixing"]
     assert "op7_mixing" in entry.oracle_sql()
 
