@@ -70,3 +70,18 @@ def test_rows_of_queries(spark, sf, name):
     out = entry.queries()[name](spark, sf)
     n = spark.read.parquet(f"{sf}/{'pages' if name.startswith('op3_') else 'documents'}.parquet").count()
     assert out.count() == n if not name.startswith("op1_") else out.count() > 0
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None), (None, "same same", "en", None, 3), (1, "", None, "a", None), (2, " \t ", "en", "a", 3), (3, "ä" * 90_000, "de", "b", 1), (3, "ä" * 90_000, "de", "b", 1), (4, "one two three four five six", "en", "b", 1), (5, "one two three four five six", "en", "b", 1)]])
+def test_stages_on_hard_rows(spark, sf, rows):
+    work = Scratch(spark, "hard")
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id string, batch int")
+    counts = []
+    for name, stage in P.STAGES:
+        docs = work.keep(stage(spark, docs, sf), name)
+        counts.append(docs.count())
+        if name != "mixing":
+            assert docs.columns == list(P.COLUMNS)
+    # both rows of document 3 stay, as they share a doc_id; 5 is a copy of 4
+    assert counts == ([0] * 5 if not rows else [8, 7, 7, 7, 7])
+    release(spark)
