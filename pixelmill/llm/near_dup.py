@@ -5,8 +5,8 @@ independent trees a node sends its documents on by the token that has the least
 hash function; nodes that are small enough are compared exhaustively on the full sets, larger ones branch
 again. Two sets with similarity J are together in a tree at level d with probability J**d; ``TREES`` trees find a pair of
 similarity 0.85 that is compared at the first level with probability 1 - 1e-10, at the fourth 1 - 1e-4. A node that is
-still too large in the last level (thousands of copies that all differ) is split into blocks that share a few
-documents; there a group stays joined as its links are many, but a document with a single link can be missed.
+still too large in the last level (thousands of copies that all differ) is first split into blocks that share a few
+documents, which join most of it; then all pairs of its documents that are not joined yet are compared, block by block.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ SHINGLE, TREES, FIRST, LEVELS, LEADERS, SALTS = 5, 12, 2, 6, 4, 16
 #: Documents of a node that is compared in the first ``BRANCH`` levels; from then on (what is still together is alike) more
 #: documents, but no more shingles than a task holds.
 NODE, BRANCH, LARGE, LOAD = 192, 3, 4096, 4_000_000
+#: Shingles that a batch sends at once for the block pairs of crowded nodes.
+SENT = 8_000_000
 _MULT = (np.random.default_rng(20).integers(1, 1 << 62, TREES * LEVELS, dtype=np.uint64) << K.U(1)) | K.U(1)
 
 
@@ -131,8 +133,9 @@ def _keys_at(reps: DataFrame, level: int, trees: range) -> DataFrame:
     return reps.select("doc_id", "batch", "n_shingles", "part", "paths").mapInArrow(run, "doc_id long, batch long, n long, part long, before long, key long")
 
 
-def branch(work: Scratch, reps: DataFrame, trees: range) -> DataFrame:
-    """(node, doc_id, batch, n): the small nodes of some trees, those whose documents are all in one ``part`` already left out.
+def branch(work: Scratch, reps: DataFrame, trees: range) -> tuple[DataFrame, DataFrame | None]:
+    """(node, doc_id, batch, n): the small nodes of some trees, those whose documents are all in one ``part`` already left out;
+    and (key, doc_id, batch, n) of the nodes that are too large in the last level, if any, for ``block_pairs``.
 
     Joins whose both sides grow with the corpus are merge joins at every size. Rows move by key only with what a node needs; the rows of an oversized node are an even split for
     Spark's skew join. The keys of oversized nodes alone go on to the next level.
@@ -151,66 +154,93 @@ def branch(work: Scratch, reps: DataFrame, trees: range) -> DataFrame:
         out = small if out is None else out.unionByName(small)
         hot = sizes.filter("not fits").select("key", "size")
         if not hot.head(1):
-            return out
+            return out, None
     # blocks of documents in an order of their own for each node, and the leaders of the node in each block
-    left = rows.join(hot, "key")
+    left = work.keep(rows.join(hot, "key"), f"left{trees.start}")
     leads = left.groupBy("key").agg(*[F.min_by("doc_id", F.xxhash64("doc_id", F.lit(i))).alias(f"lead{i}") for i in range(LEADERS)])
     leads = leads.select("key", F.array(*[f"lead{i}" for i in range(LEADERS)]).alias("leads"))
     blocks = F.ceil(F.col("size") / NODE).cast("int")
     block = F.pmod(F.xxhash64("doc_id", "key"), blocks).cast("int")
     dealt = left.join(leads, "key").withColumn("block", F.explode(F.when(F.array_contains("leads", F.col("doc_id")), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(block))))
-    return out.unionByName(dealt.select(F.xxhash64("key", F.lit("block"), "block").alias("node"), "doc_id", "batch", "n"))
+    return out.unionByName(dealt.select(F.xxhash64("key", F.lit("block"), "block").alias("node"), "doc_id", "batch", "n")), left.drop("size")
+
+
+def block_pairs(left: DataFrame, joined: DataFrame) -> DataFrame:
+    """(node, doc_id, batch, n, part): nodes in which any two documents of a crowded node meet that are not in one part.
+
+    The documents of the node's largest part and the others are cut into blocks of half a task's size; two blocks make a
+    node, unless both are of the largest part.
+    """
+    rows = left.join(joined.hint("merge"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
+    parts = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("load"))
+    most = parts.groupBy("key").agg(F.max(F.struct("size", "part", "load")).alias("most"), F.sum("size").alias("size"), F.sum("load").alias("load"))
+    blocks = lambda size, load: F.ceil(F.greatest(size / (LARGE / 2), load / (LOAD / 2))).cast("int")
+    cut = most.filter("size > most.size").select(
+        "key", F.col("most.part").alias("main"), blocks(F.col("most.size"), F.col("most.load")).alias("a"), blocks(F.expr("size - most.size"), F.expr("load - most.load")).alias("b")
+    )
+    hashed = lambda n: F.pmod(F.xxhash64("doc_id", "key"), F.col(n)).cast("int")
+    dealt = rows.join(cut, "key").withColumn("own", F.when(F.col("part") == F.col("main"), hashed("a")).otherwise(F.col("a") + hashed("b")))
+    others = F.when(F.col("part") == F.col("main"), F.sequence(F.col("a"), F.expr("a + b - 1"))).otherwise(F.array_remove(F.sequence(F.lit(0), F.expr("a + b - 1")), F.col("own")))
+    dealt = dealt.withColumn("other", F.explode(others))
+    return dealt.select(F.xxhash64("key", F.lit("pair"), F.least("own", "other"), F.greatest("own", "other")).alias("node"), "doc_id", "batch", "n", "part")
 
 
 def distinct_nodes(nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, members): documents with a partner of fitting size only, and each set of members once."""
+    """(node, members): documents with a partner of fitting size only, and each set of members once; with a ``part`` no node of one part."""
+    own = ["part"] if "part" in nodes.columns else []
     fits = lambda a, b: a["n"] * 100 >= b["n"] * percent
-    both = nodes.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("n", "doc_id", "batch"))).alias("m"))
+    both = nodes.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("n", "doc_id", "batch", *own))).alias("m"))
     near = F.filter("m", lambda x, i: (F.coalesce(fits(F.get("m", i - 1), x), F.lit(False)) | F.coalesce(fits(x, F.get("m", i + 1)), F.lit(False))))
-    kept = both.select("node", near.alias("m")).filter(F.size("m") > 1)
+    kept = both.select("node", near.alias("m")).filter(F.size(F.array_distinct(F.transform("m", lambda x: x[own[0]]))) > 1 if own else F.size("m") > 1)
     return kept.groupBy(F.transform("m", lambda x: x["doc_id"]).alias("ids")).agg(F.min(F.struct("node", "m")).alias("one")).select("one.node", F.col("one.m").alias("members"))
 
 
 def _send(table: pa.Table, asked: pa.Table) -> pa.Table:
     """The sets of the documents asked for, once for each node."""
-    node, ids, blobs = [], [], []
+    node, ids, parts, blobs = [], [], [], []
     if table.num_rows and asked.num_rows:
-        want: dict[int, list[int]] = {}
-        for n, i in zip(asked.column("node").to_pylist(), asked.column("doc_id").to_pylist()):
-            want.setdefault(i, []).append(n)
+        want: dict[int, list[tuple[int, int]]] = {}
+        for n, i, p in zip(asked.column("node").to_pylist(), asked.column("doc_id").to_pylist(), asked.column("part").to_pylist()):
+            want.setdefault(i, []).append((n, p))
         mine = table.filter(pa.compute.is_in(table.column("doc_id"), pa.array(list(want), pa.int64())))
         for rb in mine.combine_chunks().to_batches():
             for part in K.text_slices(rb):
                 grams, offsets = shingle_sets(*K.text_buffer(part.column("text")))
                 for k, i in enumerate(part.column("doc_id").to_pylist()):
                     blob = grams[offsets[k] : offsets[k + 1]].tobytes()
-                    for n in want[i]:
+                    for n, p in want[i]:
                         node.append(n)
                         ids.append(i)
+                        parts.append(p)
                         blobs.append(blob)
-    return pa.table({"node": pa.array(node, pa.int64()), "doc_id": pa.array(ids, pa.int64()), "shingles": pa.array(blobs, pa.binary())})
+    return pa.table({"node": pa.array(node, pa.int64()), "doc_id": pa.array(ids, pa.int64()), "part": pa.array(parts, pa.int64()), "shingles": pa.array(blobs, pa.binary())})
 
 
-def links_in(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between documents of a node, as many as connect what is connected: pairs already joined are passed over."""
+def links_in(ids: np.ndarray, sets: list[np.ndarray], percent: int, parts: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between documents of a node, as many as connect what is connected: pairs already joined (in ``parts`` or here) are passed over."""
     order = np.argsort(np.array([len(s) for s in sets]), kind="stable")
     ids, sets = ids[order], [sets[i] for i in order]
     size = np.array([len(s) for s in sets])
     m = len(sets)
-    part = np.arange(m)
+    part = np.arange(m) if parts is None else np.unique(parts[order], return_inverse=True)[1]
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.concatenate(([0], np.cumsum(size)))
     flag = np.zeros(int(token.max(initial=-1)) + 1, bool)
     out = []
     for i in range(m - 1):
         end = int(np.searchsorted(size, size[i] * 100 // percent, "right"))
-        if end <= i + 1 or (part[i + 1 : end] == part[i]).all():
+        others = np.flatnonzero(part[i + 1 : end] != part[i]) + i + 1
+        if not len(others):
             continue
         mine = token[at[i] : at[i + 1]]
         flag[mine] = True
-        both = np.add.reduceat(flag[token[at[i + 1] : at[end]]], at[i + 1 : end] - at[i + 1], dtype=np.int64)
+        if 2 * len(others) > end - i - 1:
+            both = np.add.reduceat(flag[token[at[i + 1] : at[end]]], at[i + 1 : end] - at[i + 1], dtype=np.int64)[others - i - 1]
+        else:
+            theirs = np.concatenate([token[at[j] : at[j + 1]] for j in others])
+            both = np.add.reduceat(flag[theirs], np.cumsum(size[others]) - size[others], dtype=np.int64)
         flag[mine] = False
-        for j in np.flatnonzero(100 * both >= percent * (size[i] + size[i + 1 : end] - both)) + i + 1:
+        for j in others[100 * both >= percent * (size[i] + size[others] - both)]:
             if part[j] != part[i]:
                 part[part == part[j]] = part[i]
                 out.append((int(ids[i]), int(ids[j])))
@@ -220,7 +250,7 @@ def links_in(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tupl
 def _compare(percent: int):
     def run(table: pa.Table) -> pa.Table:
         node = table.column("node").to_numpy()
-        ids = table.column("doc_id").to_numpy()
+        ids, parts = table.column("doc_id").to_numpy(), table.column("part").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
         order = np.argsort(node, kind="stable")
         cut = np.flatnonzero(np.append(True, node[order][1:] != node[order][:-1]))
@@ -228,7 +258,7 @@ def _compare(percent: int):
         for i, j in zip(cut, np.append(cut[1:], len(order))):
             if j - i > 1:
                 k = order[i:j]
-                out.update((min(p), max(p)) for p in links_in(ids[k], [sets[x] for x in k], percent))
+                out.update((min(p), max(p)) for p in links_in(ids[k], [sets[x] for x in k], percent, parts[k]))
         a, b = zip(*sorted(out)) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -239,9 +269,10 @@ def _links(corpus: DataFrame, nodes: DataFrame, n_batches: int, percent: int) ->
     """(a, b): links within nodes, found on the full sets."""
     load = nodes.agg(F.sum(F.aggregate("members", F.lit(0).cast("long"), lambda a, x: a + x["n"]))).first()[0] or 0
     parts = max(12, n_batches, load * 8 // (4 << 20))
-    asked = nodes.select("node", F.explode("members").alias("m")).select("node", "m.doc_id", "m.batch")
-    sent = corpus.groupBy("batch").cogroup(asked.groupBy("batch")).applyInArrow(_send, "node long, doc_id long, shingles binary")
-    return sent.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts))).groupBy("part").applyInArrow(_compare(percent), "a long, b long")
+    asked = nodes.select("node", F.explode("members").alias("m")).select("node", "m.*")
+    asked = asked.select("node", "doc_id", "batch", F.col("part" if "part" in asked.columns else "doc_id").alias("part"))
+    sent = corpus.groupBy("batch").cogroup(asked.groupBy("batch")).applyInArrow(_send, "node long, doc_id long, part long, shingles binary")
+    return sent.withColumn("task", F.pmod(F.xxhash64("node"), F.lit(parts))).groupBy("task").applyInArrow(_compare(percent), "a long, b long")
 
 
 def components(work: Scratch, links: DataFrame, name: str = "edges") -> DataFrame:
@@ -283,16 +314,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
     ids = work.keep(signed.select("doc_id", "n_shingles", "class1", "class2"), "ids")
     work.drop("signed")
     # the first trees join most of what belongs together; the others look only at nodes that are not joined yet
-    links = joined = None
+    links = joined = crowded = None
     for trees in (range(FIRST), range(FIRST, TREES)):
         parted = reps.withColumn("part", F.col("doc_id")) if joined is None else reps.join(joined.hint("merge"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
         if joined is not None:
             parted = work.keep(parted.select("doc_id", "batch", "n_shingles", "part", "paths"), "parted")
             work.drop("reps")
-        nodes = work.keep(distinct_nodes(branch(work, parted, trees), percent), f"nodes{trees.start}")
+        nodes, left = branch(work, parted, trees)
+        crowded = left if crowded is None else crowded.unionByName(left) if left is not None else crowded
+        nodes = work.keep(distinct_nodes(nodes, percent), f"nodes{trees.start}")
         found = work.keep(_links(corpus, nodes, n_batches, percent), f"links{trees.start}")
         links = found if links is None else links.unionByName(found)
         joined = components(work, links, f"edges{trees.start}_")
+    if crowded is not None:
+        nodes = work.keep(distinct_nodes(block_pairs(crowded, joined), percent), "nodes_pairs")
+        most = nodes.select(F.explode("members").alias("m")).groupBy("m.batch").agg(F.sum("m.n").alias("n")).agg(F.max("n")).first()[0] or 0
+        rounds = -(-most // SENT)
+        for k in range(rounds):
+            some = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(rounds)) == k)
+            links = links.unionByName(work.keep(_links(corpus, some, n_batches, percent), f"links_pairs{k}"))
+        if rounds:
+            joined = components(work, links, "edges_pairs")
     comp = joined.select(F.col("doc_id").alias("rep"), "component")
     # components by class; every class with more than one row or with links
     by_class = classes.join(comp, "rep", "left").filter("rows > 1 or component is not null").select("class1", "class2", "n_shingles", F.coalesce("component", "rep").alias("component"))

@@ -366,6 +366,32 @@ def test_near_copies_in_crowded_nodes(spark, monkeypatch):
     assert near_dup.near_duplicates(spark, documents(spark, rows).filter("doc_id > 9999")).count() == 0
 
 
+def test_single_links_in_crowded_nodes(spark, monkeypatch):
+    """All variants are near their base only, in nodes that are split into blocks."""
+    monkeypatch.setattr(near_dup, "NODE", 8)
+    monkeypatch.setattr(near_dup, "LARGE", 30)
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(1000)]
+    rows = [(500, " ".join(base), "a")]
+    for i in range(120):
+        w = list(base)
+        for k in rnd.sample(range(2, 1000, 5), 10):
+            w[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(w), "a"))
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(spark, documents(spark, rows, 3)).collect()}
+    assert got == {i: c for i, (_, c) in brute_links(rows, 85).items()} == dict.fromkeys([500, *range(120)], 0)
+
+
+def test_links_pass_over_parts():
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(0, 1 << 60, 100).astype(np.uint64)
+    sets = [np.unique(np.append(base[: 100 - i % 7], rnd.integers(0, 1 << 60, i % 5).astype(np.uint64))) for i in range(40)]
+    ids, parts = np.arange(40), np.arange(40) // 20
+    assert len(near_dup.links_in(ids, sets, 85)) == 39
+    assert len(near_dup.links_in(ids, sets, 85, parts)) == 1
+    assert len(near_dup.links_in(ids, sets, 85, np.minimum(ids, 4))) == 4
+
+
 def test_long_text_shingles():
     import pyarrow as pa
 
