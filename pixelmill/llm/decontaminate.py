@@ -8,7 +8,7 @@ verified with Myers' bit-parallel edit distance.
 from __future__ import annotations
 
 import math
-
+import sys
 
 import ahocorasick
 import pyarrow as pa
@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 #: Edits allowed, as a share of an item's length; the shortest piece; characters of test items to a block.
 BUDGET, PIECE, BLOCK = 0.08, 10, 1 << 20
 
-_FOLD = {i: i + 32 for i in range(65, 91)} | {i: 32 for i in range(9, 14)}
+#: Lower case where it is one character; the Greek final s as any other, which has the same capital.
+_FOLD = {i: ord(c) for i in range(sys.maxunicode + 1) if len(c := chr(i).lower()) == 1 and ord(c) != i} | {i: 32 for i in range(9, 14)} | {0x3C2: 0x3C3}
 
 
 def fold(text: str | None) -> str:
-    """A-Z in lower case, and each of the characters 9 to 13 a space; places stay the same."""
+    """Characters in lower case, and each of the characters 9 to 13 a space; places stay the same."""
     return (text or "").translate(_FOLD)
 
 

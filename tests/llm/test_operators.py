@@ -262,6 +262,13 @@ def least_distance(p, t):
     return best
 
 
+def test_capitals_of_all_scripts_are_no_edits():
+    for item in ("été à la forêt, où les élèves répétèrent leur leçon", "последний урок был в пятницу вечером", "ο τελευταίος δρόμος της πόλης ήταν κενός"):
+        text = "x " + item.upper() + " İ y"
+        assert len(D.fold(text)) == len(text)
+        assert list(D.Items([(7, item)], 0.08).find(D.fold(text))) == [(7, 0, 2, 2 + len(item))]
+
+
 def test_decontamination_by_brute_force(spark):
     r = random.Random(9)
     say = lambda n: "".join(r.choice("abcde ") for _ in range(n))
