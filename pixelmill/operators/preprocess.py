@@ -50,7 +50,8 @@ def _soft(b: np.ndarray, noise: float) -> np.ndarray:
 
 
 def denoise(px: DataFrame) -> DataFrame:
-    return S.by_tile(px, lambda v: [haar_denoise(v)], "v double", 16, "v")
+    """Wavelet shrinkage; noise, thresholds and levels are those of the whole image, so an image is one task."""
+    return S.by_tile(px, lambda v: [haar_denoise(v)], "v double", 0, "v", tile=1 << 30)
 
 
 def equalise_adaptive(v: np.ndarray, clip: float = 0.01, bins: int = 256) -> np.ndarray:

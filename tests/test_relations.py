@@ -218,3 +218,12 @@ def test_preprocessing():
     flat = P.equalise_adaptive(np.linspace(0.4, 0.6, 64 * 64).reshape(64, 64))
     assert flat.min() >= 0 and flat.max() <= 1 and flat.std() > 0.1
     assert (P.equalise_adaptive(np.ones((4, 4))) == 0).all()
+
+
+def test_denoise_of_a_large_image_is_that_of_the_whole(spark):
+    v = np.random.default_rng(4).normal(0, 1, (1100, 24)) * np.linspace(1, 9, 1100)[:, None]
+    rows = [("a", y, x, float(v[y, x])) for y in range(1100) for x in range(24)]
+    got = np.zeros(v.shape)
+    for r in P.denoise(spark.createDataFrame(rows, "img string, y int, x int, v double")).collect():
+        got[r.y, r.x] = r.v
+    assert np.allclose(got, P.haar_denoise(v))
