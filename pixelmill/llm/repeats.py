@@ -5,14 +5,17 @@ with the same minimiser form a segment; equal windows have equal minimisers, so
 share a window meet in the same bucket. Three passes over a staged corpus (its texts never move):
 
 1. every batch sends the distinct minimisers of its segments; buckets answer one bit each: seen in
-   more than one document or not;
+   more than one document or not; and another for minimisers under which more than ``HOT`` distinct segments lie;
 2. batches send the distinct segments under shared minimisers once each, with the smallest document
-   that holds them; buckets index their suffixes (``suffix_array`` or ``suffix_tree``) and answer one
-   bit per window: does a smaller document hold it;
+   that holds them; buckets index their suffixes (``suffix_array`` or ``suffix_tree``), find the maximal repeats
+   and answer one bit per window: does a smaller document hold it. Windows under hot minimisers are aggregated by their
+   whole content instead, with partial sums, so that no task holds all that lies under one;
 3. batches apply the answers to all their documents.
 
 What a bucket gets is one entry per batch and distinct segment, however many documents share it, so
-a passage held by a third of all rows costs its bucket no more than one entry per batch.
+a passage held by a third of all rows costs its bucket no more than one entry per batch; a batch sends a message to those
+buckets only that own one of its minimisers, so there are never more messages than minimisers. Hashes only bring
+segments together: what is merged or removed has been compared byte by byte.
 """
 
 from __future__ import annotations
@@ -30,51 +33,99 @@ from .scratch import Scratch
 
 #: Order of a null doc_id: after all others.
 LAST = np.iinfo(np.int64).max
+#: Distinct segments under a minimiser (summed over batches, each rounded down to a power of two) beyond which it is hot.
+HOT = 1 << 16
 _SENT = "bucket long, batch long, data binary, meta binary"
+_SHARED, _KNOWN, _HOT, _HELD = range(4)  # kinds of answers
 
 
 class ByteView:
     """A batch of documents as bytes."""
 
-    width = 1
-    gram = 20
-
     def __init__(self, raw, offsets):
         self.raw, self.offsets = raw, offsets
+        self.flat = raw
+
+    @staticmethod
+    def gram(length: int) -> int:
+        return max(1, length * 2 // 5)
 
     def symbols(self, a, b):
         return K.BYTE_SYMBOLS[self.raw[a:b]]
 
-    def content(self, starts, lengths):
-        return K.gather(self.raw, starts, lengths)
+    def places(self, starts, counts):
+        """Where elements lie in ``flat``: first byte and number of bytes."""
+        return starts, np.broadcast_to(counts, np.shape(starts))
 
-    def left(self, starts, rows):
-        """The byte before each start; 255, which UTF-8 never uses, at a document's start."""
-        prior = self.raw[np.maximum(starts - 1, 0)].copy()
-        prior[starts == self.offsets[rows]] = 255
-        return prior
+    def flat_slices(self, starts, sizes) -> bytes:
+        return K.gather(self.flat, starts, sizes).tobytes()
 
 
 class WordView:
-    """A batch of documents as words; a word is known by 40 bits of its hash."""
-
-    width = 5
-    gram = 8
+    """A batch of documents as words; in ``flat`` each is followed by one space."""
 
     def __init__(self, raw, offsets):
         self.raw, self.bytes_of = raw, offsets
         self.starts, self.ends, self.offsets = K.words(raw, offsets, K.SPACE)
-        self.ids = K.word_hashes(raw, self.starts, self.ends) >> K.U(24)
+        size = self.ends - self.starts
+        self.at = np.concatenate(([0], np.cumsum(size + 1)))
+        self.flat = np.full(int(self.at[-1]), 32, np.uint8)
+        for i in range(0, len(size), 1 << 18):
+            k = slice(i, i + (1 << 18))
+            where = np.repeat(self.at[:-1][k] - (np.cumsum(size[k]) - size[k]), size[k])
+            self.flat[where + np.arange(len(where))] = K.gather(raw, self.starts[k], size[k])
+        self.ids = K.mix(K.word_hashes(raw, self.starts, self.ends) + K.U(1))
+
+    @staticmethod
+    def gram(length: int) -> int:
+        return max(1, length * 4 // 25)
 
     def symbols(self, a, b):
-        return K.mix(self.ids[a:b] + K.U(1))
+        return self.ids[a:b]
 
-    def content(self, starts, lengths):
-        ids = K.gather(self.ids, starts, lengths)
-        return np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 8)[:, :5]).ravel()
+    def places(self, starts, counts):
+        return self.at[starts], self.at[starts + counts] - self.at[starts]
 
-    def left(self, starts, rows):
-        return np.zeros(len(starts), np.uint8)
+
+def equal_slices(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each i: raw[a[i] : a[i] + size[i]] == raw[b[i] : b[i] + size[i]], in pieces of bounded size."""
+    out = np.ones(len(a), bool)
+    i, ends = 0, np.cumsum(size)
+    while i < len(a):
+        j = max(int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 21), "right")), i + 1)
+        differ = K.gather(raw, a[i:j], size[i:j]) != K.gather(raw, b[i:j], size[i:j])
+        if differ.any():
+            out[i:j][np.repeat(np.arange(j - i), size[i:j])[differ]] = False
+        i = j
+    return out
+
+
+def distinct_slices(raw: np.ndarray, at: np.ndarray, size: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of one slice for each content, and for each slice the place of its content in that list.
+
+    Equal hashes bring slices together, the bytes decide.
+    """
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort((size, hashes))
+    h, z = hashes[order], size[order]
+    heads = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (z[1:] != z[:-1])))
+    label = np.empty(len(at), np.int64)
+    label[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(at))))
+    first = order[heads]
+    other = np.flatnonzero(first[label] != np.arange(len(at)))
+    same = equal_slices(raw, at[other], at[first[label[other]]], size[other])
+    if not same.all():  # different contents with one hash: told apart by what they are
+        found: dict[tuple[int, bytes], int] = {}
+        more = []
+        for i in other[~same].tolist():
+            k = (int(label[i]), raw[at[i] : at[i] + size[i]].tobytes())
+            if k not in found:
+                found[k] = len(first) + len(more)
+                more.append(i)
+            label[i] = found[k]
+        first = np.append(first, more)
+    return first, label
 
 
 def _ids(column) -> np.ndarray:
@@ -85,14 +136,16 @@ def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> K.U(40)) % K.U(n)).astype(np.int64)
 
 
-def _distinct_keys(keys, docs):
-    """Sorted distinct keys, and whether more than one document in the batch has them."""
-    order = np.argsort(keys)
-    k, d = keys[order], docs[order]
-    at = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-    if not len(at):
-        return k, np.zeros(0, bool)
-    return k[at], np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
+def _distinct_keys(keys, docs, contents):
+    """Sorted distinct keys, whether more than one document in the batch has them, and log2 of their distinct contents."""
+    if not len(keys):
+        return keys, np.zeros(0, bool), np.zeros(0, np.uint8)
+    order = np.lexsort((contents, keys))
+    k, d, c = keys[order], docs[order], contents[order]
+    new = np.append(True, k[1:] != k[:-1])
+    at = np.flatnonzero(new)
+    n = np.add.reduceat(new | np.append(True, c[1:] != c[:-1]), at, dtype=np.int64)
+    return k[at], np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at), np.log2(n).astype(np.uint8)
 
 
 def _by_bucket(keys, n):
@@ -109,91 +162,129 @@ def _sketcher(view, length: int, buckets: int):
         for rb in rows:
             owner = rb.column("batch").to_numpy()
             v = view(*K.text_buffer(rb.column("text")))
-            seg = K.segments(v.symbols, v.offsets, length, view.gram)
+            seg = K.segments(v.symbols, v.offsets, length, view.gram(length))
             ids = _ids(rb.column("doc_id"))
             for b in np.unique(owner).tolist():
                 mine = owner[seg.row] == b
-                parts.setdefault(b, []).append(_distinct_keys(seg.key[mine], ids[seg.row[mine]]))
+                parts.setdefault(b, []).append(_distinct_keys(seg.key[mine], ids[seg.row[mine]], seg.content[mine]))
         for b in list(parts):
             yield from sent(b, *zip(*parts.pop(b)))
 
-    def sent(batch, keys, many):
-        k, m = np.concatenate(keys), np.concatenate(many)
+    def sent(batch, keys, many, sizes):
+        k, m, z = np.concatenate(keys), np.concatenate(many), np.concatenate(sizes)
         if not len(k):
             return
         if len(keys) > 1:  # the same key in two Arrow batches: taken as shared, later steps decide exactly
             order = np.argsort(k)
-            k, m = k[order], m[order]
+            k, m, z = k[order], m[order], z[order]
             at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
             m = np.logical_or.reduceat(m, at) | (np.diff(np.append(at, len(k))) > 1)
-            k = k[at]
+            k, z = k[at], np.maximum.reduceat(z, at)
         order, present, cut = _by_bucket(k, buckets)
-        k, m = k[order], m[order]
+        k, m, z = k[order], m[order], z[order]
         yield pa.RecordBatch.from_pydict({
             "bucket": pa.array(present), "batch": pa.array([batch] * len(present), pa.int64()),
             "data": pa.array([k[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
-            "meta": pa.array([np.packbits(m[a:b]).tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
+            # one byte a key: log2 of its contents, and in the highest bit whether it is shared within the batch
+            "meta": pa.array([(z[a:b] | m[a:b].astype(np.uint8) << 7).tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
         })
 
     return run
 
 
-def _shared_keys(table: pa.Table) -> pa.Table:
-    """For every key sent: does another batch, or another document of its batch, have it?"""
-    parts = [np.frombuffer(x, np.uint64) for x in table.column("data").to_pylist()]
-    keys = np.concatenate(parts)
-    many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(p)) for m, p in zip(table.column("meta").to_pylist(), parts)]).astype(bool)
-    order = np.argsort(keys)
-    k = keys[order]
-    at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-    size = np.diff(np.append(at, len(k)))
-    shared = np.empty(len(k), bool)
-    shared[order] = np.repeat((size > 1) | np.logical_or.reduceat(many[order], at), size)
-    cut = np.cumsum([0, *map(len, parts)])
-    return pa.table({
-        "batch": table.column("batch").cast(pa.int64()), "kind": pa.array([0] * len(parts), pa.int32()), "bucket": table.column("bucket").cast(pa.int64()),
-        "bits": pa.array([np.packbits(shared[a:b]).tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
-    })
+def _shared_keys(hot: int):
+    def run(table: pa.Table) -> pa.Table:
+        """For every key sent: does another batch, or another document of its batch, have it; and is it hot?"""
+        parts = [np.frombuffer(x, np.uint64) for x in table.column("data").to_pylist()]
+        keys = np.concatenate(parts)
+        meta = np.concatenate([np.frombuffer(m, np.uint8) for m in table.column("meta").to_pylist()])
+        order = np.argsort(keys)
+        k = keys[order]
+        at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        size = np.diff(np.append(at, len(k)))
+        shared, crowded = np.empty(len(k), bool), np.empty(len(k), bool)
+        both = (size > 1) | np.logical_or.reduceat(meta[order] >= 128, at)
+        shared[order] = np.repeat(both, size)
+        crowded[order] = np.repeat(both & (np.add.reduceat(np.left_shift(1, (meta[order] & 127).astype(np.int64)), at) > hot), size)
+        cut = np.cumsum([0, *map(len, parts)])
+        batch, bucket = table.column("batch").to_pylist(), table.column("bucket").to_pylist()
+        rows = [(b, _SHARED, c, np.packbits(shared[i:j]).tobytes()) for b, c, i, j in zip(batch, bucket, cut, cut[1:])]
+        rows += [(b, _HOT, c, np.packbits(crowded[i:j]).tobytes()) for b, c, i, j in zip(batch, bucket, cut, cut[1:]) if crowded[i:j].any()]
+        cols = zip(*rows)
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("batch", "kind", "bucket", "bits"), cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))})
+
+    return run
 
 
 def _answers(table: pa.Table, kind: int) -> dict[int, bytes]:
     return {b: x for k, b, x in zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("bits").to_pylist()) if k == kind}
 
 
+def shared_segments(seg: K.Segments, answers: pa.Table, buckets: int, kind: int = _SHARED) -> np.ndarray:
+    """Which segments lie under minimisers that the first pass answered yes to."""
+    keys = np.unique(seg.key)
+    order, present, cut = _by_bucket(keys, buckets)
+    bits, out = _answers(answers, kind), np.zeros(len(keys), bool)
+    for b, i, j in zip(present, cut, cut[1:]):
+        if b in bits:
+            out[order[i:j]] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=j - i).astype(bool)
+    return out[np.searchsorted(keys, seg.key)] if len(keys) else np.zeros(0, bool)
+
+
 class _Candidates:
-    """Segments of a batch under shared minimisers, and the distinct ones among them in sending order."""
+    """Segments of a batch under shared minimisers, and the distinct ones among them in sending order; windows under hot
+    minimisers apart."""
 
     def __init__(self, table: pa.Table, answers: pa.Table, view, length: int, buckets: int, parts: int):
         self.view = view(*K.text_buffer(table.column("text")))
         self.docs = _ids(table.column("doc_id").combine_chunks())
-        seg = K.segments(self.view.symbols, self.view.offsets, length, view.gram)
-        keys = np.unique(seg.key)
-        order, present, cut = _by_bucket(keys, buckets)
-        bits, shared = _answers(answers, 0), np.zeros(len(keys), bool)
-        for b, i, j in zip(present, cut, cut[1:]):
-            if b in bits:
-                shared[order[i:j]] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=j - i).astype(bool)
-        keep = shared[np.searchsorted(keys, seg.key)] if len(keys) else np.zeros(0, bool)
+        seg = K.segments(self.view.symbols, self.view.offsets, length, view.gram(length))
+        keep, hot = shared_segments(seg, answers, buckets), shared_segments(seg, answers, buckets, _HOT)
+        self._hot(seg.start[hot], seg.count[hot], seg.row[hot], length)
+        keep &= ~hot
         self.start, self.count, self.row = seg.start[keep], seg.count[keep], seg.row[keep]
         self.key, content = seg.key[keep], seg.content[keep]
         self.doc = self.docs[self.row]
         # distinct contents, those of one bucket together, with the smallest document of each
         part = _bucket(self.key, parts)
-        order = np.argsort(content)
-        c = content[order]
-        heads = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, np.int64)
-        first, low = order[heads], np.minimum.reduceat(self.doc[order], heads) if len(heads) else self.doc
+        self.at, self.size = self.view.places(self.start, self.count + length - 1)
+        first, which = distinct_slices(self.view.flat, self.at, self.size, content)
+        low = np.full(len(first), LAST)
+        np.minimum.at(low, which, self.doc)
         by = np.argsort(part[first], kind="stable")
         place = np.empty(len(by), np.int64)
         place[by] = np.arange(len(by))
-        self.first, self.low = first[by], low[by]
-        self.which = np.empty(len(c), np.int64)
-        self.which[order] = np.repeat(place, np.diff(np.append(heads, len(c))))
+        self.first, self.low, self.which = first[by], low[by], place[which]
         self.present, at = np.unique(part[self.first], return_index=True)
         self.cut = np.append(at, len(self.first))
 
+    def _hot(self, start, count, row, length):
+        """Windows under hot minimisers: where each starts, its content's place among the distinct ones, their slices and documents."""
+        begin = np.cumsum(count) - count
+        self.hot_start = np.repeat(start - begin, count) + np.arange(int(count.sum()))
+        self.hot_doc = self.docs[np.repeat(row, count)]
+        at, size = self.view.places(self.hot_start, length)
+        hashes = np.empty(len(at), np.uint64)
+        for i in range(0, len(at), 1 << 15):
+            k = slice(i, i + (1 << 15))
+            piece = K.gather(self.view.flat, at[k], size[k])
+            cut = np.concatenate(([0], np.cumsum(size[k])))
+            hashes[k] = K.Rolling(K.BYTE_SYMBOLS[piece]).slices(cut[:-1], cut[1:])
+        first, self.hot_which = distinct_slices(self.view.flat, at, size, hashes)
+        self.hot_at, self.hot_size = at[first], size[first]
+        self.hot_low = np.full(len(first), LAST)
+        np.minimum.at(self.hot_low, self.hot_which, self.hot_doc)
+
+
+def _meta_type(length: int, view) -> np.dtype:
+    """What is sent with a segment: smallest document, key group, number of windows, and for words the number of bytes."""
+    count = ("count", "u1" if length - view.gram(length) < 255 else "<u4")
+    return np.dtype([("doc", "<i8"), ("key", "<u4"), count, *([("size", "<u4")] if view is WordView else [])])
+
 
 def _sender(view, length, buckets, parts):
+    kind = _meta_type(length, view)
+
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({"bucket": pa.array([], pa.int64()), "batch": pa.array([], pa.int64()), "data": pa.array([], pa.binary()), "meta": pa.array([], pa.binary())})
@@ -201,32 +292,27 @@ def _sender(view, length, buckets, parts):
         data, meta = [], []
         for i, j in zip(c.cut, c.cut[1:]):
             f = c.first[i:j]
-            data.append(c.view.content(c.start[f], c.count[f] + length - 1).tobytes())
-            meta.append(_pack_meta(c.low[i:j], (c.key[f] & K.U(0xFFFFFFFF)).astype(np.uint32), c.count[f].astype(np.uint8), c.view.left(c.start[f], c.row[f])))
+            data.append(K.gather(c.view.flat, c.at[f], c.size[f]).tobytes())
+            m = np.empty(j - i, kind)
+            m["doc"], m["key"], m["count"] = c.low[i:j], (c.key[f] & K.U(0xFFFFFFFF)).astype(np.uint32), c.count[f]
+            if "size" in kind.names:
+                m["size"] = c.size[f]
+            meta.append(m.tobytes())
         batch = table.column("batch")[0].as_py()
         return pa.table({"bucket": pa.array(c.present, pa.int64()), "batch": pa.array([batch] * len(c.present), pa.int64()), "data": pa.array(data, pa.binary()), "meta": pa.array(meta, pa.binary())})
 
     return run
 
 
-def _pack_meta(docs, keys, counts, left) -> bytes:
-    return docs.tobytes() + keys.tobytes() + counts.tobytes() + left.tobytes()
-
-
-def _unpack_meta(blob: bytes):
-    n = len(blob) // 14
-    return np.frombuffer(blob, np.int64, n), np.frombuffer(blob, np.uint32, n, 8 * n), np.frombuffer(blob, np.uint8, n, 12 * n), np.frombuffer(blob, np.uint8, n, 13 * n)
-
-
 class Entries:
     """The distinct segments of one bucket: contents, window counts, key groups, smallest documents."""
 
-    def __init__(self, data: list[bytes], meta: list[bytes], length: int, width: int):
-        cols = [_unpack_meta(m) for m in meta]
-        self.doc, self.key, self.count, self.left = (np.concatenate(x) for x in zip(*cols))
-        self.count = self.count.astype(np.int64)
+    def __init__(self, data: list[bytes], meta: list[bytes], length: int, kind: np.dtype):
+        m = np.concatenate([np.frombuffer(x, kind) for x in meta])
+        self.doc, self.count = m["doc"].copy(), m["count"].astype(np.int64)
+        key = m["key"]
         self.raw = np.frombuffer(b"".join(data), np.uint8)
-        size = (self.count + length - 1) * width
+        size = m["size"].astype(np.int64) if "size" in kind.names else self.count + length - 1
         at = np.cumsum(size) - size
         # equal segments of several batches become one entry
         content = np.empty(len(at), np.uint64)
@@ -236,17 +322,15 @@ class Entries:
             lo, hi = int(at[i]), int(at[j - 1] + size[j - 1])
             content[i:j] = K.Rolling(K.BYTE_SYMBOLS[self.raw[lo:hi]]).slices(at[i:j] - lo, at[i:j] - lo + size[i:j])
             i = j
-        order = np.argsort(content)
-        c = content[order]
-        heads = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-        rep, low = order[heads], np.minimum.reduceat(self.doc[order], heads)
-        by = np.argsort(self.key[rep], kind="stable")
+        rep, which = distinct_slices(self.raw, at, size, content)
+        low = np.full(len(rep), LAST)
+        np.minimum.at(low, which, self.doc)
+        by = np.argsort(key[rep], kind="stable")
         place = np.empty(len(by), np.int64)
         place[by] = np.arange(len(by))
-        self.entry = np.empty(len(at), np.int64)
-        self.entry[order] = np.repeat(place, np.diff(np.append(heads, len(c))))
+        self.entry = place[which]
         rep, self.low = rep[by], low[by]
-        self.at, self.n, self.group = at[rep], self.count[rep], self.key[rep]
+        self.at, self.size, self.n, self.group = at[rep], size[rep], self.count[rep], key[rep]
         self.window_at = np.cumsum(self.n) - self.n  # where an entry's windows start in the answer
         #: smallest document of each window; an entry alone under its key needs no comparison
         self.smallest = np.repeat(self.low, self.n)
@@ -255,7 +339,7 @@ class Entries:
         self.crowded = np.flatnonzero(np.repeat(sizes > 1, sizes))
 
     def slabs(self, most: int = 1 << 19):
-        """Entries of crowded key groups, some whole groups at a time."""
+        """Entries of crowded key groups, some whole groups at a time; a group has at most about ``HOT`` entries."""
         i, ids = 0, self.crowded
         n = np.cumsum(self.n[ids])
         edge = np.flatnonzero(np.append(self.group[ids][1:] != self.group[ids][:-1], True)) + 1 if len(ids) else []
@@ -267,6 +351,28 @@ class Entries:
             yield ids[i:j]
             i = j
 
+    def windows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All windows of some entries: the entry's place in ``ids``, and the window's number in it."""
+        n = self.n[ids]
+        own = np.repeat(np.arange(len(ids)), n)
+        return own, np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+
+    def mark(self, ids: np.ndarray, own: np.ndarray, j: np.ndarray, members: np.ndarray, sizes: np.ndarray, windows: np.ndarray) -> None:
+        """Take in maximal repeats: group after group the numbers of its occurrences (in ``own`` and ``j``), the sizes
+        of the groups, and how many windows long each repeat is. All of an occurrence's windows get the smallest document of its group."""
+        if not len(members):
+            return
+        low = self.low[ids][own[members]]
+        least = np.repeat(np.minimum.reduceat(low, np.cumsum(sizes) - sizes), sizes)
+        long = np.repeat(windows, sizes)
+        more = least < low
+        at, least, long = (self.window_at[ids][own[members]] + j[members])[more], least[more], long[more]
+        for i in range(0, len(at), 1 << 15):
+            k = slice(i, i + (1 << 15))
+            n = long[k]
+            place = np.repeat(at[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            np.minimum.at(self.smallest, place, np.repeat(least[k], n))
+
     def bits(self, length: int) -> np.ndarray:
         """Per window of every segment sent: is it in a document smaller than the sender's?"""
         ends = np.cumsum(self.count)
@@ -280,17 +386,19 @@ class Entries:
         return out
 
 
-def _resolver(index: Callable, width: int, length: int):
+def _resolver(index: Callable, view, length: int):
+    kind = _meta_type(length, view)
+
     def run(table: pa.Table) -> pa.Table:
         data, meta = table.column("data").to_pylist(), table.column("meta").to_pylist()
-        e = Entries(data, meta, length, width)
+        e = Entries(data, meta, length, kind)
         for ids in e.slabs():
             index(e, ids, length)
         bits = e.bits(length)
-        n = [int(_unpack_meta(m)[2].astype(np.int64).sum()) for m in meta]
+        n = [int(np.frombuffer(m, kind)["count"].astype(np.int64).sum()) for m in meta]
         cut = np.cumsum([0, *n])
         return pa.table({
-            "batch": table.column("batch").cast(pa.int64()), "kind": pa.array([1] * len(n), pa.int32()), "bucket": table.column("bucket").cast(pa.int64()),
+            "batch": table.column("batch").cast(pa.int64()), "kind": pa.array([_KNOWN] * len(n), pa.int32()), "bucket": table.column("bucket").cast(pa.int64()),
             "bits": pa.array([np.packbits(bits[a:b]).tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
         })
 
@@ -300,35 +408,73 @@ def _resolver(index: Callable, width: int, length: int):
 _ANSWER = "batch long, kind int, bucket long, bits binary"
 
 
+def _hot_windows(view, length, buckets, parts):
+    """(batch, no, content, low): the distinct windows of a batch under hot minimisers, with their smallest document."""
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows or _HOT not in answers.column("kind").to_pylist():
+            return pa.table({"batch": pa.array([], pa.int64()), "no": pa.array([], pa.int32()), "content": pa.array([], pa.binary()), "low": pa.array([], pa.int64())})
+        c = _Candidates(table, answers, view, length, buckets, parts)
+        flat = c.view.flat
+        content = [flat[a : a + n].tobytes() for a, n in zip(c.hot_at.tolist(), c.hot_size.tolist())]
+        return pa.table({"batch": pa.array([table.column("batch")[0].as_py()] * len(content), pa.int64()), "no": pa.array(np.arange(len(content), dtype=np.int32)), "content": pa.array(content, pa.binary()), "low": pa.array(c.hot_low)})
+
+    return run
+
+
+def _held_rows(table: pa.Table) -> pa.Table:
+    no = np.sort(table.column("no").to_numpy().astype(np.int32))
+    return pa.table({"batch": table.column("batch")[:1], "kind": pa.array([_HELD], pa.int32()), "bucket": pa.array([0], pa.int64()), "bits": pa.array([no.tobytes()], pa.binary())})
+
+
+def held_windows(work: Scratch, corpus: DataFrame, shared: DataFrame, view, length: int, buckets: int, parts: int) -> DataFrame:
+    """Answers on windows under hot minimisers: those that a smaller document of another batch holds. Sums are partial before
+    they move, and the join's rows of a frequent window are an even split for Spark's skew join."""
+    rows = corpus.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_hot_windows(view, length, buckets, parts), "batch long, no int, content binary, low long")
+    rows = work.keep(rows, "hot")
+    least = rows.groupBy("content").agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("content", "least")
+    held = rows.join(least.hint("merge"), "content").filter("least < low").select("batch", "no")
+    return work.keep(held.groupBy("batch").applyInArrow(_held_rows, _ANSWER), "held")
+
+
 def _marks(table, answers, view, length, buckets, parts):
     """The batch's candidates, and per element of its view whether it is removed."""
     c = _Candidates(table, answers, view, length, buckets, parts)
-    n = int(c.view.offsets[-1]) if len(c.view.offsets) else 0
-    if not len(c.start):
-        return c, np.zeros(n, bool)
-    got, held = _answers(answers, 1), []
-    size = c.count[c.first]
-    for p, i, j in zip(c.present, c.cut, c.cut[1:]):
-        m = int(size[i:j].sum())
-        held.append(np.unpackbits(np.frombuffer(got[p], np.uint8), count=m).astype(bool))
-    held = np.concatenate(held)
-    at = np.cumsum(size) - size
-    low = c.low[c.which]
-    gone = np.zeros(n, bool)
-    for i in range(0, len(c.start), 1 << 15):
-        k = slice(i, i + (1 << 15))
-        count = c.count[k]
-        own = np.repeat(np.arange(len(count)), count)
-        j = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-        yes = held[at[c.which[k]][own] + j] | (low[k] < c.doc[k])[own]
-        gone[(c.start[k][own] + j)[yes]] = True
+    gone = np.zeros(int(c.view.offsets[-1]) if len(c.view.offsets) else 0, bool)
+    if len(c.hot_start):
+        held = np.zeros(len(c.hot_low), bool)
+        for x in _answers(answers, _HELD).values():
+            held[np.frombuffer(x, np.int32)] = True
+        gone[c.hot_start[held[c.hot_which] | (c.hot_low[c.hot_which] < c.hot_doc)]] = True
+    if len(c.start):
+        got, held = _answers(answers, _KNOWN), []
+        size = c.count[c.first]
+        for p, i, j in zip(c.present, c.cut, c.cut[1:]):
+            m = int(size[i:j].sum())
+            held.append(np.unpackbits(np.frombuffer(got[p], np.uint8), count=m).astype(bool))
+        held = np.concatenate(held)
+        at = np.cumsum(size) - size
+        low = c.low[c.which]
+        for i in range(0, len(c.start), 1 << 15):
+            k = slice(i, i + (1 << 15))
+            count = c.count[k]
+            own = np.repeat(np.arange(len(count)), count)
+            j = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+            yes = held[at[c.which[k]][own] + j] | (low[k] < c.doc[k])[own]
+            gone[(c.start[k][own] + j)[yes]] = True
     return c, K.covered(gone, length)
 
 
 def shared_keys(work: Scratch, corpus: DataFrame, length: int, view, buckets: int) -> DataFrame:
     """The first pass: per batch and bucket a bit for each minimiser, whether more than one document has it."""
+    if not 1 <= length <= MOST:
+        raise ValueError(f"a window has 1 to {MOST} elements")
     sketch = corpus.select("batch", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketcher(view, length, buckets), _SENT)
-    return work.keep(sketch.groupBy("bucket").applyInArrow(_shared_keys, _ANSWER), "shared")
+    return work.keep(sketch.groupBy("bucket").applyInArrow(_shared_keys(HOT), _ANSWER), "shared")
+
+
+#: Elements of a window at most: a window and its overlap must fit in a piece of a long text.
+MOST = 1 << 16
 
 
 def removals(spark: SparkSession, docs: DataFrame, length: int, view, index: Callable, finish: Callable, schema, name: str) -> DataFrame:
@@ -339,7 +485,9 @@ def removals(spark: SparkSession, docs: DataFrame, length: int, view, index: Cal
     shared = shared_keys(work, corpus, length, view, buckets)
     thin = corpus.select("batch", F.col("doc_id").cast("long").alias("doc_id"), "text")
     sent = thin.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_sender(view, length, buckets, parts), _SENT)
-    known = work.keep(sent.groupBy("bucket").applyInArrow(_resolver(index, view.width, length), _ANSWER), "known")
+    answers = shared.unionByName(work.keep(sent.groupBy("bucket").applyInArrow(_resolver(index, view, length), _ANSWER), "known"))
+    if shared.filter(F.col("kind") == _HOT).head(1):
+        answers = answers.unionByName(held_windows(work, thin, shared, view, length, buckets, parts))
 
     def last(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -347,7 +495,7 @@ def removals(spark: SparkSession, docs: DataFrame, length: int, view, index: Cal
         c, gone = _marks(table, answers, view, length, buckets, parts)
         return finish(table, c, gone)
 
-    return corpus.groupBy("batch").cogroup(shared.unionByName(known).groupBy("batch")).applyInArrow(last, schema)
+    return corpus.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(last, schema)
 
 
 def doc_schema(docs: DataFrame, *more: T.StructField) -> T.StructType:

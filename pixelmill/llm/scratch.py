@@ -1,22 +1,24 @@
 """Shared scratch space and the staged corpus that several operators read more than once.
 
 Intermediate tables go below ``spark.checkpoint.dir`` (all executors share it); a local folder is
-set only where the session has none, as in tests. Lost executors recompute from those tables.
+set only where a local session has none, as in tests. Lost executors recompute from those tables.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders and tables made so far: (path, tables, made by a pipeline stage).
-_LIVE: list[tuple[str, list[str], bool]] = []
-_in_stage = False
+#: The list that scratch folders made in the current context are entered in, if any.
+_OWNER: ContextVar[list | None] = ContextVar("owner", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,9 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             base = current.get()
-        else:
+        elif spark.sparkContext.master.startswith("local"):
             base = "file://" + tempfile.mkdtemp(prefix="llm-scratch-")
             spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return base.rstrip("/")
 
 
@@ -37,26 +41,36 @@ def _remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release(spark: SparkSession, stages_only: bool = False) -> None:
-    """Delete scratch folders; call it only when the results that read them have been written."""
-    for entry in [e for e in _LIVE if e[2] or not stages_only]:
-        path, tables, _ = entry
-        for t in tables:
-            spark.sql(f"DROP TABLE IF EXISTS {t}")
-        _remove(spark, path)
-        _LIVE.remove(entry)
+@contextmanager
+def owned():
+    """A list of the scratch folders made within; whoever opens this removes them when their rows are written."""
+    made: list[Scratch] = []
+    token = _OWNER.set(made)
+    try:
+        yield made
+    finally:
+        _OWNER.reset(token)
+
+
+def result(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of ``make()``, written and reread; all other scratch that it made is gone."""
+    out = Scratch(spark, name)
+    with owned() as made:
+        try:
+            return out.keep(make(), "rows")
+        finally:
+            for s in made:
+                s.remove()
 
 
 @contextmanager
 def pipeline_stage(spark: SparkSession):
-    """Within, scratch folders belong to a stage; those of earlier stages, whose rows are written by now, go first."""
-    global _in_stage
-    release(spark, stages_only=True)
-    _in_stage = True
-    try:
+    """Scratch made within belongs to the session's current stage; that of the stage before, whose rows are written by now, goes first."""
+    for s in getattr(spark, "_stage_scratch", []):
+        s.remove()
+    with owned() as made:
+        spark._stage_scratch = made
         yield
-    finally:
-        _in_stage = False
 
 
 class Scratch:
@@ -66,7 +80,9 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.tables: list[str] = []
-        _LIVE.append((self.path, self.tables, _in_stage))
+        owner = _OWNER.get()
+        if owner is not None:
+            owner.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write and reread: cuts the lineage without a copy that dies with its executor."""
@@ -77,65 +93,69 @@ class Scratch:
     def drop(self, name: str) -> None:
         _remove(self.spark, f"{self.path}/{name}")
 
-    def stage(self, docs: DataFrame, name: str = "corpus") -> tuple[DataFrame, int]:
+    def remove(self) -> None:
+        """Delete everything; call it only when the results that read it have been written."""
+        for t in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+        self.tables.clear()
+        _remove(self.spark, self.path)
+
+    def stage(self, docs: DataFrame, name: str = "corpus", text: str = "text") -> tuple[DataFrame, int]:
         """Write ``docs`` once, without a shuffle, as a table bucketed by ``batch``.
 
-        Every input partition becomes one bucket, of a few batches that each fit in a Python worker
-        many times over, so later per-batch answers meet the texts without moving them. Returns the
-        table and the number of buckets.
+        Every input partition becomes one bucket (beyond ``BUCKETS`` partitions some share one), of batches of about ``BATCH_MB`` of
+        text, so later per-batch answers meet the texts without moving them. Returns the table and the number of buckets.
         """
-        n = max(1, min(docs.rdd.getNumPartitions(), 100_000))
-        split = max(1, min(64, _megabytes(self.spark) // BATCH_MB))
-        ids = bucket_values(n, split)
-        pick = self.spark.createDataFrame(list(enumerate(ids)), "pid_ int, batches array<long>")
-        part = F.pmod(F.xxhash64("doc_id"), F.lit(split)).cast("int")
-        out = docs.withColumn("pid_", F.spark_partition_id() % n).join(F.broadcast(pick), "pid_")
-        out = out.withColumn("batch", F.get("batches", part)).drop("pid_", "batches")
+        parts = max(1, docs.rdd.getNumPartitions())
+        n = min(parts, BUCKETS)
+        size = docs.select(F.spark_partition_id().alias("p"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n")).groupBy("p").agg(F.sum("n").alias("n"))
+        need = np.ones(parts, np.int32)
+        for r in size.toLocalIterator():  # a row for each input partition
+            need[r["p"] % parts] = max(1, -(-r["n"] // (BATCH_MB << 20)))
+        most = int(need.max())
+
+        @F.pandas_udf("long")
+        def batch(p: pd.Series, row: pd.Series) -> pd.Series:
+            p, row = p.to_numpy() % parts, row.to_numpy()
+            return pd.Series(bucket_value(p % n, (p // n) * most + row % need[p]))
+
+        numbered = docs.withColumns({"__staged_partition": F.spark_partition_id(), "__staged_row": F.monotonically_increasing_id()})
+        out = numbered.withColumn("batch", batch("__staged_partition", "__staged_row")).drop("__staged_partition", "__staged_row")
         table = f"stage_{uuid.uuid4().hex[:16]}"
         self.tables.append(table)
-        writer = out.write.bucketBy(n, "batch").option("path", f"{self.path}/{name}").option("compression", "zstd")
-        writer.format("parquet").saveAsTable(table)
+        out.write.bucketBy(n, "batch").option("path", f"{self.path}/{name}").option("compression", "zstd").format("parquet").saveAsTable(table)
         return self.spark.table(table), n
 
 
-def _murmur3_long(x: np.ndarray, seed: int = 42) -> np.ndarray:
-    """The 32-bit Murmur3 hash that Spark's bucketing uses for a long."""
+#: Buckets of a staged table at most (Spark's own limit); MB of text to a batch.
+BUCKETS, BATCH_MB = 100_000, 4
+
 
-    def rotl(v, r):
-        return (v << np.uint32(r)) | (v >> np.uint32(32 - r))
+def _u32(x) -> np.ndarray:
+    return np.asarray(x).astype(np.int64).astype(np.uint32)
 
-    with np.errstate(over="ignore"):
-        h = np.full(x.shape, seed, np.uint32)
-        u = x.astype(np.uint64)
-        for half in ((u & np.uint64(0xFFFFFFFF)).astype(np.uint32), (u >> np.uint64(32)).astype(np.uint32)):
-            k = rotl(half * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
-            h = rotl(h ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
-        h ^= np.uint32(8)
-        h ^= h >> np.uint32(16)
-        h *= np.uint32(0x85EBCA6B)
-        h ^= h >> np.uint32(13)
-        h *= np.uint32(0xC2B2AE35)
-        h ^= h >> np.uint32(16)
-    return h.view(np.int32)
 
+def _turn(x: np.ndarray, k: int) -> np.ndarray:
+    return (x << np.uint32(k)) | (x >> np.uint32(32 - k))
 
-#: MB of input files to a batch.
-BATCH_MB = 4
 
+def bucket_value(bucket: np.ndarray, k: np.ndarray, seed: int = 42) -> np.ndarray:
+    """The long with upper half ``k`` whose 32-bit Murmur3 hash, which Spark's bucketing uses, is the number ``bucket``.
 
-def _megabytes(spark: SparkSession) -> int:
-    return spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() >> 20
+    Every step of the hash can be undone, so a bucket has one such long for each ``k``.
+    """
+    inverse = lambda m: np.uint32(pow(m, -1, 1 << 32))
+    h, high = _u32(bucket), _u32(k)
+    h = h ^ (h >> np.uint32(16))
+    h = h * inverse(0xC2B2AE35)
+    h = h ^ (h >> np.uint32(13)) ^ (h >> np.uint32(26))
+    h = h * inverse(0x85EBCA6B)
+    h = h ^ (h >> np.uint32(16)) ^ np.uint32(8)
 
+    def before(x):
+        return _turn((x - np.uint32(0xE6546B64)) * inverse(5), 19)
 
-def bucket_values(n: int, each: int = 1) -> list[list[int]]:
-    """For each bucket 0..n-1 the smallest ``each`` longs that Spark hashes into it."""
-    found: list[list[int]] = [[] for _ in range(n)]
-    at, step, missing = 0, max(1024, 4 * n * each), n
-    while missing:
-        ids = np.arange(at, at + step, dtype=np.int64)
-        for i, b in zip(ids.tolist(), np.mod(_murmur3_long(ids).astype(np.int64), n).tolist()):
-            if len(found[b]) < each:
-                found[b].append(i)
-                missing -= len(found[b]) == each
-        at += step
-    return found
+    h = before(h) ^ (_turn(high * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593))
+    low = before(h) ^ np.uint32(seed)
+    low = _turn(low * inverse(0x1B873593), 17) * inverse(0xCC9E2D51)
+    return (high.astype(np.int64) << 32) | low.astype(np.int64)

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline as P
 from pixelmill.llm import decontaminate as D
-from pixelmill.llm.scratch import Scratch, bucket_values, release
+from pixelmill.llm.scratch import Scratch, bucket_value, result
 
 from .test_operators import brute_links, least_distance
 from .test_repeats import brute_bytes
@@ -53,16 +53,32 @@ def test_stages(spark, sf):
     assert {r.doc_id: r.size for r in rows} == size and all(r.taken <= 3 * r.size for r in rows)
     whole = P.run(spark, sf).select("doc_id", "size", "taken").collect()
     assert sorted(map(tuple, whole)) == sorted((r.doc_id, r.size, r.taken) for r in rows)
-    release(spark)
+    work.remove()
 
 
 def test_buckets_follow_spark(spark):
+    import numpy as np
     from pyspark.sql import functions as F
 
-    values = bucket_values(7, 3)
-    for b, group in enumerate(values):
-        df = spark.createDataFrame([(v,) for v in group], "v long")
-        assert {r[0] for r in df.select(F.pmod(F.hash("v"), F.lit(7))).collect()} == {b}
+    b, k = np.arange(7).repeat(5), np.tile(np.arange(5), 7)
+    v = bucket_value(b, k)
+    df = spark.createDataFrame(list(zip(v.tolist(), b.tolist())), "v long, b int")
+    assert len(set(v.tolist())) == 35 and df.filter(F.pmod(F.hash("v"), F.lit(7)) == F.col("b")).count() == 35
+
+
+def test_scratch_goes_when_a_result_is_written(spark):
+    import glob
+
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before, tables = set(glob.glob(f"{root}/*")), spark.catalog.listTables()
+    docs = spark.createDataFrame([(1, "x y"), (2, None)], "doc_id long, text string")
+
+    def make():
+        staged, _ = Scratch(spark, "inner").stage(docs)
+        return staged.select("doc_id")
+
+    assert result(spark, "outer", make).count() == 2
+    assert [p.rpartition("/")[2].split("-")[0] for p in set(glob.glob(f"{root}/*")) - before] == ["outer"] and len(spark.catalog.listTables()) == len(tables)
 
 
 @pytest.mark.parametrize("name", sorted(k for k in entry.queries() if k.startswith("op")))
@@ -84,4 +100,4 @@ def test_stages_on_hard_rows(spark, sf, rows):
             assert docs.columns == list(P.COLUMNS)
     # both rows of document 3 stay, as they share a doc_id; 5 is a copy of 4
     assert counts == ([0] * 5 if not rows else [8, 7, 7, 7, 7])
-    release(spark)
+    work.remove()

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from pixelmill.llm import kernels as K
+from pixelmill.llm import repeats as R
 from pixelmill.llm import suffix_array as A
 from pixelmill.llm import suffix_tree as B
 
@@ -84,6 +85,60 @@ def test_words(spark, parts):
     assert sorted(map(tuple, got), key=lambda x: (key(x[0]), x)) == brute_words(rows)
 
 
+def test_crowded_minimisers(spark, monkeypatch):
+    """One minimiser in every document, in different company: its windows are aggregated by their content."""
+    monkeypatch.setattr(R, "HOT", 3)
+    r = random.Random(8)
+    hot = "the same words in all of the documents here"
+    rows = [(i, f"{''.join(r.choice('abc') for _ in range(r.randrange(3, 9)))} {hot} {r.choice('xy')} " + "w " * r.randrange(60)) for i in range(120)] + fixture(2)
+    got = A.remove_repeats(spark, frame(spark, rows, 4)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=lambda x: (key(x[0]), x)) == brute_bytes(rows)
+    got = B.remove_repeated_words(spark, frame(spark, rows, 4), 20).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=lambda x: (key(x[0]), x)) == brute_words(rows, 20)
+
+
+@pytest.mark.parametrize("size", [1, 10, 300])
+def test_other_lengths(spark, size):
+    rows = [*fixture(4), (200, "q" * 3000), (201, "q" * 3000), (202, " ".join(["z"] * 700)), (203, " ".join(["z"] * 700))]
+    got = A.remove_repeats(spark, frame(spark, rows, 2), size).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=lambda x: (key(x[0]), x)) == brute_bytes(rows, size)
+    got = B.remove_repeated_words(spark, frame(spark, rows, 2), size).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=lambda x: (key(x[0]), x)) == brute_words(rows, size)
+
+
+@pytest.mark.parametrize("run", [A.remove_repeats, B.remove_repeated_words])
+def test_impossible_lengths(spark, run):
+    for size in (0, R.MOST + 1):
+        with pytest.raises(ValueError):
+            run(spark, frame(spark, [(1, "x")]), size)
+
+
+def test_messages_follow_the_input(spark):
+    """However many buckets there are, a batch sends a message to those only that own one of its minimisers."""
+    import pyarrow as pa
+
+    text = " ".join(f"{i} some words" for i in range(400))
+    rb = pa.RecordBatch.from_pydict({"batch": [1], "doc_id": [1], "text": [text]})
+    keys = len(np.unique(K.segments(R.ByteView(*K.text_buffer(rb.column("text"))).symbols, np.array([0, len(text)]), 50, 20).key))
+    for buckets in (10, 10**6):
+        sent = sum(x.num_rows for x in R._sketcher(R.ByteView, 50, buckets)([rb]))
+        assert sent <= min(buckets, keys)
+
+
+def test_equal_hashes_are_told_apart():
+    raw = np.frombuffer(b"abcabdabcxyz", np.uint8)
+    at, size = np.array([0, 3, 6, 9]), np.full(4, 3)
+    first, which = R.distinct_slices(raw, at, size, np.zeros(4, np.uint64))
+    assert which[0] == which[2] and len(set(which.tolist())) == 3 and sorted(raw[i : i + 3].tobytes() for i in at[first]) == [b"abc", b"abd", b"xyz"]
+
+
+def test_word_numbers_are_words():
+    words = ["a", "ab", "sevenby", "eight888", "a longer one".replace(" ", "_"), "eight889", "ab", "eight888"]
+    raw = np.frombuffer((" ".join(words) + " ").encode(), np.uint8)
+    ids, begin = B.word_ids(raw, np.array([0]), np.array([len(raw)]))
+    assert [words.index(w) for w in words] == [ids.tolist().index(i) for i in ids.tolist()] and begin.tolist() == [0] and (ids != 0).all()
+
+
 def test_pieces_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(K, "CHUNK", 300)
     rows = [(i, t) for i, t in fixture(3)]
@@ -134,17 +189,54 @@ def naive_groups(rows, size):
     return groups
 
 
-def test_maximal_repeats(spark):
+@pytest.mark.parametrize("context", [24, 37, 256])
+def test_maximal_repeats(spark, context):
     r = random.Random(4)
     say = lambda n: "".join(r.choice("abcd") for _ in range(n))
-    common = say(40)
+    common, long = say(40), say(900)
     rows = [(1, say(30) + common + say(20)), (2, common), (3, "q" + common[5:] + say(9)), (4, say(15) + common[:30] + say(10)), (5, say(60)), (6, "a" * 60), (7, "a" * 40)]
-    got = {bytes(x["repeat"]): sorted((o.doc_id, o.start) for o in x.occurrences) for x in A.maximal_repeats(spark, frame(spark, rows), 24).collect()}
-    want = naive_groups(rows, 24)
-    assert got == want
+    rows += [(8, "zz" + long + "x"), (9, long), (10, "k" + long[:700]), (11, "m" + long[:700] + "u"), (12, long[100:400]), (13, "y" + long + "xr")]
+    groups = {}
+    for x in A.maximal_repeats(spark, frame(spark, rows), 24, context).collect():
+        groups.setdefault((x.repeat_id, x["size"]), []).append((x.doc_id, x.start))
+    texts = {i: t.encode() for i, t in rows}
+    got = {texts[places[0][0]][places[0][1] : places[0][1] + n]: sorted(places) for (_, n), places in groups.items()}
+    assert len(got) == len(groups) and got == naive_groups(rows, 24)
     assert A.maximal_repeats(spark, frame(spark, rows).filter("doc_id > 99"), 24).count() == 0
 
 
+def naive_tree(words, starts, ends, left, length):
+    """Maximal repeats of at least ``length`` words among suffixes words[start : end], by definition."""
+    out = {}
+    for a in range(len(starts)):
+        for b in range(a):
+            n = 0
+            while starts[a] + n < ends[a] and starts[b] + n < ends[b] and words[starts[a] + n] == words[starts[b] + n]:
+                n += 1
+            if n >= length:
+                out[tuple(words[starts[a] : starts[a] + n])] = None
+    found = {}
+    for w in out:
+        members = tuple(i for i in range(len(starts)) if tuple(words[starts[i] : min(ends[i], starts[i] + len(w))]) == w)
+        if len({left[i] for i in members}) > 1 or 0 in {left[i] for i in members}:
+            found[members, len(w)] = None
+    return set(found)
+
+
+def test_subtrees_by_definition():
+    r = np.random.default_rng(11)
+    for _ in range(20):
+        words = r.integers(1, 3, 120).astype(np.uint64)
+        starts = np.sort(r.choice(90, 40, replace=False))
+        ends = starts + r.integers(5, 30, 40)
+        left = r.integers(0, 3, 40).astype(np.uint64)
+        got = set()
+        for d, members, sizes in B.subtree(words, starts, ends - starts, left, 0, 4):
+            cut = np.cumsum(sizes)[:-1]
+            got |= {(tuple(sorted(g.tolist())), d) for g in np.split(members, cut)}
+        assert got == naive_tree(words.tolist(), starts.tolist(), ends.tolist(), left.tolist(), 4)
+
+
 def test_suffix_array_order_and_prefixes():
     r = np.random.default_rng(5)
     raw = r.integers(97, 100, 400).astype(np.uint8)
