@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, result
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -76,8 +76,8 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, epochs: int = EPO
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return result(spark, "op7", lambda: mix(spark, docs).select("doc_id", "size", "source_size", "target", "taken"))
 
 
 OP7_SQL = r"""

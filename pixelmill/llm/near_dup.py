@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .scratch import Scratch
+from .scratch import Scratch, result
 
 SHINGLE, TREES, FIRST, LEVELS, LEADERS, SALTS = 5, 12, 2, 6, 4, 16
 #: Documents of a node that is compared in the first ``BRANCH`` levels; from then on (what is still together is alike) more
@@ -278,12 +278,12 @@ def _links(corpus: DataFrame, nodes: DataFrame, n_batches: int, percent: int) ->
 def components(work: Scratch, links: DataFrame, name: str = "edges") -> DataFrame:
     """(doc_id, component): the least document reachable, for all that have links; alternating large and small stars."""
     edges, k = work.keep(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}0"), 0
-    before = None
+    before = last = None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if state == before:
+        if state == before and not edges.join(last, ["u", "v"], "left_anti").head(1):  # the same set twice
             return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component"))
-        before = state
+        before, last = state, edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("w")).withColumn("w", F.least("u", "w"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("w").alias("v")).filter("u <> v").distinct()
@@ -304,6 +304,44 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
     """
     work = Scratch(spark, "near")
     corpus, n_batches = work.stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    return _linked(work, corpus, n_batches, percent)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, without near copies: of each group of linked rows one stays, that with the
+    smallest doc_id (null after all others), and of rows that repeat it any one.
+
+    Rows are told apart by a number of their own, so different texts under one doc_id do not go with each other, and exact
+    repeats of a row are copies like others. Rows without words (null or empty texts) are linked with nothing and stay. An
+    empty table gives an empty result.
+    """
+    work = Scratch(spark, "near")
+    named = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col("doc_id").cast("long").alias("order_id"), F.struct("*").alias("row"))
+    corpus, n_batches = work.stage(named, text="row.text")
+    found = _linked(work, corpus.select("batch", F.col("row_no").alias("doc_id"), F.col("row.text").cast("string").alias("text")), n_batches, percent)
+    found = work.keep(found.select(F.col("doc_id").alias("row_no"), F.col("component_id").alias("group_no")), "groups")
+    # groups of more than one row; the one that stays has the least (order_id, row_no)
+    several = found.groupBy("group_no").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group_no")
+    ranked = corpus.select("batch", "row_no", "order_id").join(found.join(several.hint("merge"), "group_no", "left_semi").hint("merge"), "row_no")
+    first = F.min(F.struct(F.col("order_id").isNull().alias("last"), "order_id", "row_no")).alias("first")
+    stays = ranked.groupBy("group_no").agg(first).select(F.col("first.row_no").alias("row_no"))
+    gone = work.keep(ranked.select("batch", "row_no").join(stays.hint("merge"), "row_no", "left_anti"), "gone")
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(docs.schema)
+
+    def keep(table: pa.Table, gone: pa.Table) -> pa.Table:
+        table = table.filter(pa.compute.invert(pa.compute.is_in(table.column("row_no"), gone.column("row_no"))))
+        if not table.num_rows:
+            return schema.empty_table()
+        return pa.Table.from_arrays([pa.chunked_array(c) for c in zip(*(x.flatten() for x in table.column("row").chunks))], names=schema.names).cast(schema)
+
+    # numbers of rows that go meet the texts by batch, so texts do not move
+    return corpus.select("batch", "row_no", "row").groupBy("batch").cogroup(gone.groupBy("batch")).applyInArrow(keep, docs.schema)
+
+
+def _linked(work: Scratch, corpus: DataFrame, n_batches: int, percent: int) -> DataFrame:
+    """``near_duplicates`` over a staged (batch, doc_id, text)."""
     signed = work.keep(signatures(corpus), "signed")
     has = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = work.keep(has.groupBy("class1", "class2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
@@ -344,4 +382,4 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return result(spark, "op9", lambda: near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import statistics as S
-from .scratch import Scratch
+from .scratch import Scratch, result
 
 #: Random features, width of the Gaussian kernel in standard deviations, folds, seed, and where a document counts as good.
 FEATURES, WIDTH, FOLDS, SEED, GOOD = 192, 4.0, 4, 7, 0.7
@@ -155,4 +155,4 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, featu
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_quality(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return result(spark, "op5", lambda: score_quality(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")))

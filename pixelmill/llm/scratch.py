@@ -63,11 +63,17 @@ def result(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> Dat
                 s.remove()
 
 
-@contextmanager
-def pipeline_stage(spark: SparkSession):
-    """Scratch made within belongs to the session's current stage; that of the stage before, whose rows are written by now, goes first."""
+def end_stage(spark: SparkSession) -> None:
+    """Remove the scratch of the session's last pipeline stage, whose rows are written by now."""
     for s in getattr(spark, "_stage_scratch", []):
         s.remove()
+    spark._stage_scratch = []
+
+
+@contextmanager
+def pipeline_stage(spark: SparkSession):
+    """Scratch made within belongs to the session's current stage; that of the stage before goes first."""
+    end_stage(spark)
     with owned() as made:
         spark._stage_scratch = made
         yield

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .scratch import Scratch, result
 
 #: Hash buckets; labelled rows to learn from at most; features kept for each category; folds; penalty; where a category holds.
 BUCKETS, SAMPLE, KEEP, FOLDS, PENALTY, TOXIC = 1 << 18, 12_000, 96, 4, 0.1, 0.5
@@ -146,11 +147,15 @@ class Chain:
 
 
 def fit_chain(spark: SparkSession, docs: DataFrame, labels: DataFrame, categories: list[str], sample: int = SAMPLE, n_buckets: int = BUCKETS) -> Chain:
-    """Fit on ``labels`` (doc_id and a 0/1 column for each category), on at most ``sample`` of its rows by hash of doc_id."""
+    """Fit on ``labels`` (doc_id and a 0/1 column for each category), on at most ``sample`` documents by hash of doc_id.
+
+    A doc_id counts once: of several labels the greatest holds, of several texts the first in order.
+    """
     complete = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("int").alias(c) for c in categories]).na.drop()
-    some = complete.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    train = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(some), "doc_id")
-    train = train.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int"))
+    some = complete.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(some), "doc_id")
+    train = texts.groupBy("doc_id", *categories).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    train = Scratch(spark, "train").keep(train.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int")), "rows")
     sums = train.agg(F.count("*"), *[F.sum(c) for c in categories]).first()
     n, positives = sums[0], np.array([x or 0 for x in sums[1:]])
     if not n:
@@ -170,7 +175,10 @@ def fit_chain(spark: SparkSession, docs: DataFrame, labels: DataFrame, categorie
 
 
 def apply_chain(docs: DataFrame, chain: Chain, categories: list[str]) -> DataFrame:
-    """All columns of ``docs`` (those named like the results replaced) and p_<category> for each category."""
+    """All columns of ``docs`` (those named like the results replaced) and p_<category> for each category.
+
+    Null or empty texts get the intercepts' probabilities; rows are scored each on its own; an empty table gives an empty result.
+    """
     made = [f"p_{c}" for c in categories]
     docs = docs.select(*[c for c in docs.columns if c not in made])
     width = len(docs.columns)
@@ -191,13 +199,16 @@ CATEGORIES = ["toxic_english", "toxic_other", "toxic"]
 
 
 def category_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels of the chain: toxic in English documents, toxic in others, toxic. Languages define labels and are no inputs."""
-    lang = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang_")).filter("doc_id is not null")
-    t = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
-    t = t.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    return lang.join(F.broadcast(t), "doc_id").select(
-        "doc_id", (F.col("toxic") * (F.col("lang_") == "en").cast("int")).alias("toxic_english"), (F.col("toxic") * (F.col("lang_") != "en").cast("int")).alias("toxic_other"), "toxic"
-    ).dropDuplicates(["doc_id"])
+    """Labels of the chain: toxic in English documents, toxic in others, toxic. Languages define labels and are no inputs.
+
+    At most ``SAMPLE`` rows. A doc_id counts once: of several labels the greatest holds, of several languages the first in order.
+    """
+    t = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null")
+    t = t.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    lang = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang_")).join(F.broadcast(t), "doc_id")
+    one = lang.groupBy("doc_id", "toxic").agg(F.min("lang_").alias("lang_"))
+    english = (F.col("lang_") == "en").cast("int")
+    return one.select("doc_id", (F.col("toxic") * english).alias("toxic_english"), (F.col("toxic") * (1 - english)).alias("toxic_other"), "toxic")
 
 
 def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None) -> DataFrame:
@@ -215,5 +226,5 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, trai
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = score_toxicity(spark, docs.select("doc_id", "text", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return out.select("doc_id", "p_toxic_english", "p_toxic_other", "p_toxic", "toxic")
+    made = ("doc_id", "p_toxic_english", "p_toxic_other", "p_toxic", "toxic")
+    return result(spark, "op6", lambda: score_toxicity(spark, docs.select("doc_id", "text", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*made))

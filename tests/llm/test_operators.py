@@ -67,6 +67,85 @@ def test_archive_predicates(spark, tmp_path):
     assert warc.read_warc(spark, empty).count() == 0
 
 
+def test_second_writes(spark, tmp_path):
+    path, p = f"file://{tmp_path}/w", pages(spark)
+    warc.write_deduplicated(spark, p.filter("page_id <= 2"), path)
+    warc.write_deduplicated(spark, p.filter("page_id = 4"), path)
+    assert sorted(r.record_id for r in warc.read_warc(spark, path).collect()) == ["<urn:page:1>", "<urn:page:2>", "<urn:page:4>"]
+    warc.write_deduplicated(spark, p.filter("page_id = 6"), path, mode="overwrite")
+    assert [r.record_id for r in warc.read_warc(spark, path).collect()] == ["<urn:page:6>"]
+    assert len(list((tmp_path / "w").glob("*.warc.gz"))) == 1
+    (tmp_path / "w" / "other").mkdir()
+    (tmp_path / "w" / "other" / "a.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 4\r\n\r\ninfo\r\n\r\n")
+    assert warc.read_warc(spark, path).count() == 2
+
+
+class Counting:
+    """A file that counts the bytes read from it."""
+
+    def __init__(self, file, seen):
+        self.file, self.seen = file, seen
+
+    def read(self, n):
+        out = self.file.read(n)
+        self.seen.append(len(out))
+        return out
+
+    def __getattr__(self, name):
+        return getattr(self.file, name)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.file.close()
+
+
+@pytest.mark.parametrize("compress", ["true", "false"])
+def test_unwanted_payloads_are_not_touched(spark, tmp_path, compress):
+    from pyarrow import fs
+
+    r = random.Random(1)
+    noise = "".join(chr(r.randrange(33, 1000)) for _ in range(100_000))
+    path = f"file://{tmp_path}/w"
+    row = lambda i, kind, payload: (f"<{i}>", kind, "u", "<0>", None, None, "sha1:X", 3, None, None, payload, None, None)
+    rows = [row(i, "revisit" if i % 10 == 9 else "response", None if i % 10 == 9 else (noise[i:]).encode()) for i in range(40)]
+    spark.dataSource.register(warc.WarcDataSource)
+    spark.createDataFrame(rows, warc.SCHEMA).coalesce(1).write.format("warc").mode("append").option("path", path).option("compress", compress).save()
+    reader = warc.WarcReader({"path": path, "types": "revisit", "split_bytes": "1000000"})
+    seen = []
+
+    class System:
+        def __init__(self):
+            self.inner = fs.LocalFileSystem()
+
+        def open_input_file(self, p):
+            return Counting(self.inner.open_input_file(p), seen)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    parts = reader.partitions()
+    size = sum(f.stat().st_size for f in (tmp_path / "w").glob("*.warc*") if not f.name.endswith(".index.gz"))
+    assert len(parts) > 2 and size > 3_000_000
+    got = [x for part in parts for path_, a, b, indexed in part.files for x in reader._indexed(System(), path_, a, b)]
+    assert [x[0][0] for x in got] == ["<9>", "<19>", "<29>", "<39>"] and sum(seen) < 4 * 800
+    assert warc.read_warc(spark, path).count() == 40
+    back = warc.read_warc(spark, path).filter("record_id = '<17>'").first()
+    assert bytes(back.payload).decode() == noise[17:]
+
+
+def test_damaged_archives(spark, tmp_path):
+    whole = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 4\r\n\r\ninfo\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(whole + whole[:-7])
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(whole) + gzip.compress(whole * 50)[:60])
+    with pytest.raises(Exception, match="damaged archive"):
+        warc.read_warc(spark, f"file://{tmp_path}").count()
+    spark.dataSource.register(warc.WarcDataSource)
+    assert spark.read.format("warc").option("path", f"file://{tmp_path}/a.warc").option("damaged", "stop").load().count() == 1
+    assert spark.read.format("warc").option("path", f"file://{tmp_path}").option("damaged", "stop").load().count() >= 2
+
+
 def test_filters_reach_the_reader():
     reader = warc.WarcReader({"path": "x"})
     from pyspark.sql.datasource import EqualTo, GreaterThan, In
@@ -189,6 +268,19 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(spark, docs.filter("doc_id < 0"), labels, train_docs=docs).count() == 0
 
 
+def test_labels_that_repeat(spark):
+    """A doc_id counts once: the greatest of its labels, the first of its texts and languages; so training data is bounded."""
+    docs, labels = labelled_documents(spark, 200)
+    many = docs.unionByName(docs.filter("doc_id < 20").withColumn("text", F.lit("zzz"))).unionByName(docs.filter("doc_id < 20").withColumn("lang", F.lit("zz")))
+    twice = labels.unionByName(labels.filter("doc_id < 20").withColumn("toxic", F.lit(0)))
+    got = toxicity.category_labels(many, twice).collect()
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    assert len(got) == 200 and {r.doc_id: (r.toxic_english, r.toxic_other, r.toxic) for r in got} == {i: (t, 0, t) for i, t in truth.items()}
+    a = toxicity.fit_chain(spark, many, toxicity.category_labels(many, twice), toxicity.CATEGORIES)
+    b = toxicity.fit_chain(spark, docs, toxicity.category_labels(docs, labels), toxicity.CATEGORIES)
+    assert all(np.allclose(x, y) for x, y in zip(a.weights, b.weights))
+
+
 def test_chain_uses_earlier_categories():
     r = np.random.default_rng(6)
     a = r.integers(0, 2, 400)
