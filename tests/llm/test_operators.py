@@ -358,7 +358,7 @@ def test_capitals_of_all_scripts_are_no_edits():
     for item in ("été à la forêt, où les élèves répétèrent leur leçon", "последний урок был в пятницу вечером", "ο τελευταίος δρόμος της πόλης ήταν κενός"):
         text = "x " + item.upper() + " İ y"
         assert len(D.fold(text)) == len(text)
-        assert list(D.Items([(7, item)], 0.08).find(D.fold(text))) == [(7, 0, 2, 2 + len(item))]
+        assert list(D.Items([(7, item)], 0.08).find(D.codes_of(text), np.array([0, len(text)]))) == [(0, 7, 0, 2, 2 + len(item))]
 
 
 def test_decontamination_by_brute_force(spark):
@@ -377,7 +377,7 @@ def test_decontamination_by_brute_force(spark):
                 del t[k]
         return "".join(t)
 
-    items = [(0, say(60)), (1, say(120)), (2, "Short One"), (3, None), (4, "  "), (5, say(25)), (5, say(30))]
+    items = [(0, say(60)), (1, say(120)), (2, "Short One"), (3, None), (4, "  "), (5, say(25)), (5, say(30)), (-1, say(70)), (None, say(80))]
     rows = [(i, say(r.randrange(0, 80)) + (edit(r.choice([t for _, t in items if t and len(t) > 20]).strip(), r.randrange(0, 12)) if r.random() < 0.7 else "") + say(10), "a") for i in range(80)] + [(99, "it is SHORT\none!", "b"), *hard()]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = documents(spark, rows, 3)
