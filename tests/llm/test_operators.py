@@ -340,6 +340,61 @@ def test_media_round_trip(per_chunk, key_every):
         media.write_media(b"x")
 
 
+def test_media_digest_by_other_means(spark):
+    """What is stored, taken from the file by searching it for the payload instead of walking its boxes."""
+    rows = [(1, "abc", "a"), (2, None, "a"), (3, "é" * 5000, "a"), (4, "x" * 192, "a"), (None, "y" * 193, "a")]
+    files = {r.doc_id: bytes(r.media) for r in media.media_column(documents(spark, rows)).collect()}
+    for r in media.media_digest(documents(spark, rows)).collect():
+        raw = (next(t for i, t, _ in rows if i == r.doc_id) or "").encode()
+        p = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        f = files[r.doc_id]
+        at = f.index(b"mdat") + 4
+        assert f[at : at + len(p)] == p and f[at + len(p) + 4 : at + len(p) + 8] == b"moov"
+        keys = range(0, len(p) // 192, 16)
+        feature = f"raw |24000|{len(p)}|{len(p) // 192}|{len(keys)}|{at}-{at + 192 * keys[-1] + 192}|{192 * len(keys)}"
+        assert tuple(r)[1:] == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(f), hashlib.sha256(f).hexdigest(), feature)
+
+
+def test_fragments():
+    payload = bytes(np.random.default_rng(9).integers(0, 256, 192 * 150).astype(np.uint8))
+    whole, parts = media.read_tracks(media.write_media(payload))[0], media.write_fragments(payload)
+    t = media.read_tracks(parts)[0]
+    assert media.read_payload(parts, t) == payload and (t["codec"], t["duration"], t["decode_times"]) == (whole["codec"], whole["duration"], whole["decode_times"])
+    assert [parts[a:b] for a, b in t["keyframes"]] == [payload[192 * k : 192 * (k + 1)] for k in range(0, 150, 16)]
+    for cut in range(0, len(parts), 997):
+        media.read_tracks(parts[:cut])
+
+
+def test_sample_tables():
+    import struct
+
+    def track(*tables):
+        head = media.box(b"trak", media.box(b"edts", media.full(b"elst", struct.pack(">IIii", 1, 7, 5, 1 << 16))), media.box(b"mdia", media.box(b"minf", media.box(b"stbl", *tables))))
+        return media.box(b"moov", head)
+
+    stsc = media.full(b"stsc", struct.pack(">I", 1), struct.pack(">III", 1, 2, 1))
+    stco = media.full(b"stco", struct.pack(">III", 2, 0, 50))
+    for bits, body in ((4, bytes([0x31, 0x42])), (8, bytes([3, 1, 4, 2])), (16, bytes([0, 3, 0, 1, 0, 4, 0, 2]))):
+        t = media.read_tracks(track(stsc, stco, media.full(b"stz2", struct.pack(">II", bits, 4), body)))[0]
+        assert t["samples"] == [(0, 3), (3, 4), (50, 54), (54, 56)] and t["keyframes"] == t["samples"] and t["edits"] == [(7, 5)]
+    times = (media.full(b"stts", struct.pack(">IIIII", 2, 1, 10, 3, 20)), media.full(b"ctts", struct.pack(">IIi", 1, 4, -5), version=1))
+    t = media.read_tracks(track(stsc, stco, media.full(b"stsz", struct.pack(">II", 2, 4)), *times))[0]
+    assert t["decode_times"] == [0, 10, 30, 50] and t["times"] == [-5, 5, 25, 45]
+    # counts that no file can hold, and a first chunk of 0
+    huge = struct.pack(">II", 1, (1 << 32) - 1)
+    most = media.read_tracks(track(media.full(b"stsc", struct.pack(">I", 1), struct.pack(">III", 1, (1 << 32) - 1, 1)), stco, media.full(b"stsz", huge), media.full(b"stts", struct.pack(">III", 1, (1 << 32) - 1, 1))))[0]
+    assert 0 < len(most["samples"]) < 400
+    assert media.read_tracks(track(media.full(b"stsc", struct.pack(">I", 1), struct.pack(">III", 0, 2, 1)), stco, media.full(b"stsz", huge)))[0]["samples"] == []
+
+
+def test_media_column_on_hard_rows(spark):
+    rows = hard()
+    got = media.media_column(documents(spark, rows).withColumn("codec", F.lit("clash"))).collect()
+    assert len(got) == len(rows) and all(r.codec == "raw " for r in got)
+    assert sorted(media.read_payload(bytes(r.media), media.read_tracks(bytes(r.media))[0]).rstrip(b" ") for r in got) == sorted((t or "").encode().rstrip(b" ") for _, t, _ in rows)
+    assert media.media_column(documents(spark, rows).filter("doc_id > 9999")).count() == 0
+
+
 # decontamination
 
 
