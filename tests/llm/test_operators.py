@@ -173,28 +173,75 @@ def test_base32(spark):
 
 
 def test_licences(spark):
-    rows = [(1, "CC BY, cc by-nc! All RIGHTS reserved", "a"), (2, "general public\nlicense general public license", "a"), (3, "cc cc by by all rights", "a"), (4, "permission is hereby granted, free of charge, to any persons obtaining a copy of this software and associated documentation files", "a"), *hard()]
+    from pixelmill.llm import license_texts
+
+    half = " ".join(license_texts.MIT.split()[:60])
+    rows = [(1, "CC BY, cc by-nc! All RIGHTS reserved", "a"), (2, "general public\nlicense general public license", "a"), (3, "cc cc by by all rights", "a"), (4, "x " + license_texts.MIT.replace("copies", "pieces", 1), "a"), (5, half, "a"), *hard()]
+    rows += [(6, " ".join(reversed(license_texts.MIT.split())), "a"), (7, license_texts.APACHE + license_texts.ISC + "all rights reserved", "a")]
     got = licenses.scan(spark, documents(spark, rows)).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
     assert (by[1].n_words, by[1].n_base, by[1].first_word, by[1].last_word, by[1].base_labels, by[1].labels, by[1].score) == (8, 3, 0, 5, "cc-by,reserved", "cc-by,cc-by-nc,reserved", 1.0)
     assert (by[2].n_base, by[2].first_word, by[2].last_word, by[2].base_labels) == (2, 0, 3, "gpl")
     assert (by[3].n_base, by[3].first_word) == (1, 1)
-    assert by[4].labels == "mit" and by[4].n_base == 0 and by[4].first_word is None and 0.8 <= by[4].score < 1
-    assert by[2].labels == "gpl"
+    assert by[4].labels == "mit" and by[4].n_base == 0 and by[4].first_word is None and 0.9 <= by[4].score < 1
+    assert by[2].labels == "gpl" and by[5].labels == "mit" and 0.6 <= by[5].score < 0.8
+    assert by[6].labels == "" and by[6].score == 0 and by[7].labels == "apache,isc,reserved" and by[7].score == 1
+    assert by[1001].n_words == 0 and by[1003].n_words == 1 and by[1003].score == 0
     assert licenses.scan(spark, documents(spark, rows).filter("doc_id > 9999")).count() == 0
 
 
+def brute_scan(text, templates, gap=3):
+    """n_words, n_base, first, last, base labels, labels and score of a text, all pairs of places compared."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    places, labels, score = [], set(), 0.0
+    for t in templates:
+        v = licenses.template_words(t.text)
+        k = min(licenses.GRAM, len(v))
+        hits = [(i, j) for i in range(len(w) - k + 1) for j in range(len(v) - k + 1) if w[i : i + k] == v[j : j + k]]
+        diagonals = sorted({i - j for i, j in hits})
+        runs = []
+        for d in diagonals:
+            if runs and d - runs[-1][-1] <= (0 if t.share == 1 else gap):
+                runs[-1].append(d)
+            else:
+                runs.append([d])
+        for run in runs:
+            mine = sorted(h for h in hits if h[0] - h[1] in run)
+            best = [1] * len(mine)
+            for x in range(len(mine)):
+                for y in range(x):
+                    if mine[y][0] < mine[x][0] and mine[y][1] < mine[x][1]:
+                        best[x] = max(best[x], best[y] + 1)
+            share = max(best) / max(1, len(v) - licenses.GRAM + 1)
+            if share >= t.share:
+                labels.add(t.label)
+                score = max(score, share)
+                if t.base:
+                    places.append((max(run[0], 0), t.label))
+    places.sort()
+    return len(w), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted({x for _, x in places})), ",".join(sorted(labels)), score
+
+
 def test_licences_by_brute_force(spark):
     r = random.Random(2)
     words = ["cc", "by", "all", "rights", "reserved", "general", "public", "license", "x"]
     rows = [(i, " ".join(r.choice(words) for _ in range(r.randrange(0, 40))), "a") for i in range(60)]
-    phrases = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
-    for got in licenses.scan(spark, documents(spark, rows)).collect():
-        w = rows[got.doc_id][1].split()
-        places = sorted((i, k) for k, p in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
-        assert (got.n_words, got.n_base, got.base_labels) == (len(w), len(places), ",".join(sorted({k for _, k in places})))
-        assert (got.first_word, got.last_word) == ((places[0][0], places[-1][0]) if places else (None, None))
+    small = (*licenses.TEMPLATES[:3], licenses.Template("long", "x y x y z all rights x y w", share=0.5), licenses.Template("loop", "cc by cc by cc by all rights", share=0.6))
+    more = ["x", "y", "z", "all", "rights", "cc", "by", "w"]
+    rows += [(100 + i, " ".join(r.choice(more) for _ in range(r.randrange(0, 50))), "a") for i in range(60)]
+    long = [t.text for t in licenses.TEMPLATES if t.share < 1]
+    for i in range(25):
+        w = (r.choice(long) + " cc by " + r.choice(long)).split()
+        for _ in range(r.randrange(0, 40)):
+            k = r.randrange(len(w))
+            w[k : k + r.randrange(0, 3)] = [r.choice(["x", "the", "software"])]
+        rows.append((200 + i, " ".join(w), "a"))
+    texts = {i: t for i, t, _ in rows}
+    for templates in (small, licenses.TEMPLATES):
+        for got in licenses.scan(spark, documents(spark, rows), templates).collect():
+            want = brute_scan(texts[got.doc_id], templates)
+            assert tuple(got)[1:-1] == want[:-1] and abs(got.score - want[-1]) < 1e-12, (got, want)
 
 
 # scores
