@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 import warnings
-from dataclasses import asdict, dataclass, field, fields
+from dataclasses import asdict, dataclass, field, fields, replace
 from typing import Any
 
 #: Defaults of the feature configuration.
@@ -21,6 +21,7 @@ class FeatureConfig:
     """Which filters run, at which scales. ``sigmas`` is replaced if min_sigma or max_sigma differ from their defaults."""
 
     name: str = "default"
+    desc: str = "weka-style features"
     cast_to: str = "f16"
     gaussian_blur: bool = True
     sobel_filter: bool = True
@@ -35,9 +36,8 @@ class FeatureConfig:
     membrane_projections: bool = True
     bilateral: bool = False
     add_zero_scale_features: bool = True
-    hessian_full: bool = True
+    add_mod_trace_det_hessian: bool = True
     add_weka_sigma_multiplier: bool = True
-    add_dino_features: bool = False
     sigmas: tuple[float, ...] = SIGMAS
     min_sigma: float = 1.0
     max_sigma: float = 16.0
@@ -88,7 +88,7 @@ def names_at(config: FeatureConfig, sigma: float, zero: bool = False) -> list[st
         if kind == "gaussian_blur":
             out += [kind] if on or zero else []
         elif kind == "hessian_filter":
-            out += hessian_names(config.hessian_full) if on else []
+            out += hessian_names(config.add_mod_trace_det_hessian) if on else []
         elif kind == "structure_tensor_eigvals":
             out += ["structure_eig_1", "structure_eig_2"] if on else []
         else:
@@ -122,10 +122,11 @@ def feature_names(config: FeatureConfig | None = None) -> list[str]:
 class CRFParams:
     """Spatial and colour widths and weights of the random field, and its rounds."""
 
+    label_confidence: float = 0.6
     sxy_g: tuple[float, float] = (3.0, 3.0)
-    compat_g: float = 10.0
     sxy_b: tuple[float, float] = (80.0, 80.0)
-    srgb: tuple[float, float, float] = (13.0, 13.0, 13.0)
+    s_rgb: tuple[float, float, float] = (13.0, 13.0, 13.0)
+    compat_g: float = 10.0
     compat_b: float = 10.0
     n_infer: int = 10
 
@@ -140,32 +141,35 @@ class ClassInfo:
     parent_name: str | None = None
     min_size_px: int | None = None
     max_size_px: int | None = None
-    desired_volume_fraction: float = -1.0
-    connectivity_target: str = "none"
-    do_sam_postproc: bool = True
+    desired_volume_fraction: float | None = None
+    connectivity_target: str | None = None
+    do_sam_postproc: bool = False
 
 
 @dataclass(frozen=True)
 class TrainingConfig:
+    """End-to-end settings. ``seed`` and ``autocontext_type`` ("original": probabilities themselves; "ilastik": features of them) are
+    this engine's own; add_dino_features, HITL and HITL_strategy are kept and not read."""
+
     feature_config: FeatureConfig = field(default_factory=FeatureConfig)
     classifier: str = "random_forest"
-    classifier_params: dict[str, Any] = field(default_factory=lambda: {"n_estimators": 200, "max_features": 2})
-    n_samples: int = -1
-    shuffle_data: bool = True
-    seed: int = 0
+    classifier_params: dict[str, Any] = field(default_factory=dict)
     balance_classes: bool = True
-    preprocessing: tuple[str, ...] = ()
-    postprocessing: tuple[str, ...] = ()
-    labelling_strategy: str = "sparse"
+    shuffle_data: bool = True
+    n_samples: int = -1
+    preprocessing: tuple[str, ...] | None = None
+    modal_filter: bool = False
+    modal_filter_k: int = 2
     autocontext: bool = False
-    autocontext_type: str = "ilastik"
     CRF: bool = False
-    crf_params: CRFParams = field(default_factory=CRFParams)
-    class_infos: tuple[ClassInfo, ...] = ()
-    modal_filter_k: int = 2
+    CRF_params: CRFParams = field(default_factory=CRFParams)
+    add_dino_features: bool = False
     HITL: bool = False
-    HITL_strategy: str | None = None
+    HITL_strategy: str = "wrong"
+    class_infos: tuple[ClassInfo, ...] = ()
     use_gpu: bool = False
+    autocontext_type: str = "original"
+    seed: int = 0
 
     def params(self) -> dict[str, Any]:
         """Classifier parameters; balancing is for forests and logistic regression only."""
@@ -173,19 +177,19 @@ class TrainingConfig:
         return {**self.classifier_params, **extra}
 
 
-_NESTED = {"feature_config": FeatureConfig, "crf_params": CRFParams}
+_NESTED = {"feature_config": FeatureConfig, "CRF_params": CRFParams}
 
 
 def _build(cls, data: dict):
     known = {f.name for f in fields(cls)}
-    unknown = set(data) - known
+    unknown = {k for k in set(data) - known if data[k] is not None}
     if unknown:
         warnings.warn(f"ignored fields of {cls.__name__}: {', '.join(sorted(unknown))}", stacklevel=3)
     out = {}
     for k in known & set(data):
         v = data[k]
         if k in _NESTED:
-            v = _build(_NESTED[k], v)
+            v = _build(_NESTED[k], v or {})
         elif k == "class_infos":
             v = tuple(_build(ClassInfo, x) for x in v or ())
         elif isinstance(v, list):
@@ -194,6 +198,11 @@ def _build(cls, data: dict):
     return cls(**out)
 
 
+def effective(config: TrainingConfig) -> FeatureConfig:
+    """The feature configuration; ``use_gpu`` of either level chooses the accelerated formulas."""
+    return replace(config.feature_config, use_gpu=True) if config.use_gpu and not config.feature_config.use_gpu else config.feature_config
+
+
 def dumps(config: TrainingConfig) -> str:
     return json.dumps(asdict(config), indent=2)
 

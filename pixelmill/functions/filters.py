@@ -244,18 +244,20 @@ def membrane_kernels(patch: int, thickness: int = 1) -> tuple[tuple[tuple[int, i
 
 
 def membrane(b: np.ndarray, patch: int = 15, thickness: int = 1, mode: str = "reflect", ddof: int = 0, upper: bool | None = None) -> list[np.ndarray]:
-    """mean, max, min, sum, std, median over the 30 responses, from whole-number sums of pixel values.
+    """mean, max, min, sum, std, median over the 30 responses, from whole-number sums of pixel values; of float images from their sums.
 
     ``upper``: None takes the middle of both medians, False the lower one.
     """
     r = patch // 2
-    p = pad(b.astype(np.int64), r, r, mode)
+    whole = np.issubdtype(b.dtype, np.integer)
+    kind, one = (np.int64, 255.0) if whole else (np.float64, 1.0)
+    p = pad(b.astype(kind), r, r, mode)
     h, w = b.shape
     n = 30
-    total, square = np.zeros((h, w), np.int64), np.zeros((h, w), np.int64)
-    stack = np.empty((n, h, w), np.int32)
+    total, square = np.zeros((h, w), kind), np.zeros((h, w), kind)
+    stack = np.empty((n, h, w), np.int32 if whole else kind)
     for k, kernel in enumerate(membrane_kernels(patch, thickness)):
-        s = np.zeros((h, w), np.int64)
+        s = np.zeros((h, w), kind)
         for dy, dx, weight in kernel:
             s += weight * p[r + dy : r + dy + h, r + dx : r + dx + w]
         stack[k] = s
@@ -263,8 +265,8 @@ def membrane(b: np.ndarray, patch: int = 15, thickness: int = 1, mode: str = "re
         square += s * s
     stack.sort(axis=0)
     median = (stack[n // 2 - 1] + stack[n // 2]) / 2.0 if upper is None else stack[(n - 1) // 2].astype(float)
-    deviation = np.sqrt((n * square - total * total) / float(n * (n - ddof)))
-    return [total / 255.0 / 30.0, stack[-1] / 255.0, stack[0] / 255.0, total / 255.0, deviation / 255.0, median / 255.0]
+    deviation = np.sqrt(np.maximum(n * square - total * total, 0) / float(n * (n - ddof)))
+    return [total / one / 30.0, stack[-1] / one, stack[0] / one, total / one, deviation / one, median / one]
 
 
 # The variants below follow the formulas of the accelerated path: same names, other edges and kernels.

@@ -1,4 +1,9 @@
-"""Newton boosting with histograms: trees on first and second derivatives, which callers may extend."""
+"""Newton boosting with histograms: trees on first and second derivatives, which callers may extend.
+
+Rows are cut to bins, a byte a feature, once. Training sets whose bins fit in ``LOCAL`` bytes are fitted by one task, on an executor;
+larger ones by sums within and then over partitions, with margins kept between rounds. Both build the same trees, up to the order
+of sums.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import staged
+
+#: Bytes of binned training rows that one task takes; rounds after which margins are written anew.
+LOCAL, KEEP = 32 << 20, 8
+
 
 def _softmax(m: np.ndarray) -> np.ndarray:
     e = np.exp(m - m.max(1, keepdims=True))
@@ -26,70 +36,105 @@ class Tree:
         self.value = np.zeros(2**depth)
 
     def node(self, bins: np.ndarray, level: int) -> np.ndarray:
-        """For each row the node of a level, counted from 0."""
-        at = np.zeros(len(bins), int)
-        for d in range(level):
-            k = 2**d - 1 + at
-            at = 2 * at + (bins[np.arange(len(bins)), self.feature[k]] > self.cut[k])
-        return at
+        """For each row the node of a level, counted from 0. ``bins``: a row of bytes for each feature.
+
+        Every inner node's test runs over all rows, byte by byte; from the last level up, each node keeps the answer of the side it takes.
+        """
+        if not level:
+            return np.zeros(bins.shape[1], np.uint8)
+        right = [bins[f] > c for f, c in zip(self.feature[: 2**level - 1].tolist(), self.cut[: 2**level - 1].tolist())]
+        below = [right[2 ** (level - 1) - 1 + k].astype(np.uint8) for k in range(2 ** (level - 1))]
+        for d in range(level - 2, -1, -1):
+            step = np.uint8(2 ** (level - 1 - d))
+            below = [np.where(right[2**d - 1 + k], below[2 * k + 1] + step, below[2 * k]) for k in range(2**d)]
+        return below[0]
 
     def predict(self, bins: np.ndarray) -> np.ndarray:
         return self.value[self.node(bins, self.depth)]
 
+    def state(self) -> dict:
+        return {"feature": self.feature.tolist(), "cut": self.cut.tolist(), "value": self.value.tolist()}
+
+    @classmethod
+    def of(cls, depth: int, state: dict) -> Tree:
+        t = cls(depth)
+        t.feature, t.cut, t.value = (np.array(state[k]) for k in ("feature", "cut", "value"))
+        return t
+
 
 class Booster:
-    """A tree for each class and round. Histograms are summed within and then over partitions, so what reaches the driver is
-    nodes x features x bins, whatever the number of rows."""
+    """A tree for each class and round. What reaches the driver is nodes x features x bins, whatever the number of rows."""
 
     def __init__(self, features: Sequence[str], classes: int, rate: float = 0.3, depth: int = 3, penalty: float = 1.0, bins: int = 32):
+        if not 1 <= depth <= 8 or not 2 <= bins <= 256:
+            raise ValueError("trees have 1 to 8 levels and 2 to 256 bins")
         self.features, self.classes, self.rate, self.depth, self.penalty, self.bins = list(features), classes, rate, depth, penalty, bins
         self.rounds: list[list[Tree]] = []
         self.edges: np.ndarray | None = None
 
-    def learn_bins(self, train: DataFrame) -> None:
+    def learn_bins(self, train: DataFrame) -> int:
+        """Quantiles of every feature; returns the number of rows."""
         q = [i / self.bins for i in range(1, self.bins)]
-        row = train.agg(*[F.percentile_approx(F.col(c).cast("double"), q, 1000).alias(f"q{i}") for i, c in enumerate(self.features)]).first()
-        self.edges = np.array([row[i] if row[i] is not None else [0.0] * (self.bins - 1) for i in range(len(self.features))])
+        row = train.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(F.col(c).cast("double"), q, 1000).alias(f"q{i}") for i, c in enumerate(self.features)]).first()
+        self.edges = np.array([row[f"q{i}"] if row[f"q{i}"] is not None else [0.0] * (self.bins - 1) for i in range(len(self.features))])
+        return row["n"]
 
-    def _binned(self, rb: pa.RecordBatch) -> np.ndarray:
-        out = np.empty((rb.num_rows, len(self.features)), np.uint8)
+    def _binned(self, rb: pa.RecordBatch | pa.Table) -> np.ndarray:
+        """A row of bytes for each feature."""
+        out = np.empty((len(self.features), rb.num_rows), np.uint8)
         for j, c in enumerate(self.features):
-            out[:, j] = np.searchsorted(self.edges[j], rb.column(c).to_numpy(zero_copy_only=False), "left")
+            col = rb.column(c)
+            out[j] = np.searchsorted(self.edges[j], col.to_numpy() if isinstance(col, pa.ChunkedArray) else col.to_numpy(zero_copy_only=False), "left")
         return out
 
-    def margin(self, bins: np.ndarray) -> np.ndarray:
-        m = np.zeros((len(bins), self.classes))
-        for trees in self.rounds:
+    def margin(self, bins: np.ndarray, since: int = 0) -> np.ndarray:
+        """Sums of all trees from the round ``since`` on."""
+        m = np.zeros((self.classes, bins.shape[1]))
+        for trees in self.rounds[since:]:
             for k, t in enumerate(trees):
-                m[:, k] += self.rate * t.predict(bins)
-        return m
+                m[k] += (self.rate * t.value)[t.node(bins, self.depth)]
+        return np.ascontiguousarray(m.T)
 
     def fit(self, train: DataFrame, rounds: int, weight: str | None = None, extra: Callable[[Booster], DataFrame | None] | None = None) -> Booster:
         """``extra(self)`` may give (img, y, x, grad array) to be added to the first derivatives of the round."""
-        if self.edges is None:
-            self.learn_bins(train)
+        n = self.learn_bins(train) if self.edges is None else train.count()
+        keys = ["img", "y", "x"] if extra else []
+        cols = [F.col(c).cast("double").alias(c) for c in self.features]
+        rows = train.select(*keys, *cols, F.col("label").cast("int").alias("label"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w_"))
+        if not n:
+            return self
+        if not extra and n * len(self.features) <= LOCAL:
+            found = rows.groupBy(F.lit(0).alias("one")).applyInArrow(self._fit_here(rounds), "rounds string").first()
+            self.rounds += [[Tree.of(self.depth, t) for t in r] for r in json.loads(found[0])]
+            return self
+        data, since = self._keep(rows, keys, None, 0), len(self.rounds)
         for _ in range(rounds):
             more = extra(self) if extra else None
-            data = train if more is None else train.join(more.withColumnRenamed("grad", "more_"), ["img", "y", "x"])
-            self.round(data, weight)
+            self._round(data if more is None else data.join(more.withColumnRenamed("grad", "more_"), keys), since)
+            if len(self.rounds) - since >= KEEP:
+                data, since = self._keep(data, keys, since, len(self.rounds)), len(self.rounds)
         return self
 
-    def round(self, data: DataFrame, weight: str | None = None) -> None:
-        trees = [Tree(self.depth) for _ in range(self.classes)]
-        cols = [F.col(c).cast("double").alias(c) for c in self.features]
-        more = F.col("more_") if "more_" in data.columns else F.array(*[F.lit(0.0)] * self.classes)
-        rows = data.select(*cols, F.col("label").cast("int").alias("label"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w_"), more.alias("more_"))
-        for level in range(self.depth + 1):
-            h = self._histograms(rows, trees, level)  # class, node, feature, bin, (g, h)
-            for k, t in enumerate(trees):
-                if level == self.depth:
-                    g, s = h[k, :, 0, :, 0].sum(-1), h[k, :, 0, :, 1].sum(-1)
-                    t.value = -g / (s + self.penalty)
-                else:
-                    self._split(t, level, h[k])
-        self.rounds.append(trees)
+    def _derivatives(self, margin: np.ndarray, y: np.ndarray, w: np.ndarray, more: np.ndarray | None):
+        """(g, h) of each class."""
+        p = _softmax(margin)
+        for c in range(self.classes):
+            g = w * (p[:, c] - (y == c))
+            yield (g if more is None else g + more[:, c]), np.maximum(w * 2 * p[:, c] * (1 - p[:, c]), 1e-6)
+
+    def _histogram(self, tree: Tree, bins: np.ndarray, level: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """(nodes, features, bins, 2): sums of g and h."""
+        nodes, n_b = 2**level, self.bins
+        node = tree.node(bins, level).astype(np.int64) * n_b
+        out = np.empty((nodes, len(bins), n_b, 2))
+        for j, b in enumerate(bins):
+            at = node + b
+            for i, v in enumerate((g, h)):
+                out[:, j, :, i] = np.bincount(at, v, minlength=nodes * n_b).reshape(nodes, n_b)
+        return out
 
-    def _split(self, t: Tree, level: int, h: np.ndarray) -> None:
+    def _grow(self, tree: Tree, level: int, h: np.ndarray) -> None:
+        """Split the nodes of a level; the histograms of the last one give the leaves as well."""
         left = np.cumsum(h, axis=2)[:, :, :-1]
         whole = h.sum(2)[:, :, None]
         gain = lambda x: x[..., 0] ** 2 / (x[..., 1] + self.penalty)
@@ -97,29 +142,80 @@ class Booster:
         for n in range(len(h)):
             f, b = np.unravel_index(int(g[n].argmax()), g[n].shape)
             k = 2**level - 1 + n
+            sides = [h[n, 0].sum(0), np.zeros(2)]
             if g[n, f, b] > 1e-9:
-                t.feature[k], t.cut[k] = f, b
+                tree.feature[k], tree.cut[k] = f, b
+                sides = [left[n, f, b], whole[n, f, 0] - left[n, f, b]]
+            if level == self.depth - 1:
+                tree.value[2 * n : 2 * n + 2] = [-s[0] / (s[1] + self.penalty) for s in sides]
+
+    def _fit_here(self, rounds: int):
+        me = self
+
+        def run(table: pa.Table) -> pa.Table:
+            table = table.sort_by([(c, "ascending") for c in ["label", *me.features]]).combine_chunks()  # sums in one order
+            bins, y, w = me._binned(table), table.column("label").to_numpy(), table.column("w_").to_numpy()
+            margin, made = me.margin(bins), []
+            for _ in range(rounds):
+                trees = [Tree(me.depth) for _ in range(me.classes)]
+                for t, (g, h) in zip(trees, me._derivatives(margin, y, w, None)):
+                    for level in range(me.depth):
+                        me._grow(t, level, me._histogram(t, bins, level, g, h))
+                for k, t in enumerate(trees):
+                    margin[:, k] += me.rate * t.predict(bins)
+                made.append([t.state() for t in trees])
+            return pa.table({"rounds": [json.dumps(made)]})
+
+        return run
+
+    def _keep(self, rows: DataFrame, keys: list[str], since: int | None, upto: int) -> DataFrame:
+        """(keys, label, w_, bins, margin), written: bins of new rows, margins with all trees so far."""
+        me = self
+
+        def run(batches):
+            for rb in batches:
+                if since is None:
+                    bins = me._binned(rb)
+                    margin = me.margin(bins)
+                else:
+                    bins, margin = me._unpacked(rb)
+                    margin = margin + me.margin(bins, since)
+                packed = [pa.array([x.tobytes() for x in a], pa.binary()) for a in (np.ascontiguousarray(bins.T), margin)]
+                yield pa.RecordBatch.from_arrays([*(rb.column(k) for k in keys), rb.column("label"), rb.column("w_"), *packed], [*keys, "label", "w_", "bins", "margin"])
+
+        kinds = [f for f in rows.select(*keys).schema.fields]
+        schema = T.StructType([*kinds, T.StructField("label", T.IntegerType()), T.StructField("w_", T.DoubleType()), T.StructField("bins", T.BinaryType()), T.StructField("margin", T.BinaryType())])
+        return staged(rows.mapInArrow(run, schema), f"boost{upto}")
+
+    def _unpacked(self, rb: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        n = rb.num_rows
+        bins = np.frombuffer(b"".join(rb.column("bins").to_pylist()), np.uint8).reshape(n, -1)
+        return np.ascontiguousarray(bins.T), np.frombuffer(b"".join(rb.column("margin").to_pylist())).reshape(n, self.classes)
+
+    def _round(self, data: DataFrame, since: int) -> None:
+        """A tree for each class; a job for each level."""
+        trees = [Tree(self.depth) for _ in range(self.classes)]
+        more = F.col("more_") if "more_" in data.columns else F.array(*[F.lit(0.0)] * self.classes)
+        rows = data.select("label", "w_", "bins", "margin", more.alias("more_"))
+        for level in range(self.depth):
+            for t, h in zip(trees, self._histograms(rows, trees, level, since)):
+                self._grow(t, level, h)
+        self.rounds.append(trees)
 
-    def _histograms(self, rows: DataFrame, trees: list[Tree], level: int) -> np.ndarray:
+    def _histograms(self, rows: DataFrame, trees: list[Tree], level: int, since: int) -> np.ndarray:
         n_f, n_b, k, nodes = len(self.features), self.bins, self.classes, 2**level
         me = self
 
         def part(batches):
-            out = np.zeros((k, nodes * n_f * n_b, 2))
+            out = np.zeros((k, nodes, n_f, n_b, 2))
             for rb in batches:
                 if not rb.num_rows:
                     continue
-                bins = me._binned(rb)
-                p = _softmax(me.margin(bins))
-                w = rb.column("w_").to_numpy(zero_copy_only=False)
-                y = rb.column("label").to_numpy(zero_copy_only=False)
+                bins, margin = me._unpacked(rb)
                 more = rb.column("more_").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-                for c in range(k):
-                    g = w * (p[:, c] - (y == c)) + more[:, c]
-                    s = np.maximum(w * 2 * p[:, c] * (1 - p[:, c]), 1e-6)
-                    at = (trees[c].node(bins, level)[:, None] * n_f + np.arange(n_f)) * n_b + bins
-                    for j, v in enumerate((g, s)):
-                        out[c, :, j] += np.bincount(at.ravel(), np.repeat(v, n_f), minlength=nodes * n_f * n_b)
+                numbers = [rb.column(c).to_numpy(zero_copy_only=False) for c in ("label", "w_")]
+                for c, (g, h) in enumerate(me._derivatives(margin + me.margin(bins, since), *numbers, more)):
+                    out[c] += me._histogram(trees[c], bins, level, g, h)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array([x.tobytes() for x in out], pa.binary())], ["c", "h"])
 
         def add(t: pa.Table) -> pa.Table:
@@ -137,29 +233,20 @@ class Booster:
             for rb in batches:
                 p = _softmax(me.margin(me._binned(rb)))
                 prob = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, me.classes, dtype=np.int32)), pa.array(p.ravel()))
-                yield pa.RecordBatch.from_arrays([*rb.columns, prob], [*rb.schema.names, "prob"])
+                yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in carried), prob], [*carried, "prob"])
 
+        carried = px.columns
         return px.mapInArrow(run, T.StructType([*px.schema.fields, T.StructField("prob", T.ArrayType(T.DoubleType()))]))
 
-    def save(self, path: str) -> None:
-        data = {
-            "features": self.features, "classes": self.classes, "rate": self.rate, "depth": self.depth, "penalty": self.penalty, "bins": self.bins, "edges": self.edges.tolist(),
-            "rounds": [[{"feature": t.feature.tolist(), "cut": t.cut.tolist(), "value": t.value.tolist()} for t in r] for r in self.rounds],
+    def state(self) -> dict:
+        return {
+            "features": self.features, "classes": self.classes, "rate": self.rate, "depth": self.depth, "penalty": self.penalty, "bins": self.bins,
+            "edges": None if self.edges is None else self.edges.tolist(), "rounds": [[t.state() for t in r] for r in self.rounds],
         }
-        with open(path, "w") as f:
-            json.dump(data, f)
 
     @classmethod
-    def load(cls, path: str) -> Booster:
-        with open(path) as f:
-            d = json.load(f)
-        out = cls(d["features"], d["classes"], d["rate"], d["depth"], d["penalty"], d["bins"])
-        out.edges = np.array(d["edges"])
-        for r in d["rounds"]:
-            trees = []
-            for x in r:
-                t = Tree(out.depth)
-                t.feature, t.cut, t.value = np.array(x["feature"]), np.array(x["cut"]), np.array(x["value"])
-                trees.append(t)
-            out.rounds.append(trees)
+    def of(cls, state: dict) -> Booster:
+        out = cls(*(state[k] for k in ("features", "classes", "rate", "depth", "penalty", "bins")))
+        out.edges = None if state["edges"] is None else np.array(state["edges"])
+        out.rounds = [[Tree.of(out.depth, t) for t in r] for r in state["rounds"]]
         return out

@@ -1,49 +1,108 @@
-"""Dense random fields by exact mean-field steps, an image in each task."""
+"""Dense random fields by mean-field steps on grey and colour images.
+
+Messages of the wide kernel over places and colours run through a bilateral grid: pixels are shared out to the corners of cells as
+wide as the kernel, the few cells that are used are blurred along each axis, and read back. The narrow kernel over places is a
+separable convolution. Work and memory grow with the pixels; an image is one task.
+"""
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import filters as K
 from ..functions.config import CRFParams
 
 #: Probabilities are kept above this before their logarithm is taken.
 LEAST = 1e-6
-
-
-def mean_field(unary: np.ndarray, place: np.ndarray, colour: np.ndarray, p: CRFParams, block: int = 512) -> np.ndarray:
-    """Class probabilities (n, k) after ``p.n_infer`` steps; kernels are exact, symmetrically normalised, Potts compatibility.
-
-    Work grows with the square of the pixels; memory with ``block`` times the pixels.
-    """
-    n = len(unary)
-    gy, gx = p.sxy_g
-    by, bx = p.sxy_b
-    fg = place / np.array([gy, gx])
-    fb = np.hstack([place / np.array([by, bx]), colour / np.array(p.srgb[: colour.shape[1]])])
-
-    def blocks(f):
-        s = (f * f).sum(1)
-        for a in range(0, n, block):
-            b = slice(a, a + block)
-            yield b, np.exp(-0.5 * np.maximum(s[b, None] + s[None] - 2 * f[b] @ f.T, 0))
-
-    norms = []
-    for f in (fg, fb):
-        d = np.empty(n)
-        for b, k in blocks(f):
-            d[b] = k.sum(1)
-        norms.append(1 / np.sqrt(d))
+#: Cells to a kernel's width; sharing out and reading back already spread by a third of a cell's square.
+CELLS = 1.5
+
+
+class Grid:
+    """Gaussian sums over points of several dimensions (width 1 in each)."""
+
+    def __init__(self, points: np.ndarray):
+        scaled = points * CELLS
+        low = np.floor(scaled)
+        part = scaled - low
+        n, d = points.shape
+        keep = [k for k in range(d) if np.ptp(points[:, k]) > 0] or [0]
+        low, part = low[:, keep] - low[:, keep].min(0), part[:, keep]
+        reach = int(np.ceil(3 * CELLS))
+        size = low.max(0).astype(np.int64) + 2 + 2 * reach
+        stride = np.append(np.cumprod(size[::-1])[-2::-1], 1) if len(size) > 1 else np.ones(1, np.int64)
+        base = ((low.astype(np.int64) + reach) * stride).sum(1)
+        corners = list(product((0, 1), repeat=len(keep)))
+        codes = [base + int(np.dot(c, stride)) for c in corners]
+        weights = [np.prod([part[:, k] if bit else 1 - part[:, k] for k, bit in enumerate(c)], 0) for c in corners]
+        self.cells = np.unique(np.concatenate(codes))
+        self.at = [np.searchsorted(self.cells, c) for c in codes]
+        self.weights = weights
+        spread = CELLS * CELLS - 1 / 3
+        self.taps = np.exp(-np.arange(1, reach + 1) ** 2 / (2 * spread))
+        # cells along each axis that are in use; those that are not hold nothing and are not filled
+        self.near = []
+        for s in stride:
+            for k in range(1, reach + 1):
+                here = np.searchsorted(self.cells, self.cells + k * s)
+                ok = here < len(self.cells)
+                ok[ok] = self.cells[here[ok]] == self.cells[ok] + k * s
+                self.near.append((k, np.flatnonzero(ok), here[ok]))
+        self.axes, self.reach = len(stride), reach
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        """For each point the sum of ``values`` (n, k) of all points, weighted by the kernel."""
+        out = np.empty_like(values)
+        for j in range(values.shape[1]):
+            cell = np.zeros(len(self.cells))
+            for at, w in zip(self.at, self.weights):
+                cell += np.bincount(at, w * values[:, j], len(self.cells))
+            for a in range(self.axes):
+                new = cell.copy()
+                for k, one, other in self.near[a * self.reach : (a + 1) * self.reach]:
+                    new[one] += self.taps[k - 1] * cell[other]
+                    new[other] += self.taps[k - 1] * cell[one]
+                cell = new
+            out[:, j] = sum(w * cell[at] for at, w in zip(self.at, self.weights))
+        return out
+
+
+class Places:
+    """Gaussian sums over the places of a dense image, by convolution; outside the image there is nothing."""
+
+    def __init__(self, y: np.ndarray, x: np.ndarray, widths: tuple[float, float]):
+        self.y, self.x = y - y.min(), x - x.min()
+        self.shape = int(self.y.max()) + 1, int(self.x.max()) + 1
+        self.taps = [np.exp(-(np.arange(-int(4 * s + 0.5), int(4 * s + 0.5) + 1) ** 2) / (2.0 * s * s)) for s in widths]
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        out = np.empty_like(values)
+        for j in range(values.shape[1]):
+            plane = np.zeros(self.shape)
+            plane[self.y, self.x] = values[:, j]
+            for axis, taps in enumerate(self.taps):
+                r, n = len(taps) // 2, self.shape[axis]
+                p = K.pad(plane, *((r, 0) if axis == 0 else (0, r)), "zero")
+                plane = sum(t * (p[k : k + n] if axis == 0 else p[:, k : k + n]) for k, t in enumerate(taps))
+            out[:, j] = plane[self.y, self.x]
+        return out
+
+
+def mean_field(unary: np.ndarray, place: np.ndarray, colour: np.ndarray, p: CRFParams) -> np.ndarray:
+    """Class probabilities (n, k) after ``p.n_infer`` steps; kernels are symmetrically normalised, compatibility is Potts'."""
+    wide = Grid(np.hstack([place / np.array(p.sxy_b), colour / np.array(p.s_rgb[: colour.shape[1]])]))
+    narrow = Places(place[:, 0].astype(int), place[:, 1].astype(int), p.sxy_g)
+    kernels = []
+    for sums, weight in ((narrow, p.compat_g), (wide, p.compat_b)):
+        kernels.append((sums, weight, 1 / np.sqrt(np.maximum(sums(np.ones((len(unary), 1))), 1e-20))))
     q = _soft(-unary)
     for _ in range(p.n_infer):
-        message = np.zeros_like(q)
-        for f, norm, weight in ((fg, norms[0], p.compat_g), (fb, norms[1], p.compat_b)):
-            scaled = q * norm[:, None]
-            for b, k in blocks(f):
-                message[b] += weight * norm[b, None] * (k @ scaled)
-        q = _soft(message - unary)
+        q = _soft(sum(weight * norm * sums(q * norm) for sums, weight, norm in kernels) - unary)
     return q
 
 
@@ -53,22 +112,31 @@ def _soft(m: np.ndarray) -> np.ndarray:
 
 
 def refine(prob: DataFrame, px: DataFrame, params: CRFParams | None = None) -> DataFrame:
-    """(img, y, x, seg): class of most probability after refining ``prob`` (array) by places and grey values of ``px``."""
+    """(img, y, x, seg): class of most probability after refining ``prob`` (array) by places and the grey values or colours
+    (column ``ch``) of ``px``. A grey image counts as three equal channels."""
     p = params or CRFParams()
+    if "ch" in px.columns:
+        colours = px.groupBy("img", "y", "x").agg(F.array_sort(F.collect_list(F.struct("ch", "b"))).alias("c")).select("img", "y", "x", F.transform("c", lambda c: c["b"].cast("double")).alias("c"))
+    else:
+        colours = px.select("img", "y", "x", F.array(F.col("b").cast("double")).alias("c"))
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        y, x, b = (t.column(c).to_numpy() for c in ("y", "x", "b"))
-        pr = np.stack([np.asarray(v) for v in t.column("prob").to_pylist()])
-        q = mean_field(-np.log(np.clip(pr, LEAST, 1)), np.stack([y, x], 1).astype(float), np.repeat(b[:, None].astype(float), 3, 1), p)
+        t = t.sort_by([("y", "ascending"), ("x", "ascending")])
+        y, x = (t.column(c).to_numpy() for c in ("y", "x"))
+        flat = lambda c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1).astype(float)
+        c = flat("c")
+        c = np.repeat(c[:, :1], 3, 1) if c.shape[1] < 3 else c[:, :3]
+        q = mean_field(-np.log(np.clip(flat("prob"), LEAST, 1)), np.stack([y, x], 1).astype(float), c, p)
         return pa.table({"img": pa.array([key[0].as_py()] * len(y), t.column("img").type), "y": pa.array(y), "x": pa.array(x), "seg": pa.array(q.argmax(1).astype(np.int32))})
 
-    j = prob.select("img", "y", "x", "prob").join(px.select("img", "y", "x", "b"), ["img", "y", "x"])
+    j = prob.select("img", "y", "x", "prob").join(colours, ["img", "y", "x"])
     kind = px.schema["img"].dataType.simpleString()
     return j.groupBy("img").applyInArrow(run, f"img {kind}, y int, x int, seg int")
 
 
-def from_labels(seg: DataFrame, px: DataFrame, classes: int, confidence: float = 0.6, params: CRFParams | None = None) -> DataFrame:
-    """As ``refine``, from hard labels (img, y, x, seg) that are right with ``confidence``."""
+def from_labels(seg: DataFrame, px: DataFrame, classes: int, confidence: float | None = None, params: CRFParams | None = None) -> DataFrame:
+    """As ``refine``, from hard labels (img, y, x, seg) that are right with ``confidence`` (that of ``params`` where not given)."""
+    confidence = (params or CRFParams()).label_confidence if confidence is None else confidence
     rest = (1 - confidence) / max(classes - 1, 1)
     made = F.array(*[F.when(F.col("seg") == i, F.lit(confidence)).otherwise(F.lit(rest)) for i in range(classes)])
     return refine(seg.select("img", "y", "x", made.alias("prob")), px, params)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,19 +13,22 @@ from ..sources.shared import checkpoint
 from . import labels as L
 from . import morphology as M
 from .boost import Booster
+from .models import Classifier
 
 
-class ExpertClassifier:
+class ExpertClassifier(Classifier):
     """Needs a volume fraction or a connectivity target for at least one class."""
 
-    def __init__(self, features: Sequence[str], infos: Sequence[ClassInfo], classes: int, weight_vf: float = 1.0, weight_conn: float = 0.1, **params):
+    def __init__(self, features: Sequence[str], infos: Sequence[ClassInfo | dict], classes: int, weight_vf: float = 1.0, weight_conn: float = 0.1, **params):
+        infos = [i if isinstance(i, ClassInfo) else ClassInfo(**i) for i in infos]
+        super().__init__(features, classes, infos=[asdict(i) for i in infos], weight_vf=weight_vf, weight_conn=weight_conn, **params)
         self.fractions = [-1.0] * classes
         for i in infos:
-            self.fractions[i.value] = i.desired_volume_fraction
+            self.fractions[i.value] = -1.0 if i.desired_volume_fraction is None else i.desired_volume_fraction
         self.connectivity = {i.value: i.connectivity_target for i in infos if i.connectivity_target in ("minimise", "maximise")}
         if not self.connectivity and not any(t > 0 for t in self.fractions):
             raise ValueError("a class needs a volume fraction or a connectivity target")
-        self.classes, self.weight_vf, self.weight_conn = classes, weight_vf, weight_conn
+        self.weight_vf, self.weight_conn = weight_vf, weight_conn
         self.booster = Booster(features, classes, **params)
 
     def fit(self, px: DataFrame, train: DataFrame, epochs: int = 5) -> ExpertClassifier:
@@ -54,5 +58,8 @@ class ExpertClassifier:
     def predict_proba(self, px: DataFrame) -> DataFrame:
         return self.booster.predict_proba(px)
 
-    def predict(self, px: DataFrame) -> DataFrame:
-        return self.predict_proba(px).withColumn("seg", L.argmax(F.col("prob")))
+    def state(self):
+        return {"booster": self.booster.state()}
+
+    def restore(self, state, spark, path):
+        self.booster = Booster.of(state["booster"])

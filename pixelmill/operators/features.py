@@ -77,16 +77,19 @@ def structure_tensor(px: DataFrame, sigma: float, keys=("img",)) -> DataFrame:
     return S.by_tile(px, lambda v: K.structure_tensor(v, sigma), "structure_eig_1 double, structure_eig_2 double", halo, "v", keys)
 
 
-def stack_of(config: FeatureConfig) -> Callable[[np.ndarray], list[np.ndarray]]:
-    """All features of a tile of bytes, in the order of ``feature_names``; a blur that several features need is made once."""
+def stack_of(config: FeatureConfig) -> Callable[..., list[np.ndarray]]:
+    """All features of a tile, in the order of ``feature_names``; a blur that several features need is made once.
+
+    Byte filters see the bytes, all others the values: those bytes / 255, or where they are given, values of their own.
+    """
     c = config
 
-    def run(b: np.ndarray) -> list[np.ndarray]:
-        v = b / 255.0
+    def run(b: np.ndarray, values: np.ndarray | None = None) -> list[np.ndarray]:
+        v = b / 255.0 if values is None else values
         blurs: dict[tuple, np.ndarray] = {}
 
         def derived(g: np.ndarray) -> list[np.ndarray]:
-            return ([K.edges(g)] if c.sobel_filter else []) + (K.hessian(g, c.hessian_full) if c.hessian_filter else [])
+            return ([K.edges(g)] if c.sobel_filter else []) + (K.hessian(g, c.add_mod_trace_det_hessian) if c.hessian_filter else [])
 
         out: list[np.ndarray] = [v, *derived(v)] if c.add_zero_scale_features else []
         seen: dict[tuple, list[np.ndarray]] = {(1.0,): derived(v)}
@@ -107,7 +110,7 @@ def stack_of(config: FeatureConfig) -> Callable[[np.ndarray], list[np.ndarray]]:
         if c.difference_of_gaussians:
             out += [gs[j] - gs[i] for i in range(len(gs)) for j in range(i)]
         if c.membrane_projections:
-            out += K.membrane(b, c.membrane_patch_size, c.membrane_thickness)
+            out += K.membrane(b if values is None else v, c.membrane_patch_size, c.membrane_thickness)
         if c.bilateral:
             out += [K.bilateral(b, r, w).astype(float) for r in BILATERAL_RADII for w in BILATERAL_RANGES]
         return out
@@ -115,13 +118,13 @@ def stack_of(config: FeatureConfig) -> Callable[[np.ndarray], list[np.ndarray]]:
     return run
 
 
-def gpu_stack_of(config: FeatureConfig) -> Callable[[np.ndarray], list[np.ndarray]]:
+def gpu_stack_of(config: FeatureConfig) -> Callable[..., list[np.ndarray]]:
     """As ``stack_of`` by the formulas of the accelerated variant."""
     c = config
 
-    def run(b: np.ndarray) -> list[np.ndarray]:
-        v = b / 255.0
-        derived = lambda g: ([K.sobel_edges(g)] if c.sobel_filter else []) + (K.sobel_hessian(g, c.hessian_full) if c.hessian_filter else [])
+    def run(b: np.ndarray, values: np.ndarray | None = None) -> list[np.ndarray]:
+        v = b / 255.0 if values is None else values
+        derived = lambda g: ([K.sobel_edges(g)] if c.sobel_filter else []) + (K.sobel_hessian(g, c.add_mod_trace_det_hessian) if c.hessian_filter else [])
         out: list[np.ndarray] = [v, *derived(v)] if c.add_zero_scale_features else []
         gs = []
         for s in c.sigmas:
@@ -135,7 +138,7 @@ def gpu_stack_of(config: FeatureConfig) -> Callable[[np.ndarray], list[np.ndarra
         if c.difference_of_gaussians:
             out += [gs[j] - gs[i] for i in range(len(gs)) for j in range(i)]
         if c.membrane_projections:
-            out += K.membrane(b, c.membrane_patch_size, c.membrane_thickness, "mirror", ddof=1, upper=False)
+            out += K.membrane(b if values is None else v, c.membrane_patch_size, c.membrane_thickness, "mirror", ddof=1, upper=False)
         if c.bilateral:
             out += [K.soft_bilateral(v, r, w / 255.0) for r in GPU_RADII for w in GPU_WIDTHS]
         return out
@@ -157,24 +160,57 @@ def halo_of(config: FeatureConfig) -> int:
     return max(reach)
 
 
-def multiscale_features(px: DataFrame, config: FeatureConfig | None = None, keys=("img",), tile: int = S.TILE) -> DataFrame:
-    """(keys, y, x and one column for each feature). With a column ``ch``, add it to ``keys`` or use ``channel_features``."""
-    c = config or FeatureConfig()
-    names = feature_names(c)
-    kernel = gpu_stack_of(c) if c.use_gpu else stack_of(c)
-    if c.use_gpu and c.bilateral:
+def stack_names(config: FeatureConfig) -> list[str]:
+    """Names of the features of one channel, in the order of the stack."""
+    names = feature_names(config)
+    if config.use_gpu and config.bilateral:
         names = names[: -len(BILATERAL_RADII) * len(BILATERAL_RANGES)] + [f"bilateral_r{r}_v{w:g}" for r in GPU_RADII for w in GPU_WIDTHS]
-    schema = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
-    return S.by_tile(px, kernel, schema, halo_of(c), "b", keys, tile)
+    return names
+
+
+def _rounded(planes: Sequence[np.ndarray], to: str) -> list[np.ndarray]:
+    if to == "f64":
+        return list(planes)
+    with np.errstate(over="ignore"):
+        return [(p.astype(np.float16) if to == "f16" else p).astype(np.float32) for p in planes]
+
+
+def multiscale_features(px: DataFrame, config: FeatureConfig | None = None, keys=("img",), tile: int = S.TILE, values: bool = False) -> DataFrame:
+    """(keys, y, x and one column for each feature), rounded as ``cast_to`` says (halves are stored as FLOAT, which holds them).
+
+    ``values``: the column ``v`` holds values of its own, not bytes / 255. An image with a column ``ch`` has the features of each
+    channel (``channel_features``), unless ``ch`` is among the keys.
+    """
+    c = config or FeatureConfig()
+    if "ch" in px.columns and "ch" not in keys:
+        return channel_features(px, c, None, keys, tile, values)
+    return _stacked(px, c, [("", ("b", "v") if values else ("b",))], keys, tile)
+
+
+def _stacked(px: DataFrame, c: FeatureConfig, planes: Sequence[tuple[str, tuple[str, ...]]], keys, tile: int) -> DataFrame:
+    """Stacks of several channels, given as (ending of the names, value columns), in one pass over the tiles."""
+    one = gpu_stack_of(c) if c.use_gpu else stack_of(c)
+    n = len(planes[0][1])
+
+    def kernel(*arrays: np.ndarray) -> list[np.ndarray]:
+        return _rounded([p for k in range(0, len(arrays), n) for p in one(*arrays[k : k + n])], c.cast_to)
+
+    kind = T.DoubleType() if c.cast_to == "f64" else T.FloatType()
+    schema = T.StructType([T.StructField(name + end, kind) for end, _ in planes for name in stack_names(c)])
+    return S.by_tile(px, kernel, schema, halo_of(c), [v for _, vs in planes for v in vs], keys, tile)
 
 
-def channel_features(px: DataFrame, config: FeatureConfig | None = None, channels: int = 3) -> DataFrame:
-    """Features of each channel next to each other, names ending in _c<channel>. ``px`` has a column ``ch``."""
+def channel_features(px: DataFrame, config: FeatureConfig | None = None, channels: int | None = 3, keys=("img",), tile: int = S.TILE, values: bool = False) -> DataFrame:
+    """Features of each channel next to each other, names ending in _c<channel>; of a single channel without ending. ``px`` has a
+    column ``ch``; without ``channels`` its greatest value tells how many there are."""
     c = config or FeatureConfig()
-    long = multiscale_features(px, c, ("img", "ch"))
-    names = feature_names(c)
-    made = [F.max(F.when(F.col("ch") == k, F.col(n))).alias(f"{n}_c{k}") for k in range(channels) for n in names]
-    return long.groupBy("img", "y", "x").agg(*made)
+    n = channels or (px.agg(F.max("ch")).first()[0] or 0) + 1
+    if n == 1:
+        return _stacked(px, c, [("", ("b", "v") if values else ("b",))], keys, tile)
+    cols = ("b", "v") if values else ("b",)
+    wide = px.groupBy(*keys, "y", "x").agg(*[F.max(F.when(F.col("ch") == k, F.col(v))).alias(f"{v}{k}") for k in range(n) for v in cols])
+    wide = wide.na.fill(0)  # a channel that a pixel lacks counts as 0, as missing pixels do
+    return _stacked(wide, c, [(f"_c{k}", tuple(f"{v}{k}" for v in cols)) for k in range(n)], keys, tile)
 
 
 def cast_features(df: DataFrame, names: Sequence[str], to: str = "f16") -> DataFrame:

@@ -69,11 +69,14 @@ def training_pixels(features: DataFrame, labels: DataFrame) -> DataFrame:
     return features.join(labels.filter("label <> 0"), ["img", "y", "x"]).withColumn("label", F.col("label") - 1)
 
 
-def training_union(stacks: Sequence[DataFrame], labels: Sequence[DataFrame]) -> DataFrame:
-    """Training pixels of several images together."""
+def training_union(stacks: Sequence[DataFrame | str], labels: Sequence[DataFrame]) -> DataFrame:
+    """Training pixels of several images together. A stack may be the path of one that was kept (``images.load_features``)."""
+    from ..sources.images import load_features
+
     if not stacks or len(stacks) != len(labels):
         raise ValueError("as many label sets as stacks are needed, and one at least")
-    return reduce(DataFrame.unionByName, (training_pixels(f, y) for f, y in zip(stacks, labels)))
+    read = [load_features(y.sparkSession, f) if isinstance(f, str) else f for f, y in zip(stacks, labels)]
+    return reduce(DataFrame.unionByName, (training_pixels(f, y) for f, y in zip(read, labels)))
 
 
 def sample(train: DataFrame, n: int = -1, shuffle: bool = True, seed: int = 0) -> DataFrame:
@@ -81,7 +84,8 @@ def sample(train: DataFrame, n: int = -1, shuffle: bool = True, seed: int = 0) -
     if n <= 0:
         return train
     keys = [F.col("img"), F.col("y"), F.col("x")]
-    return train.orderBy(F.xxhash64(F.lit(seed), *keys) if shuffle else keys[0], *keys).limit(n)
+    mixed = F.md5(F.concat_ws(" ", F.lit(str(seed)), *[k.cast("string") for k in keys]).cast("binary"))
+    return train.orderBy(mixed if shuffle else keys[0], *keys).limit(n)
 
 
 def argmax(prob: Column) -> Column:
@@ -125,7 +129,7 @@ def volume_fraction_gradient(prob: DataFrame, target: Sequence[float], weight: f
     k = len(target)
     seg = prob.select("img", argmax(F.col("prob")).alias("seg"))
     p = seg.groupBy("img").agg(*[F.avg((F.col("seg") == i).cast("double")).alias(f"p{i}") for i in range(k)])
-    d = [(F.col(f"p{i}") - F.lit(float(t))) if t > 0 else F.lit(0.0) for i, t in enumerate(target)]
+    d = [(F.col(f"p{i}") - F.lit(float(t))) if t is not None and t > 0 else F.lit(0.0) for i, t in enumerate(target)]
     loss = F.lit(0.0)
     for x in d:
         loss = loss + x * x

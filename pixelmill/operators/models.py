@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
 from typing import Any
@@ -12,9 +13,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import read_text, write_text
 from . import labels as L
 from .boost import Booster
 
@@ -22,7 +24,10 @@ KEYS = ("img", "y", "x")
 
 
 class Classifier(ABC):
-    """fit on (features, label 0..K-1[, weight]); ``predict_proba`` adds ``prob``, ``predict`` adds ``seg``, both 0-based."""
+    """fit on (features, label 0..K-1[, weight]); ``predict_proba`` adds ``prob``, ``predict`` adds ``seg``, both 0-based.
+
+    A class of a caller's own that has something to keep overrides ``state`` and ``restore``.
+    """
 
     def __init__(self, features: Sequence[str], classes: int, **params: Any):
         self.features, self.classes, self.params = list(features), classes, params
@@ -36,8 +41,16 @@ class Classifier(ABC):
     def predict(self, px: DataFrame) -> DataFrame:
         return self.predict_proba(px).withColumn("seg", L.argmax(F.col("prob")))
 
-    def save(self, path: str) -> None:
-        raise NotImplementedError(type(self).__name__)
+    def state(self) -> dict[str, Any]:
+        """What was learned, for JSON; whatever ``restore`` needs beside."""
+        return {}
+
+    def restore(self, state: dict[str, Any], spark: SparkSession, path: str) -> None:
+        """Take up what ``state`` gave."""
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write to any store that Spark writes; ``load_classifier`` brings it back."""
+        write_text(spark, f"{path}/about", json.dumps({"kind": type(self).__name__, "features": self.features, "classes": self.classes, "params": self.params, "state": self.state()}))
 
     def __repr__(self) -> str:
         return f"{type(self).__name__}({len(self.features)} features, {self.classes} classes, {self.params})"
@@ -58,14 +71,12 @@ class PipelineClassifier(Classifier):
         out = self.model.transform(px)
         return out.select(*px.columns, vector_to_array("probability").alias("prob"))
 
-    def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+    def save(self, spark: SparkSession, path: str) -> None:
+        super().save(spark, path)
+        self.model.write().overwrite().save(f"{path}/model")
 
-
-def load_pipeline(path: str, features: Sequence[str], classes: int) -> PipelineClassifier:
-    out = PipelineClassifier(features, classes)
-    out.model = PipelineModel.load(path)
-    return out
+    def restore(self, state, spark, path):
+        self.model = PipelineModel.load(f"{path}/model")
 
 
 class RandomForest(PipelineClassifier):
@@ -136,6 +147,12 @@ class Ridge(Classifier):
         self.coef = np.linalg.solve(g[:, :d] + ridge, g[:, d:])
         return self
 
+    def state(self):
+        return {"low": self.low.tolist(), "span": self.span.tolist(), "coef": self.coef.tolist()}
+
+    def restore(self, state, spark, path):
+        self.low, self.span, self.coef = (np.array(state[k]) for k in ("low", "span", "coef"))
+
     def predict_proba(self, px: DataFrame) -> DataFrame:
         scores = []
         for i in range(self.classes):
@@ -158,8 +175,11 @@ class Boosted(Classifier):
     def predict_proba(self, px: DataFrame) -> DataFrame:
         return self.model.predict_proba(px)
 
-    def save(self, path: str) -> None:
-        self.model.save(path)
+    def state(self):
+        return {"booster": self.model.state()}
+
+    def restore(self, state, spark, path):
+        self.model = Booster.of(state["booster"])
 
 
 REGISTRY: dict[str, type[Classifier]] = {
@@ -173,6 +193,29 @@ def get_model(name: str, features: Sequence[str], classes: int, params: dict[str
     return REGISTRY[name](features, classes, **(params or {}))
 
 
+def known_kinds() -> dict[str, type[Classifier]]:
+    """All classes of classifiers by name, a caller's own among them."""
+    found, todo = {}, [Classifier]
+    while todo:
+        kind = todo.pop()
+        found[kind.__name__] = kind
+        todo += kind.__subclasses__()
+    return found
+
+
+def load_classifier(spark: SparkSession, path: str) -> Classifier:
+    """What ``save`` wrote, of whatever kind it is."""
+    from . import expert  # noqa: F401  a kind of its own
+
+    about = json.loads(read_text(spark, f"{path}/about"))
+    kinds = known_kinds()
+    if about["kind"] not in kinds:
+        raise ValueError(f"unknown classifier {about['kind']}")
+    out = kinds[about["kind"]](about["features"], classes=about["classes"], **about["params"])
+    out.restore(about["state"], spark, path)
+    return out
+
+
 def train(model: Classifier, data: DataFrame, balanced: bool = False) -> Classifier:
     """Fit, with balanced class weights if asked for."""
     if balanced:

@@ -78,7 +78,8 @@ def connected_components(mask: DataFrame, cls: str | None = None, connectivity:
     the tiles' border pixels only. With ``cls``, only pixels of equal class are connected.
     """
     code = F.when(F.col("m"), F.lit(1) if cls is None else F.col(cls).cast("int") + 1).otherwise(0).alias("code")
-    px = mask.select("img", "y", "x", code)
+    wide = F.assert_true(F.col("x") < width, F.lit(f"images of up to {width} columns have labels"))
+    px = mask.select("img", "y", F.when(wide.isNull(), F.col("x")).alias("x"), code)
 
     def run(a: np.ndarray):
         lab = label_dense(a > 0, a, connectivity)

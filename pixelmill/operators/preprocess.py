@@ -13,9 +13,9 @@ from . import stencil as S
 ORDER = ("blur", "denoise", "equalize")
 
 
-def blur(px: DataFrame) -> DataFrame:
-    """Gaussian of width 1, cut at 4: (img, y, x, v)."""
-    return S.blur(px, "v", K.normal_taps(1.0, 4), "p_").select("img", "y", "x", F.col("p_").alias("v"))
+def blur(px: DataFrame, keys=("img",)) -> DataFrame:
+    """Gaussian of width 1, cut at 4: (keys, y, x, v)."""
+    return S.blur(px, "v", K.normal_taps(1.0, 4), "p_", keys).select(*keys, "y", "x", F.col("p_").alias("v"))
 
 
 def haar_denoise(v: np.ndarray, levels: int | None = None) -> np.ndarray:
@@ -49,9 +49,9 @@ def _soft(b: np.ndarray, noise: float) -> np.ndarray:
     return np.sign(b) * np.maximum(np.abs(b) - t, 0)
 
 
-def denoise(px: DataFrame) -> DataFrame:
+def denoise(px: DataFrame, keys=("img",)) -> DataFrame:
     """Wavelet shrinkage; noise, thresholds and levels are those of the whole image, so an image is one task."""
-    return S.by_tile(px, lambda v: [haar_denoise(v)], "v double", 0, "v", tile=1 << 30)
+    return S.by_tile(px, lambda v: [haar_denoise(v)], "v double", 0, "v", keys, tile=1 << 30)
 
 
 def equalise_adaptive(v: np.ndarray, clip: float = 0.01, bins: int = 256) -> np.ndarray:
@@ -80,19 +80,22 @@ def equalise_adaptive(v: np.ndarray, clip: float = 0.01, bins: int = 256) -> np.
     return (1 - ay) * ((1 - ax) * at(y0, x0) + ax * at(y0, x1)) + ay * ((1 - ax) * at(y1, x0) + ax * at(y1, x1))
 
 
-def equalize(px: DataFrame) -> DataFrame:
+def equalize(px: DataFrame, keys=("img",)) -> DataFrame:
     """Adaptive equalisation; needs the grid of the whole image, so an image is one task."""
-    return S.by_tile(px, lambda v: [equalise_adaptive(v)], "v double", 0, "v", tile=1 << 30)
+    return S.by_tile(px, lambda v: [equalise_adaptive(v)], "v double", 0, "v", keys, tile=1 << 30)
 
 
-def preprocess(px: DataFrame, steps) -> DataFrame:
-    """The last of the named steps in ``ORDER``, from the original image. Values are floats from 0 to 1 after it, so
-    byte filters that follow see 0 and 1 only."""
+def preprocess(px: DataFrame, steps, keys=("img",)) -> DataFrame:
+    """The last of the named steps in ``ORDER``, from the original image; None or no steps give the image itself.
+
+    Values are floats from 0 to 1 after a step. Channels in a column ``ch`` are preprocessed each on its own if it is among the keys.
+    """
+    steps = steps or ()
     unknown = set(steps) - set(ORDER)
     if unknown:
         raise ValueError(f"unknown preprocessing {sorted(unknown)}")
     out = px
     for s in ORDER:
         if s in steps:
-            out = {"blur": blur, "denoise": denoise, "equalize": equalize}[s](px)
+            out = {"blur": blur, "denoise": denoise, "equalize": equalize}[s](px, keys)
     return out

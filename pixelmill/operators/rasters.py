@@ -22,7 +22,7 @@ def event_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An image for each event type: day of month by hour, number of events, 0 where there are none."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     n = e.groupBy(F.col("event_type").alias("img"), (F.dayofmonth("ts") - 1).alias("y"), F.hour("ts").alias("x")).agg(F.count("*").cast("int").alias("n"))
-    grid = e.select(F.col("event_type").alias("img")).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(29)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    grid = e.select(F.col("event_type").alias("img")).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(30)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(23))))
     return with_value(grid.join(n, ["img", "y", "x"], "left").select("img", "y", "x", F.coalesce("n", F.lit(0)).alias("b")))
 
 

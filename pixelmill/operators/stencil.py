@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from .rasters import extent
 
 #: Side of a tile without its halo.
-TILE = 512
+TILE = 256
 AXES = ("y", "x")
 
 
@@ -97,16 +97,18 @@ def over_disc(px: DataFrame, offsets: Sequence[tuple[int, int]], aggregates: Seq
 
 
 def by_tile(
-    px: DataFrame, kernel: Callable[[np.ndarray], Sequence[np.ndarray]], out: T.StructType | str, halo: int, value: str = "b", keys: Sequence[str] = ("img",), tile: int = TILE, shape: DataFrame | None = None
+    px: DataFrame, kernel: Callable[..., Sequence[np.ndarray]], out: T.StructType | str, halo: int, value: str | Sequence[str] = "b", keys: Sequence[str] = ("img",), tile: int = TILE, shape: DataFrame | None = None
 ) -> DataFrame:
-    """Apply ``kernel`` to the dense array of every tile with a halo, and return its results as columns beside keys, y and x.
+    """Apply ``kernel`` to the dense array of every tile with a halo, and return its results as columns beside keys, y and x. With
+    several value columns it gets an array for each.
 
     A tile sees ``halo`` pixels beyond its sides where the image goes on, so the kernel's border rule holds at the
     image's border only. Missing pixels count as 0 and get no row. Images of any size spread over tiles of bounded size.
     ``shape`` (keys, h, w) spares the pass that finds the extents.
     """
     schema = T._parse_datatype_string(out) if isinstance(out, str) else out
-    sized = px.select(*keys, "y", "x", value).join(extent(px, keys) if shape is None else shape, list(keys))
+    values = [value] if isinstance(value, str) else list(value)
+    sized = px.select(*keys, "y", "x", *values).join(extent(px, keys) if shape is None else shape, list(keys))
 
     def reach(at: str, size: str) -> Column:
         a = F.floor(F.greatest(F.col(at) - halo, F.lit(0)) / tile).cast("int")
@@ -123,13 +125,17 @@ def by_tile(
         y0, x0 = max(0, ty * tile - halo), max(0, tx * tile - halo)
         y1, x1 = min(h, (ty + 1) * tile + halo), min(w, (tx + 1) * tile + halo)
         ys, xs = t.column("y").to_numpy() - y0, t.column("x").to_numpy() - x0
-        a = np.zeros((y1 - y0, x1 - x0), t.column(value).to_numpy().dtype)
-        a[ys, xs] = t.column(value).to_numpy()
+        arrays = []
+        for name in values:
+            flat = t.column(name).to_numpy()
+            a = np.zeros((y1 - y0, x1 - x0), flat.dtype)
+            a[ys, xs] = flat
+            arrays.append(a)
         mine = (ys + y0 >= ty * tile) & (ys + y0 < (ty + 1) * tile) & (xs + x0 >= tx * tile) & (xs + x0 < (tx + 1) * tile)
         ys, xs = ys[mine], xs[mine]
         cols = {k: pa.array([x.as_py()] * len(ys), t.column(k).type) for k, x in zip(keys, key)}
         cols |= {"y": pa.array((ys + y0).astype(np.int32)), "x": pa.array((xs + x0).astype(np.int32))}
-        for name, plane in zip((f.name for f in schema), kernel(a)):
+        for name, plane in zip((f.name for f in schema), kernel(*arrays)):
             cols[name] = pa.array(np.ascontiguousarray(plane[ys, xs]))
         return pa.table(cols).cast(arrow)
 

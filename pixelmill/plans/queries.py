@@ -67,12 +67,15 @@ def px_maxnorm(spark, sf_dir):
     return px.join(top, "img").select(*PX, (F.col("v") / F.col("top")).alias("vn"))
 
 
-@add("cast_f16")
+_POWER = "pow(2.0::DOUBLE, floor(log2(v)) - 10.0::DOUBLE)"
+
+
+@add("cast_f16", Q.query(Q.EMB, select=f"SELECT img, y, x, (CASE WHEN v = 0 THEN 0.0::DOUBLE ELSE round_even(v / {_POWER}, 0) * {_POWER} END)::FLOAT AS v FROM px"))
 def cast_f16(spark, sf_dir):
     return X.cast_features(emb(spark, sf_dir).select(*PX, "v"), ["v"], "f16")
 
 
-_RGB = FeatureConfig(sigmas=(), difference_of_gaussians=False, membrane_projections=False)
+_RGB = FeatureConfig(cast_to="f64", sigmas=(), difference_of_gaussians=False, membrane_projections=False)
 _RGB_COLUMNS = ["v", "e", "h0", "h1", "h2", "h3", "h4"]
 
 
@@ -194,33 +197,83 @@ add("difference_of_gaussians", Q.query(*_S48, select="SELECT img, y, x, g4 - g8
     lambda spark, sf_dir: X.difference_of_gaussians(emb(spark, sf_dir), (4.0, 8.0, 16.0), 0.4)
 )
 
-_ONE = FeatureConfig(sigmas=(4.0,), add_zero_scale_features=False, difference_of_gaussians=False, membrane_projections=False)
+_ONE = FeatureConfig(cast_to="f64", sigmas=(4.0,), add_zero_scale_features=False, difference_of_gaussians=False, membrane_projections=False)
 add("features_sigma", Q.query(Q.EMB, *Q.blur("px", "v", K.gaussian_taps(4.0, 0.4), "g", "g4"), *Q.derived("g", "g4", "z", "e", ["h0", "h1", "h2", "h3", "h4"]), select="SELECT img, y, x, " + ", ".join(f"{c} AS {n}" for c, n in zip(["g4", "e", "h0", "h1", "h2", "h3", "h4"], feature_names(_ONE))) + " FROM z"))(
     lambda spark, sf_dir: X.multiscale_features(emb(spark, sf_dir), _ONE)
 )
 add("features_zero_scale", Q.query(Q.EMB, *Q.derived("px", "v", "z", "e", _RGB_COLUMNS[2:]), select="SELECT img, y, x, " + ", ".join(f"{c} AS {n}" for c, n in zip(_RGB_COLUMNS, feature_names(_RGB))) + " FROM z"))(
     lambda spark, sf_dir: X.multiscale_features(emb(spark, sf_dir), _RGB)
 )
-add("multiscale_features", Q.multiscale())(lambda spark, sf_dir: X.multiscale_features(emb(spark, sf_dir)))
+_EXACT = FeatureConfig(cast_to="f64")
+add("multiscale_features", Q.multiscale())(lambda spark, sf_dir: X.multiscale_features(emb(spark, sf_dir), _EXACT))
 
 # formulas of the accelerated variant
 
 
-def tile(kernel, out: str, halo: int, value: str = "b"):
-    return lambda spark, sf_dir: S.by_tile(emb(spark, sf_dir), kernel, out, halo, value)
+def tile(kernel, out: str, halo: int, value: str = "b", rounded: bool = False):
+    def run(spark, sf_dir):
+        df = S.by_tile(emb(spark, sf_dir), kernel, out, halo, value)
+        return near_zero(df) if rounded else df
+
+    return run
+
+
+def near_zero(df: DataFrame) -> DataFrame:
+    """Features rounded as the SQL rounds them where the order of its sums is free."""
+    return df.select(*PX, *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in df.columns if c not in PX])
 
 
-add("gpu_gaussian")(tile(lambda v: [K.wide_gaussian(v, 4.0, 0.4, 16.0)], "gaussian_blur double", 13, "v"))
+_W4, _W8 = (K.normal_taps(0.4 * s, 2 * int(0.4 * 16.0)) for s in (4.0, 8.0))
+add("gpu_gaussian", Q.query(Q.EMB, *Q.wide("px", "v", _W4, "g", "t"), select=f"SELECT img, y, x, {Q.near_zero('t')} AS gaussian_blur FROM g"))(
+    tile(lambda v: [K.wide_gaussian(v, 4.0, 0.4, 16.0)], "gaussian_blur double", 13, "v", True)
+)
 add("gpu_sobel_hessian", Q.gpu_sobel())(tile(lambda v: [K.sobel_edges(v), *K.sobel_hessian(v)], "sobel_filter double, " + ", ".join(f"{n} double" for n in _H), 2, "v"))
 add("gpu_square_pools", Q.square(2))(tile(lambda b: [K.square(b, 2, "mean"), K.square(b, 2, "minimum"), K.square(b, 2, "maximum")], "mean double, minimum long, maximum long", 2))
 add("gpu_median", Q.square_median(2))(tile(lambda b: [K.square_median(b, 2)], "median long", 2))
 add("gpu_laplacian", Q.query(Q.EMB, select=f"SELECT img, y, x, {_lap('v', 'mirror1')} AS laplacian FROM px"))(tile(lambda v: [K.laplacian(v, "mirror")], "laplacian double", 1, "v"))
-add("gpu_bilateral")(tile(lambda v: [K.soft_bilateral(v, r, w / 255.0) for r in X.GPU_RADII for w in X.GPU_WIDTHS], ", ".join(f"bilateral_r{r}_v{w:g} double" for r in X.GPU_RADII for w in X.GPU_WIDTHS), 5, "v"))
-add("gpu_difference_of_gaussians")(tile(lambda v: [K.wide_gaussian(v, 4.0, 0.4, 16.0) - K.wide_gaussian(v, 8.0, 0.4, 16.0)], "dog_s8_s4 double", 13, "v"))
+add("gpu_bilateral", Q.soft_bilateral(X.GPU_RADII, X.GPU_WIDTHS))(tile(lambda v: [K.soft_bilateral(v, r, w / 255.0) for r in X.GPU_RADII for w in X.GPU_WIDTHS], ", ".join(f"bilateral_r{r}_v{w:g} double" for r in X.GPU_RADII for w in X.GPU_WIDTHS), 5, "v", True))
+add("gpu_difference_of_gaussians", Q.query(Q.EMB, *Q.wide("px", "v", _W4, "g", "t"), *Q.wide("px", "v", _W8, "k", "u"), select=f"SELECT img, y, x, {Q.near_zero('t - u')} AS dog_s8_s4 FROM g JOIN k USING (img, y, x)"))(
+    tile(lambda v: [K.wide_gaussian(v, 4.0, 0.4, 16.0) - K.wide_gaussian(v, 8.0, 0.4, 16.0)], "dog_s8_s4 double", 13, "v", True)
+)
 add("gpu_membrane", Q.query(Q.EMB, *Q.membrane(X.GPU_PATCH, "mirror", 1, False), select="SELECT * FROM membrane"))(
     tile(lambda b: K.membrane(b, X.GPU_PATCH, 1, "mirror", 1, False), ", ".join(f"membrane_{m} double" for m in ("mean", "max", "min", "sum", "std", "median")), 8)
 )
-add("gpu_multiscale_features")(lambda spark, sf_dir: X.multiscale_features(emb(spark, sf_dir), FeatureConfig(use_gpu=True)))
+_GPU = FeatureConfig(cast_to="f64", use_gpu=True)
+add("gpu_multiscale_features", Q.gpu_multiscale(_GPU, _GPU.membrane_patch_size))(lambda spark, sf_dir: near_zero(X.multiscale_features(emb(spark, sf_dir), _GPU)))
+
+# whole images: preprocessed, coloured, of floats
+
+_PRE = TrainingConfig(feature_config=FeatureConfig(cast_to="f64", sigmas=(2.0,), difference_of_gaussians=False, membrane_projections=False, add_weka_sigma_multiplier=False), preprocessing=("blur",))
+_PRE_SQL = [*Q.blur("px", "v", K.normal_taps(1.0, 4), "g", "g1"), *Q.derived("g", "g1", "z", "e0", [f"h0_{i}" for i in range(5)]), *Q.blur("z", "g1", K.gaussian_taps(2.0), "k", "g2"), *Q.derived("k", "g2", "f", "e1", [f"h1_{i}" for i in range(5)])]
+_PRE_COLUMNS = ["g1", "e0", *[f"h0_{i}" for i in range(5)], "g2", "e1", *[f"h1_{i}" for i in range(5)]]
+add("featurise_preprocessed", Q.query(Q.EMB, *_PRE_SQL, select="SELECT img, y, x, " + ", ".join(f"{c} AS {n}" for c, n in zip(_PRE_COLUMNS, feature_names(_PRE.feature_config), strict=True)) + " FROM f"))(
+    lambda spark, sf_dir: segmentation.featurise(emb(spark, sf_dir), _PRE)
+)
+
+
+def colour(spark, sf_dir) -> DataFrame:
+    """A colour image: the raster, its inverse, and a third channel of its own."""
+    b = F.col("b")
+    px = emb(spark, sf_dir).select(*PX, F.posexplode(F.array(b, 255 - b, F.pmod(b * 7, F.lit(256)))).alias("ch", "b"))
+    return R.with_value(px)
+
+
+def _colour_sql() -> str:
+    ctes, cols = [Q.EMB], []
+    for k, e in enumerate(("b", "255 - b", "(b * 7) % 256")):
+        ctes.append(f"p{k} AS (SELECT img, y, x, ({e}) / 255.0::DOUBLE AS v FROM px)")
+        ctes += Q.derived(f"p{k}", "v", f"z{k}", "e", _RGB_COLUMNS[2:])
+        cols += [f"z{k}.{c} AS {n}_c{k}" for c, n in zip(_RGB_COLUMNS, feature_names(_RGB))]
+    return Q.query(*ctes, select=f"SELECT z0.img, z0.y, z0.x, {', '.join(cols)} FROM z0 JOIN z1 ON z1.img = z0.img AND z1.y = z0.y AND z1.x = z0.x JOIN z2 ON z2.img = z0.img AND z2.y = z0.y AND z2.x = z0.x")
+
+
+add("featurise_rgb", _colour_sql())(lambda spark, sf_dir: segmentation.featurise(colour(spark, sf_dir), TrainingConfig(feature_config=_RGB)))
+add("scan_float", Q.query(Q.EVT, select="SELECT img, y, x, v FROM px"))(
+    lambda spark, sf_dir: images.pixels_of(images.image_files(evt(spark, sf_dir), "v", "tif")).select(F.regexp_extract("img", r"([^/]+)\.\w+$", 1).alias("img"), "y", "x", "v")
+)
+add("featurise_float", Q.query(Q.EVT, *Q.derived("px", "v", "z", "e", _RGB_COLUMNS[2:]), select="SELECT img, y, x, " + ", ".join(f"{c} AS {n}" for c, n in zip(_RGB_COLUMNS, feature_names(_RGB))) + " FROM z"))(
+    lambda spark, sf_dir: segmentation.featurise(QUERIES["scan_float"](spark, sf_dir).withColumn("b", F.col("v").cast("int")), TrainingConfig(feature_config=_RGB))
+)
 
 # labels, training sets, metrics
 
@@ -237,7 +290,7 @@ add("training_union", Q.query(Q.EMB, Q.CLS, Q.LABELS, _TRAIN, select="SELECT * F
 add("sample_head", Q.query(Q.EMB, Q.CLS, Q.LABELS, _TRAIN, select="SELECT * FROM train ORDER BY img, y, x LIMIT 500"))(
     lambda spark, sf_dir: L.sample(L.training_pixels(emb(spark, sf_dir), labelled(spark, sf_dir)), 500, shuffle=False)
 )
-add("sample_shuffle")(lambda spark, sf_dir: L.sample(L.training_pixels(emb(spark, sf_dir), labelled(spark, sf_dir)), 500, seed=3))
+add("sample_shuffle", Q.query(Q.EMB, Q.CLS, Q.LABELS, _TRAIN, select="SELECT * FROM train ORDER BY md5('3 ' || img || ' ' || y || ' ' || x), img, y, x LIMIT 500"))(lambda spark, sf_dir: L.sample(L.training_pixels(emb(spark, sf_dir), labelled(spark, sf_dir)), 500, seed=3))
 add("argmax_segment", Q.query(Q.EMB, Q.PROB, Q.SEG, select="SELECT * FROM seg"))(lambda spark, sf_dir: seg_of(emb(spark, sf_dir)))
 _IOU = "iou AS (SELECT c.cls, sum((s.seg = c.cls)::INT)::BIGINT / (count(*) + (SELECT count(*) FROM seg t WHERE t.seg = c.cls) - sum((s.seg = c.cls)::INT))::DOUBLE AS iou FROM seg s JOIN classes c USING (img, y, x) GROUP BY c.cls)"
 add("iou_per_class", Q.query(Q.EMB, Q.CLS, Q.PROB, Q.SEG, _IOU, select="SELECT * FROM iou"))(lambda spark, sf_dir: L.iou_per_class(seg_of(emb(spark, sf_dir)), R.embedding_classes(spark, sf_dir)))
@@ -364,6 +417,14 @@ def featurestack_roundtrip(spark, sf_dir):
     return images.load_features(spark, path).select(*PX, "gaussian_blur")
 
 
+@add("featurestack_arrays", Q.query(Q.EMB, *Q.blur("px", "v", _G1, "g", "gaussian_blur"), select="SELECT img::VARCHAR AS img, y, x, gaussian_blur, v AS value FROM g"))
+def featurestack_arrays(spark, sf_dir):
+    path = new_path(spark, "arrays")
+    px = emb(spark, sf_dir)
+    images.save_features(X.concat_features(X.gaussian_blur(px, 1.0), px.select(*PX, F.col("v").alias("value"))), path, "npy")
+    return images.load_features(spark, f"{path}/*.npy", ["gaussian_blur", "value"])
+
+
 @add("rle_decode", Q.query(Q.EMB, select="SELECT img::VARCHAR AS img, y, x, (b // 64)::INT AS label FROM px"))
 def rle_decode(spark, sf_dir):
     px = emb(spark, sf_dir).select(F.col("img").cast("string").alias("img"), "y", "x", F.floor(F.col("b") / 64).cast("int").alias("label"))
@@ -409,16 +470,16 @@ def model_roundtrip(spark, sf_dir):
     f, _, labels = intensity_classes(spark, sf_dir)
     model = models.train(models.get_model("logistic_regression", FEATURES, 3), L.training_pixels(f, labels))
     path = new_path(spark, "model")
-    model.save(path)
-    return models.apply(models.load_pipeline(path, FEATURES, 3), f).select(*PX, "seg")
+    model.save(spark, path)
+    return models.apply(models.load_classifier(spark, path), f).select(*PX, "seg")
 
 
-_TRAINING = TrainingConfig(classifier_params={"n_estimators": 20, "max_depth": 8, "seed": 1}, postprocessing=("modal_filter",))
+_TRAINING = TrainingConfig(classifier_params={"n_estimators": 20, "max_depth": 8, "seed": 1}, modal_filter=True)
 
 
 @add("train_and_apply")
 def train_and_apply(spark, sf_dir):
-    f, truth, labels = intensity_classes(spark, sf_dir)
+    _, _, labels = intensity_classes(spark, sf_dir)
     px = emb(spark, sf_dir)
     out, _ = segmentation.train_and_apply(px, labels, _TRAINING, 3)
     return out.select(*PX, "seg")
@@ -426,15 +487,15 @@ def train_and_apply(spark, sf_dir):
 
 @add("autocontext")
 def autocontext(spark, sf_dir):
-    f, truth, labels = intensity_classes(spark, sf_dir)
-    config = TrainingConfig(feature_config=_ONE, classifier="logistic_regression", classifier_params={}, autocontext=True)
+    _, _, labels = intensity_classes(spark, sf_dir)
+    config = TrainingConfig(feature_config=_ONE, classifier="logistic_regression", classifier_params={}, autocontext=True, autocontext_type="ilastik")
     out, _ = segmentation.train_and_apply(emb(spark, sf_dir), labels, config, 3)
     return out.select(*PX, "seg")
 
 
 @add("expertseg")
 def expertseg(spark, sf_dir):
-    f, truth, labels = intensity_classes(spark, sf_dir)
+    f, _, labels = intensity_classes(spark, sf_dir)
     infos = (ClassInfo("low", 0, desired_volume_fraction=0.4), ClassInfo("high", 2))
     model = expert.ExpertClassifier(FEATURES, infos, 3).fit(f, L.training_pixels(f, labels), 4)
     return model.predict(f).select(*PX, "seg")

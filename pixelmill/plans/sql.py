@@ -18,7 +18,7 @@ LABELS = "labels AS (SELECT img, y, x, CASE WHEN y % 5 = 0 THEN cls + 1 ELSE 0 E
 EVT = """counts AS (SELECT event_type AS img, day(ts) - 1 AS y, hour(ts) AS x, count(*)::INT AS n FROM events GROUP BY ALL),
 px AS (
   SELECT t.img, gy.y::INT AS y, gx.x::INT AS x, coalesce(n, 0)::INT AS b, coalesce(n, 0) / 255.0::DOUBLE AS v
-  FROM (SELECT DISTINCT event_type AS img FROM events) t, range(30) gy(y), range(24) gx(x) LEFT JOIN counts c ON c.img = t.img AND c.y = gy.y AND c.x = gx.x)"""
+  FROM (SELECT DISTINCT event_type AS img FROM events) t, range(31) gy(y), range(24) gx(x) LEFT JOIN counts c ON c.img = t.img AND c.y = gy.y AND c.x = gx.x)"""
 PROB = "prob AS (SELECT *, [b / 383.0::DOUBLE, (255 - b) / 383.0::DOUBLE, 128 / 383.0::DOUBLE] AS prob FROM px)"
 SEG = "seg AS (SELECT img, y, x, (list_position(prob, list_max(prob)) - 1)::INT AS seg FROM prob)"
 
@@ -209,6 +209,62 @@ def gpu_sobel() -> str:
     return query(*ctes, select=f"SELECT img, y, x, sqrt(gx * gx + gy * gy) AS sobel_filter, {eigen('a_', 'b_', 'd_', ['hess_eig_1', 'hess_eig_2', 'hess_mod', 'hess_trace', 'hess_det'])} FROM s5")
 
 
+def wide(source: str, col: str, taps: Sequence[float], name: str, out: str) -> list[str]:
+    """CTE ``name``: (img, y, x, out), a separable sum mirrored about the border pixels, by joins as its reach is wide."""
+    r = len(taps) // 2
+    fold = lambda i, m: f"CASE WHEN abs({i}) >= {m} THEN 2 * ({m} - 1) - abs({i}) ELSE abs({i}) END"
+    step = lambda src, c, axis, other, size, to, o: (
+        f"{to} AS (SELECT p.img, p.y, p.x, sum(p.w * q.{c}) AS {o} FROM (SELECT a.img, a.y, a.x, t.w, {fold(f'a.{axis} + t.k', f'z.{size}')} AS at FROM {src} a JOIN {name}_z z USING (img), {name}_t t) p "
+        f"JOIN {src} q ON q.img = p.img AND q.{other} = p.{other} AND q.{axis} = p.at GROUP BY ALL)"
+    )
+    return [
+        f"{name}_t(k, w) AS (VALUES {', '.join(f'({k - r}, {d(w)})' for k, w in enumerate(taps))})", f"{name}_z AS (SELECT img, max(y) + 1 AS h, max(x) + 1 AS wd FROM {source} GROUP BY img)",
+        step(source, col, "y", "x", "h", f"{name}_y", f"y_{out}"), step(f"{name}_y", f"y_{out}", "x", "y", "wd", name, out),
+    ]
+
+
+def near_zero(expression: str) -> str:
+    """Rounded, and never a negative zero."""
+    return f"round({expression}, 6) + 0.0::DOUBLE"
+
+
+def soft_bilateral(radii: Sequence[int], widths: Sequence[float]) -> str:
+    """Weighted means of square windows, weights by distance and by difference from the centre."""
+    fold = lambda i, m: f"CASE WHEN abs({i}) >= {m} THEN 2 * ({m} - 1) - abs({i}) ELSE abs({i}) END"
+    ctes, made = [EMB, "size AS (SELECT img, max(y) + 1 AS h, max(x) + 1 AS w FROM px GROUP BY img)"], []
+    for r in radii:
+        g = K.normal_taps(0.3 * ((2 * r + 1 - 1) * 0.5 - 1) + 0.8, r)
+        ctes.append(f"g{r}(k, w) AS (VALUES {', '.join(f'({k - r}, {d(w)})' for k, w in enumerate(g))})")
+        ctes.append(f"s{r} AS (SELECT p.img, p.y, p.x, p.v, a.w * c.w AS g, {fold('p.y + a.k', 'z.h')} AS qy, {fold('p.x + c.k', 'z.w')} AS qx FROM px p JOIN size z USING (img), g{r} a, g{r} c)")
+        for width in widths:
+            s = width / 255.0
+            k = f"s.g * exp(-((q.v - s.v) * (q.v - s.v)) / {d(2 * s * s)})"
+            ctes.append(f"t{r}_{width:g} AS (SELECT s.img, s.y, s.x, {near_zero(f'sum({k} * q.v) / sum({k})')} AS bilateral_r{r}_v{width:g} FROM s{r} s JOIN px q ON q.img = s.img AND q.y = s.qy AND q.x = s.qx GROUP BY s.img, s.y, s.x)")
+            made.append(f"t{r}_{width:g}")
+    return query(*ctes, select=f"SELECT * FROM {made[0]} " + " ".join(f"JOIN {t} USING (img, y, x)" for t in made[1:]))
+
+
+def gpu_multiscale(config: FeatureConfig, patch: int) -> str:
+    """The default stack by the formulas of the accelerated variant."""
+    names, ctes, columns = feature_names(config), [EMB], []
+    for i, s in enumerate([None, *config.sigmas]):
+        source, g = "px", "v"
+        if s is not None:
+            ctes += wide("px", "v", K.normal_taps(config.multiplier * s, 2 * int(config.multiplier * max(config.sigmas))), f"w{i}", "g")
+            source, g = f"w{i}", "g"
+        chain = [(source, g, K.SOBEL_X, "gx"), (f"k{i}_0", g, SOBEL_Y, "gy"), (f"k{i}_1", "gx", K.SOBEL_X, "a_"), (f"k{i}_2", "gx", SOBEL_Y, "b_"), (f"k{i}_3", "gy", SOBEL_Y, "d_")]
+        for j, (src, col, kernel, out) in enumerate(chain):
+            ctes += kernel3(src, col, kernel, f"k{i}_{j}", out, "mirror1", " / 8.0::DOUBLE")
+        ctes.append(f"f{i} AS (SELECT img, y, x, {g} AS g{i}, sqrt(gx * gx + gy * gy) AS e{i}, {eigen('a_', 'b_', 'd_', [f'h{i}_{k}' for k in range(5)])} FROM k{i}_4)")
+        columns += [f"g{i}", f"e{i}", *[f"h{i}_{k}" for k in range(5)]]
+    n = len(config.sigmas)
+    columns += [f"g{j + 1} - g{i + 1}" for i in range(n) for j in range(i)]
+    ctes += membrane(patch, "mirror", 1, False)
+    columns += [f"membrane_{m}" for m in ("mean", "max", "min", "sum", "std", "median")]
+    made = ", ".join(f"{near_zero(c)} AS {name}" for c, name in zip(columns, names, strict=True))
+    return query(*ctes, select=f"SELECT img, y, x, {made} FROM " + " JOIN ".join([f"f{i}" + (" USING (img, y, x)" if i else "") for i in range(n + 1)]) + " JOIN membrane USING (img, y, x)")
+
+
 MASK = "mask AS (SELECT img, y, x, b >= 4 AS m FROM px)"
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PX = "img string, y int, x int, ch int, b int"
+PX = "img string, y int, x int, ch int, b int, v double"
 
 
 def encode_png(a: np.ndarray) -> bytes:
@@ -27,7 +27,8 @@ def encode_png(a: np.ndarray) -> bytes:
 
 
 def decode_png(data: bytes) -> np.ndarray:
-    """Grey, colour or palette images of 8 or 16 bits, not interlaced; alpha is dropped, 16 bits are cut to 8."""
+    """Grey, colour or palette images of 1 to 16 bits, interlaced or not; alpha is dropped, 16 bits are cut to 8, grey values of
+    fewer bits are spread over 0..255."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG file")
     at, body, palette, head = 8, [], None, None
@@ -42,23 +43,42 @@ def decode_png(data: bytes) -> np.ndarray:
             body.append(part)
         at += 12 + n
     w, h, depth, colour, _, _, interlaced = head
-    if depth not in (8, 16) or interlaced:
-        raise ValueError("PNG files of 8 or 16 bits that are not interlaced can be read")
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    step = channels * depth // 8
-    raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, 1 + w * step)
-    out = np.zeros((h, w * step), np.uint8)
-    above = np.zeros(w * step, np.uint8)
-    for y in range(h):
-        out[y] = above = _unfilter(int(raw[y, 0]), raw[y, 1:], above, step)
-    out = out.reshape(h, w, channels, depth // 8)[..., 0]
+    raw, out = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8), np.zeros((h, w, channels), np.uint8)
+    at = 0
+    for y0, x0, dy, dx in _PASSES if interlaced else ((0, 0, 1, 1),):
+        ph, pw = -(-(h - y0) // dy), -(-(w - x0) // dx)
+        if ph > 0 and pw > 0:
+            plane, at = _png_pass(raw, at, ph, pw, channels, depth)
+            out[y0::dy, x0::dx] = plane
     if palette is not None and colour == 3:
         return palette[out[..., 0]]
+    if depth < 8:
+        out = out * np.uint8(255 // (2**depth - 1))
     if colour in (4, 6):
         out = out[..., :-1]
     return out[..., 0] if out.shape[2] == 1 else out
 
 
+#: First row and column, and steps, of the passes of interlaced images.
+_PASSES = ((0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1))
+
+
+def _png_pass(raw: np.ndarray, at: int, h: int, w: int, channels: int, depth: int) -> tuple[np.ndarray, int]:
+    """(h, w, channels) of a pass that begins at a byte, and where the next one begins."""
+    step, n = max(1, channels * depth // 8), -(-w * channels * depth // 8)
+    rows = raw[at : at + h * (n + 1)].reshape(h, n + 1)
+    out, above = np.zeros((h, n), np.uint8), np.zeros(n, np.uint8)
+    for y in range(h):
+        out[y] = above = _unfilter(int(rows[y, 0]), rows[y, 1:], above, step)
+    if depth < 8:
+        bits = np.unpackbits(out, axis=1).reshape(h, -1, depth)[:, : w * channels]
+        out = (bits * (1 << np.arange(depth - 1, -1, -1))).sum(2).astype(np.uint8)
+    else:
+        out = out.reshape(h, w * channels, depth // 8)[..., 0]
+    return out.reshape(h, w, channels), at + h * (n + 1)
+
+
 def _unfilter(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
     if kind == 0:
         return row.copy()
@@ -81,21 +101,51 @@ def _unfilter(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.nd
 
 
 def encode_tiff(a: np.ndarray) -> bytes:
-    """One DEFLATE-compressed strip of 8-bit samples."""
+    """One DEFLATE-compressed strip; floats of 32 or 64 bits stay, all else becomes 8-bit samples."""
+    a = np.ascontiguousarray(a if a.dtype in (np.float32, np.float64) else a.astype(np.uint8))
     h, w = a.shape[:2]
-    samples = 1 if a.ndim == 2 else a.shape[2]
-    strip = zlib.compress(np.ascontiguousarray(a, np.uint8).tobytes(), 6)
-    entries = [(256, 4, w), (257, 4, h), (258, 3, 8), (259, 3, 8), (262, 3, 2 if samples == 3 else 1), (273, 4, 8), (277, 3, samples), (278, 4, h), (279, 4, len(strip))]
+    samples, bits = 1 if a.ndim == 2 else a.shape[2], 8 * a.dtype.itemsize
+    strip = zlib.compress(a.tobytes(), 6)
+    entries = [(256, 4, w), (257, 4, h), (258, 3, bits), (259, 3, 8), (262, 3, 2 if samples == 3 else 1), (273, 4, 8), (277, 3, samples), (278, 4, h), (279, 4, len(strip)), (339, 3, 3 if bits > 8 else 1)]
     pad = len(strip) % 2
     directory = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII" if t == 4 else "<HHIHxx", tag, t, 1, v) for tag, t, v in entries) + struct.pack("<I", 0)
     return b"II*\0" + struct.pack("<I", 8 + len(strip) + pad) + strip + b"\0" * pad + directory
 
 
+def unpack_lzw(data: bytes) -> bytes:
+    """A TIFF strip packed by LZW: codes of 9 to 12 bits, most significant bit first."""
+    first = [bytes([i]) for i in range(256)] + [b"", b""]
+    table, out, width, held, bits, last = list(first), [], 9, 0, 0, None
+    for byte in data:
+        held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits & ((1 << width) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = list(first), 9, None
+            continue
+        if last is None:
+            entry = table[code]
+        else:
+            if code > len(table):
+                raise ValueError("damaged LZW strip")
+            entry = table[code] if code < len(table) else last + last[:1]
+            table.append(last + entry[:1])
+        out.append(entry)
+        last = entry
+        width = min(12, max(9, (len(table) + 1).bit_length()))
+    return b"".join(out)
+
+
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 16: 8}
 
 
 def decode_tiff(data: bytes) -> np.ndarray:
-    """The first image: 8-, 16- or 32-bit integers or floats in strips, plain or DEFLATE-compressed."""
+    """The first image: 8-, 16- or 32-bit integers or floats in strips, plain, DEFLATE- or LZW-compressed, with differences of
+    neighbours (predictor 2) or without."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("not a TIFF file")
@@ -110,13 +160,18 @@ def decode_tiff(data: bytes) -> np.ndarray:
                 where = struct.unpack_from(order + "I", data, where)[0]
             tags[tag] = list(struct.unpack_from(f"{order}{n}{form}", data, where))
     w, h, compression = tags[256][0], tags[257][0], tags.get(259, [1])[0]
-    if compression not in (1, 8, 32946) or 322 in tags or tags.get(317, [1])[0] != 1:
-        raise ValueError("TIFF files in strips, plain or DEFLATE-compressed, without predictor, can be read")
+    predictor = tags.get(317, [1])[0]
+    if compression not in (1, 5, 8, 32946) or 322 in tags or predictor not in (1, 2):
+        raise ValueError("TIFF files in strips, plain, DEFLATE- or LZW-compressed, can be read")
     samples, bits = tags.get(277, [1])[0], tags.get(258, [1])[0]
+    if samples > 1 and tags.get(284, [1])[0] != 1:
+        raise ValueError("TIFF files with their samples next to each other can be read")
     kind = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}[tags.get(339, [1])[0], bits]
-    strips = [data[o : o + n] for o, n in zip(tags[273], tags[279])]
-    raw = b"".join(zlib.decompress(s) if compression != 1 else s for s in strips)
+    unpack = {1: bytes, 5: unpack_lzw}.get(compression, zlib.decompress)
+    raw = b"".join(unpack(data[o : o + n]) for o, n in zip(tags[273], tags[279]))
     a = np.frombuffer(raw, order + kind, h * w * samples).reshape(h, w, samples)
+    if predictor == 2:
+        a = np.cumsum(a, axis=1, dtype=a.dtype)
     return a[..., 0] if samples == 1 else a
 
 
@@ -134,17 +189,24 @@ def decode(data: bytes, name: str) -> np.ndarray:
     raise ValueError(f"cannot read .{ext} images")
 
 
+def _rows(path: str, a: np.ndarray) -> pa.RecordBatch:
+    """``b``: the value cut to a whole number; ``v``: unsigned values as a share of their greatest, others as they are."""
+    a = a if a.ndim == 3 else a[..., None]
+    h, w, c = a.shape
+    y, x, ch = (k.ravel().astype(np.int32) for k in np.indices((h, w, c)))
+    flat = np.ascontiguousarray(a).ravel()
+    v = flat / float(np.iinfo(flat.dtype).max) if flat.dtype.kind == "u" else flat.astype(float)
+    b = np.clip(np.nan_to_num(flat.astype(float)), -(1 << 31), (1 << 31) - 1).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array([path] * flat.size), pa.array(y), pa.array(x), pa.array(ch), pa.array(b), pa.array(v)], ["img", "y", "x", "ch", "b", "v"])
+
+
 def pixels_of(files: DataFrame) -> DataFrame:
-    """(img, y, x, ch, b) from (path, content)."""
+    """(img, y, x, ch, b, v) from (path, content)."""
 
     def run(batches):
         for rb in batches:
             for path, content in zip(rb.column("path").to_pylist(), rb.column("content")):
-                a = decode(content.as_py(), path)
-                a = a if a.ndim == 3 else a[..., None]
-                h, w, c = a.shape
-                y, x, ch = (k.ravel().astype(np.int32) for k in np.indices((h, w, c)))
-                yield pa.RecordBatch.from_arrays([pa.array([path] * (h * w * c)), pa.array(y), pa.array(x), pa.array(ch), pa.array(a.ravel().astype(np.int32))], ["img", "y", "x", "ch", "b"])
+                yield _rows(path, decode(content.as_py(), path))
 
     return files.select("path", "content").mapInArrow(run, PX)
 
@@ -160,21 +222,31 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
         def run(batches):
             for rb in batches:
                 for name, h, w, c, data in zip(*(col.to_pylist() for col in rb.columns)):
-                    a = np.frombuffer(data, np.uint8).reshape(h, w, c)[..., :3][..., ::-1]  # stored blue first
-                    y, x, ch = (k.ravel().astype(np.int32) for k in np.indices(a.shape))
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * a.size), pa.array(y), pa.array(x), pa.array(ch), pa.array(a.ravel().astype(np.int32))], ["img", "y", "x", "ch", "b"])
+                    yield _rows(name, np.frombuffer(data, np.uint8).reshape(h, w, c)[..., :3][..., ::-1])  # stored blue first
 
         return i.mapInArrow(run, PX)
     return pixels_of(spark.read.format("binaryFile").load(path))
 
 
+def encode_npy(a: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.save(out, a)
+    return out.getvalue()
+
+
+def encode_npz(a: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.savez_compressed(out, a)
+    return out.getvalue()
+
+
 def image_files(px: DataFrame, value: str = "b", kind: str = "png") -> DataFrame:
     """(path, content): a file for each image of (img, y, x, value), whole images in one task each."""
-    encoder = {"png": encode_png, "tif": encode_tiff}[kind]
+    encoder = {"png": encode_png, "tif": encode_tiff, "npy": encode_npy}[kind]
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         y, x, v = (t.column(c).to_numpy() for c in ("y", "x", value))
-        a = np.zeros((int(y.max()) + 1, int(x.max()) + 1), np.uint8)
+        a = np.zeros((int(y.max()) + 1, int(x.max()) + 1), v.dtype if v.dtype.kind == "f" and kind != "png" else np.uint8)
         a[y, x] = v
         return pa.table({"path": [f"{key[0].as_py()}.{kind}"], "content": pa.array([encoder(a)], pa.binary())})
 
@@ -183,10 +255,15 @@ def image_files(px: DataFrame, value: str = "b", kind: str = "png") -> DataFrame
 
 def write_images(px: DataFrame, path: str, value: str = "b", kind: str = "png") -> None:
     """Write each image to ``path`` with ``pyarrow.fs``, from the executors."""
+    _put(image_files(px, value, kind), path)
+
+
+def _put(files: DataFrame, path: str) -> None:
+    """Write (path, content) rows as files of one folder, from the executors."""
     from pyarrow import fs
 
     def run(batches):
-        system, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        system, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
         system.create_dir(root, recursive=True)
         for rb in batches:
             for name, content in zip(rb.column("path").to_pylist(), rb.column("content").to_pylist()):
@@ -194,13 +271,58 @@ def write_images(px: DataFrame, path: str, value: str = "b", kind: str = "png")
                     f.write(content)
             yield rb.select(["path"])
 
-    image_files(px, value, kind).mapInArrow(run, "path string").count()
+    files.mapInArrow(run, "path string").count()
+
+
+#: What stacks of features can be kept as.
+STACKS = {"npy": encode_npy, "npz": encode_npz, "tif": encode_tiff}
 
 
-def save_features(df: DataFrame, path: str) -> None:
-    """A feature stack as Parquet, a folder for each image."""
-    df.write.mode("overwrite").partitionBy("img").parquet(path)
+def save_features(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """A feature stack (img, y, x, features): Parquet, a folder for each image; or ``kind`` npy, npz or tif, a file
+    <img>.<kind> of (height, width, features) floats for each image, which is one task each. Other kinds are an error."""
+    if kind == "parquet":
+        df.write.mode("overwrite").partitionBy("img").parquet(path)
+        return
+    if kind not in STACKS:
+        raise ValueError(f"feature stacks can be kept as parquet, {', '.join(STACKS)}")
+    names = [c for c in df.columns if c not in ("img", "y", "x")]
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        y, x = t.column("y").to_numpy(), t.column("x").to_numpy()
+        kinds = {t.column(n).to_numpy().dtype for n in names}
+        a = np.zeros((int(y.max()) + 1, int(x.max()) + 1, len(names)), np.float32 if kinds == {np.dtype(np.float32)} else float)
+        for k, n in enumerate(names):
+            a[y, x, k] = t.column(n).to_numpy()
+        return pa.table({"path": [f"{key[0].as_py()}.{kind}"], "content": pa.array([STACKS[kind](a)], pa.binary())})
+
+    _put(df.groupBy("img").applyInArrow(run, "path string, content binary"), path)
+
+
+def load_features(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """What ``save_features`` wrote, or any (height, width, features) arrays: ``path`` is a Parquet folder, or npy, npz or tif files
+    (a pattern is allowed). Arrays do not tell names: their features are ``names``, or f0, f1 and so on."""
+    ext = path.rpartition(".")[2].lower()
+    if ext not in (*STACKS, "tiff"):
+        return spark.read.parquet(path)
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)\.\w+$", 1).alias("img"), "path", "content")
+    if names is None:  # of the first file: all stacks have the same features
+        first = files.limit(1).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [_stack(c.as_py(), p).shape[2] for p, c in zip(rb.column("path").to_pylist(), rb.column("content"))]}) for rb in bs), "n long").first()
+        names = [f"f{k}" for k in range(first[0] if first else 0)]
+
+    def run(batches):
+        for rb in batches:
+            for img, p, content in zip(rb.column("img").to_pylist(), rb.column("path").to_pylist(), rb.column("content")):
+                a = _stack(content.as_py(), p)
+                if a.shape[2] != len(names):
+                    raise ValueError(f"{p} has {a.shape[2]} features, not {len(names)}")
+                y, x = (k.ravel().astype(np.int32) for k in np.indices(a.shape[:2]))
+                cols = [pa.array(np.ascontiguousarray(a[..., k]).ravel().astype(float)) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([pa.array([img] * len(y)), pa.array(y), pa.array(x), *cols], ["img", "y", "x", *names])
+
+    return files.mapInArrow(run, "img string, y int, x int, " + ", ".join(f"`{n}` double" for n in names))
 
 
-def load_features(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def _stack(data: bytes, path: str) -> np.ndarray:
+    a = decode(data, path)
+    return a if a.ndim == 3 else a[..., None]

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local folder is set only where the session has none, as in tests."""
+    """``spark.checkpoint.dir``; a local folder is set only where a local session has none, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not base and current.isDefined():
         base = current.get()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pixelmill-")
     if not current.isDefined():
         spark.sparkContext.setCheckpointDir(base)
@@ -29,3 +31,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def staged(df: DataFrame, name: str = "staged") -> DataFrame:
+    """Write and reread in the shared folder: for rows that several steps read, so that they are computed once."""
+    path = new_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A text without line breaks, in any store that Spark writes."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path).first()[0]

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pixelmill.functions import filters as K
 from pixelmill.functions.config import ClassInfo, FeatureConfig, TrainingConfig, dumps, feature_names, loads, sigma_range
 from pixelmill.operators import features as X
+from pixelmill.operators import segmentation
 from pixelmill.operators import stencil as S
 
 
@@ -94,11 +95,69 @@ def test_config():
         FeatureConfig(use_gpu=True, structure_tensor_eigvals=True)
     with pytest.warns(UserWarning):
         loads('{"rules": []}')
+    # null where a setting is off
+    t = loads('{"feature_config": {"name": "x"}, "preprocessing": null, "rules": null, "CRF_params": {"s_rgb": [5, 5, 5], "label_confidence": 0.7}, "class_infos": [{"name": "a", "value": 0, "desired_volume_fraction": null, "connectivity_target": null}]}')
+    assert t.preprocessing is None and t.CRF_params.s_rgb == (5, 5, 5) and t.CRF_params.label_confidence == 0.7 and not t.class_infos[0].do_sam_postproc
+    assert t.params() == {"class_weight": "balanced"} and not t.modal_filter and t.feature_config.add_mod_trace_det_hessian
+
+
+def test_values_of_their_own(spark):
+    """Preprocessed and float images: filters see the values as they are, byte filters what is left of them as bytes."""
+    rng = np.random.default_rng(5)
+    v = rng.random((20, 18)) * 1.5
+    c = FeatureConfig(cast_to="f64", sigmas=(2.0,), minimum=True, maximum=True, bilateral=True)
+    rows = [("a", y, x, int(v[y, x]), float(v[y, x])) for y in range(20) for x in range(18)]
+    px = spark.createDataFrame(rows, "img string, y int, x int, b int, v double")
+    whole = dict(zip(feature_names(c), X.stack_of(c)(v.astype(int), v)))
+    assert set(np.unique(whole["maximum_s2"])) <= {0, 1} and whole["gaussian_blur_s0"] is v
+    out = segmentation.featurise(px, TrainingConfig(feature_config=c))
+    for n, plane in whole.items():
+        assert np.array_equal(dense(out, n, v.shape), plane), n
+    blurred = K.separable(v, K.normal_taps(1.0, 4))
+    out = segmentation.featurise(px, TrainingConfig(feature_config=c, preprocessing=("blur",)))
+    for n, plane in zip(feature_names(c), X.stack_of(c)(blurred.astype(int), blurred)):
+        assert np.array_equal(dense(out, n, v.shape), plane), n
+
+
+def test_colour_images_and_casts(spark, tmp_path):
+    a = np.random.default_rng(6).integers(0, 256, (9, 8, 3))
+    rows = [("a", y, x, k, int(a[y, x, k]), float(a[y, x, k] / 255.0)) for y in range(9) for x in range(8) for k in range(3)]
+    px = spark.createDataFrame(rows, "img string, y int, x int, ch int, b int, v double")
+    c = FeatureConfig(sigmas=(4.0,))
+    out = segmentation.featurise(px, TrainingConfig(feature_config=c), save_path=f"file://{tmp_path}/kept")
+    assert len(out.columns) == 3 + 3 * len(feature_names(c)) and {t for n, t in out.dtypes if n not in ("img", "y", "x")} == {"float"}
+    for k in range(3):
+        for n, plane in zip(feature_names(c), X.stack_of(c)(a[..., k])):
+            assert np.array_equal(dense(out, f"{n}_c{k}", (9, 8)), plane.astype(np.float16).astype(float)), n
+    one = segmentation.featurise(px.filter("ch = 0"), TrainingConfig(feature_config=c))
+    assert one.columns == ["img", "y", "x", *feature_names(c)]
+    two = segmentation.featurise(px, TrainingConfig(feature_config=c, preprocessing=("blur",)))
+    assert two.columns == out.columns
+
+
+def test_default_configuration_end_to_end(spark):
+    """The settings of a default file, all named, from a colour image to a refined segmentation."""
+    text = """{"feature_config": {"name": "default", "desc": "x", "cast_to": "f16", "add_weka_sigma_multiplier": true, "gaussian_blur": true, "sobel_filter": true, "hessian_filter": true,
+    "difference_of_gaussians": true, "membrane_projections": true, "mean": false, "minimum": false, "maximum": false, "median": false, "bilateral": false, "laplacian": false, "structure_tensor_eigvals": false,
+    "add_mod_trace_det_hessian": true, "membrane_thickness": 1, "membrane_patch_size": 15, "add_zero_scale_features": true, "min_sigma": 1.0, "max_sigma": 16.0, "sigmas": [1.0, 2.0, 4.0, 8.0, 16.0], "use_gpu": false},
+    "classifier": "random_forest", "classifier_params": {"n_estimators": 10}, "balance_classes": true, "shuffle_data": true, "n_samples": -1, "preprocessing": null, "modal_filter": true, "modal_filter_k": 2,
+    "autocontext": true, "CRF": true, "CRF_params": {"label_confidence": 0.6, "sxy_g": [3, 3], "sxy_b": [80, 80], "s_rgb": [13, 13, 13], "compat_g": 10.0, "compat_b": 10.0, "n_infer": 10}, "add_dino_features": false,
+    "HITL": false, "HITL_strategy": "wrong", "rules": null, "class_infos": [{"name": "a", "value": 1, "do_sam_postproc": false}], "use_gpu": false}"""
+    truth = np.zeros((40, 40), int)
+    truth[:, 20:] = 1
+    noise = np.random.default_rng(7).normal(size=(40, 40, 3)) * 20
+    a = np.clip(np.stack([60 + 90 * truth, 100 - 0 * truth, 200 - 120 * truth], -1) + noise, 0, 255).astype(int)
+    rows = [("a", y, x, k, int(a[y, x, k]), float(a[y, x, k] / 255.0)) for y in range(40) for x in range(40) for k in range(3)]
+    px = spark.createDataFrame(rows, "img string, y int, x int, ch int, b int, v double").cache()
+    labels = spark.createDataFrame([("a", y, x, int(truth[y, x]) + 1 if y % 8 == 0 else 0) for y in range(40) for x in range(40)], "img string, y int, x int, label int")
+    out, model = segmentation.train_and_apply(px, labels, loads(text), 2)
+    got = dense(out, "seg", (40, 40))
+    assert (got == truth).mean() > 0.95 and len(model.features) == 3 * 58 + 2
 
 
 def test_tiles_equal_the_whole_image(spark):
     a = np.random.default_rng(0).integers(0, 256, (40, 33))
-    c = FeatureConfig(sigmas=(1.0, 4.0), mean=True, median=True, laplacian=True, structure_tensor_eigvals=True, bilateral=True, membrane_patch_size=9)
+    c = FeatureConfig(cast_to="f64", sigmas=(1.0, 4.0), mean=True, median=True, laplacian=True, structure_tensor_eigvals=True, bilateral=True, membrane_patch_size=9)
     whole = dict(zip(feature_names(c), X.stack_of(c)(a)))
     rows = X.multiscale_features(frame(spark, a), c, tile=16).collect()
     assert len(rows) == a.size
@@ -151,4 +210,4 @@ def test_custom_features_and_half_precision(spark):
     out = X.custom_features(frame(spark, a), lambda b: [b * 0.1], ["tenth"])
     half = {(r.y, r.x): r.tenth for r in X.cast_features(out, ["tenth"]).collect()}
     assert half[2, 3] == float(np.float16(1.1))
-    assert S.TILE == 512
+    assert S.TILE == 256

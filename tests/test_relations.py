@@ -123,6 +123,81 @@ def test_png_row_filters(kind):
     assert np.array_equal(images._unfilter(kind, coded, above, step), row)
 
 
+@pytest.mark.parametrize("depth", [1, 2, 4, 8])
+@pytest.mark.parametrize("interlaced", [0, 1])
+def test_png_depths_and_passes(depth, interlaced):
+    import struct
+    import zlib
+
+    h, w = 13, 11
+    a = np.random.default_rng(depth).integers(0, 2**depth, (h, w)).astype(np.uint8)
+    body = b""
+    for y0, x0, dy, dx in images._PASSES if interlaced else ((0, 0, 1, 1),):
+        part = a[y0::dy, x0::dx]
+        if part.size:
+            bits = np.unpackbits(part[..., None], axis=2)[..., 8 - depth :].reshape(len(part), -1)
+            body += b"".join(b"\0" + np.packbits(r).tobytes() for r in bits)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, 0, 0, 0, interlaced)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+    assert np.array_equal(images.decode_png(data), a * (255 // (2**depth - 1)))
+
+
+def pack_lzw(data):
+    """LZW as TIFF has it, for the test."""
+    table, width, out, held = {bytes([i]): i for i in range(256)}, 9, [(256, 9)], b""
+    n = 258
+    for c in data:
+        c = bytes([c])
+        if held + c in table:
+            held += c
+            continue
+        out.append((table[held], width))
+        table[held + c] = n
+        n += 1
+        if n >= 4094:
+            out.append((256, 12))
+            table, n, width = {bytes([i]): i for i in range(256)}, 258, 9
+        else:
+            width = max(9, (n).bit_length())
+        held = c
+    out += [(table[held], width), (257, max(9, (n + 1).bit_length()))]
+    bits = "".join(f"{v:0{k}b}" for v, k in out)
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+def test_packed_tiff():
+    import struct
+
+    rng = np.random.default_rng(2)
+    for n in (10, 3000, 20_000):
+        data = rng.integers(0, 7, n).astype(np.uint8).tobytes()
+        assert images.unpack_lzw(pack_lzw(data)) == data
+    a = rng.integers(0, 256, (8, 9, 3)).astype(np.uint8)
+    diff = a.copy()
+    diff[:, 1:] -= a[:, :-1]
+    strip = pack_lzw(diff.tobytes())
+    tags = [(256, 9), (257, 8), (258, 8), (259, 5), (262, 2), (273, 8), (277, 3), (278, 8), (279, len(strip)), (317, 2)]
+    strip += b"\0" * (len(strip) % 2)
+    data = b"II*\0" + struct.pack("<I", 8 + len(strip)) + strip + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in tags) + bytes(4)
+    assert np.array_equal(images.decode_tiff(data), a)
+
+
+@pytest.mark.parametrize("kind", ["npy", "npz", "tif"])
+def test_stacks_as_arrays(spark, tmp_path, kind):
+    rows = [(i, y, x, y * 0.25 + x, float(y)) for i in ("a", "b") for y in range(3) for x in range(4)]
+    df = spark.createDataFrame(rows, "img string, y int, x int, f double, g double")
+    images.save_features(df, f"file://{tmp_path}/s", kind)
+    back = images.load_features(spark, f"file://{tmp_path}/s/*.{kind}", ["f", "g"])
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    assert images.load_features(spark, f"file://{tmp_path}/s/*.{kind}").columns == ["img", "y", "x", "f0", "f1"]
+    lab = spark.createDataFrame([("a", 0, 1, 2), ("b", 2, 2, 1), ("b", 0, 0, 0)], "img string, y int, x int, label int")
+    union = L.training_union([f"file://{tmp_path}/s/a.{kind}", f"file://{tmp_path}/s/b.{kind}"], [lab, lab])
+    assert sorted((r.img, r.f0, r.label) for r in union.collect()) == [("a", 1.0, 1), ("b", 2.5, 0)]
+    with pytest.raises(ValueError):
+        images.save_features(df, "x", "pt")
+
+
 def test_arrays_and_files(spark, tmp_path):
     a = np.arange(12, dtype=np.uint8).reshape(3, 4)
     np.save(tmp_path / "a.npy", a)
@@ -174,14 +249,53 @@ def test_expert_needs_and_follows_a_target(spark):
     assert m.predict(data).filter("seg = label").count() / data.count() > 0.8
 
 
-def test_boosted_models_come_back(spark, tmp_path):
-    from pixelmill.operators.boost import Booster
+@pytest.mark.parametrize("name,params", [("random_forest", {"n_estimators": 5, "max_depth": 4}), ("logistic_regression", {}), ("linear_regression", {"alpha": 2.0}), ("mlp", {"hidden_layer_sizes": [4]}), ("xgb", {"n_estimators": 3})])
+def test_models_come_back(spark, tmp_path, name, params):
+    data = training(spark).cache()
+    model = models.train(models.get_model(name, ["f", "g"], 3, params), data)
+    model.save(spark, f"file://{tmp_path}/m")
+    again = models.load_classifier(spark, f"file://{tmp_path}/m")
+    assert type(again) is type(model) and again.params == model.params
+    assert again.predict_proba(data).select("prob").collect() == model.predict_proba(data).select("prob").collect()
+
 
+def test_expert_models_come_back(spark, tmp_path):
     data = training(spark).cache()
-    b = Booster(["f", "g"], 3).fit(data, 2)
-    b.save(str(tmp_path / "m.json"))
-    again = Booster.load(str(tmp_path / "m.json"))
-    assert again.predict_proba(data).select("prob").collect() == b.predict_proba(data).select("prob").collect()
+    m = expert.ExpertClassifier(["f", "g"], [ClassInfo("a", 0, desired_volume_fraction=0.33), ClassInfo("b", 1)], 3, depth=2).fit(data, data.filter("y < 10"), 2)
+    m.save(spark, f"file://{tmp_path}/m")
+    again = models.load_classifier(spark, f"file://{tmp_path}/m")
+    assert again.fractions == m.fractions and again.predict(data).select("seg").collect() == m.predict(data).select("seg").collect()
+
+
+def test_one_task_and_many_grow_the_same_trees(spark, monkeypatch):
+    from pixelmill.operators import boost
+
+    data = training(spark).repartition(3).cache()
+    here = boost.Booster(["f", "g"], 3, depth=4).fit(data, 10)
+    monkeypatch.setattr(boost, "LOCAL", 0)
+    there = boost.Booster(["f", "g"], 3, depth=4).fit(data, 10)
+    for a, b in zip(here.rounds, there.rounds, strict=True):
+        for s, t in zip(a, b):
+            assert (s.feature == t.feature).all() and (s.cut == t.cut).all() and np.allclose(s.value, t.value)
+
+
+def test_tree_nodes():
+    from pixelmill.operators.boost import Tree
+
+    rng = np.random.default_rng(3)
+    for depth in (1, 2, 5, 8):
+        t = Tree(depth)
+        t.feature, t.cut = rng.integers(0, 4, 2**depth - 1), rng.integers(0, 32, 2**depth - 1)
+        bins = rng.integers(0, 32, (4, 200)).astype(np.uint8)
+        for level in range(depth + 1):
+            want = []
+            for row in bins.T:
+                k = 0
+                for d in range(level):
+                    node = 2**d - 1 + k
+                    k = 2 * k + int(row[t.feature[node]] > t.cut[node])
+                want.append(k)
+            assert t.node(bins, level).tolist() == want
 
 
 def test_field_smooths(spark):
@@ -195,6 +309,46 @@ def test_field_smooths(spark):
     assert out[3, 3] == 0 and all(out[y, x] == a[y, x] for y in range(12) for x in range(12))
 
 
+def exact_field(unary, place, colour, p):
+    """The mean field with every pair of pixels."""
+    kernels = []
+    for f, weight in ((place / np.array(p.sxy_g), p.compat_g), (np.hstack([place / np.array(p.sxy_b), colour / np.array(p.s_rgb)]), p.compat_b)):
+        k = np.exp(-0.5 * ((f[:, None] - f[None]) ** 2).sum(-1))
+        n = 1 / np.sqrt(k.sum(1))
+        kernels.append(weight * n[:, None] * k * n[None])
+    q = crf._soft(-unary)
+    for _ in range(p.n_infer):
+        q = crf._soft(sum(k @ q for k in kernels) - unary)
+    return q
+
+
+@pytest.mark.parametrize("grey", [True, False])
+def test_field_is_near_the_exact_one(grey):
+    rng = np.random.default_rng(0)
+    yy, xx = np.mgrid[:32, :36]
+    colour = np.stack([(xx * 4) % 256, (yy * 5) % 200, ((xx + yy) * 3) % 256], -1).reshape(-1, 3) + rng.normal(size=(32 * 36, 3)) * 5
+    colour = np.repeat(colour[:, :1], 3, 1) if grey else colour
+    place = np.stack([yy.ravel(), xx.ravel()], 1).astype(float)
+    prob = rng.dirichlet(np.ones(3), len(place)) + (xx.ravel() > 18)[:, None] * [0.5, 0, 0]
+    unary = -np.log(prob / prob.sum(1, keepdims=True))
+    p = CRFParams(n_infer=5, sxy_b=(10.0, 10.0))
+    got, want = crf.mean_field(unary, place, colour, p), exact_field(unary, place, colour, p)
+    assert (got.argmax(1) == want.argmax(1)).mean() > 0.97 and np.abs(got - want).mean() < 0.02
+
+
+def test_field_of_colours(spark):
+    """Noise goes where the colours agree, and an edge that only one channel shows stays."""
+    a = np.zeros((12, 12), int)
+    a[:, 6:] = 1
+    noisy = a.copy()
+    noisy[3, 3] = 1
+    rows = [("a", y, x, ch, int(a[y, x] * 200) if ch == 2 else 90) for y in range(12) for x in range(12) for ch in range(3)]
+    px = spark.createDataFrame(rows, "img string, y int, x int, ch int, b int")
+    seg = spark.createDataFrame([("a", y, x, int(noisy[y, x])) for y in range(12) for x in range(12)], "img string, y int, x int, seg int")
+    out = {(r.y, r.x): r.seg for r in crf.from_labels(seg, px, 2, params=CRFParams(n_infer=5)).collect()}
+    assert all(out[y, x] == a[y, x] for y in range(12) for x in range(12))
+
+
 def test_regions_and_prompts(spark):
     a = np.zeros((10, 10), int)
     a[2:6, 2:6] = 1
@@ -208,6 +362,31 @@ def test_regions_and_prompts(spark):
     assert p.coords == [[10.0, 20.0], [40.0, 60.0]] and p.labels == [2.0, 3.0]
 
 
+def test_masks_of_a_model(spark):
+    """The path through a model: image and prompts in, masks pasted over the regions; the model is a stand-in."""
+    a = np.zeros((10, 10), int)
+    a[2:6, 2:6] = 1
+    seg = spark.createDataFrame([("a", y, x, int(a[y, x])) for y in range(10) for x in range(10)], "img string, y int, x int, seg int")
+
+    def provider():
+        def model(image, coords, labels):
+            (x0, y0), (x1, y1) = coords
+            assert labels == [2.0, 3.0]
+            scores = np.full((10, 10), -1.0)
+            scores[int(y0) : int(y1), int(x0) : int(x1)] = image[0]
+            return scores
+
+        return model
+
+    def masks(regions):
+        boxes = regions.select(F.concat_ws("/", "img", "seg", "lab").alias("id"), F.col("minc").alias("x"), F.col("minr").alias("y"), (F.col("maxc") - F.col("minc") + 1).alias("w"), (F.col("maxr") - F.col("minr")).alias("h"), "img", "seg", "lab")
+        asked = sam.box_prompt(boxes).join(boxes.select("id", "img", "seg", "lab"), "id").select("img", F.lit(b"\x05").alias("image"), "coords", "labels", F.col("seg").cast("long").alias("value"), F.col("lab").alias("ord"))
+        return sam.model_masks(asked, provider)
+
+    out = {(r.y, r.x): r.seg for r in sam.refine_regions(seg, {1: 3}, 1000, masks).collect()}
+    assert all(out[y, x] == int(2 <= y < 6 and 2 <= x < 7) for y in range(10) for x in range(10))
+
+
 def test_preprocessing():
     rng = np.random.default_rng(10)
     clean = np.zeros((64, 64))
