@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.forest import bins_of, mask_of, pick
 from ..sources.shared import staged
 
 #: Bytes of binned training rows that one task takes; rounds after which margins are written anew.
@@ -43,10 +44,10 @@ class Tree:
         if not level:
             return np.zeros(bins.shape[1], np.uint8)
         right = [bins[f] > c for f, c in zip(self.feature[: 2**level - 1].tolist(), self.cut[: 2**level - 1].tolist())]
-        below = [right[2 ** (level - 1) - 1 + k].astype(np.uint8) for k in range(2 ** (level - 1))]
+        below = [right[2 ** (level - 1) - 1 + k].view(np.uint8) for k in range(2 ** (level - 1))]
         for d in range(level - 2, -1, -1):
             step = np.uint8(2 ** (level - 1 - d))
-            below = [np.where(right[2**d - 1 + k], below[2 * k + 1] + step, below[2 * k]) for k in range(2**d)]
+            below = [pick(below[2 * k], below[2 * k + 1] + step, mask_of(right[2**d - 1 + k], np.uint8)) for k in range(2**d)]
         return below[0]
 
     def predict(self, bins: np.ndarray) -> np.ndarray:
@@ -84,15 +85,17 @@ class Booster:
         out = np.empty((len(self.features), rb.num_rows), np.uint8)
         for j, c in enumerate(self.features):
             col = rb.column(c)
-            out[j] = np.searchsorted(self.edges[j], col.to_numpy() if isinstance(col, pa.ChunkedArray) else col.to_numpy(zero_copy_only=False), "left")
+            out[j] = bins_of(col.to_numpy() if isinstance(col, pa.ChunkedArray) else col.to_numpy(zero_copy_only=False), self.edges[j])
         return out
 
     def margin(self, bins: np.ndarray, since: int = 0) -> np.ndarray:
         """Sums of all trees from the round ``since`` on."""
         m = np.zeros((self.classes, bins.shape[1]))
-        for trees in self.rounds[since:]:
-            for k, t in enumerate(trees):
-                m[k] += (self.rate * t.value)[t.node(bins, self.depth)]
+        for a in range(0, bins.shape[1], 1 << 15):  # a block's bins stay in the cache for all trees
+            part = np.ascontiguousarray(bins[:, a : a + (1 << 15)])
+            for trees in self.rounds[since:]:
+                for k, t in enumerate(trees):
+                    m[k, a : a + (1 << 15)] += np.take(self.rate * t.value, t.node(part, self.depth))
         return np.ascontiguousarray(m.T)
 
     def fit(self, train: DataFrame, rounds: int, weight: str | None = None, extra: Callable[[Booster], DataFrame | None] | None = None) -> Booster:

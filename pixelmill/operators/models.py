@@ -15,8 +15,10 @@ from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..sources.shared import read_text, write_text
+from ..functions.forest import Forest
+from ..sources.shared import new_path, read_text, write_text
 from . import labels as L
 from .boost import Booster
 
@@ -92,6 +94,37 @@ class RandomForest(PipelineClassifier):
             forest.setWeightCol(weight)
         return [forest]
 
+    def fit(self, train, weight=None):
+        self.forest = None
+        return super().fit(train, weight)
+
+    def _packed(self, spark: SparkSession) -> Forest:
+        """The trees as arrays, read once from what Spark writes of its model; as large as the model."""
+        if self.forest is None:
+            path = new_path(spark, "forest")
+            self.model.stages[-1].write().save(path)
+            d = F.col("nodeData")
+            nodes = spark.read.parquet(f"{path}/data").select("treeID", d["id"], d["split"]["featureIndex"], F.get(d["split"]["leftCategoriesOrThreshold"], F.lit(0)), d["leftChild"], d["rightChild"], d["impurityStats"])
+            self.forest = Forest.of_nodes(len(self.features), [tuple(r) for r in nodes.collect()])
+        return self.forest
+
+    def predict_proba(self, px: DataFrame) -> DataFrame:
+        """The same probabilities as Spark's, by bitwise steps over columns."""
+        forest, names, carried = self._packed(px.sparkSession), self.features, px.columns
+
+        def run(batches):
+            for rb in batches:
+                if rb.num_rows:
+                    p = forest.predict_proba([rb.column(c).to_numpy(zero_copy_only=False) for c in names])
+                    prob = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.ravel()))
+                    yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in carried), prob], [*carried, "prob"])
+
+        return px.mapInArrow(run, T.StructType([*px.schema.fields, T.StructField("prob", T.ArrayType(T.DoubleType()))]))
+
+    def restore(self, state, spark, path):
+        super().restore(state, spark, path)
+        self.forest = None
+
 
 class Logistic(PipelineClassifier):
     """Multinomial regression on features scaled to 0..1; scaling is learned when fitting."""
@@ -224,5 +257,5 @@ def train(model: Classifier, data: DataFrame, balanced: bool = False) -> Classif
 
 
 def apply(model: Classifier, features: DataFrame) -> DataFrame:
-    """(img, y, x, prob, seg)"""
-    return model.predict(features).select(*KEYS, "prob", "seg")
+    """(img, y, x, prob, seg); only what the model reads goes through it."""
+    return model.predict(features.select(*KEYS, *model.features)).select(*KEYS, "prob", "seg")

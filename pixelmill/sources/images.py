@@ -282,7 +282,7 @@ def save_features(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """A feature stack (img, y, x, features): Parquet, a folder for each image; or ``kind`` npy, npz or tif, a file
     <img>.<kind> of (height, width, features) floats for each image, which is one task each. Other kinds are an error."""
     if kind == "parquet":
-        df.write.mode("overwrite").partitionBy("img").parquet(path)
+        df.withColumn("img_folder", F.col("img")).write.mode("overwrite").partitionBy("img_folder").parquet(path)
         return
     if kind not in STACKS:
         raise ValueError(f"feature stacks can be kept as parquet, {', '.join(STACKS)}")
@@ -304,7 +304,7 @@ def load_features(spark: SparkSession, path: str, names: list[str] | None = None
     (a pattern is allowed). Arrays do not tell names: their features are ``names``, or f0, f1 and so on."""
     ext = path.rpartition(".")[2].lower()
     if ext not in (*STACKS, "tiff"):
-        return spark.read.parquet(path)
+        return spark.read.parquet(path).drop("img_folder")
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)\.\w+$", 1).alias("img"), "path", "content")
     if names is None:  # of the first file: all stacks have the same features
         first = files.limit(1).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [_stack(c.as_py(), p).shape[2] for p, c in zip(rb.column("path").to_pylist(), rb.column("content"))]}) for rb in bs), "n long").first()

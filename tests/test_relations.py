@@ -259,6 +259,28 @@ def test_models_come_back(spark, tmp_path, name, params):
     assert again.predict_proba(data).select("prob").collect() == model.predict_proba(data).select("prob").collect()
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_forests_answer_as_spark_does(spark, kind):
+    from pyspark.ml.functions import vector_to_array
+
+    data = training(spark, 900).select("img", "y", "x", F.col("f").cast(kind), F.col("g").cast(kind), "label").cache()
+    model = models.get_model("random_forest", ["f", "g"], 3, {"n_estimators": 12, "max_depth": None}).fit(data)
+    got = {(r.y, r.x): r.prob for r in model.predict_proba(data).collect()}
+    for r in model.model.transform(data).select("y", "x", vector_to_array("probability").alias("p")).collect():
+        assert np.allclose(got[r.y, r.x], r.p, atol=1e-12)
+
+
+def test_bins_are_those_of_double_precision():
+    from pixelmill.functions.forest import bins_of
+
+    rng = np.random.default_rng(1)
+    edges = np.sort(np.append(rng.normal(size=20), [0.1, np.float64(np.float32(0.3))]))
+    x = np.concatenate([rng.normal(size=500), edges, [np.nan, np.inf, -np.inf]])
+    assert np.array_equal(bins_of(x, edges), np.searchsorted(edges, x, "left"))
+    y = np.concatenate([x.astype(np.float32), np.nextafter(edges.astype(np.float32), np.float32(9))])
+    assert np.array_equal(bins_of(y, edges), np.searchsorted(edges, y.astype(float), "left"))
+
+
 def test_expert_models_come_back(spark, tmp_path):
     data = training(spark).cache()
     m = expert.ExpertClassifier(["f", "g"], [ClassInfo("a", 0, desired_volume_fraction=0.33), ClassInfo("b", 1)], 3, depth=2).fit(data, data.filter("y < 10"), 2)
