@@ -277,6 +277,60 @@ def test_quality_without_labels_or_rows(spark):
     assert quality.score_quality(spark, docs.filter("doc_id < 0"), labels).count() == 0
 
 
+def brute_isotonic(n, good):
+    """The non-decreasing fit by its definition: of all stretches that end at or after a place the least mean, of all that begin before it the greatest."""
+    mean = lambda a, b: good[a : b + 1].sum() / n[a : b + 1].sum()
+    return np.array([max(min(mean(a, b) for b in range(i, len(n))) for a in range(i + 1)) for i in range(len(n))])
+
+
+def test_quality_by_brute_force(spark):
+    """The same scores from all rows at once: dense least squares for every penalty and fold, the isotonic fit by its definition."""
+    docs, labels = labelled_documents(spark, 300)
+    rows = statistics.document_statistics(docs).select("doc_id", "stats", F.pmod(F.xxhash64("doc_id"), F.lit(quality.FOLDS)).alias("fold")).orderBy("doc_id").collect()
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    x, fold, ids = np.array([r.stats for r in rows]), np.array([r.fold for r in rows]), [r.doc_id for r in rows]
+    known = np.array([zlib.crc32(str(i).encode()) % 4 != 2 for i in ids])
+    y = np.array([truth[i] for i in ids], float)
+    f = quality.Fourier(x[known].mean(0), x[known].std(0), 32)
+    z, zk, yk, fk = f(x), f(x[known]), y[known], fold[known]
+
+    def ridge(a, b, penalty):
+        n, d = len(a), a.shape[1]
+        more = np.full(d, penalty * n)
+        more[-1] = 1e-9 * n
+        return np.linalg.lstsq(np.vstack([a, np.diag(np.sqrt(more + 1e-9))]), np.append(b, np.zeros(d)), rcond=None)[0]
+
+    def left_out(penalty):
+        return np.concatenate([[ridge(zk[fk != k], yk[fk != k], penalty) for k in range(quality.FOLDS)]])
+
+    errors = {p: sum(((zk[fk == k] @ w - yk[fk == k]) ** 2).sum() for k, w in enumerate(left_out(p))) for p in quality.PENALTIES}
+    best = min(errors, key=errors.get)
+    raw = np.einsum("ij,ij->i", zk, left_out(best)[fk])
+    bins = np.clip((raw + 0.5) / 2 * quality.BINS, 0, quality.BINS - 1).astype(int)
+    used = np.unique(bins)
+    n, good = np.array([(bins == b).sum() for b in used], float), np.array([yk[bins == b].sum() for b in used])
+    level = brute_isotonic(n, good)
+    blocks = [np.flatnonzero(np.isclose(level, v, atol=1e-12)) for v in sorted(set(np.round(level, 12)))]
+    centre = (used + 0.5) / quality.BINS * 2 - 0.5
+    knots = np.array([(centre[b] * n[b]).sum() / n[b].sum() for b in blocks])
+    values = np.maximum.accumulate([(good[b].sum() + 0.5) / (n[b].sum() + 1) for b in blocks])
+    want = dict(zip(ids, quality.calibrated(z @ ridge(zk, yk, best), knots, values)))
+    got = {r.doc_id: r.score for r in quality.score_quality(spark, docs, labels, features=32).collect()}
+    assert max(abs(got[i] - want[i]) for i in ids) < 1e-3
+
+
+def test_isotonic_by_definition():
+    r = np.random.default_rng(12)
+    for _ in range(20):
+        n, x = r.integers(1, 5, 30).astype(float), np.arange(30.0)
+        good = np.array([r.integers(0, int(k) + 1) for k in n], float)
+        knots, values = quality.isotonic(x, n, good)
+        level = brute_isotonic(n, good)
+        blocks = [np.flatnonzero(np.isclose(level, v)) for v in sorted(set(np.round(level, 12)))]
+        assert np.allclose(knots, [(x[b] * n[b]).sum() / n[b].sum() for b in blocks])
+        assert np.allclose(values, np.maximum.accumulate([(good[b].sum() + 0.5) / (n[b].sum() + 1) for b in blocks]))
+
+
 def test_isotonic_does_not_fall():
     r = np.random.default_rng(4)
     x = np.sort(r.normal(size=200))
@@ -328,6 +382,66 @@ def test_labels_that_repeat(spark):
     assert all(np.allclose(x, y) for x, y in zip(a.weights, b.weights))
 
 
+def test_toxicity_by_brute_force(spark):
+    """Features counted word by word, the choice of features one by one, weights at the optimum, and the chain row by row."""
+    import pyarrow as pa
+
+    from pixelmill.llm import kernels as K
+
+    docs, labels = labelled_documents(spark, 150)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = {r.doc_id: (r.toxic_english, r.toxic_other, r.toxic) for r in toxicity.category_labels(docs, labels).collect()}
+    buckets = 1 << 12
+
+    def buckets_of(text):
+        found = []
+        for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()):
+            raw = np.frombuffer(w.encode(), np.uint8)
+            for p in (0, *toxicity.PREFIXES):
+                if not p or len(raw) > p:
+                    found.append(int(toxicity._hash(raw, np.array([0]), np.array([p or len(raw)]), buckets, p)[0]))
+        return found
+
+    ids = sorted(known)
+    counts = np.zeros((len(ids), buckets))
+    for k, i in enumerate(ids):
+        for b in buckets_of(texts[i]):
+            counts[k, b] += 1
+    y = np.array([known[i] for i in ids], float)
+    chosen = set()
+    for c in range(3):
+        n, total = len(ids), y[:, c].sum()
+        if not 0 < total < n:
+            continue
+        gains = []
+        for b in range(buckets):
+            seen, mine = (counts[:, b] > 0).sum(), ((counts[:, b] > 0) & (y[:, c] > 0)).sum()
+            if mine >= 3 and mine > seen * total / n:
+                rest = seen - mine
+                g = mine * np.log(mine / (seen * total / n)) + (rest * np.log(rest / (seen * (1 - total / n))) if rest else 0)
+                if g > 2:
+                    gains.append((-g, b))
+        chosen |= {b for _, b in sorted(gains)[: toxicity.KEEP]}
+    chain = toxicity.fit_chain(spark, docs, toxicity.category_labels(docs, labels), toxicity.CATEGORIES, n_buckets=buckets)
+    assert chain.features.tolist() == sorted(chosen)
+    x = np.log1p(counts[:, chain.features])
+    raw = K.text_buffer(pa.array([texts[i] for i in ids]))
+    assert np.allclose(toxicity.matrix(*raw, chain.features, buckets), x)
+    # the first model has no inputs beside the features: its gradient, penalty included, is 0
+    w = chain.weights[0]
+    one = np.hstack([x, np.ones((len(x), 1))])
+    p = 1 / (1 + np.exp(-one @ w))
+    penalty = np.append(np.full(x.shape[1], toxicity.PENALTY), 1e-3)
+    assert np.abs(one.T @ (y[:, 0] - p) - penalty * w).max() < 1e-3
+    out = {r.doc_id: (r.p_toxic_english, r.p_toxic_other, r.p_toxic) for r in toxicity.apply_chain(docs, chain, toxicity.CATEGORIES).collect()}
+    for k, i in enumerate(ids):
+        earlier = []
+        for w in chain.weights:
+            row = np.concatenate([x[k], earlier, [1.0]])
+            earlier.append(1 / (1 + np.exp(-np.clip(row @ w, -30, 30))))
+        assert np.allclose(out[i], earlier)
+
+
 def test_chain_uses_earlier_categories():
     r = np.random.default_rng(6)
     a = r.integers(0, 2, 400)
@@ -583,6 +697,29 @@ def test_single_links_in_crowded_nodes(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_links(rows, 85).items()} == dict.fromkeys([500, *range(120)], 0)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_recall_of_single_links(spark, monkeypatch, percent):
+    """Pairs just above the threshold, each the only link of its documents, in nodes that branch several times."""
+    monkeypatch.setattr(near_dup, "NODE", 6)
+    rnd = random.Random(percent)
+    common = [f"c{i}" for i in range(8)]
+    rows = []
+    for k in range(150):
+        base = [f"a{k}x{i}" for i in range(90)] + common * 6
+        other = list(base)
+        while True:
+            other[rnd.randrange(90)] = f"b{rnd.randrange(10**6)}"
+            a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (base, other))
+            if 100 * len(a & b) < (percent + 3) * len(a | b):
+                break
+        rows += [(2 * k, " ".join(base), "a"), (2 * k + 1, " ".join(other), "a")]
+    want = brute_links(rows, percent)
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(spark, documents(spark, rows, 3), percent).collect()}
+    linked = [i for i, (_, c) in want.items() if c != i]
+    assert len(linked) > 60 and all(got[i] == i for i in got if want[i][1] == i)
+    assert sum(got[i] == want[i][1] for i in linked) >= 0.99 * len(linked)
+
+
 def test_links_pass_over_parts():
     rnd = np.random.default_rng(5)
     base = rnd.integers(0, 1 << 60, 100).astype(np.uint64)
