@@ -705,10 +705,10 @@ def test_recall_of_single_links(spark, monkeypatch, percent):
     common = [f"c{i}" for i in range(8)]
     rows = []
     for k in range(150):
-        base = [f"a{k}x{i}" for i in range(90)] + common * 6
+        base = [f"a{k}x{i}" for i in range(260)] + common * 6
         other = list(base)
         while True:
-            other[rnd.randrange(90)] = f"b{rnd.randrange(10**6)}"
+            other[rnd.randrange(260)] = f"b{rnd.randrange(10**6)}"
             a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (base, other))
             if 100 * len(a & b) < (percent + 3) * len(a | b):
                 break
