@@ -250,7 +250,9 @@ def membrane(b: np.ndarray, patch: int = 15, thickness: int = 1, mode: str = "re
     """
     r = patch // 2
     whole = np.issubdtype(b.dtype, np.integer)
-    kind, one = (np.int64, 255.0) if whole else (np.float64, 1.0)
+    most = 255 * max(sum(abs(weight) for _, _, weight in kernel) for kernel in membrane_kernels(patch, thickness))
+    small = whole and 30 * most * most < 1 << 31 and (not b.size or 0 <= b.min() and b.max() <= 255)
+    kind, one = (np.int32 if small else np.int64, 255.0) if whole else (np.float64, 1.0)
     p = pad(b.astype(kind), r, r, mode)
     h, w = b.shape
     n = 30
@@ -259,10 +261,12 @@ def membrane(b: np.ndarray, patch: int = 15, thickness: int = 1, mode: str = "re
     for k, kernel in enumerate(membrane_kernels(patch, thickness)):
         s = np.zeros((h, w), kind)
         for dy, dx, weight in kernel:
-            s += weight * p[r + dy : r + dy + h, r + dx : r + dx + w]
+            part = p[r + dy : r + dy + h, r + dx : r + dx + w]
+            s += part if weight == 1 else weight * part
         stack[k] = s
         total += s
         square += s * s
+    total, square = (total.astype(np.int64), square.astype(np.int64)) if small else (total, square)
     stack.sort(axis=0)
     median = (stack[n // 2 - 1] + stack[n // 2]) / 2.0 if upper is None else stack[(n - 1) // 2].astype(float)
     deviation = np.sqrt(np.maximum(n * square - total * total, 0) / float(n * (n - ddof)))

@@ -229,8 +229,9 @@ class Booster:
             out[r["c"]] = np.frombuffer(bytes(r["h"])).reshape(nodes, n_f, n_b, 2)
         return out
 
-    def predict_proba(self, px: DataFrame) -> DataFrame:
-        me = self
+    def predict_proba(self, px: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+        """All columns, or only the ``keys``, and ``prob``."""
+        me, carried = self, list(px.columns if keys is None else keys)
 
         def run(batches):
             for rb in batches:
@@ -238,8 +239,7 @@ class Booster:
                 prob = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, me.classes, dtype=np.int32)), pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in carried), prob], [*carried, "prob"])
 
-        carried = px.columns
-        return px.mapInArrow(run, T.StructType([*px.schema.fields, T.StructField("prob", T.ArrayType(T.DoubleType()))]))
+        return px.mapInArrow(run, T.StructType([*px.select(*carried).schema.fields, T.StructField("prob", T.ArrayType(T.DoubleType()))]))
 
     def state(self) -> dict:
         return {

@@ -40,6 +40,10 @@ class Classifier(ABC):
     @abstractmethod
     def predict_proba(self, px: DataFrame) -> DataFrame: ...
 
+    def probabilities(self, px: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """(keys, prob) only."""
+        return self.predict_proba(px).select(*keys, "prob")
+
     def predict(self, px: DataFrame) -> DataFrame:
         return self.predict_proba(px).withColumn("seg", L.argmax(F.col("prob")))
 
@@ -110,7 +114,10 @@ class RandomForest(PipelineClassifier):
 
     def predict_proba(self, px: DataFrame) -> DataFrame:
         """The same probabilities as Spark's, by bitwise steps over columns."""
-        forest, names, carried = self._packed(px.sparkSession), self.features, px.columns
+        return self.probabilities(px, px.columns)
+
+    def probabilities(self, px: DataFrame, keys: Sequence[str]) -> DataFrame:
+        forest, names, carried = self._packed(px.sparkSession), self.features, list(keys)
 
         def run(batches):
             for rb in batches:
@@ -119,7 +126,7 @@ class RandomForest(PipelineClassifier):
                     prob = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.ravel()))
                     yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in carried), prob], [*carried, "prob"])
 
-        return px.mapInArrow(run, T.StructType([*px.schema.fields, T.StructField("prob", T.ArrayType(T.DoubleType()))]))
+        return px.mapInArrow(run, T.StructType([*px.select(*carried).schema.fields, T.StructField("prob", T.ArrayType(T.DoubleType()))]))
 
     def restore(self, state, spark, path):
         super().restore(state, spark, path)
@@ -208,6 +215,9 @@ class Boosted(Classifier):
     def predict_proba(self, px: DataFrame) -> DataFrame:
         return self.model.predict_proba(px)
 
+    def probabilities(self, px: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return self.model.predict_proba(px, keys)
+
     def state(self):
         return {"booster": self.model.state()}
 
@@ -258,4 +268,5 @@ def train(model: Classifier, data: DataFrame, balanced: bool = False) -> Classif
 
 def apply(model: Classifier, features: DataFrame) -> DataFrame:
     """(img, y, x, prob, seg); only what the model reads goes through it."""
-    return model.predict(features.select(*KEYS, *model.features)).select(*KEYS, "prob", "seg")
+    out = model.probabilities(features.select(*KEYS, *model.features), KEYS)
+    return out.select(*KEYS, "prob", L.argmax(F.col("prob")).alias("seg"))

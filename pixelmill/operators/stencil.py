@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,38 +109,75 @@ def by_tile(
     """
     schema = T._parse_datatype_string(out) if isinstance(out, str) else out
     values = [value] if isinstance(value, str) else list(value)
-    sized = px.select(*keys, "y", "x", *values).join(extent(px, keys) if shape is None else shape, list(keys))
-
-    def reach(at: str, size: str) -> Column:
-        a = F.floor(F.greatest(F.col(at) - halo, F.lit(0)) / tile).cast("int")
-        b = F.floor(F.least(F.col(at) + halo, F.col(size) - 1) / tile).cast("int")
-        return F.explode(F.sequence(a, b))
-
-    dealt = sized.withColumn("ty", reach("y", "h")).withColumn("tx", reach("x", "w"))
     kinds = [f for f in px.select(*keys).schema.fields]
+    packed = T.StructType([*kinds, T.StructField("ty", T.IntegerType()), T.StructField("tx", T.IntegerType()), *[T.StructField(f"p{i}", T.BinaryType()) for i in range(2 + len(values))]])
     result = T.StructType([*kinds, T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType()), *schema.fields])
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow, sent = to_arrow_schema(result), to_arrow_schema(packed)
+    types = [np.dtype(np.int32), np.dtype(np.int32), *(f.type.to_pandas_dtype() for f in to_arrow_schema(px.select(*values).schema))]
+
+    def deal(batches):
+        """For every tile that the pixels of a batch are near, one row with all of them."""
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            cols = [pc.fill_null(rb.column(i), 0) if rb.column(i).null_count else rb.column(i) for i in range(len(keys), rb.num_columns)]
+            cols = [np.ascontiguousarray(c.to_numpy(zero_copy_only=False).astype(t)) for c, t in zip(cols, types)]
+            group = np.zeros(rb.num_rows, np.int64)
+            for i in range(len(keys)):
+                d = pc.dictionary_encode(rb.column(i), null_encoding="encode")
+                group = group * len(d.dictionary) + d.indices.to_numpy(zero_copy_only=False)
+            y, x = (c.astype(np.int64) for c in cols[:2])
+            k = -(-halo // tile)
+            reach = range(-k, k + 1)
+            for dy in reach:
+                ty = y // tile + dy
+                near_y = (ty >= 0) & (ty >= (y - halo) // tile) & (ty <= (y + halo) // tile)
+                for dx in reach:
+                    tx = x // tile + dx
+                    near = near_y & (tx >= 0) & (tx >= (x - halo) // tile) & (tx <= (x + halo) // tile)
+                    at = np.flatnonzero(near)
+                    if not len(at):
+                        continue
+                    code = (group[at] << 42) | (ty[at] << 21) | tx[at]
+                    if (code[1:] < code[:-1]).any():
+                        order = np.argsort(code, kind="stable")
+                        at, code = at[order], code[order]
+                    cut = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+                    first = pa.array(at[cut])
+                    blobs = [[c[at[i:j]].tobytes() for i, j in zip(cut, np.append(cut[1:], len(at)))] for c in cols]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(rb.column(i).take(first) for i in range(len(keys))), pa.array(ty[at[cut]].astype(np.int32)), pa.array(tx[at[cut]].astype(np.int32)), *(pa.array(b, pa.binary()) for b in blobs)], schema=sent
+                    )
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         h, w = t.column("h")[0].as_py(), t.column("w")[0].as_py()
         ty, tx = key[-2].as_py(), key[-1].as_py()
         y0, x0 = max(0, ty * tile - halo), max(0, tx * tile - halo)
         y1, x1 = min(h, (ty + 1) * tile + halo), min(w, (tx + 1) * tile + halo)
-        ys, xs = t.column("y").to_numpy() - y0, t.column("x").to_numpy() - x0
+        ys, xs, *flats = (np.frombuffer(b"".join(t.column(f"p{i}").to_pylist()), d) for i, d in enumerate(types))
         arrays = []
-        for name in values:
-            flat = t.column(name).to_numpy()
+        for flat in flats:
             a = np.zeros((y1 - y0, x1 - x0), flat.dtype)
-            a[ys, xs] = flat
+            a[ys - y0, xs - x0] = flat
             arrays.append(a)
-        mine = (ys + y0 >= ty * tile) & (ys + y0 < (ty + 1) * tile) & (xs + x0 >= tx * tile) & (xs + x0 < (tx + 1) * tile)
+        mine = (ys >= ty * tile) & (ys < (ty + 1) * tile) & (xs >= tx * tile) & (xs < (tx + 1) * tile)
         ys, xs = ys[mine], xs[mine]
+        if not len(ys):
+            return arrow.empty_table()
+        inner = (slice(ty * tile - y0, min(h, (ty + 1) * tile) - y0), slice(tx * tile - x0, min(w, (tx + 1) * tile) - x0))
+        rows, cols_ = inner[0].stop - inner[0].start, inner[1].stop - inner[1].start
+        whole = len(ys) == rows * cols_ and len(np.unique(ys.astype(np.int64) * (w + 1) + xs)) == len(ys)
+        if whole:  # every pixel is there: planes go out as they lie
+            ys, xs = np.repeat(np.arange(rows, dtype=np.int32) + inner[0].start + y0, cols_), np.tile(np.arange(cols_, dtype=np.int32) + inner[1].start + x0, rows)
         cols = {k: pa.array([x.as_py()] * len(ys), t.column(k).type) for k, x in zip(keys, key)}
-        cols |= {"y": pa.array((ys + y0).astype(np.int32)), "x": pa.array((xs + x0).astype(np.int32))}
+        cols |= {"y": pa.array(ys.astype(np.int32)), "x": pa.array(xs.astype(np.int32))}
         for name, plane in zip((f.name for f in schema), kernel(*arrays)):
-            cols[name] = pa.array(np.ascontiguousarray(plane[ys, xs]))
+            cols[name] = pa.array(np.ascontiguousarray(plane[inner]).ravel() if whole else np.ascontiguousarray(plane[ys - y0, xs - x0]))
         return pa.table(cols).cast(arrow)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(result)
-    return dealt.groupBy(*keys, "ty", "tx").applyInArrow(run, result)
+    dealt = px.select(*keys, "y", "x", *values).mapInArrow(deal, packed).join(extent(px, keys) if shape is None else shape, list(keys))
+    # few bytes, much work: the number of tasks must not follow the bytes, so partitions are asked for by number
+    tasks = 2 * int(px.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, *keys, "ty", "tx").groupBy(*keys, "ty", "tx").applyInArrow(run, result)
