@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, media, mixing, near_dup, oracles, quality, suffix_array, suffix_tree, toxicity, warc
+from . import alignment, decontaminate, licenses, media, mixing, near_dup, oracles, quality, suffix_array, suffix_tree, token_counts, toxicity, vector_codes, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_media": media.op8,
     "op9_near_dup": near_dup.op9,
     "op10_suffix_trees": suffix_tree.op10,
+    "op11_alignment": alignment.op11,
+    "op12_vector_codes": vector_codes.op12,
+    "op13_token_counts": token_counts.op13,
 }
 
 ORACLES: dict[str, str] = {
@@ -23,4 +26,5 @@ ORACLES: dict[str, str] = {
     "op7_mixing": mixing.OP7_SQL,
     "op9_near_dup": oracles.OP9,
     "op10_suffix_trees": oracles.OP10,
+    "op12_vector_codes": vector_codes.OP12_SQL,
 }
