@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -236,7 +237,24 @@ def concat_features(a: DataFrame, b: DataFrame, keys=("img", "y", "x")) -> DataF
     return a.join(b, list(keys))
 
 
-def custom_features(px: DataFrame, fn: Callable[[np.ndarray], Sequence[np.ndarray]], names: Sequence[str], halo: int | None = None, keys=("img",)) -> DataFrame:
-    """A user's function of the raw image (array of bytes to planes). Without ``halo`` it sees whole images, one task each."""
+def custom_features(px: DataFrame, fn: Callable[..., Sequence[np.ndarray]], names: Sequence[str], halo: int | None = None, keys=("img",), config: FeatureConfig | None = None, values: bool = False) -> DataFrame:
+    """A user's function of the raw image, ``fn(image)`` or ``fn(image, config)``, to planes. Without ``halo`` it sees whole images, one task each.
+
+    The image is an array (h, w) of bytes, or of the floats in ``v`` with ``values``; one with a column ``ch`` that is not among the keys is
+    (h, w, channels), a channel that a pixel lacks being 0. A pixel has one row whatever its channels.
+    """
     tile, halo = (1 << 30, 0) if halo is None else (S.TILE, halo)
-    return S.by_tile(px, lambda b: [np.asarray(p, float) for p in fn(b)], ", ".join(f"`{n}` double" for n in names), halo, "b", keys, tile)
+    value = "v" if values else "b"
+    if "ch" in px.columns and "ch" not in keys:
+        n = (px.agg(F.max("ch")).first()[0] or 0) + 1
+        px = px.groupBy(*keys, "y", "x").agg(*[F.coalesce(F.max(F.when(F.col("ch") == k, F.col(value))), F.lit(0)).alias(f"{value}{k}") for k in range(n)])
+        columns = [f"{value}{k}" for k in range(n)]
+    else:
+        columns = [value]
+    given = (config or FeatureConfig(),) if len([p for p in inspect.signature(fn).parameters.values() if p.kind in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD) and p.default is p.empty]) > 1 else ()
+    several = "ch" not in keys and len(columns) > 1
+
+    def kernel(*planes: np.ndarray) -> list[np.ndarray]:
+        return [np.asarray(p, float) for p in fn(np.stack(planes, -1) if several else planes[0], *given)]
+
+    return S.by_tile(px, kernel, ", ".join(f"`{n}` double" for n in names), halo, columns, keys, tile)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import filters as K
-from ..sources.shared import checkpoint
+from ..sources.shared import checkpoint, staged
 from . import stencil as S
 
 MODAL_K = 2
@@ -124,47 +125,99 @@ def regions(components: DataFrame, by: Sequence[str] = ("img", "lab")) -> DataFr
     )
 
 
-def edt_squared(mask: DataFrame) -> DataFrame:
+def _leaders(cost: np.ndarray) -> np.ndarray:
+    """Places whose cost is below that of all later ones."""
+    later = np.append(np.minimum.accumulate(cost[::-1])[::-1][1:], np.iinfo(np.int64).max)
+    return np.flatnonzero(cost < later)
+
+
+def row_distances(seed_row: np.ndarray, seed_x: np.ndarray, seed: np.ndarray, row: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each place (row, x) the least seed + (x - seed_x)**2 of its row's seeds, -1 without any. Both sides in order of row and x.
+
+    The nearest seed moves to the right as the place does, so every second place of a level lies between the seeds of its neighbours: each
+    level looks at each seed about once, and levels are as many as a row's places have binary digits.
+    """
+    out = np.full(len(x), -1, np.int64)
+    if not len(x) or not len(seed):
+        return out
+    first = np.flatnonzero(np.diff(row, prepend=row[0] - 1))
+    size = np.diff(np.append(first, len(row)))
+    lo, hi = (np.searchsorted(seed_row, row[first], side) for side in ("left", "right"))
+    at, of = np.arange(1, len(row) + 1) - np.repeat(first, size), np.repeat(size, size)  # place within its row, from 1
+    low, high = np.repeat(lo, size), np.repeat(hi - 1, size)  # the seeds that may be nearest
+    known = np.full(len(row), -1, np.int64)
+    step = 1 << int(size.max()).bit_length()
+    while step:
+        mine = np.flatnonzero((at % (2 * step) == step) & (high >= low))
+        before, after = mine[at[mine] > step], mine[at[mine] + step <= of[mine]]
+        low[before], high[after] = known[before - step], known[after + step]
+        a, b = low[mine], high[mine]
+        n = b - a + 1
+        start = np.cumsum(n) - n
+        s = np.arange(int(n.sum())) - np.repeat(start - a, n)
+        cost = seed[s] + (np.repeat(x[mine], n) - seed_x[s]) ** 2
+        if len(mine):
+            best = np.minimum.reduceat(cost, start)
+            hit = np.flatnonzero(cost == np.repeat(best, n))
+            known[mine], out[mine] = s[hit[np.searchsorted(hit, start)]], best
+        step //= 2
+    return out
+
+
+def edt_squared(mask: DataFrame, columns: int = 4096, rows: int = 64) -> DataFrame:
     """(img, y, x, d2): squared distance of each pixel with ``m`` to the nearest one without; 0 for those without, null
     where an image has none.
 
-    The distance within columns comes from windows; rows are then searched only as far as the best distance found.
+    The distance within columns comes from windows. Rows are then cut in pieces, a task holds ``rows`` x ``columns`` pixels; of a piece other
+    pieces of the row see those seeds only that may be the nearest of all of them beyond its ends. Work is in proportion to the pixels.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("img", "x").orderBy("y")
-    up = F.last(F.when(~F.col("m"), F.col("y")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(F.when(~F.col("m"), F.col("y")), True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    g = mask.withColumn("g", F.least(F.col("y") - up, down - F.col("y")).cast("long"))
-
-    def lower_envelope(key, t):
-        import pyarrow as pa
-
-        xs = t.column("x").to_numpy()
-        order = np.argsort(xs)
-        xs = xs[order].astype(np.int64)
-        g = t.column("g").to_numpy(zero_copy_only=False)[order].astype(float)
-        n = len(xs)
-        best = np.where(np.isnan(g), np.inf, g) ** 2
-        seed, sx = best.copy(), xs
-        known = np.isfinite(seed)
-        if known.any():
-            for k in range(1, n):
-                moved = False
-                for a, b in ((slice(k, None), slice(None, -k)), (slice(None, -k), slice(k, None))):
-                    d = seed[b] + (sx[a] - sx[b]) ** 2
-                    if (d < best[a]).any():
-                        best[a] = np.minimum(best[a], d)
-                        moved = True
-                if not moved and k * k > best[np.isfinite(best)].max() and np.isfinite(best).all():
-                    break
-        return pa.table({
-            "img": pa.array([key[0].as_py()] * n, t.column("img").type), "y": pa.array([key[1].as_py()] * n, pa.int32()), "x": pa.array(xs.astype(np.int32)),
-            "d2": pa.array(np.where(np.isfinite(best), best, 0).astype(np.int64), mask=~np.isfinite(best)),
-        })
-
+    w = Window.partitionBy("img", "x").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(~F.col("m"), F.col("y")), True)
+    g = F.least(F.col("y") - last.over(w.orderBy("y")), last.over(w.orderBy(F.col("y").desc())) - F.col("y")).cast("long")
+    near = mask.select("img", "y", "x", (g * g).alias("g"), F.floor(F.col("y") / rows).cast("int").alias("band"), F.floor(F.col("x") / columns).cast("int").alias("piece"))
     kind = mask.schema["img"].dataType.simpleString()
-    return g.select("img", "y", "x", "g").groupBy("img", "y").applyInArrow(lower_envelope, f"img {kind}, y int, x int, d2 long")
+    keys = ["img", "band", "piece"]
+
+    def held(t):
+        y, x = (t.column(c).to_numpy().astype(np.int64) for c in ("y", "x"))
+        order = np.lexsort((x, y))
+        g = t.column("g").combine_chunks()
+        return y[order], x[order], g.is_valid().to_numpy(zero_copy_only=False)[order], g.fill_null(0).to_numpy(zero_copy_only=False)[order]
+
+    def ends(key, t):
+        """Seeds that pieces on the right (side 1) and on the left (side 0) may need."""
+        y, x, ok, g = held(t)
+        y, x, g = y[ok], x[ok], g[ok]
+        out = [[], [], [], []]
+        for i, j in zip(*(lambda f: (f, np.append(f[1:], len(y))))(np.flatnonzero(np.diff(y, prepend=-1)))):
+            right = i + _leaders(g[i:j] + ((key[2].as_py() + 1) * columns - x[i:j]) ** 2)
+            left = j - 1 - _leaders((g[i:j] + (x[i:j] - key[2].as_py() * columns + 1) ** 2)[::-1])
+            for side, at in ((0, left), (1, right)):
+                for column, v in zip(out, (np.full(len(at), side), y[at], x[at], g[at])):
+                    column.append(v)
+        cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
+        n = len(cols[0])
+        return pa.table({"img": pa.array([key[0].as_py()] * n, t.column("img").type), "band": pa.array([key[1].as_py()] * n, pa.int32()), "piece": pa.array([key[2].as_py()] * n, pa.int32())} | {c: pa.array(v.astype(np.int64)) for c, v in zip(("side", "y", "x", "g"), cols)})
+
+    def resolved(key, t, *others):
+        y, x, ok, g = held(t)
+        sy, sx, sg = y[ok], x[ok], g[ok]
+        for o in others:
+            sy, sx, sg = (np.concatenate((mine, o.column(c).to_numpy())) for mine, c in ((sy, "y"), (sx, "x"), (sg, "g")))
+            order = np.lexsort((sx, sy))
+            sy, sx, sg = sy[order], sx[order], sg[order]
+        d = row_distances(sy, sx, sg, y, x)
+        return pa.table({"img": pa.array([key[0].as_py()] * len(y), t.column("img").type), "y": pa.array(y.astype(np.int32)), "x": pa.array(x.astype(np.int32)), "d2": pa.array(np.maximum(d, 0), mask=d < 0)})
+
+    out = f"img {kind}, y int, x int, d2 long"
+    if (mask.agg(F.max("x")).first()[0] or 0) < columns:
+        return near.groupBy(*keys).applyInArrow(lambda key, t: resolved(key, t), out)
+    near = staged(near, "distances")
+    far = near.groupBy(*keys).applyInArrow(ends, f"img {kind}, band int, piece int, side long, y long, x long, g long")
+    to = near.select("img", "band", F.col("piece").alias("to")).distinct()
+    reach = (F.col("side") == 1) & (F.col("to") > F.col("piece")) | (F.col("side") == 0) & (F.col("to") < F.col("piece"))
+    sent = far.join(to, ["img", "band"]).filter(reach).select("img", "band", F.col("to").alias("piece"), "y", "x", "g")
+    return near.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(lambda key, t, other: resolved(key, t, other), out)
 
 
 def uniform(mask: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def _own_values(px: DataFrame) -> bool:
 
 
 def featurise(px: DataFrame, config: TrainingConfig, custom: Sequence[tuple[Callable, Sequence[str]]] = (), save_path: str | None = None) -> DataFrame:
-    """Features of the preprocessed image, and of custom functions on the raw one; kept at ``save_path`` where one is given.
+    """Features of the preprocessed image, and of custom functions on the raw one with all its channels; kept at ``save_path`` where one is given.
 
     ``px``: (img, y, x, b, v) and, of colour images, ch. Float values, those of preprocessed images among them, go into the
     filters unchanged; byte filters see them truncated to bytes, so of values from 0 to 1 they see 0 and 1 only. Each channel of a
@@ -34,14 +34,15 @@ def featurise(px: DataFrame, config: TrainingConfig, custom: Sequence[tuple[Call
     """
     several = "ch" in px.columns and bool(px.filter("ch > 0").head(1))
     keys = ("img", "ch") if several else ("img",)
-    image, values = px if several else px.drop("ch"), _own_values(px)
+    raw, own = px if several else px.drop("ch"), _own_values(px)
+    image, values = raw, own
     if config.preprocessing:
         image, values = preprocess(image, config.preprocessing, keys), True
     if values:
         image = image.withColumn("b", F.pmod(F.col("v").cast("int"), F.lit(256)))
     out = X.multiscale_features(image, effective(config), values=values)
     for fn, names in custom:
-        out = X.concat_features(out, X.custom_features(px, fn, names))
+        out = X.concat_features(out, X.custom_features(raw, fn, names, config=effective(config), values=own))
     if save_path:
         images.save_features(out, save_path)
         return images.load_features(px.sparkSession, save_path)

@@ -159,8 +159,10 @@ def merge_classes(spark, sf_dir):
 # preprocessing
 
 add("pre_blur", Q.query(Q.EMB, *Q.blur("px", "v", K.normal_taps(1.0, 4), "g", "g1"), select="SELECT img, y, x, g1 AS v FROM g"))(lambda spark, sf_dir: P.preprocess(emb(spark, sf_dir), ("blur",)))
-add("pre_denoise")(lambda spark, sf_dir: P.preprocess(emb(spark, sf_dir), ("blur", "denoise")))
-add("pre_equalize")(lambda spark, sf_dir: P.preprocess(emb(spark, sf_dir), ("equalize",)))
+_ROUNDED = lambda source: f"SELECT img, y, x, round(v, 9) AS v FROM {source}"
+rounded = lambda df: df.select(*PX, F.round("v", 9).alias("v"))
+add("pre_denoise", Q.query(Q.EMB, *Q.denoised("px", 3), select=_ROUNDED("clean")))(lambda spark, sf_dir: rounded(P.preprocess(emb(spark, sf_dir), ("blur", "denoise"))))
+add("pre_equalize", Q.query(Q.EMB, *Q.equalized(), select=_ROUNDED("flat")))(lambda spark, sf_dir: rounded(P.preprocess(emb(spark, sf_dir), ("equalize",))))
 
 # neighbourhoods
 
@@ -508,6 +510,16 @@ def evt_prob(spark, sf_dir) -> DataFrame:
 
 add("crf_refine")(lambda spark, sf_dir: crf.refine(evt_prob(spark, sf_dir), evt(spark, sf_dir), CRFParams(n_infer=5)))
 add("crf_labels")(lambda spark, sf_dir: crf.from_labels(evt_seg(spark, sf_dir), evt(spark, sf_dir), 3, params=CRFParams(n_infer=5)))
+add("crf_embedding")(lambda spark, sf_dir: crf.refine(prob_of(emb(spark, sf_dir)), emb(spark, sf_dir), CRFParams(n_infer=2)))
+
+
+@add("custom_feature_rgb", Q.query(Q.EMB, select="SELECT img, y, x, (b + 255 - b + b)::DOUBLE AS total, (255 - b)::DOUBLE AS second, b * 2.0::DOUBLE AS scaled FROM px"))
+def custom_feature_rgb(spark, sf_dir):
+    px = R.to_rgb(emb(spark, sf_dir)).withColumn("b", F.when(F.col("ch") == 1, 255 - F.col("b")).otherwise(F.col("b")))
+    fn = lambda image, config: [image.astype(int).sum(-1), image[..., 1], image[..., 2] * float(config.sigmas[1])]
+    return X.custom_features(px, fn, ["total", "second", "scaled"], halo=0, config=FeatureConfig(sigmas=(1.0, 2.0)))
+
+
 add("custom_feature", Q.query(Q.EMB, select="SELECT img, y, x, b * 2.0::DOUBLE AS twice, (255 - b)::DOUBLE AS inverse FROM px"))(
     lambda spark, sf_dir: X.custom_features(emb(spark, sf_dir), lambda b: [b * 2.0, 255 - b], ["twice", "inverse"])
 )

@@ -299,3 +299,49 @@ def objective(target: str, weight: float = 1.0) -> list[str]:
         "LEFT JOIN comp c ON c.img = k.img AND c.y = k.y AND c.x = k.x LEFT JOIN reg ON reg.img = c.img AND reg.lab = c.lab)"
     )
     return ctes
+
+
+def equalized(source: str = "px", name: str = "flat", clip: float = 0.01) -> list[str]:
+    """CTE ``name``: adaptive equalisation on a grid of 8 x 8 tiles with 256 bins."""
+    near = lambda i, j, k: f"LEFT JOIN shares {k} ON {k}.img = p.img AND {k}.i = {i} AND {k}.j = {j} AND {k}.q = p.q"
+    return [
+        f"sides AS (SELECT img, greatest(1, ceil((max(y) + 1) / 8.0))::INT AS th, greatest(1, ceil((max(x) + 1) / 8.0))::INT AS tw, max(y) + 1 AS h, max(x) + 1 AS w, min(v) AS lo, max(v) AS hi FROM {source} GROUP BY img)",
+        "grid AS (SELECT *, ceil(h::DOUBLE / th)::INT AS ny, ceil(w::DOUBLE / tw)::INT AS nx FROM sides)",
+        f"placed AS (SELECT p.*, g.* EXCLUDE (img), CASE WHEN hi <= lo THEN 0 ELSE least(floor((v - lo) / (hi - lo) * 256), 255)::INT END AS q, (y + 0.5::DOUBLE) / th - 0.5 AS fy, (x + 0.5::DOUBLE) / tw - 0.5 AS fx FROM {source} p JOIN grid g USING (img))",
+        "bins AS (SELECT img, y // th AS i, x // tw AS j, q, count(*) AS n FROM placed GROUP BY ALL)",
+        "tiles AS (SELECT img, i, j, sum(n)::DOUBLE AS size FROM bins GROUP BY ALL)",
+        f"cut AS (SELECT t.img, t.i, t.j, t.size, r.q::INT AS q, least(coalesce(b.n, 0)::DOUBLE, greatest(1.0::DOUBLE, {clip} * t.size)) AS n, greatest(coalesce(b.n, 0) - greatest(1.0::DOUBLE, {clip} * t.size), 0.0::DOUBLE) AS over FROM tiles t CROSS JOIN range(256) r(q) LEFT JOIN bins b ON b.img = t.img AND b.i = t.i AND b.j = t.j AND b.q = r.q)",
+        "shares AS (SELECT img, i, j, q, (sum(n) OVER (PARTITION BY img, i, j ORDER BY q) + (q + 1) * (sum(over) OVER (PARTITION BY img, i, j)) / 256) / size AS s FROM cut)",
+        "around AS (SELECT *, greatest(least(floor(fy), ny - 1), 0)::INT AS i0, greatest(least(floor(fx), nx - 1), 0)::INT AS j0 FROM placed)",
+        "ends AS (SELECT *, least(i0 + 1, ny - 1) AS i1, least(j0 + 1, nx - 1) AS j1, least(greatest(fy - i0, 0.0::DOUBLE), 1.0::DOUBLE) AS ay, least(greatest(fx - j0, 0.0::DOUBLE), 1.0::DOUBLE) AS ax FROM around)",
+        f"{name} AS (SELECT p.img, p.y, p.x, CASE WHEN hi <= lo THEN 0.0::DOUBLE ELSE (1 - ay) * ((1 - ax) * a.s + ax * b.s) + ay * ((1 - ax) * c.s + ax * d.s) END AS v FROM ends p {near('p.i0', 'p.j0', 'a')} {near('p.i0', 'p.j1', 'b')} {near('p.i1', 'p.j0', 'c')} {near('p.i1', 'p.j1', 'd')})",
+    ]
+
+
+def denoised(source: str, levels: int, name: str = "clean") -> list[str]:
+    """CTE ``name``: Haar shrinkage of (img, y, x, v); images need at most ``levels`` levels."""
+    ctes = [
+        f"sizes AS (SELECT img, max(y) + 1 AS h, max(x) + 1 AS w, CASE WHEN least(max(y), max(x)) < 1 THEN 0 ELSE greatest(1, length(bin(least(max(y), max(x)) + 1)) - 4) END AS levels FROM {source} GROUP BY img)",
+        f"haar0 AS (SELECT s.img, y, x, v, h, w, levels FROM {source} s JOIN sizes USING (img))",
+    ]
+    at = lambda dy, dx: f"max(CASE WHEN y % 2 = {dy} AND x % 2 = {dx} THEN v END)"
+    for k in range(1, levels + 1):
+        ctes += [
+            f"block{k} AS (SELECT img, h, w, levels, y // 2 AS y, x // 2 AS x, {at(0, 0)} AS p, {at(0, 1)} AS q, {at(1, 0)} AS r, {at(1, 1)} AS s FROM haar{k - 1} WHERE levels >= {k} GROUP BY img, h, w, levels, y // 2, x // 2)",
+            f"whole{k} AS (SELECT img, levels, y, x, (h + 1) // 2 AS h, (w + 1) // 2 AS w, p, coalesce(q, p) AS q, coalesce(r, p) AS r, coalesce(s, q, r, p) AS s FROM block{k})",
+            f"haar{k} AS (SELECT img, levels, y, x, h, w, (p + q + r + s) / 2 AS v, (p - q + r - s) / 2 AS dx, (p + q - r - s) / 2 AS dy, (p - q - r + s) / 2 AS dd FROM whole{k})",
+        ]
+    ctes.append("noise AS (SELECT img, median(abs(dd)) / 0.6744897501960817::DOUBLE AS noise FROM haar1 GROUP BY img)")
+    below = None
+    for k in range(levels, 0, -1):
+        soft = lambda b: f"sign(h.{b}) * greatest(abs(h.{b}) - noise * noise / sqrt(greatest(m_{b} - noise * noise, 1e-12::DOUBLE)), 0.0::DOUBLE) AS {b}"
+        mean = "h.v" if below is None else f"CASE WHEN h.levels = {k} THEN h.v ELSE u.v END"
+        up = "" if below is None else f"LEFT JOIN {below} u ON u.img = h.img AND u.y = h.y AND u.x = h.x"
+        ctes += [
+            f"spread{k} AS (SELECT img, avg(dx * dx) AS m_dx, avg(dy * dy) AS m_dy, avg(dd * dd) AS m_dd FROM haar{k} GROUP BY img)",
+            f"parent{k} AS (SELECT h.img, h.y, h.x, {mean} AS a, {soft('dx')}, {soft('dy')}, {soft('dd')} FROM haar{k} h JOIN spread{k} USING (img) JOIN noise USING (img) {up})",
+            f"up{k} AS (SELECT c.img, c.y, c.x, (a + (CASE WHEN c.x % 2 = 0 THEN 1 ELSE -1 END) * t.dx + (CASE WHEN c.y % 2 = 0 THEN 1 ELSE -1 END) * t.dy + (CASE WHEN (c.x + c.y) % 2 = 0 THEN 1 ELSE -1 END) * t.dd) / 2 AS v FROM haar{k - 1} c JOIN parent{k} t ON t.img = c.img AND t.y = c.y // 2 AND t.x = c.x // 2)",
+        ]
+        below = f"up{k}"
+    ctes.append(f"{name} AS (SELECT * FROM {below} UNION ALL SELECT img, y, x, v FROM haar0 WHERE levels = 0)")
+    return ctes

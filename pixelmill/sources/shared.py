@@ -40,6 +40,30 @@ def staged(df: DataFrame, name: str = "staged") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any store."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Rounds:
+    """Tables of an iteration in the shared folder. What a round wrote goes when the next one is written; what is held stays."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.last = spark, name, None
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        return staged(df, self.name)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = new_path(self.spark, self.name)
+        df.write.mode("overwrite").parquet(path)
+        if self.last:
+            remove(self.spark, self.last)
+        self.last = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A text without line breaks, in any store that Spark writes."""
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -11,6 +11,8 @@ from pixelmill.operators import morphology as M
 from pixelmill.operators import preprocess as P
 from pixelmill.sources import images, rle
 
+from . import dense
+
 
 def mask_frame(spark, a, img="a"):
     return spark.createDataFrame([(img, y, x, bool(a[y, x])) for y in range(a.shape[0]) for x in range(a.shape[1])], "img string, y int, x int, m boolean")
@@ -338,9 +340,9 @@ def exact_field(unary, place, colour, p):
         k = np.exp(-0.5 * ((f[:, None] - f[None]) ** 2).sum(-1))
         n = 1 / np.sqrt(k.sum(1))
         kernels.append(weight * n[:, None] * k * n[None])
-    q = crf._soft(-unary)
+    q = dense._soft(-unary)
     for _ in range(p.n_infer):
-        q = crf._soft(sum(k @ q for k in kernels) - unary)
+        q = dense._soft(sum(k @ q for k in kernels) - unary)
     return q
 
 
@@ -354,7 +356,7 @@ def test_field_is_near_the_exact_one(grey):
     prob = rng.dirichlet(np.ones(3), len(place)) + (xx.ravel() > 18)[:, None] * [0.5, 0, 0]
     unary = -np.log(prob / prob.sum(1, keepdims=True))
     p = CRFParams(n_infer=5, sxy_b=(10.0, 10.0))
-    got, want = crf.mean_field(unary, place, colour, p), exact_field(unary, place, colour, p)
+    got, want = dense.mean_field(unary, place, colour, p), exact_field(unary, place, colour, p)
     assert (got.argmax(1) == want.argmax(1)).mean() > 0.97 and np.abs(got - want).mean() < 0.02
 
 
@@ -414,11 +416,11 @@ def test_preprocessing():
     clean = np.zeros((64, 64))
     clean[:, 32:] = 1
     noisy = clean + rng.normal(size=clean.shape) * 0.1
-    assert ((P.haar_denoise(noisy) - clean) ** 2).mean() < 0.5 * ((noisy - clean) ** 2).mean()
-    assert np.allclose(P.haar_denoise(clean[:5, :7]), clean[:5, :7])
-    flat = P.equalise_adaptive(np.linspace(0.4, 0.6, 64 * 64).reshape(64, 64))
+    assert ((dense.haar_denoise(noisy) - clean) ** 2).mean() < 0.5 * ((noisy - clean) ** 2).mean()
+    assert np.allclose(dense.haar_denoise(clean[:5, :7]), clean[:5, :7])
+    flat = dense.equalise_adaptive(np.linspace(0.4, 0.6, 64 * 64).reshape(64, 64))
     assert flat.min() >= 0 and flat.max() <= 1 and flat.std() > 0.1
-    assert (P.equalise_adaptive(np.ones((4, 4))) == 0).all()
+    assert (dense.equalise_adaptive(np.ones((4, 4))) == 0).all()
 
 
 def test_denoise_of_a_large_image_is_that_of_the_whole(spark):
@@ -427,4 +429,4 @@ def test_denoise_of_a_large_image_is_that_of_the_whole(spark):
     got = np.zeros(v.shape)
     for r in P.denoise(spark.createDataFrame(rows, "img string, y int, x int, v double")).collect():
         got[r.y, r.x] = r.v
-    assert np.allclose(got, P.haar_denoise(v))
+    assert np.allclose(got, dense.haar_denoise(v))
