@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Boxes that hold boxes, and the bytes before their children.
+#: Levels of boxes; files as they are written have about ten.
+DEEPEST = 32
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"dinf": 0, b"stbl": 0, b"edts": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0}
 SAMPLE = 192
 RATE = 24_000
@@ -92,25 +94,29 @@ def write_media(payload: bytes, sample: int = SAMPLE, codec: bytes = b"raw ", ra
     return b"".join((ftyp, mdat, payload, box(b"moov", mvhd, trak)))
 
 
-def boxes(data, a: int = 0, b: int | None = None, path: tuple[bytes, ...] = ()):
-    """(path, first byte of the body, end) of every box in order, nested ones after their parents; bad sizes end a level."""
-    b = len(data) if b is None else b
-    while a + 8 <= b:
+def boxes(data, a: int = 0, b: int | None = None):
+    """(path, first byte of the body, end) of every box in order, nested ones after their parents; bad sizes end a level, and boxes
+    that lie deeper than ``DEEPEST`` are not entered."""
+    open_ = [(a, len(data) if b is None else b, ())]
+    while open_:
+        a, b, path = open_.pop()
+        if a + 8 > b:
+            continue
         size, kind = struct.unpack_from(">I4s", data, a)
         head = 8
         if size == 1:
             if a + 16 > b:
-                return
+                continue
             (size,) = struct.unpack_from(">Q", data, a + 8)
             head = 16
         elif size == 0:
             size = b - a
         if size < head or a + size > b:
-            return
+            continue
         yield (*path, kind), a + head, a + size
-        if kind in CONTAINERS:
-            yield from boxes(data, a + head + CONTAINERS[kind], a + size, (*path, kind))
-        a += size
+        open_.append((a + size, b, path))
+        if kind in CONTAINERS and len(path) < DEEPEST:
+            open_.append((a + head + CONTAINERS[kind], a + size, (*path, kind)))
 
 
 def _table(data, a: int, b: int, form: str) -> list[tuple]:

@@ -147,22 +147,22 @@ def branch(work: Scratch, reps: DataFrame, trees: range) -> tuple[DataFrame, Dat
             rows = rows.join(hot.select(F.col("key").alias("before")), "before", "left_semi")
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("load"), F.min("part").alias("lo"), F.max("part").alias("hi"))
         fits = (F.col("size") <= (NODE if d < BRANCH else LARGE)) & (F.col("load") <= LOAD)
-        sizes = work.keep(sizes.filter("lo < hi").select("key", "size", fits.alias("fits")), f"sizes{trees.start}_{d}")
+        sizes = work.keep(sizes.filter("lo < hi").select("key", "size", "load", fits.alias("fits")), f"sizes{trees.start}_{d}")
         rows = rows.select("key", "doc_id", "batch", "n")
         small = rows.join(sizes.filter("fits").select("key").hint("merge"), "key", "left_semi").withColumnRenamed("key", "node")
         small = work.keep(small, f"small{trees.start}_{d}")  # keeps the plan of all levels together short
         out = small if out is None else out.unionByName(small)
-        hot = sizes.filter("not fits").select("key", "size")
+        hot = sizes.filter("not fits").select("key", "size", "load")
         if not hot.head(1):
             return out, None
     # blocks of documents in an order of their own for each node, and the leaders of the node in each block
     left = work.keep(rows.join(hot, "key"), f"left{trees.start}")
     leads = left.groupBy("key").agg(*[F.min_by("doc_id", F.xxhash64("doc_id", F.lit(i))).alias(f"lead{i}") for i in range(LEADERS)])
     leads = leads.select("key", F.array(*[f"lead{i}" for i in range(LEADERS)]).alias("leads"))
-    blocks = F.ceil(F.col("size") / NODE).cast("int")
+    blocks = F.ceil(F.greatest(F.col("size") / NODE, F.col("load") / LOAD)).cast("int")
     block = F.pmod(F.xxhash64("doc_id", "key"), blocks).cast("int")
     dealt = left.join(leads, "key").withColumn("block", F.explode(F.when(F.array_contains("leads", F.col("doc_id")), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(block))))
-    return out.unionByName(dealt.select(F.xxhash64("key", F.lit("block"), "block").alias("node"), "doc_id", "batch", "n")), left.drop("size")
+    return out.unionByName(dealt.select(F.xxhash64("key", F.lit("block"), "block").alias("node"), "doc_id", "batch", "n")), left.drop("size", "load")
 
 
 def block_pairs(left: DataFrame, joined: DataFrame) -> DataFrame:

@@ -126,17 +126,19 @@ class Chain:
         self.features, self.weights, self.n_buckets = features, weights, n_buckets
 
     @classmethod
-    def fit(cls, x: np.ndarray, labels: np.ndarray, fold: np.ndarray, features: np.ndarray, n_buckets: int) -> Chain:
+    def fit(cls, x: np.ndarray, labels: np.ndarray, fold: np.ndarray, columns: np.ndarray, features: list[np.ndarray], n_buckets: int) -> Chain:
+        """``x`` has the buckets ``columns``; ``features`` are those chosen without each fold, and last those chosen from all rows. An
+        earlier category's probability of a row comes from models and features that its fold had no part in."""
+        held = [np.searchsorted(columns, f) for f in features]
         weights, earlier = [], np.zeros((len(x), 0))
         for y in labels.T.astype(float):
-            xe = np.hstack([x, earlier])
-            weights.append(logistic(xe, y))
+            weights.append(logistic(np.hstack([x[:, held[-1]], earlier]), y))
             p = np.empty(len(x))
             for k in range(FOLDS):
-                out = fold == k
+                out, xe = fold == k, np.hstack([x[:, held[k]], earlier])
                 p[out] = probability(xe[out], logistic(xe[~out], y[~out])) if (~out).any() else y.mean()
             earlier = np.hstack([earlier, p[:, None]])
-        return cls(features, weights, n_buckets)
+        return cls(features[-1], weights, n_buckets)
 
     def predict(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         x = matrix(raw, offsets, self.features, self.n_buckets)
@@ -156,11 +158,15 @@ def fit_chain(spark: SparkSession, docs: DataFrame, labels: DataFrame, categorie
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(some), "doc_id")
     train = texts.groupBy("doc_id", *categories).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     train = Scratch(spark, "train").keep(train.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int")), "rows")
-    sums = train.agg(F.count("*"), *[F.sum(c) for c in categories]).first()
-    n, positives = sums[0], np.array([x or 0 for x in sums[1:]])
-    if not n:
+    folds = np.zeros((FOLDS, 1 + len(categories)), np.int64)
+    for r in train.groupBy("fold").agg(F.count("*"), *[F.sum(c) for c in categories]).collect():
+        folds[r[0]] = [x or 0 for x in r[1:]]
+    if not folds[:, 0].any():
         return Chain(np.zeros(0, np.int64), [np.array([-30.0]) if not i else np.append(np.zeros(i), -30.0) for i in range(len(categories))], n_buckets)
-    features = select_features(_presence(train, categories, n_buckets), n, positives, KEEP)
+    each = [_presence(train.filter(F.col("fold") == k), categories, n_buckets) for k in range(FOLDS)]
+    total, rows_of = sum(each), folds.sum(0)
+    chosen = [select_features(total - c, n[0], n[1:], KEEP) for c, n in zip([*each, 0 * total], [*(rows_of - folds), rows_of])]
+    features = np.unique(np.concatenate(chosen))
 
     def rows(batches):
         for whole in batches:
@@ -171,7 +177,7 @@ def fit_chain(spark: SparkSession, docs: DataFrame, labels: DataFrame, categorie
     schema = "x binary, fold int, " + ", ".join(f"`{c}` int" for c in categories)
     got = train.mapInArrow(rows, schema).collect()  # at most ``sample`` rows of fixed width
     x = np.array([np.frombuffer(bytes(r["x"]), np.float32) for r in got], float).reshape(len(got), len(features))
-    return Chain.fit(x, np.array([[r[c] for c in categories] for r in got]), np.array([r["fold"] for r in got]), features, n_buckets)
+    return Chain.fit(x, np.array([[r[c] for c in categories] for r in got]), np.array([r["fold"] for r in got]), features, chosen, n_buckets)
 
 
 def apply_chain(docs: DataFrame, chain: Chain, categories: list[str]) -> DataFrame:

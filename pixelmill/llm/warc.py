@@ -40,6 +40,7 @@ HEADER_OF = {
 }
 #: A manifest of each write lists its archives; the index of an archive has one more ending.
 MANIFEST, INDEX = "_manifest-", ".index.gz"
+OWN = re.compile(r"/part-[0-9a-f]{12}-\d{6}-\d+-\d{4}\.warc(\.gz)?$")
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -47,8 +48,9 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def _open_fs(path: str):
+    """The store of a path; Hadoop's names of object stores are known too."""
     if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
+        return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
     return fs.LocalFileSystem(), path
 
 
@@ -72,7 +74,7 @@ class WarcDataSource(DataSource):
 
     Options: ``path``; reading: ``payload`` (true: return payloads), ``digest`` (true: SHA-1 of payloads), ``types``
     (comma-separated record types), ``split_bytes``, ``damaged`` (raise: an error; stop: the records before the damage of an
-    archive are returned); writing: ``compress`` (true: a gzip member per record), ``file_bytes``. Mode append adds archives,
+    archive are returned), ``unlisted`` (archives of others in a folder with manifests that list none of them: raise, read or skip); writing: ``compress`` (true: a gzip member per record), ``file_bytes``. Mode append adds archives,
     overwrite replaces those that earlier writes listed.
     """
 
@@ -99,6 +101,9 @@ class WarcReader(DataSourceReader):
         self.damaged = options.get("damaged", "raise")
         if self.damaged not in ("raise", "stop"):
             raise ValueError(f"damaged is raise or stop, not {self.damaged}")
+        self.unlisted = options.get("unlisted", "raise")
+        if self.unlisted not in ("raise", "read", "skip"):
+            raise ValueError(f"unlisted is raise, read or skip, not {self.unlisted}")
         self.wanted: list[tuple[str, frozenset]] = []
         if options.get("types"):
             self.wanted.append(("warc-type", frozenset(x.strip() for x in options["types"].split(","))))
@@ -107,9 +112,9 @@ class WarcReader(DataSourceReader):
         for f in filters:
             column = f.attribute[0] if getattr(f, "attribute", None) else None
             if isinstance(f, EqualTo) and column in HEADER_OF:
-                self.wanted.append((HEADER_OF[column], frozenset([f.value])))
+                self.wanted.append((HEADER_OF[column], frozenset([f.value]) - {None}))  # no header equals null
             elif isinstance(f, In) and column in HEADER_OF:
-                self.wanted.append((HEADER_OF[column], frozenset(f.value)))
+                self.wanted.append((HEADER_OF[column], frozenset(f.value) - {None}))
             else:
                 yield f
 
@@ -128,7 +133,13 @@ class WarcReader(DataSourceReader):
                 replaced |= {f"{folder}/{n}" for n in manifests[p]["replaces"]}
         folders = {p.rpartition("/")[0] for p in manifests}
         found = [(f"{p.rpartition('/')[0]}/{name}", size, True) for p, m in manifests.items() if p not in replaced for name, size in m["files"]]
-        return sorted(found + [(p, n, p + INDEX in listed) for p, n in listed.items() if re.search(r"\.warc(\.gz)?$", p) and p.rpartition("/")[0] not in folders])
+        written = {f"{p.rpartition('/')[0]}/{name}" for p, m in manifests.items() for name, _ in m["files"]}
+        others = {p: n for p, n in listed.items() if re.search(r"\.warc(\.gz)?$", p) and p not in written}
+        # what the writer named and never listed was left by attempts that were not committed
+        strange = sorted(p for p in others if p.rpartition("/")[0] in folders and not OWN.search(p))
+        if strange and self.unlisted == "raise":
+            raise ValueError(f"archives that no manifest lists, such as {strange[0]}; the option unlisted says read or skip")
+        return sorted(found + [(p, n, p + INDEX in listed) for p, n in others.items() if p.rpartition("/")[0] not in folders or (self.unlisted == "read" and p in strange)])
 
     def partitions(self):
         system, root = _open_fs(self.path)
@@ -420,6 +431,13 @@ def _hex_to_base32(column):
     return F.concat(*out)
 
 
+def _shared(spark: SparkSession, path: str) -> str:
+    """A bare path means another disk on every executor of a cluster, so it is refused there."""
+    if ":" not in path and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError(f"{path}: a path on a cluster names its store, as file:///... or s3a://... do")
+    return path
+
+
 def write_deduplicated(spark: SparkSession, pages: DataFrame, path: str, least: int = 0, mode: str = "append") -> None:
     """Write a record per page; of equal payloads of at least ``least`` bytes, that with the smallest page_id is a
     response and others revisit it; shorter ones are all responses.
@@ -443,7 +461,7 @@ def write_deduplicated(spark: SparkSession, pages: DataFrame, path: str, least:
         F.lit(None).cast("map<string,string>").alias("headers"), F.when(~revisit, F.col("payload")).alias("payload"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("offset"),
     )
     spark.dataSource.register(WarcDataSource)
-    out.write.format("warc").mode(mode).option("path", path).save()
+    out.write.format("warc").mode(mode).option("path", _shared(spark, path)).save()
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True, digest: bool = False, types: tuple[str, ...] = ()) -> DataFrame:
@@ -453,7 +471,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True, digest: bool
     """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the reader takes filters, so Spark wants it on
     spark.dataSource.register(WarcDataSource)
-    reader = spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).option("digest", str(digest).lower())
+    reader = spark.read.format("warc").option("path", _shared(spark, path)).option("payload", str(payload).lower()).option("digest", str(digest).lower())
     return (reader.option("types", ",".join(types)) if types else reader).load()
 
 

@@ -446,7 +446,7 @@ def test_chain_uses_earlier_categories():
     r = np.random.default_rng(6)
     a = r.integers(0, 2, 400)
     x = np.stack([a + r.normal(size=400) * 0.3, r.normal(size=400)], 1)
-    c = toxicity.Chain.fit(x, np.stack([a, a], 1), np.arange(400) % 4, np.arange(2), 8)
+    c = toxicity.Chain.fit(x, np.stack([a, a], 1), np.arange(400) % 4, np.arange(2), [np.arange(2)] * 5, 8)
     assert len(c.weights[0]) == 3 and len(c.weights[1]) == 4 and c.weights[1][2] > 0
 
 
@@ -738,3 +738,62 @@ def test_long_text_shingles():
     n = K.CHUNK + 1000
     g, o = near_dup.shingle_sets(*K.text_buffer(pa.array([" ".join(map(str, range(n))), "a b c d e"])))
     assert o.tolist() == [0, n - 4, n - 3] and len(g) == n - 3
+
+
+# cases that no table holds
+
+
+def test_predicates_with_null_and_archives_of_others(spark, tmp_path):
+    """Pushed conditions hold as SQL has them, and archives beside a manifest are not passed over in silence."""
+    path = f"file://{tmp_path}/w"
+    warc.write_deduplicated(spark, pages(spark), path)
+    r, plain = warc.read_warc(spark, path), [x.target_uri for x in warc.read_warc(spark, path).collect()]
+    assert None in plain
+    for wanted in (("u",), ("http://a/1", "u")):
+        condition = "target_uri in (null, " + ", ".join(f"'{w}'" for w in wanted) + ")"
+        assert r.filter(condition).count() == sum(u in wanted for u in plain)
+    assert r.filter("target_uri in (null)").count() == 0 == r.filter("target_uri = null").count()
+    assert r.filter("target_uri is null").count() == plain.count(None)
+    record = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 4\r\n\r\ninfo\r\n\r\n"
+    (tmp_path / "w" / "strange.warc").write_bytes(record)
+    (tmp_path / "w" / "part-0123456789ab-000000-7-0000.warc").write_bytes(record)  # an attempt that was lost
+    with pytest.raises(Exception, match="strange.warc"):
+        r.count()
+    option = lambda v: spark.read.format("warc").option("path", path).option("unlisted", v).load().count()
+    assert option("read") == 11 and option("skip") == 10
+
+
+def test_boxes_as_deep_as_a_file_says(spark):
+    deep = b""
+    for _ in range(3000):
+        deep = (len(deep) + 8).to_bytes(4, "big") + b"moov" + deep
+    found = list(media.boxes(deep))
+    assert len(found) == media.DEEPEST + 1 and found[0] == ((b"moov",), 8, len(deep))
+    inner = (8).to_bytes(4, "big") + b"free"
+    both = (24).to_bytes(4, "big") + b"moov" + inner + inner + inner
+    assert [p for p, _, _ in media.boxes(both)] == [(b"moov",), (b"moov", b"free"), (b"moov", b"free"), (b"free",)]
+
+
+def test_features_of_a_fold_come_from_other_folds():
+    """A bucket that only one fold's rows show is no input of that fold's probabilities."""
+    rng = np.random.default_rng(0)
+    fold, y = np.arange(400) % 4, (np.arange(400) // 4) % 2
+    x = np.stack([y + rng.normal(size=400) * 0.1, (fold == 0) * y], 1).astype(float)
+    own = toxicity.Chain.fit(x, y[:, None], fold, np.array([3, 9]), [np.array([3]), np.array([3, 9]), np.array([3, 9]), np.array([3, 9]), np.array([3, 9])], 16)
+    assert own.features.tolist() == [3, 9] and len(own.weights[0]) == 3
+
+
+def test_crowded_nodes_of_long_texts_are_split_by_load(spark, monkeypatch):
+    """No block of an oversized node holds more shingles than a task is meant to, and links stay whole."""
+    monkeypatch.setattr(near_dup, "LOAD", 900)
+    monkeypatch.setattr(near_dup, "LEVELS", 2)
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for i in range(24):
+        words = list(base)
+        words[(i * 7) % 200] = f"x{i}"
+        texts.append(" ".join(words))
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark, documents(spark, rows), 80).collect()}
+    assert set(got.values()) == {0} and len(got) == 24
