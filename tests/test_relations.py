@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelmill.functions.config import ClassInfo, CRFParams
-from pixelmill.operators import crf, expert, models, sam
+from pixelmill.operators import boost, crf, expert, models, sam
 from pixelmill.operators import labels as L
 from pixelmill.operators import morphology as M
 from pixelmill.operators import preprocess as P
@@ -291,16 +291,55 @@ def test_expert_models_come_back(spark, tmp_path):
     assert again.fractions == m.fractions and again.predict(data).select("seg").collect() == m.predict(data).select("seg").collect()
 
 
-def test_one_task_and_many_grow_the_same_trees(spark, monkeypatch):
-    from pixelmill.operators import boost
+def test_rows_dealt_otherwise_grow_the_same_trees(spark):
+    """Edges, trees and leaves to the last bit, over rounds that write margins anew."""
+    data = training(spark).withColumn("w", F.col("f") * F.col("f") + 0.37).cache()
+    states = [boost.Booster(["f", "g"], 3, depth=4).fit(data.repartition(n, F.rand(n)), 10, "w").state() for n in (1, 8)]
+    assert states[0] == states[1] and len(states[0]["rounds"]) == 10
 
-    data = training(spark).repartition(3).cache()
-    here = boost.Booster(["f", "g"], 3, depth=4).fit(data, 10)
-    monkeypatch.setattr(boost, "LOCAL", 0)
-    there = boost.Booster(["f", "g"], 3, depth=4).fit(data, 10)
-    for a, b in zip(here.rounds, there.rounds, strict=True):
-        for s, t in zip(a, b):
-            assert (s.feature == t.feature).all() and (s.cut == t.cut).all() and np.allclose(s.value, t.value)
+
+def test_trees_are_those_of_all_sums(spark):
+    """A tree grown from left nodes' sums equals one from the sums of every node."""
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(600, 3)), rng.integers(0, 2, 600)
+    x[rng.random(600) < 0.2, 1] = np.nan
+    y[np.isnan(x[:, 1])] = 1  # missing values tell the class
+    df = spark.createDataFrame([(*(None if np.isnan(v) else float(v) for v in r), int(k)) for r, k in zip(x, y)], "a double, b double, c double, label int")
+    b = boost.Booster(["a", "b", "c"], 2, depth=3).fit(df, 1)
+    bins = np.stack([np.where(np.isnan(c), boost.MISSING, np.searchsorted(e, c)) for c, e in zip(x.T, b.edges)]).astype(np.uint8)
+    for c, t in enumerate(b.rounds[0]):
+        g, h = boost.rounded(0.5 - (y == c)), np.full(600, 0.5)
+        for n in range(4):
+            mine = t.node(bins, 2) == n
+            best = 0.0
+            for f in range(3):
+                for cut in range(32):
+                    for side in (False, True):
+                        left = mine & ((bins[f] <= cut) | (side & (bins[f] == boost.MISSING)))
+                        score = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+                        best = max(best, score(left) + score(mine & ~left) - score(mine))
+            left = mine & (t.node(bins, 3) == 2 * n)
+            got = sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (left, mine & ~left)) - g[mine].sum() ** 2 / (h[mine].sum() + 1)
+            assert abs(got - best) < 1e-9
+            assert np.allclose(t.value[2 * n : 2 * n + 2], [-g[m].sum() / (h[m].sum() + 1) for m in (left, mine & ~left)])
+    root = b.rounds[0][1]
+    assert root.feature[0] == 1 and b.predict_proba(df).filter("b is null and prob[1] <= 0.5").count() == 0
+
+
+def test_edges_are_weighted_quantiles(spark):
+    rng = np.random.default_rng(3)
+    x, w = np.concatenate([rng.normal(size=900) * 10.0 ** rng.integers(-5, 5, 900), [0.0, -0.0]]), rng.random(902)
+    d = rng.integers(0, 3, 902).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), None, float(c)) for a, b, c in zip(x, d, w)], "x double, d double, n double, w double").repartition(3)
+    e = boost.quantile_edges(df, ["x", "d", "n"], "w", 16)
+    assert e.shape == (3, 15) and not e[2].any()
+    for values, edges in ((x, e[0]), (d, e[1])):
+        order = np.argsort(values)
+        share = np.cumsum(w[order]) / w.sum()
+        for i, edge in enumerate(edges, 1):
+            exact = values[order][np.searchsorted(share, i / 16)]
+            assert exact <= edge <= exact + abs(exact) * 2.0**-14 + 1e-30
+    assert boost.value_of(boost.keys_of(np.array([-3.5, -0.0, 0.0, 1e-30, 7.0]))).tolist() == [-3.5, 0.0, 0.0, float(np.float32(1e-30)), 7.0]
 
 
 def test_tree_nodes():
