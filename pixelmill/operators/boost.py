@@ -61,7 +61,7 @@ def quantile_edges(rows: DataFrame, features: Sequence[str], weight: str, bins:
                     out[j] += np.bincount(at[mine] * 256 + (key[mine] >> up & 255), w[mine], len(out[j]))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(names), dtype=np.int32)), pa.array([o.tobytes() for o in out], pa.binary())], ["c", "h"])
 
-        sums = {r["c"]: np.frombuffer(bytes(r["h"])).reshape(-1, 256) for r in rows.mapInArrow(part, "c int, h binary").groupBy("c").applyInArrow(_added, "c int, h binary").collect()}
+        sums = {r["c"]: np.frombuffer(bytes(r["h"])).reshape(-1, 256) for r in rows.mapInArrow(part, "c int, h binary").groupBy("c").applyInArrow(added, "c int, h binary").collect()}
         if ranks is None:
             ranks = np.array([np.arange(1, bins) / bins * (sums[j].sum() if j in sums else 0) for j in range(len(names))])
         for j in sums:
@@ -73,7 +73,8 @@ def quantile_edges(rows: DataFrame, features: Sequence[str], weight: str, bins:
     return np.array([value_of(f << 8 | 255) if r.any() else np.zeros(bins - 1) for f, r in zip(found, ranks)]).reshape(len(names), bins - 1)
 
 
-def _added(t: pa.Table) -> pa.Table:
+def added(t: pa.Table) -> pa.Table:
+    """Sums of binary rows of doubles."""
     return pa.table({"c": t.column("c")[:1], "h": pa.array([np.sum([np.frombuffer(x) for x in t.column("h").to_pylist()], axis=0).tobytes()], pa.binary())})
 
 
@@ -260,7 +261,7 @@ class Booster:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array([x.tobytes() for x in out], pa.binary())], ["c", "h"])
 
         out = np.zeros((k, nodes, n_f, n_b, 2))
-        for r in rows.mapInArrow(part, "c int, h binary").groupBy("c").applyInArrow(_added, "c int, h binary").collect():
+        for r in rows.mapInArrow(part, "c int, h binary").groupBy("c").applyInArrow(added, "c int, h binary").collect():
             out[r["c"]] = np.frombuffer(bytes(r["h"])).reshape(nodes, n_f, n_b, 2)
         return out
 

@@ -69,28 +69,40 @@ def train_and_apply(px: DataFrame, labels: DataFrame, config: TrainingConfig, cl
     once, and kept in the shared folder for training and application.
     """
     feats = staged(featurise(px, config), "features") if feats is None else feats
+    return apply(fit(feats, labels, config, classes), feats, config, px, labels)
 
-    def fit(f: DataFrame) -> M.Classifier:
-        names = [c for c in f.columns if c not in KEYS]
-        data = staged(L.sample(L.training_pixels(f, labels), config.n_samples, config.shuffle_data, config.seed), "training")
-        params = config.params()
-        balanced = params.pop("class_weight", None) == "balanced"
-        return M.train(M.get_model(config.classifier, names, classes, params), data, balanced)
 
-    model = fit(feats)
+def fit(feats: DataFrame, labels: DataFrame, config: TrainingConfig, classes: int) -> M.Classifier:
+    """The configuration's classifier, fitted on the labelled pixels of ``feats``."""
+    names = [c for c in feats.columns if c not in KEYS]
+    data = staged(L.sample(L.training_pixels(feats, labels), config.n_samples, config.shuffle_data, config.seed), "training")
+    params = config.params()
+    balanced = params.pop("class_weight", None) == "balanced"
+    return M.train(M.get_model(config.classifier, names, classes, params), data, balanced)
+
+
+def apply(model: M.Classifier, feats: DataFrame, config: TrainingConfig, px: DataFrame | None = None, labels: DataFrame | None = None) -> tuple[DataFrame, M.Classifier]:
+    """(img, y, x, prob, seg) of a trained model with all refinements that the configuration names, and the model that made it.
+
+    Autocontext fits a second model on ``labels`` with features of the first one's probabilities; it and the random field need the image
+    ``px``. Without refinements neither is needed.
+    """
     out = M.apply(model, feats)
     if config.autocontext:
-        feats = staged(autocontext(px, feats, out, config, classes), "context")
-        model = fit(feats)
+        if px is None or labels is None:
+            raise ValueError("autocontext needs the image and labels")
+        feats = staged(autocontext(px, feats, out, config, model.classes), "context")
+        model = fit(feats, labels, config, model.classes)
         out = M.apply(model, feats)
-    refined = config.CRF or config.modal_filter or any(c.do_sam_postproc for c in config.class_infos)
-    if not refined:
+    if config.CRF and px is None:
+        raise ValueError("a random field needs the image")
+    if not (config.CRF or config.modal_filter or any(c.do_sam_postproc for c in config.class_infos)):
         return out, model
     out = staged(out, "probabilities")
     return out.drop("seg").join(refine(out, px, config), list(KEYS)), model
 
 
-def refine(out: DataFrame, px: DataFrame, config: TrainingConfig) -> DataFrame:
+def refine(out: DataFrame, px: DataFrame | None, config: TrainingConfig) -> DataFrame:
     """(img, y, x, seg) after the refinements that the configuration names."""
     seg = out.select(*KEYS, "seg")
     if config.CRF:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -463,7 +464,7 @@ def segment(name: str, **params):
 add("rf_segment")(segment("random_forest", n_estimators=20, max_depth=8, seed=1))
 add("logistic_segment")(segment("logistic_regression"))
 add("ridge_segment")(segment("linear_regression"))
-add("mlp_segment")(segment("mlp", hidden_layer_sizes=(16,), seed=1))
+add("mlp_segment")(segment("mlp", hidden_layer_sizes=(16,), max_iter=20, seed=1))
 add("gbt_segment")(segment("xgb", n_estimators=5))
 
 
@@ -510,6 +511,45 @@ def evt_prob(spark, sf_dir) -> DataFrame:
 
 add("crf_refine")(lambda spark, sf_dir: crf.refine(evt_prob(spark, sf_dir), evt(spark, sf_dir), CRFParams(n_infer=5)))
 add("crf_labels")(lambda spark, sf_dir: crf.from_labels(evt_seg(spark, sf_dir), evt(spark, sf_dir), 3, params=CRFParams(n_infer=5)))
+def _box_decoder():
+    """Two masks for a box: pixels above its mean, and the others; the larger one is better."""
+
+    def decode(image, coords, labels):
+        pixels, scores = np.full((len(coords), 2, *image.shape), -1.0), np.zeros((len(coords), 2))
+        for k, ((x0, y0), (x1, y1)) in enumerate(coords):
+            box = (slice(int(y0), int(y1)), slice(int(x0), int(x1)))
+            above = image[box].astype(int) * image[box].size > int(image[box].sum())
+            pixels[(k, 0, *box)], pixels[(k, 1, *box)] = np.where(above, 1, -1), np.where(above, -1, 1)
+            scores[k] = above.sum(), (~above).sum()
+        return pixels, scores
+
+    return decode
+
+
+_BOXES = "WHERE b.y >= q.k % 4 * 7 AND b.y < q.k % 4 * 7 + 10 AND b.x >= q.k // 4 * 6 AND b.x < q.k // 4 * 6 + 6"
+
+
+@add(
+    "sam_encoded",
+    Q.query(
+        Q.EVT, "images AS (SELECT DISTINCT img FROM px)", f"boxed AS (SELECT b.img, q.k AS ord, y, x, b.b FROM px b, range(16) q(k) {_BOXES})",
+        "sides AS (SELECT *, b * count(*) OVER (PARTITION BY img, ord) > sum(b) OVER (PARTITION BY img, ord) AS above FROM boxed)",
+        "sizes AS (SELECT *, count(*) FILTER (above) OVER (PARTITION BY img, ord) AS n1, count(*) FILTER (NOT above) OVER (PARTITION BY img, ord) AS n0 FROM sides)",
+        select="SELECT img, 1 + ord % 2 AS value, ord, greatest(n0, n1)::DOUBLE AS score, y, x FROM sizes WHERE above = (n1 >= n0)",
+    ),
+)
+def sam_encoded(spark, sf_dir):
+    """Sixteen boxes for each image of events, which is encoded once."""
+    px = evt(spark, sf_dir)
+    embedded = sam.encode(sam.pack_images(px), lambda: lambda image: image)
+    k = F.col("ord")
+    boxes = embedded.select("img", F.explode(F.sequence(F.lit(0), F.lit(15))).cast("long").alias("ord"))
+    corner = lambda x, y: F.array(x.cast("float"), y.cast("float"))
+    x, y = F.floor(k / 4) * 6, k % 4 * 7
+    prompts = boxes.select("img", F.array(corner(x, y), corner(x + 6, y + 10)).alias("coords"), F.array(F.lit(2.0), F.lit(3.0)).alias("labels"), (1 + k % 2).alias("value"), "ord")
+    return sam.prompted_masks(embedded, prompts, _box_decoder)
+
+
 add("crf_embedding")(lambda spark, sf_dir: crf.refine(prob_of(emb(spark, sf_dir)), emb(spark, sf_dir), CRFParams(n_infer=2)))
 
 

@@ -226,7 +226,7 @@ def training(spark, n=400):
     return spark.createDataFrame(rows, "img string, y int, x int, f double, g double, label int")
 
 
-@pytest.mark.parametrize("name,params", [("random_forest", {"n_estimators": 10, "max_depth": 5}), ("logistic_regression", {}), ("linear_regression", {}), ("mlp", {"hidden_layer_sizes": (8,)}), ("xgb", {"n_estimators": 5})])
+@pytest.mark.parametrize("name,params", [("random_forest", {"n_estimators": 10, "max_depth": 5}), ("logistic_regression", {}), ("linear_regression", {}), ("mlp", {"hidden_layer_sizes": (8,), "max_iter": 25}), ("xgb", {"n_estimators": 5})])
 def test_classifiers(spark, name, params):
     data = training(spark).cache()
     model = models.train(models.get_model(name, ["f", "g"], 3, params), data, balanced=name != "mlp")
@@ -251,7 +251,7 @@ def test_expert_needs_and_follows_a_target(spark):
     assert m.predict(data).filter("seg = label").count() / data.count() > 0.8
 
 
-@pytest.mark.parametrize("name,params", [("random_forest", {"n_estimators": 5, "max_depth": 4}), ("logistic_regression", {}), ("linear_regression", {"alpha": 2.0}), ("mlp", {"hidden_layer_sizes": [4]}), ("xgb", {"n_estimators": 3})])
+@pytest.mark.parametrize("name,params", [("random_forest", {"n_estimators": 5, "max_depth": 4}), ("logistic_regression", {}), ("linear_regression", {"alpha": 2.0}), ("mlp", {"hidden_layer_sizes": [4], "max_iter": 4}), ("xgb", {"n_estimators": 3})])
 def test_models_come_back(spark, tmp_path, name, params):
     data = training(spark).cache()
     model = models.train(models.get_model(name, ["f", "g"], 3, params), data)

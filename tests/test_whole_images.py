@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pixelmill.functions.config import CRFParams, FeatureConfig, TrainingConfig
-from pixelmill.operators import crf, segmentation
+from pixelmill.operators import crf, models, sam, segmentation
+from pixelmill.operators import labels as L
 from pixelmill.operators import morphology as M
 from pixelmill.operators import preprocess as P
 from pixelmill.sources import rle
@@ -167,3 +169,78 @@ def test_custom_functions_see_whole_pixels(spark):
     px = spark.createDataFrame([("a", y, x, 0, float(v[y, x])) for y in range(4) for x in range(5)], "img string, y int, x int, b int, v double")
     rows = segmentation.featurise(px, config, [(lambda image: [image - 1], ["less"])]).select("y", "x", "less").collect()
     assert len(rows) == 20 and all(r.less == v[r.y, r.x] - 1 for r in rows)
+
+
+def test_images_are_encoded_once(spark):
+    """However many prompts an image has; masks do not depend on how prompts are grouped."""
+    sc = spark.sparkContext
+    calls = sc.accumulator(0)
+    px = spark.createDataFrame([(k, y, x, (7 * y + 3 * x + len(k)) % 50) for k in ("a", "bb", "none") for y in range(8) for x in range(9)], "img string, y int, x int, b int")
+
+    def provider():
+        def encoder(image):
+            calls.add(1)
+            return image * 2.0
+
+        return encoder
+
+    embedded = sam.encode(sam.pack_images(px), provider)
+    prompts = spark.createDataFrame([(k, [[float(i % 5), 0.0], [float(i % 5 + 4), 8.0]], [2.0, 3.0], 1 + i % 3, i) for k in ("a", "bb", "gone") for i in range(70)], "img string, coords array<array<float>>, labels array<float>, value long, ord long")
+
+    def decoder():
+        def decode(e, coords, labels):
+            pixels = np.full((len(coords), 3, *e.shape), -1.0)
+            for k, ((x0, _), (x1, _)) in enumerate(coords):
+                for m in range(3):
+                    pixels[k, m, :, int(x0) : int(x1)] = e[:, int(x0) : int(x1)] - 20 * m
+            return pixels, np.array([[0.1, 0.7, 0.7]] * len(coords))
+
+        return decode
+
+    want = None
+    for together in (3, 16, 100):
+        rows = sorted(map(tuple, sam.prompted_masks(embedded, prompts, decoder, together).collect()))
+        assert rows and (want is None or rows == want) and {r[0] for r in rows} == {"a", "bb"} and {r[3] for r in rows} == {0.7}
+        want = rows
+    assert calls.value == 3
+    first = {(r[4], r[5]) for r in want if r[0] == "a" and r[2] == 0}
+    assert first == {(y, x) for y in range(8) for x in range(4) if (7 * y + 3 * x + 1) % 50 * 2 > 20}
+
+
+def test_perceptron_does_not_depend_on_partitions(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(700, 2))
+    label = ((x[:, 0] * x[:, 1] > 0) + (np.hypot(*x.T) > 1.6) * 1).astype(int)  # no plane parts these
+    df = spark.createDataFrame([("a", i, 0, float(a), float(b) if i % 50 else None, int(k)) for i, ((a, b), k) in enumerate(zip(x, label))], "img string, y int, x int, f double, g double, label int").cache()
+    train, held = df.filter("y % 3 > 0"), df.filter("y % 3 = 0")
+    make = lambda d: models.get_model("mlp", ["f", "g"], 3, {"hidden_layer_sizes": (32, 16), "max_iter": 30, "seed": 1}).fit(d)
+    a, b = make(train.repartition(1)), make(train.repartition(5, "y"))
+    assert all(np.array_equal(v, w) for v, w in zip(a.weights, b.weights))
+    truth = held.withColumnRenamed("label", "cls")
+    assert L.miou(a.predict(held), truth).first()[0] > 0.5
+    a.save(spark, f"file://{tmp_path}/m")
+    assert models.load_classifier(spark, f"file://{tmp_path}/m").predict_proba(held).select("prob").collect() == a.predict_proba(held).select("prob").collect()
+    none = make(train.filter("y < 0"))
+    assert none.predict(held).count() == held.count()
+
+
+def test_application_of_a_model_to_another_image(spark):
+    """All refinements run from a model that exists; what they need must be given."""
+    rng = np.random.default_rng(12)
+    image = lambda k: spark.createDataFrame([(k, y, x, int(np.clip((x > 8) * 120 + rng.normal() * 20 + 60, 0, 255))) for y in range(16) for x in range(18)], "img string, y int, x int, b int").withColumn("v", F.col("b") / 255.0)
+    px, other = image("a").cache(), image("b").cache()
+    labels = px.select("img", "y", "x", F.when(F.col("y") % 4 == 0, 1 + (F.col("x") > 8).cast("int")).otherwise(0).alias("label"))
+    one = FeatureConfig(sigmas=(1.0,), membrane_projections=False)
+    config = TrainingConfig(feature_config=one, classifier="linear_regression", modal_filter=True, CRF=True, CRF_params=CRFParams(n_infer=1, sxy_b=(8.0, 8.0)), autocontext=True)
+    feats = segmentation.featurise(px, config)
+    model = segmentation.fit(feats, labels, config, 2)
+    out, second = segmentation.apply(model, feats, config, px, labels)
+    assert len(second.features) == len(model.features) + 2
+    whole, _ = segmentation.train_and_apply(px, labels, config, 2)
+    assert sorted(out.select("y", "x", "seg").collect()) == sorted(whole.select("y", "x", "seg").collect())
+    plain = TrainingConfig(feature_config=one, classifier="linear_regression", modal_filter=True)
+    seg, same = segmentation.apply(model, segmentation.featurise(other, plain), plain)
+    assert same is model and seg.filter((F.col("x") > 8).cast("int") == F.col("seg")).count() > 0.9 * 16 * 18
+    for needs in (TrainingConfig(autocontext=True), TrainingConfig(CRF=True)):
+        with pytest.raises(ValueError):
+            segmentation.apply(model, feats, needs)
