@@ -116,32 +116,99 @@ def _shifted(b: np.ndarray, offsets):
         yield p[ry + y : ry + y + h, rx + x : rx + x + w], inside[ry + y : ry + y + h, rx + x : rx + x + w]
 
 
+#: Cells of a disc up to which values are sorted.
+SMALL_DISC = 64
+
+
+def half_widths(offsets) -> dict[int, int]:
+    """For each row of a disc how far it reaches to both sides."""
+    out: dict[int, int] = {}
+    for y, x in offsets:
+        out[y] = max(out.get(y, 0), x)
+    return out
+
+
+def disc_sums(b: np.ndarray, offsets) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and number of the disc's pixels inside the image, two differences of running sums for each row of the disc."""
+    h, w = b.shape
+    rows = half_widths(offsets)
+    ry, rx = max(rows), max(rows.values())
+    total, n = np.zeros((h, w), np.int64), np.zeros((h, w), np.int64)
+    sums = np.zeros((h + 2 * ry, w + 2 * rx + 1), np.int64)
+    np.cumsum(np.pad(b, ((ry, ry), (rx, rx))), axis=1, out=sums[:, 1:])
+    y, x = np.arange(h)[:, None], np.arange(w)[None]
+    for dy, k in rows.items():
+        band = sums[ry + dy : ry + dy + h]
+        total += band[:, rx + k + 1 : rx + k + 1 + w] - band[:, rx - k : rx - k + w]
+        n += np.where((y + dy >= 0) & (y + dy < h), np.minimum(x + k, w - 1) - np.maximum(x - k, 0) + 1, 0)
+    return total, n
+
+
+def disc_extreme(b: np.ndarray, offsets, pick, none: int) -> np.ndarray:
+    """Minimum or maximum over the disc: each of its rows is two overlapping spans of a power of two, whose extremes are known by doubling."""
+    h, w = b.shape
+    rows = half_widths(offsets)
+    ry, rx = max(rows), max(rows.values())
+    spans = [np.pad(b, ((ry, ry), (rx, rx)), constant_values=none)]
+    while 2 << (len(spans) - 1) <= 2 * rx + 1:
+        last, step = spans[-1], 1 << (len(spans) - 1)
+        spans.append(pick(last[:, : last.shape[1] - step], last[:, step:]))
+    out = None
+    for dy, k in rows.items():
+        level = (2 * k + 1).bit_length() - 1
+        band = spans[level][ry + dy : ry + dy + h]
+        left, right = rx - k, rx + k + 1 - (1 << level)
+        v = pick(band[:, left : left + w], band[:, right : right + w])
+        out = v if out is None else pick(out, v)
+    return out
+
+
+def disc_median(b: np.ndarray, offsets) -> np.ndarray:
+    """The upper median of bytes over the disc. A histogram for each pixel of a row slides down the image: of each column of the disc one
+    pixel enters and one leaves; the rank is sought among sums of 16 values first."""
+    h, w = b.shape
+    columns = half_widths([(x, y) for y, x in offsets])
+    dx, k = np.array(list(columns)), np.array(list(columns.values()))
+    r, rx = int(k.max()), int(np.abs(dx).max())
+    p = np.pad(b, ((r, r + 1), (rx, rx)), constant_values=256)
+    at = np.arange(w)[None] + rx + dx[:, None]
+    base = (np.arange(w) * 257)[None]
+    counts = np.zeros((w, 257), np.int32)
+    flat, out, x = counts.reshape(-1), np.empty((h, w), np.int64), np.arange(w)
+    for y, d in offsets:
+        flat[base[0] + p[r + y, rx + d : rx + d + w]] += 1
+    for y in range(h):
+        fine = counts[:, :256].reshape(w, 16, 16)
+        coarse = np.cumsum(fine.sum(2), 1)
+        n = coarse[:, -1] // 2
+        c = (coarse <= n[:, None]).sum(1)
+        n -= np.where(c > 0, coarse[x, c - 1], 0)
+        out[y] = 16 * c + (np.cumsum(fine[x, c], 1) <= n[:, None]).sum(1)
+        for enters, leaves in zip(base + p[(r + y + 1 + k)[:, None], at], base + p[(r + y - k)[:, None], at]):  # a column's pixels all differ
+            flat[enters] += 1
+            flat[leaves] -= 1
+    return out
+
+
+def sorted_median(b: np.ndarray, offsets) -> np.ndarray:
+    """As ``disc_median``, by sorting the few values of a small disc."""
+    part = np.stack([np.where(ok, v, 256) for v, ok in _shifted(b, offsets)], -1)
+    n = (part < 256).sum(-1)
+    part.sort(-1)
+    return np.take_along_axis(part, (n // 2)[..., None], -1)[..., 0]
+
+
 def rank(b: np.ndarray, radius: int, kind: str) -> np.ndarray:
-    """mean, minimum, maximum or median over the open disc; pixels outside the image are left out."""
+    """mean, minimum, maximum or median of bytes over the open disc; pixels outside the image are left out."""
     b = b.astype(np.int64)
     offs = disc(radius)
     if kind == "mean":
-        total, n = np.zeros_like(b), np.zeros_like(b)
-        for v, ok in _shifted(b, offs):
-            total += v
-            n += ok
+        total, n = disc_sums(b, offs)
         return total // n
     if kind in ("minimum", "maximum"):
-        out = None
-        for v, ok in _shifted(b, offs):
-            v = np.where(ok, v, 256 if kind == "minimum" else -1)
-            out = v if out is None else (np.minimum if kind == "minimum" else np.maximum)(out, v)
-        return out
-    if kind == "median":  # the upper one, by counting values row by row
-        out = np.empty_like(b)
-        step = max(1, (1 << 22) // (b.shape[1] * len(offs)))
-        for y in range(0, b.shape[0], step):
-            lo, hi = max(0, y - radius), min(b.shape[0], y + step + radius)
-            part = np.stack([np.where(ok, v, 256) for v, ok in _shifted(b[lo:hi], offs)], -1)[y - lo : y - lo + min(step, b.shape[0] - y)]
-            n = (part < 256).sum(-1)
-            part.sort(-1)
-            out[y : y + len(part)] = np.take_along_axis(part, (n // 2)[..., None], -1)[..., 0]
-        return out
+        return disc_extreme(b, offs, *((np.minimum, 256) if kind == "minimum" else (np.maximum, -1)))
+    if kind == "median":
+        return (sorted_median if len(offs) <= SMALL_DISC else disc_median)(b, offs)
     raise ValueError(kind)
 
 

@@ -91,7 +91,8 @@ def prompted_masks(embeddings: DataFrame, prompts: DataFrame, provider: Callable
     scores of masks (prompts, masks). Of equally good masks the first counts; prompts of images without embedding find nothing.
     """
     n = prompts.groupBy("img").agg(F.ceil(F.count(F.lit(1)) / together).cast("int").alias("groups_"))
-    asked = prompts.join(n, "img").withColumn("group_", F.pmod(F.xxhash64(F.to_json(F.struct("coords", "labels")), "value", "ord"), F.col("groups_")).cast("int")).drop("groups_")
+    asked = prompts.join(n, "img").withColumn("group_", F.pmod(F.xxhash64(F.to_json(F.struct("coords", "labels")), "value", "ord"), F.col("groups_")).cast("int"))
+    asked = asked.select(*[F.col(c).alias(c) for c in (*prompts.columns, "group_")])  # prompts may come from the embeddings themselves
     held = embeddings.join(n, "img").withColumn("group_", F.explode(F.sequence(F.lit(0), F.col("groups_") - 1))).drop("groups_")
     kind = embeddings.schema["img"].dataType.simpleString()
 

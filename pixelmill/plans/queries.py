@@ -543,7 +543,7 @@ def sam_encoded(spark, sf_dir):
     px = evt(spark, sf_dir)
     embedded = sam.encode(sam.pack_images(px), lambda: lambda image: image)
     k = F.col("ord")
-    boxes = embedded.select("img", F.explode(F.sequence(F.lit(0), F.lit(15))).cast("long").alias("ord"))
+    boxes = embedded.select("img", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("ord"))
     corner = lambda x, y: F.array(x.cast("float"), y.cast("float"))
     x, y = F.floor(k / 4) * 6, k % 4 * 7
     prompts = boxes.select("img", F.array(corner(x, y), corner(x + 6, y + 10)).alias("coords"), F.array(F.lit(2.0), F.lit(3.0)).alias("labels"), (1 + k % 2).alias("value"), "ord")

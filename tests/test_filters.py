@@ -211,3 +211,15 @@ def test_custom_features_and_half_precision(spark):
     half = {(r.y, r.x): r.tenth for r in X.cast_features(out, ["tenth"]).collect()}
     assert half[2, 3] == float(np.float16(1.1))
     assert S.TILE == 256
+
+
+@pytest.mark.parametrize("radius", [1, 2, 4, 5, 9])
+def test_sliding_ranks_equal_sorted_discs(radius):
+    """Running sums, spans and sliding histograms against every disc's values, also on images smaller than the disc."""
+    rng = np.random.default_rng(radius)
+    for shape in ((1, 1), (3, 31), (22, 5), (17, 19)):
+        b = rng.choice([0, 1, 7, 128, 254, 255], shape) if radius % 2 else rng.integers(0, 256, shape)
+        held = [[sorted(int(b[y + dy, x + dx]) for dy, dx in K.disc(radius) if 0 <= y + dy < shape[0] and 0 <= x + dx < shape[1]) for x in range(shape[1])] for y in range(shape[0])]
+        for kind, of in (("mean", lambda v: sum(v) // len(v)), ("minimum", min), ("maximum", max), ("median", lambda v: v[len(v) // 2])):
+            assert K.rank(b.astype(np.uint8), radius, kind).tolist() == [[of(v) for v in row] for row in held], kind
+        assert np.array_equal(K.disc_median(b, K.disc(radius)), K.sorted_median(b, K.disc(radius)))
