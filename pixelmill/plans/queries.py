@@ -17,7 +17,7 @@ from ..operators import morphology as M
 from ..operators import preprocess as P
 from ..operators import rasters as R
 from ..operators import stencil as S
-from ..sources import images, rle
+from ..sources import images, rle, tiff
 from ..sources.shared import checkpoint, new_path
 from . import sql as Q
 
@@ -436,6 +436,14 @@ def rle_decode(spark, sf_dir):
     return rle.decode_rle(runs.join(size, "img").select("img", F.concat_ws(" ", "h", "w", "runs").alias("line")))
 
 
+@add("scan_tiff_region", Q.query(Q.EMB, select="SELECT p.page::INT AS page, y, x, (b + p.page) % 256 AS b FROM px, range(2) p(page) WHERE y >= 20 AND y < 90 AND x > 40"))
+def scan_tiff_region(spark, sf_dir):
+    """A region of both pages of a tiled file with offsets of 64 bits, of which only the tiles it touches are read."""
+    path = new_path(spark, "tiles")
+    images.write_images(emb(spark, sf_dir), path, kind="tif", encoder=lambda a: tiff.encode_pages([a, a + np.uint8(1)], tile=(16, 32), big=True))
+    return tiff.read_tiff(spark, path, 4096).filter("y >= 20 and y < 90 and x > 40").select("page", "y", "x", "b")
+
+
 # models
 
 

@@ -8,12 +8,15 @@ from __future__ import annotations
 import io
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import open_store, store_path
+
 PX = "img string, y int, x int, ch int, b int, v double"
 
 
@@ -240,9 +243,9 @@ def encode_npz(a: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def image_files(px: DataFrame, value: str = "b", kind: str = "png") -> DataFrame:
+def image_files(px: DataFrame, value: str = "b", kind: str = "png", encoder: Callable[[np.ndarray], bytes] | None = None) -> DataFrame:
     """(path, content): a file for each image of (img, y, x, value), whole images in one task each."""
-    encoder = {"png": encode_png, "tif": encode_tiff, "npy": encode_npy}[kind]
+    encoder = encoder or {"png": encode_png, "tif": encode_tiff, "npy": encode_npy}[kind]
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         y, x, v = (t.column(c).to_numpy() for c in ("y", "x", value))
@@ -253,17 +256,17 @@ def image_files(px: DataFrame, value: str = "b", kind: str = "png") -> DataFrame
     return px.select("img", "y", "x", value).groupBy("img").applyInArrow(run, "path string, content binary")
 
 
-def write_images(px: DataFrame, path: str, value: str = "b", kind: str = "png") -> None:
+def write_images(px: DataFrame, path: str, value: str = "b", kind: str = "png", encoder: Callable[[np.ndarray], bytes] | None = None) -> None:
     """Write each image to ``path`` with ``pyarrow.fs``, from the executors."""
-    _put(image_files(px, value, kind), path)
+    _put(image_files(px, value, kind, encoder), path)
 
 
 def _put(files: DataFrame, path: str) -> None:
     """Write (path, content) rows as files of one folder, from the executors."""
-    from pyarrow import fs
+    store_path(files.sparkSession, path)
 
     def run(batches):
-        system, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        system, root = open_store(path)
         system.create_dir(root, recursive=True)
         for rb in batches:
             for name, content in zip(rb.column("path").to_pylist(), rb.column("content").to_pylist()):

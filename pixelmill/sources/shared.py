@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,6 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def store_path(spark: SparkSession, path: str) -> str:
+    """A bare path means another disk on every executor of a cluster, so it is refused there."""
+    if ":" not in path and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError(f"{path}: a path on a cluster names its store, as file:///... or s3a://... do")
+    return path
+
+
+def open_store(path: str):
+    """(file system, path in it), for files that tasks read in part or write by name. Hadoop's names of object stores are known too."""
+    from pyarrow import fs
+
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
+    return fs.LocalFileSystem(), path
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 

@@ -3,13 +3,15 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, LessThan
 
 from pixelmill.functions.config import CRFParams, FeatureConfig, TrainingConfig
 from pixelmill.operators import crf, models, sam, segmentation
 from pixelmill.operators import labels as L
 from pixelmill.operators import morphology as M
 from pixelmill.operators import preprocess as P
-from pixelmill.sources import rle
+from pixelmill.sources import images as io
+from pixelmill.sources import rle, tiff
 
 from . import dense
 
@@ -244,3 +246,47 @@ def test_application_of_a_model_to_another_image(spark):
     for needs in (TrainingConfig(autocontext=True), TrainingConfig(CRF=True)):
         with pytest.raises(ValueError):
             segmentation.apply(model, feats, needs)
+
+
+@pytest.mark.parametrize("kind", [np.uint8, np.int16, np.uint16, np.float32, np.float64])
+def test_tiff_layouts(spark, tmp_path, kind):
+    """Strips and tiles, planes, pages, both byte orders and sizes of offsets, differences; shares of a file make the whole."""
+    rng = np.random.default_rng(13)
+    pages = [(rng.normal(size=s) * 90).astype(kind) for s in ((21, 34, 3), (21, 34), (5, 70))]
+    integers = np.dtype(kind).kind != "f"
+    for i, how in enumerate(({"rows": 4}, {"tile": (16, 16)}, {"tile": (16, 32), "planar": True, "big": True}, {"rows": 9, "planar": True, "order": ">"}, {"tile": (8, 16), "order": ">", "big": True, "predictor": 2 if integers else 1})):
+        (tmp_path / f"a{i}.tif").write_bytes(tiff.encode_pages(pages, **how))
+        rows = tiff.read_tiff(spark, f"file://{tmp_path}/a{i}.tif", 700).collect()
+        got = {(r.page, r.y, r.x, r.ch): (r.b, r.v) for r in rows}
+        assert len(got) == len(rows) == sum(p.size for p in pages)
+        for k, p in enumerate(pages):
+            for y, x, c in np.ndindex(p.shape if p.ndim == 3 else (*p.shape, 1)):
+                value = p[y, x, c] if p.ndim == 3 else p[y, x]
+                assert got[k, y, x, c] == (int(value), value / float(np.iinfo(kind).max) if np.dtype(kind).kind == "u" else float(value))
+    if kind == np.uint8:
+        assert np.array_equal(io.decode_tiff(tiff.encode_pages(pages[:1], rows=4)), pages[0])
+
+
+def test_tiff_regions_read_only_their_segments(spark, tmp_path):
+    rng = np.random.default_rng(14)
+    a = rng.integers(0, 256, (512, 640, 3)).astype(np.uint8)
+    (tmp_path / "a.tif").write_bytes(tiff.encode_pages([a, a[::-1]], tile=(64, 64), planar=True))
+    size = (tmp_path / "a.tif").stat().st_size
+
+    def run(*filters):
+        r = tiff.TiffReader({"path": f"file://{tmp_path}", "split_bytes": 1 << 30})
+        assert list(r.pushFilters(list(filters))) == list(filters)
+        n = sum(b.num_rows for p in r.partitions() for b in r.read(p))
+        return r.bytes / size, n
+
+    one = [EqualTo(("page",), 1), EqualTo(("ch",), 2)]
+    assert run() == (pytest.approx(1, abs=0.03), 2 * a.size)
+    share, n = run(*one, GreaterThanOrEqual(("y",), 70), LessThan(("y",), 120), In(("x",), (3, 60)))
+    assert n == 64 * 64 and share < 0.03
+    assert run(GreaterThan(("y",), 5000))[1] == 0
+    got = tiff.read_tiff(spark, f"file://{tmp_path}", 50_000).filter("page = 1 and ch = 2 and y between 70 and 119 and x in (3, null, 60)")
+    assert {(r.y, r.x): r.b for r in got.collect()} == {(y, x): a[511 - y, x, 2] for y in range(70, 120) for x in (3, 60)}
+    (tmp_path / "cut.tif").write_bytes((tmp_path / "a.tif").read_bytes()[: size // 2])
+    with pytest.raises(Exception, match="cut.tif|struct|early"):
+        tiff.read_tiff(spark, f"file://{tmp_path}/cut.tif").count()
+    assert tiff.unpack_bits(bytes([2, 1, 2, 3, 254, 9, 0, 7])) == bytes([1, 2, 3, 9, 9, 9, 7])
