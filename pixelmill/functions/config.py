@@ -8,6 +8,10 @@ import warnings
 from dataclasses import asdict, dataclass, field, fields, replace
 from typing import Any
 
+from pyspark.sql import SparkSession
+
+from ..sources.shared import write_text
+
 #: Defaults of the feature configuration.
 SIGMAS = (1.0, 2.0, 4.0, 8.0, 16.0)
 SIGMA_MULTIPLIER = 0.4
@@ -18,7 +22,7 @@ BILATERAL_RANGES = (50, 100)
 
 @dataclass(frozen=True)
 class FeatureConfig:
-    """Which filters run, at which scales. ``sigmas`` is replaced if min_sigma or max_sigma differ from their defaults."""
+    """Which filters run, at which scales; names and defaults are fixed values. ``sigmas`` is replaced if min_sigma or max_sigma differ from their defaults."""
 
     name: str = "default"
     desc: str = "weka-style features"
@@ -148,7 +152,7 @@ class ClassInfo:
 
 @dataclass(frozen=True)
 class TrainingConfig:
-    """End-to-end settings. ``seed`` and ``autocontext_type`` ("original": probabilities themselves; "ilastik": features of them) are
+    """End-to-end settings; names and defaults are fixed values but for those of this engine's own. ``seed`` and ``autocontext_type`` ("original": probabilities themselves; "ilastik": features of them) are
     this engine's own; add_dino_features, HITL and HITL_strategy are kept and not read."""
 
     feature_config: FeatureConfig = field(default_factory=FeatureConfig)
@@ -211,11 +215,18 @@ def loads(text: str) -> TrainingConfig:
     return _build(TrainingConfig, json.loads(text))
 
 
-def save(config: TrainingConfig, path: str) -> None:
+def save(config: TrainingConfig, path: str, spark: SparkSession | None = None) -> None:
+    """To any store that Spark writes where a session is given, else to a file here."""
+    if spark:
+        write_text(spark, path, json.dumps(asdict(config)))
+        return
     with open(path, "w") as f:
         f.write(dumps(config))
 
 
-def load(path: str) -> TrainingConfig:
+def load(path: str, spark: SparkSession | None = None) -> TrainingConfig:
+    """From any store that Spark reads where a session is given, a file of several lines included; else from a file here."""
+    if spark:
+        return loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
     with open(path) as f:
         return loads(f.read())

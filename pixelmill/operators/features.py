@@ -188,6 +188,12 @@ def multiscale_features(px: DataFrame, config: FeatureConfig | None = None, keys
     return _stacked(px, c, [("", ("b", "v") if values else ("b",))], keys, tile)
 
 
+def tile_kernel(c: FeatureConfig) -> Callable[[np.ndarray], list[np.ndarray]]:
+    """All features of the dense array of a tile with its halo, rounded, in the order of ``stack_names``."""
+    one = gpu_stack_of(c) if c.use_gpu else stack_of(c)
+    return lambda a: _rounded(one(a), c.cast_to)
+
+
 def _stacked(px: DataFrame, c: FeatureConfig, planes: Sequence[tuple[str, tuple[str, ...]]], keys, tile: int) -> DataFrame:
     """Stacks of several channels, given as (ending of the names, value columns), in one pass over the tiles."""
     one = gpu_stack_of(c) if c.use_gpu else stack_of(c)

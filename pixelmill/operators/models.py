@@ -86,7 +86,12 @@ class PipelineClassifier(Classifier):
 
 
 class RandomForest(PipelineClassifier):
-    """n_estimators, max_depth (no limit: 30, the most there is), max_features (a number or auto), seed."""
+    """n_estimators, max_depth (no limit: 30, the most there is), max_features (a number or auto), seed.
+
+    A forest of up to ``NODES`` nodes is applied as arrays, of which the driver holds all; larger ones by Spark's own model.
+    """
+
+    NODES = 4_000_000
 
     def stages(self, weight):
         p = self.params
@@ -117,6 +122,8 @@ class RandomForest(PipelineClassifier):
         return self.probabilities(px, px.columns)
 
     def probabilities(self, px: DataFrame, keys: Sequence[str]) -> DataFrame:
+        if self.model.stages[-1].totalNumNodes > self.NODES:
+            return super().predict_proba(px).select(*keys, "prob")
         forest, names, carried = self._packed(px.sparkSession), self.features, list(keys)
 
         def run(batches):

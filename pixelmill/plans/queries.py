@@ -99,9 +99,13 @@ def to_rgb(spark, sf_dir):
     return R.to_rgb(emb(spark, sf_dir).select(*PX, "b"))
 
 
-@add("feature_names", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(feature_names())) + ") t(i, name)")
-def names(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(feature_names())), "i int, name string")
+@add("feature_names", Q.query(Q.EVT, select="SELECT i, name, n FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(feature_names())) + ") t(i, name), (SELECT count(*) AS n FROM px)"))
+def feature_names_(spark, sf_dir):
+    """The columns of the default stack in order, and for how many pixels of the events' images each has a value."""
+    stack = X.multiscale_features(evt(spark, sf_dir), FeatureConfig())
+    names = [c for c in stack.columns if c not in PX]
+    counts = stack.agg(*[F.count(c).alias(c) for c in names])
+    return counts.select(F.posexplode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in names])).alias("i", "f")).select("i", "f.name", "f.n")
 
 
 @add("minmax_scale", Q.query(Q.EMB, select="SELECT img, y, x, (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER () + 0.0::DOUBLE) AS v FROM px"))
@@ -168,10 +172,16 @@ add("pre_equalize", Q.query(Q.EMB, *Q.equalized(), select=_ROUNDED("flat")))(lam
 # neighbourhoods
 
 
-@add("footprint", "SELECT a.dy::INT AS dy, c.dx::INT AS dx FROM range(-5, 6) a(dy), range(-5, 6) c(dx) WHERE a.dy * a.dy + c.dx * c.dx < 25")
+_FOOT = "px p JOIN px q ON q.img = p.img AND (q.y - p.y) * (q.y - p.y) + (q.x - p.x) * (q.x - p.x) < 25"
+
+
+@add("footprint", Q.query(Q.EVT, select=f"SELECT p.img, p.y, p.x, count(*) AS cells, max(q.y - p.y)::INT AS down, max(q.x - p.x)::INT AS across FROM {_FOOT} GROUP BY p.img, p.y, p.x"))
 def footprint(spark, sf_dir):
-    r = F.sequence(F.lit(-5), F.lit(5))
-    return spark.range(1).select(F.explode(r).alias("dy")).withColumn("dx", F.explode(r)).filter("dy * dy + dx * dx < 25")
+    """How many cells of the disc of radius 5 lie in the image, and how far they reach, for each pixel."""
+    px = evt(spark, sf_dir).select(*PX, F.col("y").alias("b"))
+    down = S.over_disc(px, K.disc(5), [F.count("*").alias("cells"), F.max(F.col("n") - F.col("y")).cast("int").alias("down")])
+    across = S.over_disc(px.withColumn("b", F.col("x")), K.disc(5), [F.max(F.col("n") - F.col("x")).cast("int").alias("across")])
+    return down.join(across, list(PX))
 
 
 add("gaussian_blur", Q.query(Q.EMB, *Q.blur("px", "v", _G1, "g", "gaussian_blur"), select="SELECT img, y, x, gaussian_blur FROM g"))(lambda spark, sf_dir: X.gaussian_blur(emb(spark, sf_dir), 1.0))

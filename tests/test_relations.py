@@ -469,3 +469,22 @@ def test_denoise_of_a_large_image_is_that_of_the_whole(spark):
     for r in P.denoise(spark.createDataFrame(rows, "img string, y int, x int, v double")).collect():
         got[r.y, r.x] = r.v
     assert np.allclose(got, dense.haar_denoise(v))
+
+
+def test_configurations_in_any_store(spark, tmp_path):
+    from pixelmill.functions import config as C
+
+    c = C.TrainingConfig(feature_config=C.FeatureConfig(sigmas=(1.0, 3.0), median=True), CRF=True, class_infos=(C.ClassInfo("a", 0, connectivity_target="minimise"),))
+    C.save(c, f"file://{tmp_path}/one", spark)
+    assert C.load(f"file://{tmp_path}/one", spark) == c
+    C.save(c, f"{tmp_path}/two.json")
+    assert C.load(f"{tmp_path}/two.json") == C.load(f"file://{tmp_path}/two.json", spark) == c
+
+
+def test_large_forests_are_applied_by_spark(spark, monkeypatch):
+    data = training(spark).cache()
+    model = models.get_model("random_forest", ["f", "g"], 3, {"n_estimators": 5, "max_depth": 4}).fit(data)
+    want = {(r.y, r.x): r.prob for r in models.apply(model, data).collect()}
+    monkeypatch.setattr(models.RandomForest, "NODES", 3)
+    got = {(r.y, r.x): r.prob for r in models.apply(model, data).collect()}
+    assert want.keys() == got.keys() and all(np.allclose(want[k], got[k]) for k in want)
