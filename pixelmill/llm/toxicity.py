@@ -163,10 +163,11 @@ def fit_chain(spark: SparkSession, docs: DataFrame, labels: DataFrame, categorie
         folds[r[0]] = [x or 0 for x in r[1:]]
     if not folds[:, 0].any():
         return Chain(np.zeros(0, np.int64), [np.array([-30.0]) if not i else np.append(np.zeros(i), -30.0) for i in range(len(categories))], n_buckets)
-    each = [_presence(train.filter(F.col("fold") == k), categories, n_buckets) for k in range(FOLDS)]
+    each = [_presence(train.filter(F.col("fold") == k), categories, n_buckets).astype(np.int32) for k in range(FOLDS)]
     total, rows_of = sum(each), folds.sum(0)
-    chosen = [select_features(total - c, n[0], n[1:], KEEP) for c, n in zip([*each, 0 * total], [*(rows_of - folds), rows_of])]
+    chosen = [select_features(total - c, n[0], n[1:], KEEP) for c, n in zip([*each, 0], [*(rows_of - folds), rows_of])]
     features = np.unique(np.concatenate(chosen))
+    del each, total
 
     def rows(batches):
         for whole in batches:
@@ -176,8 +177,10 @@ def fit_chain(spark: SparkSession, docs: DataFrame, labels: DataFrame, categorie
 
     schema = "x binary, fold int, " + ", ".join(f"`{c}` int" for c in categories)
     got = train.mapInArrow(rows, schema).collect()  # at most ``sample`` rows of fixed width
-    x = np.array([np.frombuffer(bytes(r["x"]), np.float32) for r in got], float).reshape(len(got), len(features))
-    return Chain.fit(x, np.array([[r[c] for c in categories] for r in got]), np.array([r["fold"] for r in got]), features, chosen, n_buckets)
+    x = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(len(got), len(features))
+    fold, truth = np.array([r["fold"] for r in got]), np.array([[r[c] for c in categories] for r in got])
+    del got
+    return Chain.fit(x, truth, fold, features, chosen, n_buckets)
 
 
 def apply_chain(docs: DataFrame, chain: Chain, categories: list[str]) -> DataFrame:
