@@ -92,7 +92,8 @@ def test_scratch_goes_when_a_result_is_written(spark):
 @pytest.mark.parametrize("name", sorted(k for k in entry.queries() if k.startswith("op")))
 def test_rows_of_queries(spark, sf, name):
     out = entry.queries()[name](spark, sf)
-    n = spark.read.parquet(f"{sf}/{'pages' if name.startswith('op3_') else 'documents'}.parquet").count()
+    table = {"op3": "pages", "op12": "embeddings"}.get(name.partition("_")[0], "documents")
+    n = spark.read.parquet(f"{sf}/{table}.parquet").count()
     assert out.count() == n if not name.startswith("op1_") else out.count() > 0
 
 
