@@ -158,8 +158,8 @@ def window_minimum(x: np.ndarray, w: int) -> np.ndarray:
     return have
 
 
-def segments(symbols_of, offsets: np.ndarray, window: int, k: int) -> Segments:
-    """``symbols_of(a, b)`` gives the symbols of elements [a, b) as uint64."""
+def segments(symbols_of, offsets: np.ndarray, window: int, k: int, among: np.ndarray | None = None) -> Segments:
+    """``symbols_of(a, b)`` gives the symbols of elements [a, b) as uint64; ``among`` says for each element whether the window that starts there is one of those asked for."""
     parts = []
     for a, b in row_chunks(offsets, window):
         if b - a < window:
@@ -173,6 +173,8 @@ def segments(symbols_of, offsets: np.ndarray, window: int, k: int) -> Segments:
         row = np.repeat(np.arange(first, last), np.diff(np.clip(cut, a, b)))[: len(at)]
         ends = np.minimum(offsets[row + 1], b) - a
         ok = np.arange(len(at)) + window <= ends
+        if among is not None:
+            ok &= among[a : a + len(at)]
         at[~ok] = -1
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])

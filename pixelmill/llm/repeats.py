@@ -5,11 +5,12 @@ with the same minimiser form a segment; equal windows have equal minimisers, so
 share a window meet in the same bucket. Three passes over a staged corpus (its texts never move):
 
 1. every batch sends the distinct minimisers of its segments; buckets answer one bit each: seen in
-   more than one document or not; and another for minimisers under which more than ``HOT`` distinct segments lie;
+   more than one document or not; and another for minimisers under which more than ``HOT`` distinct segments lie.
+   Windows under such a hot minimiser are cut anew by minimisers of longer grams, which take this pass again; the longest
+   gram is the window itself, under which there is one content only;
 2. batches send the distinct segments under shared minimisers once each, with the smallest document
-   that holds them; buckets index their suffixes (``suffix_array`` or ``suffix_tree``), find the maximal repeats
-   and answer one bit per window: does a smaller document hold it. Windows under hot minimisers are aggregated by their
-   whole content instead, with partial sums, so that no task holds all that lies under one;
+   that holds them, whatever the grams they were cut by; buckets index their suffixes (``suffix_array`` or ``suffix_tree``),
+   find the maximal repeats and answer one bit per window: does a smaller document hold it;
 3. batches apply the answers to all their documents.
 
 What a bucket gets is one entry per batch and distinct segment, however many documents share it, so
@@ -36,7 +37,22 @@ LAST = np.iinfo(np.int64).max
 #: Distinct segments under a minimiser (summed over batches, each rounded down to a power of two) beyond which it is hot.
 HOT = 1 << 16
 _SENT = "bucket long, batch long, data binary, meta binary"
-_SHARED, _KNOWN, _HOT, _HELD = range(4)  # kinds of answers
+_ANSWER = "batch long, kind int, bucket long, bits binary"
+_KNOWN = 0  # kinds of answers: on windows, and for each length of grams on minimisers
+
+
+def _shared(level: int) -> int:
+    return 1 + 2 * level
+
+
+def _hot(level: int) -> int:
+    return 2 + 2 * level
+
+
+def gram_lengths(view, length: int) -> list[int]:
+    """Lengths of the grams whose minimisers cut a text, each next one for what is hot under the one before; the last is the window."""
+    least = view.gram(length)
+    return sorted({least, (least + length) // 2, length})
 
 
 class ByteView:
@@ -168,31 +184,46 @@ def _sketcher(view, length: int, buckets: int):
                 mine = owner[seg.row] == b
                 parts.setdefault(b, []).append(_distinct_keys(seg.key[mine], ids[seg.row[mine]], seg.content[mine]))
         for b in list(parts):
-            yield from sent(b, *zip(*parts.pop(b)))
+            yield _sketch(b, buckets, *zip(*parts.pop(b)))
 
-    def sent(batch, keys, many, sizes):
-        k, m, z = np.concatenate(keys), np.concatenate(many), np.concatenate(sizes)
-        if not len(k):
-            return
-        if len(keys) > 1:  # the same key in two Arrow batches: taken as shared, later steps decide exactly
-            order = np.argsort(k)
-            k, m, z = k[order], m[order], z[order]
-            at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-            m = np.logical_or.reduceat(m, at) | (np.diff(np.append(at, len(k))) > 1)
-            k, z = k[at], np.maximum.reduceat(z, at)
-        order, present, cut = _by_bucket(k, buckets)
+    return run
+
+
+def _sketch(batch, buckets: int, keys, many, sizes) -> pa.RecordBatch:
+    """A batch's distinct minimisers, a row for each bucket that owns some."""
+    k, m, z = np.concatenate(keys), np.concatenate(many), np.concatenate(sizes)
+    if len(keys) > 1 and len(k):  # the same key in two Arrow batches: taken as shared, later steps decide exactly
+        order = np.argsort(k)
         k, m, z = k[order], m[order], z[order]
-        yield pa.RecordBatch.from_pydict({
-            "bucket": pa.array(present), "batch": pa.array([batch] * len(present), pa.int64()),
-            "data": pa.array([k[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
-            # one byte a key: log2 of its contents, and in the highest bit whether it is shared within the batch
-            "meta": pa.array([(z[a:b] | m[a:b].astype(np.uint8) << 7).tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
-        })
+        at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        m = np.logical_or.reduceat(m, at) | (np.diff(np.append(at, len(k))) > 1)
+        k, z = k[at], np.maximum.reduceat(z, at)
+    order, present, cut = _by_bucket(k, buckets)
+    k, m, z = k[order], m[order], z[order]
+    return pa.RecordBatch.from_pydict({
+        "bucket": pa.array(present, pa.int64()), "batch": pa.array([batch] * len(present), pa.int64()),
+        "data": pa.array([k[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
+        # one byte a key: log2 of its contents, and in the highest bit whether it is shared within the batch
+        "meta": pa.array([(z[a:b] | m[a:b].astype(np.uint8) << 7).tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
+    })
+
+
+def _resketcher(view, length: int, buckets: int, level: int):
+    """Minimisers of the longer grams of ``level``, of what is hot under all shorter ones."""
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        keys = docs = contents = np.zeros(0, np.uint64)
+        if table.num_rows and _hot(level - 1) in answers.column("kind").to_pylist():
+            v = view(*K.text_buffer(table.column("text")))
+            seg, _ = list(cut_segments(v, answers, length, buckets))[level]
+            keys, docs, contents = seg.key, _ids(table.column("doc_id").combine_chunks())[seg.row], seg.content
+        batch = table.column("batch")[0].as_py() if table.num_rows else 0
+        return pa.Table.from_batches([_sketch(batch, buckets, *([x] for x in _distinct_keys(keys, docs, contents)))])
 
     return run
 
 
-def _shared_keys(hot: int):
+def _shared_keys(level: int, hot: int):
     def run(table: pa.Table) -> pa.Table:
         """For every key sent: does another batch, or another document of its batch, have it; and is it hot?"""
         parts = [np.frombuffer(x, np.uint64) for x in table.column("data").to_pylist()]
@@ -208,8 +239,8 @@ def _shared_keys(hot: int):
         crowded[order] = np.repeat(both & (np.add.reduceat(np.left_shift(1, (meta[order] & 127).astype(np.int64)), at) > hot), size)
         cut = np.cumsum([0, *map(len, parts)])
         batch, bucket = table.column("batch").to_pylist(), table.column("bucket").to_pylist()
-        rows = [(b, _SHARED, c, np.packbits(shared[i:j]).tobytes()) for b, c, i, j in zip(batch, bucket, cut, cut[1:])]
-        rows += [(b, _HOT, c, np.packbits(crowded[i:j]).tobytes()) for b, c, i, j in zip(batch, bucket, cut, cut[1:]) if crowded[i:j].any()]
+        rows = [(b, _shared(level), c, np.packbits(shared[i:j]).tobytes()) for b, c, i, j in zip(batch, bucket, cut, cut[1:])]
+        rows += [(b, _hot(level), c, np.packbits(crowded[i:j]).tobytes()) for b, c, i, j in zip(batch, bucket, cut, cut[1:]) if crowded[i:j].any()]
         cols = zip(*rows)
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("batch", "kind", "bucket", "bits"), cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))})
 
@@ -220,7 +251,7 @@ def _answers(table: pa.Table, kind: int) -> dict[int, bytes]:
     return {b: x for k, b, x in zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("bits").to_pylist()) if k == kind}
 
 
-def shared_segments(seg: K.Segments, answers: pa.Table, buckets: int, kind: int = _SHARED) -> np.ndarray:
+def shared_segments(seg: K.Segments, answers: pa.Table, buckets: int, kind: int) -> np.ndarray:
     """Which segments lie under minimisers that the first pass answered yes to."""
     keys = np.unique(seg.key)
     order, present, cut = _by_bucket(keys, buckets)
@@ -231,19 +262,35 @@ def shared_segments(seg: K.Segments, answers: pa.Table, buckets: int, kind: int
     return out[np.searchsorted(keys, seg.key)] if len(keys) else np.zeros(0, bool)
 
 
+def cut_segments(v, answers: pa.Table, length: int, buckets: int):
+    """Segments for each length of grams, and which of them lie under shared minimisers that are not hot; what is hot is cut
+    anew by the next length. Equal windows are cut by the same length and have the same key."""
+    among = None
+    for level, gram in enumerate(gram_lengths(v, length)):
+        seg = K.segments(v.symbols, v.offsets, length, gram, among)
+        hot = shared_segments(seg, answers, buckets, _hot(level))
+        yield seg, shared_segments(seg, answers, buckets, _shared(level)) & ~hot
+        if not hot.any():
+            return
+        start, count = seg.start[hot], seg.count[hot]
+        among = np.zeros(int(v.offsets[-1]), bool)
+        among[np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))] = True
+
+
+def sent_segments(v, answers: pa.Table, length: int, buckets: int) -> K.Segments:
+    """All segments of a batch that meet those of others, whatever the grams they were cut by."""
+    found = [(seg.start[k], seg.count[k], seg.key[k], seg.content[k], seg.row[k]) for seg, k in cut_segments(v, answers, length, buckets)]
+    return K.Segments(*map(np.concatenate, zip(*found)))
+
+
 class _Candidates:
-    """Segments of a batch under shared minimisers, and the distinct ones among them in sending order; windows under hot
-    minimisers apart."""
+    """Segments of a batch under shared minimisers, and the distinct ones among them in sending order."""
 
     def __init__(self, table: pa.Table, answers: pa.Table, view, length: int, buckets: int, parts: int):
         self.view = view(*K.text_buffer(table.column("text")))
         self.docs = _ids(table.column("doc_id").combine_chunks())
-        seg = K.segments(self.view.symbols, self.view.offsets, length, view.gram(length))
-        keep, hot = shared_segments(seg, answers, buckets), shared_segments(seg, answers, buckets, _HOT)
-        self._hot(seg.start[hot], seg.count[hot], seg.row[hot], length)
-        keep &= ~hot
-        self.start, self.count, self.row = seg.start[keep], seg.count[keep], seg.row[keep]
-        self.key, content = seg.key[keep], seg.content[keep]
+        seg = sent_segments(self.view, answers, length, buckets)
+        self.start, self.count, self.row, self.key, content = seg.start, seg.count, seg.row, seg.key, seg.content
         self.doc = self.docs[self.row]
         # distinct contents, those of one bucket together, with the smallest document of each
         part = _bucket(self.key, parts)
@@ -258,23 +305,6 @@ class _Candidates:
         self.present, at = np.unique(part[self.first], return_index=True)
         self.cut = np.append(at, len(self.first))
 
-    def _hot(self, start, count, row, length):
-        """Windows under hot minimisers: where each starts, its content's place among the distinct ones, their slices and documents."""
-        begin = np.cumsum(count) - count
-        self.hot_start = np.repeat(start - begin, count) + np.arange(int(count.sum()))
-        self.hot_doc = self.docs[np.repeat(row, count)]
-        at, size = self.view.places(self.hot_start, length)
-        hashes = np.empty(len(at), np.uint64)
-        for i in range(0, len(at), 1 << 15):
-            k = slice(i, i + (1 << 15))
-            piece = K.gather(self.view.flat, at[k], size[k])
-            cut = np.concatenate(([0], np.cumsum(size[k])))
-            hashes[k] = K.Rolling(K.BYTE_SYMBOLS[piece]).slices(cut[:-1], cut[1:])
-        first, self.hot_which = distinct_slices(self.view.flat, at, size, hashes)
-        self.hot_at, self.hot_size = at[first], size[first]
-        self.hot_low = np.full(len(first), LAST)
-        np.minimum.at(self.hot_low, self.hot_which, self.hot_doc)
-
 
 def _meta_type(length: int, view) -> np.dtype:
     """What is sent with a segment: smallest document, key group, number of windows, and for words the number of bytes."""
@@ -405,47 +435,10 @@ def _resolver(index: Callable, view, length: int):
     return run
 
 
-_ANSWER = "batch long, kind int, bucket long, bits binary"
-
-
-def _hot_windows(view, length, buckets, parts):
-    """(batch, no, content, low): the distinct windows of a batch under hot minimisers, with their smallest document."""
-
-    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows or _HOT not in answers.column("kind").to_pylist():
-            return pa.table({"batch": pa.array([], pa.int64()), "no": pa.array([], pa.int32()), "content": pa.array([], pa.binary()), "low": pa.array([], pa.int64())})
-        c = _Candidates(table, answers, view, length, buckets, parts)
-        flat = c.view.flat
-        content = [flat[a : a + n].tobytes() for a, n in zip(c.hot_at.tolist(), c.hot_size.tolist())]
-        return pa.table({"batch": pa.array([table.column("batch")[0].as_py()] * len(content), pa.int64()), "no": pa.array(np.arange(len(content), dtype=np.int32)), "content": pa.array(content, pa.binary()), "low": pa.array(c.hot_low)})
-
-    return run
-
-
-def _held_rows(table: pa.Table) -> pa.Table:
-    no = np.sort(table.column("no").to_numpy().astype(np.int32))
-    return pa.table({"batch": table.column("batch")[:1], "kind": pa.array([_HELD], pa.int32()), "bucket": pa.array([0], pa.int64()), "bits": pa.array([no.tobytes()], pa.binary())})
-
-
-def held_windows(work: Scratch, corpus: DataFrame, shared: DataFrame, view, length: int, buckets: int, parts: int) -> DataFrame:
-    """Answers on windows under hot minimisers: those that a smaller document of another batch holds. Sums are partial before
-    they move, and the join's rows of a frequent window are an even split for Spark's skew join."""
-    rows = corpus.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_hot_windows(view, length, buckets, parts), "batch long, no int, content binary, low long")
-    rows = work.keep(rows, "hot")
-    least = rows.groupBy("content").agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("content", "least")
-    held = rows.join(least.hint("merge"), "content").filter("least < low").select("batch", "no")
-    return work.keep(held.groupBy("batch").applyInArrow(_held_rows, _ANSWER), "held")
-
-
 def _marks(table, answers, view, length, buckets, parts):
     """The batch's candidates, and per element of its view whether it is removed."""
     c = _Candidates(table, answers, view, length, buckets, parts)
     gone = np.zeros(int(c.view.offsets[-1]) if len(c.view.offsets) else 0, bool)
-    if len(c.hot_start):
-        held = np.zeros(len(c.hot_low), bool)
-        for x in _answers(answers, _HELD).values():
-            held[np.frombuffer(x, np.int32)] = True
-        gone[c.hot_start[held[c.hot_which] | (c.hot_low[c.hot_which] < c.hot_doc)]] = True
     if len(c.start):
         got, held = _answers(answers, _KNOWN), []
         size = c.count[c.first]
@@ -466,28 +459,42 @@ def _marks(table, answers, view, length, buckets, parts):
 
 
 def shared_keys(work: Scratch, corpus: DataFrame, length: int, view, buckets: int) -> DataFrame:
-    """The first pass: per batch and bucket a bit for each minimiser, whether more than one document has it."""
+    """The first pass: per batch and bucket a bit for each minimiser, whether more than one document has it, and one whether it
+    is hot; again with longer grams for what is hot, as long as there is any."""
     if not 1 <= length <= MOST:
         raise ValueError(f"a window has 1 to {MOST} elements")
-    sketch = corpus.select("batch", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketcher(view, length, buckets), _SENT)
-    return work.keep(sketch.groupBy("bucket").applyInArrow(_shared_keys(HOT), _ANSWER), "shared")
+    last = len(gram_lengths(view, length)) - 1
+    sketch = corpus.mapInArrow(_sketcher(view, length, buckets), _SENT)
+    level, answers = 0, None
+    while True:
+        found = sketch.groupBy("bucket").applyInArrow(_shared_keys(level, HOT if level < last else LAST), _ANSWER)
+        found = work.keep(found, f"shared{level}")
+        answers = answers.unionByName(found) if answers else found
+        if level == last or not found.filter(F.col("kind") == _hot(level)).head(1):
+            return answers
+        level += 1
+        sketch = corpus.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_resketcher(view, length, buckets, level), _SENT)
 
 
 #: Elements of a window at most: a window and its overlap must fit in a piece of a long text.
 MOST = 1 << 16
 
 
+def bucket_numbers(work: Scratch, n: int) -> tuple[int, int]:
+    """Buckets for minimisers and for segments of a corpus staged in ``n`` buckets: as many as its bytes ask for, however many it is staged in."""
+    n = max(n, -(-work.batches // 32))
+    return max(12, n), max(24, 4 * n)
+
+
 def removals(spark: SparkSession, docs: DataFrame, length: int, view, index: Callable, finish: Callable, schema, name: str) -> DataFrame:
     """Run the three passes; ``finish(table, candidates, removed)`` makes the rows of a batch."""
     work = Scratch(spark, name)
     corpus, n = work.stage(docs)
-    buckets, parts = max(12, n), max(24, 4 * n)
-    shared = shared_keys(work, corpus, length, view, buckets)
+    buckets, parts = bucket_numbers(work, n)
     thin = corpus.select("batch", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shared = shared_keys(work, thin, length, view, buckets)
     sent = thin.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_sender(view, length, buckets, parts), _SENT)
     answers = shared.unionByName(work.keep(sent.groupBy("bucket").applyInArrow(_resolver(index, view, length), _ANSWER), "known"))
-    if shared.filter(F.col("kind") == _HOT).head(1):
-        answers = answers.unionByName(held_windows(work, thin, shared, view, length, buckets, parts))
 
     def last(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:

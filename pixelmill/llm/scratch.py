@@ -86,6 +86,7 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.tables: list[str] = []
+        self.batches = 0  #: batches of the corpus staged last, at least
         owner = _OWNER.get()
         if owner is not None:
             owner.append(self)
@@ -118,7 +119,7 @@ class Scratch:
         need = np.ones(parts, np.int32)
         for r in size.toLocalIterator():  # a row for each input partition
             need[r["p"] % parts] = max(1, -(-r["n"] // (BATCH_MB << 20)))
-        most = int(need.max())
+        most, self.batches = int(need.max()), int(need.sum())
 
         @F.pandas_udf("long")
         def batch(p: pd.Series, row: pd.Series) -> pd.Series:

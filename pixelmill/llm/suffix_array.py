@@ -234,7 +234,8 @@ def maximal_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, cont
 
     A group is all places of a string that can be made longer neither to the left nor to the right without losing one; a
     document's start and end count as different from everything. Suffixes are compared by ``context`` bytes first; groups that
-    agree so far go on with twice as many, until every true size is known. The occurrences under one minimiser meet in one task.
+    agree so far go on with twice as many, until every true size is known. The occurrences under one minimiser meet in one task; where
+    many different segments lie under it they are split by longer ones, to whole windows at last.
     Null, empty and short texts are in no group; a null doc_id is a document of its own, after all others; rows that repeat a
     doc_id count as one document, their places are all listed; an empty table has no groups. Only doc_id and text are used.
     """
@@ -242,7 +243,7 @@ def maximal_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, cont
         raise ValueError("context must hold a window")
     work = Scratch(spark, "groups")
     corpus, n = work.stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row_no")))
-    buckets, parts = max(12, n), max(24, 4 * n)
+    buckets, parts = R.bucket_numbers(work, n)
     shared = R.shared_keys(work, corpus, length, R.ByteView, buckets)
 
     def in_order(table: pa.Table) -> pa.Table:
@@ -253,9 +254,8 @@ def maximal_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, cont
         if table.num_rows:
             table = in_order(table)
             v = R.ByteView(*K.text_buffer(table.column("text")))
-            seg, docs = K.segments(v.symbols, v.offsets, length, v.gram(length)), R._ids(table.column("doc_id").combine_chunks())
-            keep = R.shared_segments(seg, answers, buckets)
-            start, count, row, key = seg.start[keep], seg.count[keep], seg.row[keep], seg.key[keep]
+            seg, docs = R.sent_segments(v, answers, length, buckets), R._ids(table.column("doc_id").combine_chunks())
+            start, count, row, key = seg.start, seg.count, seg.row, seg.key
             place, first = np.zeros(len(start), _PLACE), v.offsets[row]
             place["doc"], place["start"], place["count"] = docs[row], start - first, count
             place["size"] = np.minimum(v.offsets[row + 1] - start, count - 1 + context)

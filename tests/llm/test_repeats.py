@@ -85,9 +85,10 @@ def test_words(spark, parts):
     assert sorted(map(tuple, got), key=lambda x: (key(x[0]), x)) == brute_words(rows)
 
 
-def test_crowded_minimisers(spark, monkeypatch):
-    """One minimiser in every document, in different company: its windows are aggregated by their content."""
-    monkeypatch.setattr(R, "HOT", 3)
+@pytest.mark.parametrize("most", [0, 3, 40])
+def test_crowded_minimisers(spark, monkeypatch, most):
+    """One minimiser in every document, in different company: it is split by longer grams, by whole windows at last."""
+    monkeypatch.setattr(R, "HOT", most)
     r = random.Random(8)
     hot = "the same words in all of the documents here"
     rows = [(i, f"{''.join(r.choice('abc') for _ in range(r.randrange(3, 9)))} {hot} {r.choice('xy')} " + "w " * r.randrange(60)) for i in range(120)] + fixture(2)
@@ -97,6 +98,50 @@ def test_crowded_minimisers(spark, monkeypatch):
     assert sorted(map(tuple, got), key=lambda x: (key(x[0]), x)) == brute_words(rows, 20)
 
 
+def table(doc_ids, texts, batch):
+    import pyarrow as pa
+
+    return pa.table({"batch": pa.array([batch] * len(texts), pa.int64()), "doc_id": pa.array(doc_ids, pa.int64()), "text": texts})
+
+
+@pytest.mark.parametrize("view", [R.ByteView, R.WordView])
+def test_hot_windows_take_the_same_way(monkeypatch, view):
+    """Each window lies under one key only, equal windows under the same; the maximal groups come from the same index, and no bucket
+    gets more distinct contents under a hot key than of one window."""
+    import pyarrow as pa
+
+    r = random.Random(3)
+    lead = "one lead of eight quite common words here "
+    texts = [[" ".join(r.choice("abcdef") * 3 for _ in range(4)) + " " + lead * 2 + " ".join(r.choice("uvw") for _ in range(25)) for _ in range(15)] for _ in range(2)]
+    tables = [table(list(range(b * 100, b * 100 + 15)), t, b) for b, t in enumerate(texts)]
+    length, buckets, answers = 20, 3, None
+    for level in range(len(R.gram_lengths(view, length))):
+        make = R._sketcher(view, length, buckets) if not level else None
+        sent = [pa.Table.from_batches(list(make(t.to_batches()))) if make else R._resketcher(view, length, buckets, level)(t, answers.filter(pa.compute.equal(answers["batch"], b))) for b, t in enumerate(tables)]
+        sent = pa.concat_tables(sent)
+        hot = 2 if level < 2 else R.LAST
+        found = [R._shared_keys(level, hot)(sent.filter(pa.compute.equal(sent["bucket"], c))) for c in set(sent["bucket"].to_pylist())]
+        answers = pa.concat_tables([x for x in [answers, *found] if x is not None])
+    assert {R._hot(0), R._hot(1), R._shared(2)} <= set(answers["kind"].to_pylist()) and R._hot(2) not in answers["kind"].to_pylist()
+    under: dict[bytes, set] = {}
+    counts: dict[bytes, int] = {}
+    for b, t in enumerate(tables):
+        mine = answers.filter(pa.compute.equal(answers["batch"], b))
+        v = view(*K.text_buffer(t["text"]))
+        seg = R.sent_segments(v, mine, length, buckets)
+        places = [(s + i, int(k)) for s, n, k in zip(seg.start.tolist(), seg.count.tolist(), seg.key) for i in range(n)]
+        assert len({p for p, _ in places}) == len(places)
+        at, size = v.places(np.array([p for p, _ in places]), length)
+        for (_, k), a, n in zip(places, at.tolist(), size.tolist()):
+            under.setdefault(v.flat[a : a + n].tobytes(), set()).add(k)
+        every = [s for i, j in zip(v.offsets, v.offsets[1:]) for s in range(i, j - length + 1)]
+        at, size = v.places(np.array(every), length)
+        for w in {v.flat[a : a + n].tobytes() for a, n in zip(at.tolist(), size.tolist())}:
+            counts[w] = counts.get(w, 0) + 1
+    assert all(len(k) == 1 for k in under.values())
+    assert {w for w, n in counts.items() if n > 1} <= set(under)
+
+
 @pytest.mark.parametrize("size", [1, 10, 300])
 def test_other_lengths(spark, size):
     rows = [*fixture(4), (200, "q" * 3000), (201, "q" * 3000), (202, " ".join(["z"] * 700)), (203, " ".join(["z"] * 700))]
@@ -189,8 +234,9 @@ def naive_groups(rows, size):
     return groups
 
 
-@pytest.mark.parametrize("context", [24, 37, 256])
-def test_maximal_repeats(spark, context):
+@pytest.mark.parametrize("context, most", [(24, 1 << 16), (37, 2), (256, 1 << 16), (256, 0)])
+def test_maximal_repeats(spark, monkeypatch, context, most):
+    monkeypatch.setattr(R, "HOT", most)
     r = random.Random(4)
     say = lambda n: "".join(r.choice("abcd") for _ in range(n))
     common, long = say(40), say(900)
