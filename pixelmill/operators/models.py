@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.forest import Forest
-from ..sources.shared import new_path, read_text, staged, write_text
+from ..sources.shared import new_path, read_text, remove, staged, write_text
 from . import labels as L
 from .boost import Booster, added
 
@@ -115,6 +115,7 @@ class RandomForest(PipelineClassifier):
             d = F.col("nodeData")
             nodes = spark.read.parquet(f"{path}/data").select("treeID", d["id"], d["split"]["featureIndex"], F.get(d["split"]["leftCategoriesOrThreshold"], F.lit(0)), d["leftChild"], d["rightChild"], d["impurityStats"])
             self.forest = Forest.of_nodes(len(self.features), [tuple(r) for r in nodes.collect()])
+            remove(spark, path)
         return self.forest
 
     def predict_proba(self, px: DataFrame) -> DataFrame:

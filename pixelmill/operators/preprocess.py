@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import filters as K
-from ..sources.shared import staged
+from ..sources.shared import Rounds, staged
 from . import stencil as S
 from .rasters import extent
 
@@ -36,7 +36,8 @@ def exact_median(values: DataFrame, col: str, keys: Sequence[str], out: str = "m
     """
     n = values.groupBy(*keys).agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count(col).alias("n"))
     ranks = F.explode(F.array(F.struct(F.lit(0).alias("half"), F.floor((F.col("n") - 1) / 2).alias("nth")), F.struct(F.lit(1).alias("half"), F.floor(F.col("n") / 2).alias("nth"))))
-    state = staged(n.filter("n > 0").withColumn("r", ranks).select(*keys, "r.half", F.col("r.nth").cast("long").alias("nth"), F.lit(0).cast("long").alias("below"), "lo", "hi"), "median")
+    rounds = Rounds(values.sparkSession, "median")
+    state = rounds.keep(n.filter("n > 0").withColumn("r", ranks).select(*keys, "r.half", F.col("r.nth").cast("long").alias("nth"), F.lit(0).cast("long").alias("below"), "lo", "hi"))
     while state.filter("lo < hi").head(1):
         j = values.join(state.filter("lo < hi"), list(keys)).filter(F.col(col).between(F.col("lo"), F.col("hi")))
         place = F.floor((F.col(col) - F.col("lo")) / (F.col("hi") - F.col("lo")) * MEDIAN_BINS)
@@ -44,7 +45,7 @@ def exact_median(values: DataFrame, col: str, keys: Sequence[str], out: str = "m
         w = Window.partitionBy(*keys, "half").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
         before = F.col("below") + F.coalesce(F.sum("c").over(w), F.lit(0))
         held = bins.withColumn("before", before).filter((F.col("before") <= F.col("nth")) & (F.col("nth") < F.col("before") + F.col("c")))
-        state = staged(state.filter("lo = hi").unionByName(held.select(*keys, "half", "nth", F.col("before").alias("below"), "lo", "hi")), "median")
+        state = rounds.keep(state.filter("lo = hi").unionByName(held.select(*keys, "half", "nth", F.col("before").alias("below"), "lo", "hi")))
     return state.groupBy(*keys).agg(F.avg("lo").alias(out))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.config import TrainingConfig, effective
 from ..sources import images
-from ..sources.shared import staged
+from ..sources.shared import scratch, staged
 from . import crf, sam
 from . import features as X
 from . import labels as L
@@ -66,19 +66,20 @@ def train_and_apply(px: DataFrame, labels: DataFrame, config: TrainingConfig, cl
     """(img, y, x, prob, seg) and the model that made it: the second one where autocontext is on.
 
     Order of refinements: autocontext, random field, modal filter, regions. ``prob`` stays that of the model. Features are computed
-    once, and kept in the shared folder for training and application.
+    once, and kept in the shared folder for training and application; ``shared.scratch`` around the call and the writing of its rows removes them.
     """
     feats = staged(featurise(px, config), "features") if feats is None else feats
     return apply(fit(feats, labels, config, classes), feats, config, px, labels)
 
 
 def fit(feats: DataFrame, labels: DataFrame, config: TrainingConfig, classes: int) -> M.Classifier:
-    """The configuration's classifier, fitted on the labelled pixels of ``feats``."""
+    """The configuration's classifier, fitted on the labelled pixels of ``feats``. What is staged on the way is gone afterwards."""
     names = [c for c in feats.columns if c not in KEYS]
-    data = staged(L.sample(L.training_pixels(feats, labels), config.n_samples, config.shuffle_data, config.seed), "training")
     params = config.params()
     balanced = params.pop("class_weight", None) == "balanced"
-    return M.train(M.get_model(config.classifier, names, classes, params), data, balanced)
+    with scratch(feats.sparkSession):
+        data = staged(L.sample(L.training_pixels(feats, labels), config.n_samples, config.shuffle_data, config.seed), "training")
+        return M.train(M.get_model(config.classifier, names, classes, params), data, balanced)
 
 
 def apply(model: M.Classifier, feats: DataFrame, config: TrainingConfig, px: DataFrame | None = None, labels: DataFrame | None = None) -> tuple[DataFrame, M.Classifier]:

@@ -72,8 +72,11 @@ def _png_pass(raw: np.ndarray, at: int, h: int, w: int, channels: int, depth: in
     step, n = max(1, channels * depth // 8), -(-w * channels * depth // 8)
     rows = raw[at : at + h * (n + 1)].reshape(h, n + 1)
     out, above = np.zeros((h, n), np.uint8), np.zeros(n, np.uint8)
-    for y in range(h):
-        out[y] = above = _unfilter(int(rows[y, 0]), rows[y, 1:], above, step)
+    if (rows[:, 0] > 2).any():
+        out = _unfilter_rows(rows[:, 0], rows[:, 1:], above, step)
+    else:
+        for y in range(h):
+            out[y] = above = _unfilter(int(rows[y, 0]), rows[y, 1:], above, step)
     if depth < 8:
         bits = np.unpackbits(out, axis=1).reshape(h, -1, depth)[:, : w * channels]
         out = (bits * (1 << np.arange(depth - 1, -1, -1))).sum(2).astype(np.uint8)
@@ -89,18 +92,27 @@ def _unfilter(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.nd
         return row + above
     if kind == 1:
         return np.cumsum(row.reshape(-1, step).astype(np.uint64), axis=0).astype(np.uint8).ravel()
-    out = row.astype(np.int64)
-    up = above.astype(np.int64)
-    for i in range(len(out)):
-        left = out[i - step] if i >= step else 0
-        if kind == 3:
-            out[i] = (out[i] + (left + up[i]) // 2) & 255
-        else:
-            corner = up[i - step] if i >= step else 0
-            guess = left + up[i] - corner
-            d = (abs(guess - left), abs(guess - up[i]), abs(guess - corner))
-            out[i] = (out[i] + (left if d[0] <= d[1] and d[0] <= d[2] else up[i] if d[1] <= d[2] else corner)) & 255
-    return out.astype(np.uint8)
+    return _unfilter_rows(np.array([kind]), row[None], above, step)[0]
+
+
+def _unfilter_rows(kinds: np.ndarray, rows: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    """All rows of a pass together: a pixel needs those to its left, above and between, so the pixels of an anti-diagonal are
+    decoded at once, whatever the filters of their rows."""
+    if kinds.max(initial=0) > 4:
+        raise ValueError("damaged PNG file")
+    h, w = rows.shape[0], rows.shape[1] // step
+    raw = rows.reshape(h, w, step)
+    out = np.zeros((h + 1, w + 1, step), np.int16)  # a row above, and a column to the left
+    out[0, 1:] = above.reshape(w, step)
+    for d in range(h + w - 1):
+        y = np.arange(max(0, d - w + 1), min(h, d + 1))
+        x = d - y
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        a, b, c = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+        nearest = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+        guess = np.choose(kinds[y][:, None], (np.zeros_like(left), left, up, (left + up) >> 1, nearest))
+        out[y + 1, x + 1] = (raw[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8).reshape(h, w * step)
 
 
 def encode_tiff(a: np.ndarray) -> bytes:

@@ -5,10 +5,31 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The list that folders made in the current context are entered in, if any.
+_MADE: ContextVar[list | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that operators stage within are removed at the end, so rows that are wanted afterwards must be written by then. Of
+    contexts within each other the innermost owns what is staged."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            remove(spark, path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a local folder is set only where a local session has none, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -41,7 +62,10 @@ def open_store(path: str):
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path, made = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", _MADE.get()
+    if made is not None:
+        made.append(path)
+    return path
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

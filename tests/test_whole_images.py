@@ -1,5 +1,7 @@
 """Operators that spread one image over many tasks, held against arrays of whole images."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pixelmill.operators import labels as L
 from pixelmill.operators import morphology as M
 from pixelmill.operators import preprocess as P
 from pixelmill.sources import images as io
-from pixelmill.sources import rle, tiff
+from pixelmill.sources import rle, shared, tiff
 
 from . import dense
 
@@ -42,6 +44,64 @@ def test_denoise(spark):
     assert P.denoise(frame(spark, {"a": np.zeros((2, 2))}).filter("y > 9")).count() == 0
 
 
+def naive_png_rows(kinds, rows, step):
+    """Filtered bytes back, one after the other, by the format's definition."""
+    out = np.zeros(rows.shape, int)
+    for y, kind in enumerate(kinds):
+        for i in range(rows.shape[1]):
+            a = out[y, i - step] if i >= step else 0
+            b = out[y - 1, i] if y else 0
+            c = out[y - 1, i - step] if y and i >= step else 0
+            near = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+            out[y, i] = (int(rows[y, i]) + (0, a, b, (a + b) // 2, near)[kind]) % 256
+    return out
+
+
+@pytest.mark.parametrize("h, w, step", [(1, 1, 1), (1, 30, 3), (30, 1, 4), (17, 40, 3), (40, 17, 1), (12, 12, 6)])
+def test_png_filters_mixed_by_row(h, w, step):
+    rng = np.random.default_rng(h * w)
+    for low in (0, 3):  # all filters, and only those that need the decoded pixel to the left
+        kinds, rows = rng.integers(low, 5, h), rng.integers(0, 256, (h, w * step)).astype(np.uint8)
+        assert np.array_equal(io._unfilter_rows(kinds, rows, np.zeros(w * step, np.uint8), step), naive_png_rows(kinds, rows, step))
+    with pytest.raises(ValueError):
+        io._unfilter_rows(np.array([5]), rows[:1], rows[0], step)
+
+
+def folders(spark):
+    base = shared.shared_dir(spark).removeprefix("file:")
+    return {p.name for p in Path(base).iterdir() if "-" in p.name and not p.name.startswith(("rdd-", "."))}
+
+
+def test_scratch_is_removed(spark):
+    """What is staged within goes; of nested contexts each removes its own."""
+    df, before = spark.range(5), folders(spark)
+    with shared.scratch(spark):
+        kept = shared.staged(df, "outer")
+        with shared.scratch(spark):
+            assert shared.staged(df, "inner").count() == 5
+            assert len(folders(spark) - before) == 2
+        assert kept.count() == 5 and [x.split("-")[0] for x in folders(spark) - before] == ["outer"]
+    assert folders(spark) == before
+    with pytest.raises(ZeroDivisionError), shared.scratch(spark):
+        shared.staged(df, "failed")
+        1 / 0
+    assert folders(spark) == before
+
+
+@pytest.mark.parametrize("kind", ["random_forest", "mlp", "xgb"])
+def test_fit_leaves_nothing(spark, kind):
+    """A model is fitted and applied; training rows, margins and batches are gone, features are the caller's."""
+    r = np.random.default_rng(2)
+    rows = [("a", y, x, float(v), float(v * v)) for y in range(20) for x in range(20) for v in [r.normal() + (x > 9) * 3]]
+    feats = spark.createDataFrame(rows, "img string, y int, x int, f double, g double")
+    labels = feats.filter("y % 3 = 0").select("img", "y", "x", F.when(F.col("x") > 9, 2).otherwise(1).alias("label"))
+    before = folders(spark)
+    model = segmentation.fit(feats, labels, TrainingConfig(classifier=kind), 2)
+    out = models.apply(model, feats)
+    assert out.count() == 400 and out.filter("seg = cast(x > 9 as int)").count() > 340
+    assert folders(spark) == before
+
+
 def test_median_of_groups(spark):
     rng = np.random.default_rng(1)
     groups = {"even": rng.normal(size=100), "odd": rng.normal(size=101), "one": np.array([4.0]), "two": np.array([1.0, 2.0]), "ties": np.array([1.0] * 50 + [2.0] * 50), "wide": np.concatenate((rng.normal(size=300) * 1e-9, [1e300])), "same": np.full(9, 0.1)}
