@@ -32,7 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(base)
         else:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return base.rstrip("/")
+    return qualified(spark, base).rstrip("/")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A bare path with the store that Spark takes it to be in, so that those who open files by name meet the same one."""
+    if ":" in path:
+        return path
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -42,7 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="pixelmill-")
     if not current.isDefined():
         spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    return qualified(spark, base).rstrip("/")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A bare path with the store that Spark takes it to be in, so that those who open files by name meet the same one."""
+    if ":" in path:
+        return path
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
 
 
 def store_path(spark: SparkSession, path: str) -> str:
@@ -56,11 +64,37 @@ def open_store(path: str):
     """(file system, path in it), for files that tasks read in part or write by name. Hadoop's names of object stores are known too."""
     from pyarrow import fs
 
+    local = re.match(r"file:(?://)?(/[^/].*)", path)
+    if local:  # taken as it is, as Spark does: spaces and % are parts of names
+        return fs.LocalFileSystem(), local[1]
     if "://" in path or path.startswith("file:"):
         return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
     return fs.LocalFileSystem(), path
 
 
+def opens(path: str) -> bool:
+    """Does ``open_store`` reach the store of a path? Others are written and read by Spark alone."""
+    try:
+        return bool(open_store(path))
+    except (OSError, ValueError, NotImplementedError):
+        return False
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file within its store; what was at ``target`` goes."""
+    source, target = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(target, False)
+    if not system.rename(source, target):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return [s.getPath().getName() for s in target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     path, made = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", _MADE.get()
     if made is not None:
