@@ -7,15 +7,17 @@ from __future__ import annotations
 
 import io
 import struct
+import uuid
 import zlib
 from collections.abc import Callable
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import open_store, store_path
+from .shared import children, move, open_store, opens, remove, store_path
 
 PX = "img string, y int, x int, ch int, b int, v double"
 
@@ -269,13 +271,22 @@ def image_files(px: DataFrame, value: str = "b", kind: str = "png", encoder: Cal
 
 
 def write_images(px: DataFrame, path: str, value: str = "b", kind: str = "png", encoder: Callable[[np.ndarray], bytes] | None = None) -> None:
-    """Write each image to ``path`` with ``pyarrow.fs``, from the executors."""
+    """Write a file for each image into the folder ``path``, from the executors."""
     _put(image_files(px, value, kind, encoder), path)
 
 
 def _put(files: DataFrame, path: str) -> None:
-    """Write (path, content) rows as files of one folder, from the executors."""
-    store_path(files.sparkSession, path)
+    """Write (path, content) rows as files of one folder, from the executors: with ``pyarrow.fs``, or where that does not reach, as Spark's
+    text files, which end in a line break that no decoder here reads, renamed at the end."""
+    if not opens(store_path(files.sparkSession, path)):
+        spark, made = files.sparkSession, f"{path}/_files-{uuid.uuid4().hex[:12]}"
+        files.select(F.col("content").cast("string").alias("value"), F.col("path").alias("name")).write.option("lineSep", "\n").partitionBy("name").text(made)
+        for folder in children(spark, made):
+            if folder.startswith("name="):
+                for part in children(spark, f"{made}/{folder}"):
+                    move(spark, f"{made}/{folder}/{part}", f"{path}/{unquote(folder[5:])}")
+        remove(spark, made)
+        return
 
     def run(batches):
         system, root = open_store(path)

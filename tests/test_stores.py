@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from pixelmill.llm import scratch
+from pixelmill.operators import features as X
 from pixelmill.sources import images, shared
 
 
@@ -28,3 +29,19 @@ def test_a_bare_shared_folder_names_its_store(spark, bare):
     images.write_images(px, path)
     assert len(list(bare.glob("images-*/*.png"))) == 2
     assert sorted(tuple(r) for r in images.read_images(spark, path).select("y", "x", "b").collect()) == want
+
+
+def test_stores_that_spark_alone_reaches(spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
+    px, want = pixels(spark)
+    got = lambda df: sorted(tuple(r) for r in df.select("y", "x", "b").collect())
+    for kind in ("png", "tif"):
+        for _ in range(2):  # a second write replaces
+            images.write_images(px, f"viewfs://store/in/{kind}", kind=kind)
+        assert sorted(f.name for f in (tmp_path / kind).iterdir() if not f.name.startswith(".")) == [f"one.{kind}", f"t=w o%.{kind}"]
+        assert got(images.read_images(spark, f"viewfs://store/in/{kind}")) == want
+    stack = X.concat_features(px.select("img", "y", "x", px.b.cast("double").alias("f")), px.select("img", "y", "x", (px.b * 0.1).alias("g")))
+    for kind in images.STACKS:
+        images.save_features(stack, f"viewfs://store/in/stack-{kind}", kind)
+        back = images.load_features(spark, f"viewfs://store/in/stack-{kind}/*.{kind}", ["f", "g"])
+        assert sorted(back.select("y", "x", "f", "g").collect()) == sorted(stack.select("y", "x", "f", "g").collect())
