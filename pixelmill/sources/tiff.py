@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from .images import unpack_lzw
-from .shared import open_store, store_path
+from .shared import open_store, opens, store_path
 
 SCHEMA = "img string, page int, y int, x int, ch int, b int, v double"
 #: Numbers of the tags that are read, and bytes of their types.
@@ -210,7 +210,21 @@ class TiffReader(DataSourceReader):
 
 def read_tiff(spark: SparkSession, path: str, split_bytes: int = 32 << 20) -> DataFrame:
     """(img, page, y, x, ch, b, v) of all TIFF files below ``path``, img being a file's path in its store. Conditions on page, y, x and ch
-    reach the reader, which leaves out segments beyond them. Integers and floats of 8 to 64 bits; other kinds of pages are an error."""
+    reach the reader, which leaves out segments beyond them. Integers and floats of 8 to 64 bits; other kinds of pages are an error.
+
+    In a store that ``pyarrow.fs`` does not reach, Spark reads whole files, one to a task, and leaves out rows only."""
+    if not opens(store_path(spark, path)):
+
+        def run(batches):
+            for rb in batches:
+                for name, content in zip(rb.column("path").to_pylist(), rb.column("content")):
+                    data = content.as_py()
+                    for page in pages_of(lambda at, n, data=data: data[at : at + n]):
+                        for s in page.segments:
+                            yield from TiffReader._batches(name, page, s, page.decode(s, data[s.at : s.at + s.size]))
+
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{tif,tiff,TIF,TIFF}").load(path)
+        return files.select("path", "content").mapInArrow(run, SCHEMA)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the reader takes filters, so Spark wants it on
     spark.dataSource.register(TiffDataSource)
     return spark.read.format("tiff").option("path", store_path(spark, path)).option("split_bytes", str(split_bytes)).load()

@@ -5,7 +5,7 @@ import pytest
 
 from pixelmill.llm import scratch
 from pixelmill.operators import features as X
-from pixelmill.sources import images, shared
+from pixelmill.sources import images, shared, tiff
 
 
 @pytest.fixture
@@ -40,6 +40,9 @@ def test_stores_that_spark_alone_reaches(spark, tmp_path):
             images.write_images(px, f"viewfs://store/in/{kind}", kind=kind)
         assert sorted(f.name for f in (tmp_path / kind).iterdir() if not f.name.startswith(".")) == [f"one.{kind}", f"t=w o%.{kind}"]
         assert got(images.read_images(spark, f"viewfs://store/in/{kind}")) == want
+    images.write_images(px, "viewfs://store/in/tiles", kind="tif", encoder=lambda a: tiff.encode_pages([a, a], tile=(16, 32), big=True))
+    t = tiff.read_tiff(spark, "viewfs://store/in/tiles", 4096)
+    assert got(t.filter("page = 1")) == want and t.filter("page = 0 and x > 40").count() == 2 * 9 * 29
     stack = X.concat_features(px.select("img", "y", "x", px.b.cast("double").alias("f")), px.select("img", "y", "x", (px.b * 0.1).alias("g")))
     for kind in images.STACKS:
         images.save_features(stack, f"viewfs://store/in/stack-{kind}", kind)
