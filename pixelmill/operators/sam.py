@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.images import narrowest
 from ..sources.shared import staged
 from . import morphology as M
 
@@ -55,32 +56,37 @@ def model_masks(tiles: DataFrame, provider: Callable[[], Callable[[bytes, list,
 
 
 def pack_images(px: DataFrame) -> DataFrame:
-    """(img, h, w, image): the bytes of each dense image (img, y, x, b), row by row; missing pixels are 0."""
+    """(img, h, w, image, kind): each dense image (img, y, x, b), row by row; missing pixels are 0. ``kind`` is the narrowest kind of
+    numbers that holds the image's values: bytes up to 255, wider ones beyond."""
 
     def pack(key, t):
         y, x = (t.column(c).to_numpy() for c in ("y", "x"))
-        plane = np.zeros((int(y.max()) + 1, int(x.max()) + 1), np.uint8)
-        plane[y, x] = t.column("b").to_numpy()
-        return pa.table({"img": pa.array([key[0].as_py()], t.column("img").type), "h": pa.array([plane.shape[0]], pa.int32()), "w": pa.array([plane.shape[1]], pa.int32()), "image": pa.array([plane.tobytes()], pa.binary())})
+        b = narrowest(t.column("b").fill_null(0).to_numpy())
+        plane = np.zeros((int(y.max()) + 1, int(x.max()) + 1), b.dtype)
+        plane[y, x] = b
+        return pa.table({"img": pa.array([key[0].as_py()], t.column("img").type), "h": pa.array([plane.shape[0]], pa.int32()), "w": pa.array([plane.shape[1]], pa.int32()), "image": pa.array([plane.tobytes()], pa.binary()), "kind": [plane.dtype.str]})
 
     kind = px.schema["img"].dataType.simpleString()
-    return px.select("img", "y", "x", "b").groupBy("img").applyInArrow(pack, f"img {kind}, h int, w int, image binary")
+    return px.select("img", "y", "x", "b").groupBy("img").applyInArrow(pack, f"img {kind}, h int, w int, image binary, kind string")
 
 
 def encode(images: DataFrame, provider: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
-    """(img, shape, embedding) of (img, h, w, image), written: every image goes through the encoder once, however many prompts follow.
-    ``provider`` loads the encoder once for each task; it turns an array of bytes into one of single precision."""
+    """(img, shape, embedding, kind) of (img, h, w, image), written: every image goes through the encoder once, however many prompts follow.
+    ``provider`` loads the encoder once for each task; it turns an array of bytes, or of what the images' ``kind`` says, into one that is
+    kept in single precision, or in double where it has whole numbers that single precision does not hold."""
 
     def run(batches: Iterable[pa.RecordBatch]):
         encoder = provider()
         for rb in batches:
             for i in range(rb.num_rows):
                 r = rb.slice(i, 1).to_pylist()[0]
-                e = np.ascontiguousarray(encoder(np.frombuffer(r["image"], np.uint8).reshape(r["h"], r["w"])), np.float32)
-                yield pa.RecordBatch.from_arrays([rb.column("img").slice(i, 1), pa.array([list(e.shape)], pa.list_(pa.int32())), pa.array([e.tobytes()], pa.binary())], ["img", "shape", "embedding"])
+                e = np.asarray(encoder(np.frombuffer(r["image"], r.get("kind") or np.uint8).reshape(r["h"], r["w"])))
+                wide = e.dtype.kind in "iu" and e.size and max(-int(e.min()), int(e.max())) > 1 << 24
+                e = np.ascontiguousarray(e, np.float64 if wide else np.float32)
+                yield pa.RecordBatch.from_arrays([rb.column("img").slice(i, 1), pa.array([list(e.shape)], pa.list_(pa.int32())), pa.array([e.tobytes()], pa.binary()), pa.array([e.dtype.str])], ["img", "shape", "embedding", "kind"])
 
     kind = images.schema["img"].dataType.simpleString()
-    return staged(images.select("img", "h", "w", "image").mapInArrow(run, f"img {kind}, shape array<int>, embedding binary"), "embeddings")
+    return staged(images.select("img", "h", "w", "image", *(["kind"] if "kind" in images.columns else [])).mapInArrow(run, f"img {kind}, shape array<int>, embedding binary, kind string"), "embeddings")
 
 
 def prompted_masks(embeddings: DataFrame, prompts: DataFrame, provider: Callable[[], Callable[[np.ndarray, list, list], tuple[np.ndarray, np.ndarray]]], together: int = PROMPTS) -> DataFrame:
@@ -100,7 +106,7 @@ def prompted_masks(embeddings: DataFrame, prompts: DataFrame, provider: Callable
         found = {c: [] for c in ("value", "ord", "score", "y", "x")}
         if image.num_rows and some.num_rows:
             r = image.slice(0, 1).to_pylist()[0]
-            decoder, e = provider(), np.frombuffer(r["embedding"], np.float32).reshape(r["shape"])
+            decoder, e = provider(), np.frombuffer(r["embedding"], r.get("kind") or np.float32).reshape(r["shape"])
             some = some.sort_by([("ord", "ascending"), ("value", "ascending")])
             for a in range(0, some.num_rows, together):
                 part = some.slice(a, together)

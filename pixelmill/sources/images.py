@@ -22,6 +22,13 @@ from .shared import children, move, open_store, opens, remove, store_path
 PX = "img string, y int, x int, ch int, b int, v double"
 
 
+def narrowest(a: np.ndarray) -> np.ndarray:
+    """Whole numbers in the narrowest kind that holds them all, bytes first; floats lose their fractions, nothing else is cut."""
+    a = a if a.dtype.kind in "iub" else np.nan_to_num(a).astype(np.int64)
+    low, high = (int(a.min()), int(a.max())) if a.size else (0, 0)
+    return a.astype(next(k for k in (np.uint8, np.uint16, np.int32, np.uint32, np.int64, np.uint64) if np.iinfo(k).min <= low and high <= np.iinfo(k).max))
+
+
 def encode_png(a: np.ndarray) -> bytes:
     """Bytes of a grey (h, w) or colour (h, w, 3) image."""
     h, w = a.shape[:2]

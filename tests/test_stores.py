@@ -5,6 +5,7 @@ import pytest
 
 from pixelmill.llm import scratch
 from pixelmill.operators import features as X
+from pixelmill.operators import sam
 from pixelmill.sources import images, shared, tiff
 
 
@@ -48,3 +49,18 @@ def test_stores_that_spark_alone_reaches(spark, tmp_path):
         images.save_features(stack, f"viewfs://store/in/stack-{kind}", kind)
         back = images.load_features(spark, f"viewfs://store/in/stack-{kind}/*.{kind}", ["f", "g"])
         assert sorted(back.select("y", "x", "f", "g").collect()) == sorted(stack.select("y", "x", "f", "g").collect())
+
+
+def counts(spark, top):
+    rows = [(i, y, x, (y * 40 + x) * top // 279 if i == "many" else y + x) for i in ("many", "few") for y in range(7) for x in range(40)]
+    return spark.createDataFrame(rows, "img string, y int, x int, b int"), sorted(rows)
+
+
+def test_prompts_see_counts_beyond_255(spark):
+    for top in (200, 1700, (1 << 22) + 3, 40_000_001):
+        px, _ = counts(spark, top)
+        embedded = sam.encode(sam.pack_images(px), lambda: lambda image: image)
+        prompts = spark.createDataFrame([("many", [[0.0, 0.0], [40.0, 7.0]], [2.0, 3.0], 1, 0)], "img string, coords array<array<float>>, labels array<float>, value long, ord long")
+        decode = lambda image, coords, labels: (image.astype(int)[None, None] - top // 2, np.ones((1, 1)))
+        got = {(r.y, r.x) for r in sam.prompted_masks(embedded, prompts, lambda decode=decode: decode).collect()}
+        assert got == {(r.y, r.x) for r in px.filter("img = 'many'").collect() if r.b > top // 2}
