@@ -30,17 +30,20 @@ def narrowest(a: np.ndarray) -> np.ndarray:
 
 
 def encode_png(a: np.ndarray) -> bytes:
-    """Bytes of a grey (h, w) or colour (h, w, 3) image."""
+    """A grey (h, w) or colour (h, w, 3) image, in 8 bits, or in 16 where values exceed 255. Beyond 65535 or below 0 is an error: the format ends there."""
+    a = narrowest(a)
+    if a.dtype.itemsize > 2:
+        raise ValueError("PNG files hold whole numbers from 0 to 65535")
     h, w = a.shape[:2]
-    rows = np.hstack([np.zeros((h, 1), np.uint8), a.astype(np.uint8).reshape(h, -1)])
+    rows = np.hstack([np.zeros((h, 1), np.uint8), np.ascontiguousarray(a.astype(a.dtype.newbyteorder(">"))).reshape(h, -1).view(np.uint8)])
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    head = struct.pack(">IIBBBBB", w, h, 8, 2 if a.ndim == 3 else 0, 0, 0, 0)
+    head = struct.pack(">IIBBBBB", w, h, 8 * a.dtype.itemsize, 2 if a.ndim == 3 else 0, 0, 0, 0)
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
 def decode_png(data: bytes) -> np.ndarray:
-    """Grey, colour or palette images of 1 to 16 bits, interlaced or not; alpha is dropped, 16 bits are cut to 8, grey values of
-    fewer bits are spread over 0..255."""
+    """Grey, colour or palette images of 1 to 16 bits, interlaced or not; alpha is dropped, 16 bits stay, grey values of fewer than 8
+    are spread over 0..255."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG file")
     at, body, palette, head = 8, [], None, None
@@ -56,7 +59,7 @@ def decode_png(data: bytes) -> np.ndarray:
         at += 12 + n
     w, h, depth, colour, _, _, interlaced = head
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    raw, out = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8), np.zeros((h, w, channels), np.uint8)
+    raw, out = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8), np.zeros((h, w, channels), np.uint16 if depth == 16 else np.uint8)
     at = 0
     for y0, x0, dy, dx in _PASSES if interlaced else ((0, 0, 1, 1),):
         ph, pw = -(-(h - y0) // dy), -(-(w - x0) // dx)
@@ -89,8 +92,8 @@ def _png_pass(raw: np.ndarray, at: int, h: int, w: int, channels: int, depth: in
     if depth < 8:
         bits = np.unpackbits(out, axis=1).reshape(h, -1, depth)[:, : w * channels]
         out = (bits * (1 << np.arange(depth - 1, -1, -1))).sum(2).astype(np.uint8)
-    else:
-        out = out.reshape(h, w * channels, depth // 8)[..., 0]
+    elif depth == 16:
+        out = out.view(">u2").astype(np.uint16)
     return out.reshape(h, w, channels), at + h * (n + 1)
 
 
@@ -265,12 +268,16 @@ def encode_npz(a: np.ndarray) -> bytes:
 
 
 def image_files(px: DataFrame, value: str = "b", kind: str = "png", encoder: Callable[[np.ndarray], bytes] | None = None) -> DataFrame:
-    """(path, content): a file for each image of (img, y, x, value), whole images in one task each."""
+    """(path, content): a file for each image of (img, y, x, value), whole images in one task each. Floats stay but in PNG files; the
+    encoder gets whole numbers as bytes, or as a wider kind where an image's values exceed 255."""
     encoder = encoder or {"png": encode_png, "tif": encode_tiff, "npy": encode_npy}[kind]
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        y, x, v = (t.column(c).to_numpy() for c in ("y", "x", value))
-        a = np.zeros((int(y.max()) + 1, int(x.max()) + 1), v.dtype if v.dtype.kind == "f" and kind != "png" else np.uint8)
+        y, x = (t.column(c).to_numpy() for c in ("y", "x"))
+        v = t.column(value)
+        v = (v.fill_null(0) if pa.types.is_integer(v.type) else v).to_numpy()
+        v = v if v.dtype.kind == "f" and kind != "png" else narrowest(v)
+        a = np.zeros((int(y.max()) + 1, int(x.max()) + 1), v.dtype)
         a[y, x] = v
         return pa.table({"path": [f"{key[0].as_py()}.{kind}"], "content": pa.array([encoder(a)], pa.binary())})
 

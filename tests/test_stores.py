@@ -64,3 +64,20 @@ def test_prompts_see_counts_beyond_255(spark):
         decode = lambda image, coords, labels: (image.astype(int)[None, None] - top // 2, np.ones((1, 1)))
         got = {(r.y, r.x) for r in sam.prompted_masks(embedded, prompts, lambda decode=decode: decode).collect()}
         assert got == {(r.y, r.x) for r in px.filter("img = 'many'").collect() if r.b > top // 2}
+
+
+@pytest.mark.parametrize("top", [255, 256, 65535])
+def test_png_keeps_values_of_16_bits(spark, top):
+    rng = np.random.default_rng(top)
+    for shape in ((7, 9), (5, 6, 3)):
+        a = rng.integers(0, top + 1, shape)
+        a.flat[0] = top
+        assert np.array_equal(images.decode_png(images.encode_png(a)), a)
+    with pytest.raises(ValueError):
+        images.encode_png(np.array([[65536]]))
+
+
+def test_png_files_of_counts_beyond_255(spark):
+    px, want = counts(spark, 1700)
+    got = images.pixels_of(images.image_files(px, "b", "png")).selectExpr("split(img, '[.]')[0] AS img", "y", "x", "b")
+    assert sorted(map(tuple, got.collect())) == want
