@@ -450,7 +450,7 @@ def rle_decode(spark, sf_dir):
 def scan_tiff_region(spark, sf_dir):
     """A region of both pages of a tiled file with offsets of 64 bits, of which only the tiles it touches are read."""
     path = new_path(spark, "tiles")
-    images.write_images(emb(spark, sf_dir), path, kind="tif", encoder=lambda a: tiff.encode_pages([a, a + np.uint8(1)], tile=(16, 32), big=True))
+    images.write_images(emb(spark, sf_dir), path, kind="tif", encoder=lambda a: tiff.encode_pages([(a + k).astype(np.uint8) for k in range(2)], tile=(16, 32), big=True))
     return tiff.read_tiff(spark, path, 4096).filter("y >= 20 and y < 90 and x > 40").select("page", "y", "x", "b")
 
 

@@ -128,12 +128,15 @@ def _unfilter_rows(kinds: np.ndarray, rows: np.ndarray, above: np.ndarray, step:
 
 
 def encode_tiff(a: np.ndarray) -> bytes:
-    """One DEFLATE-compressed strip; floats of 32 or 64 bits stay, all else becomes 8-bit samples."""
-    a = np.ascontiguousarray(a if a.dtype in (np.float32, np.float64) else a.astype(np.uint8))
+    """One DEFLATE-compressed strip; floats of 32 or 64 bits stay, all else becomes whole numbers of 8 bits, or of 16 or 32 where
+    values need them. Beyond 32 bits is an error."""
+    a = np.ascontiguousarray(a if a.dtype in (np.float32, np.float64) else narrowest(a))
+    if a.dtype.kind != "f" and a.dtype.itemsize > 4:
+        raise ValueError("TIFF files hold whole numbers of up to 32 bits here")
     h, w = a.shape[:2]
     samples, bits = 1 if a.ndim == 2 else a.shape[2], 8 * a.dtype.itemsize
     strip = zlib.compress(a.tobytes(), 6)
-    entries = [(256, 4, w), (257, 4, h), (258, 3, bits), (259, 3, 8), (262, 3, 2 if samples == 3 else 1), (273, 4, 8), (277, 3, samples), (278, 4, h), (279, 4, len(strip)), (339, 3, 3 if bits > 8 else 1)]
+    entries = [(256, 4, w), (257, 4, h), (258, 3, bits), (259, 3, 8), (262, 3, 2 if samples == 3 else 1), (273, 4, 8), (277, 3, samples), (278, 4, h), (279, 4, len(strip)), (339, 3, {"u": 1, "i": 2, "f": 3}[a.dtype.kind])]
     pad = len(strip) % 2
     directory = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII" if t == 4 else "<HHIHxx", tag, t, 1, v) for tag, t, v in entries) + struct.pack("<I", 0)
     return b"II*\0" + struct.pack("<I", 8 + len(strip) + pad) + strip + b"\0" * pad + directory

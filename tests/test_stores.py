@@ -81,3 +81,15 @@ def test_png_files_of_counts_beyond_255(spark):
     px, want = counts(spark, 1700)
     got = images.pixels_of(images.image_files(px, "b", "png")).selectExpr("split(img, '[.]')[0] AS img", "y", "x", "b")
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_tiff_files_of_counts_beyond_255(spark):
+    for top in (1700, 1 << 22):
+        px, want = counts(spark, top)
+        got = images.pixels_of(images.image_files(px, "b", "tif")).selectExpr("split(img, '[.]')[0] AS img", "y", "x", "b")
+        assert sorted(map(tuple, got.collect())) == want
+    for a in (np.array([[-5, 70_000]]), np.array([[1 << 31, 0]]), np.array([[300, 65_535]]), np.array([[0, 255]])):
+        back = images.decode_tiff(images.encode_tiff(a))
+        assert np.array_equal(back, a) and (a.max() > 255 or back.dtype == np.uint8)
+    with pytest.raises(ValueError):
+        images.encode_tiff(np.array([[1 << 40]]))
