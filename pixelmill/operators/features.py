@@ -244,12 +244,13 @@ def concat_features(a: DataFrame, b: DataFrame, keys=("img", "y", "x")) -> DataF
 
 
 def custom_features(px: DataFrame, fn: Callable[..., Sequence[np.ndarray]], names: Sequence[str], halo: int | None = None, keys=("img",), config: FeatureConfig | None = None, values: bool = False) -> DataFrame:
-    """A user's function of the raw image, ``fn(image)`` or ``fn(image, config)``, to planes. Without ``halo`` it sees whole images, one task each.
+    """A user's function of the raw image, ``fn(image)`` or ``fn(image, config)``, to planes. Without ``halo`` it sees whole images, one task each; with it, tiles
+    and ``halo`` pixels around them, of images of any size (0: values depend on their own pixel).
 
     The image is an array (h, w) of bytes, or of the floats in ``v`` with ``values``; one with a column ``ch`` that is not among the keys is
     (h, w, channels), a channel that a pixel lacks being 0. A pixel has one row whatever its channels.
     """
-    tile, halo = (1 << 30, 0) if halo is None else (S.TILE, halo)
+    tile, halo = (S.WHOLE, 0) if halo is None else (S.TILE, halo)
     value = "v" if values else "b"
     if "ch" in px.columns and "ch" not in keys:
         n = (px.agg(F.max("ch")).first()[0] or 0) + 1

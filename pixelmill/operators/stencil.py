@@ -7,7 +7,7 @@ separable filters, tiles suit discs, whose offset join would multiply the rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,10 @@ from .rasters import extent
 
 #: Side of a tile without its halo.
 TILE = 256
+#: A side that no image exceeds: an image is one tile, which is filled and given out piece by piece.
+WHOLE = 1 << 30
+#: Pixels of a whole image that go out in one batch.
+BATCH = 1 << 18
 AXES = ("y", "x")
 
 
@@ -105,7 +109,8 @@ def by_tile(
 
     A tile sees ``halo`` pixels beyond its sides where the image goes on, so the kernel's border rule holds at the
     image's border only. Missing pixels count as 0 and get no row. Images of any size spread over tiles of bounded size.
-    ``shape`` (keys, h, w) spares the pass that finds the extents.
+    ``shape`` (keys, h, w) spares the pass that finds the extents. With ``tile`` WHOLE the kernel gets whole images; then a task holds the
+    arrays of one and what the kernel makes of them, while its pixels come and go in batches.
     """
     schema = T._parse_datatype_string(out) if isinstance(out, str) else out
     values = [value] if isinstance(value, str) else list(value)
@@ -177,7 +182,29 @@ def by_tile(
             cols[name] = pa.array(np.ascontiguousarray(plane[inner]).ravel() if whole else np.ascontiguousarray(plane[ys - y0, xs - x0]))
         return pa.table(cols).cast(arrow)
 
+    def run_whole(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = None
+        for rb in batches:
+            for i in range(rb.num_rows):
+                if arrays is None:
+                    h, w = rb.column("h")[i].as_py(), rb.column("w")[i].as_py()
+                    arrays, times = [np.zeros((h, w), d) for d in types[2:]], np.zeros((h, w), np.uint32)
+                ys, xs, *flats = (np.frombuffer(rb.column(f"p{k}")[i].as_buffer(), d) for k, d in enumerate(types))
+                for a, flat in zip(arrays, flats):
+                    a[ys, xs] = flat
+                np.add.at(times, (ys, xs), 1)
+        planes, step = list(kernel(*arrays)), max(1, BATCH // w)
+        for top in range(0, h, step):
+            rows = times[top : top + step]
+            ys, xs = np.nonzero(rows)
+            if len(ys) and int(rows.max()) > 1:  # a pixel given twice has two rows
+                ys, xs = (np.repeat(c, rows[ys, xs]) for c in (ys, xs))
+            cols = {k: pa.repeat(x, len(ys)) for k, x in zip(keys, key)}
+            cols |= {"y": pa.array((ys + top).astype(np.int32)), "x": pa.array(xs.astype(np.int32))}
+            cols |= {f.name: pa.array(np.asarray(plane)[ys + top, xs]) for f, plane in zip(schema, planes)}
+            yield from pa.table(cols).cast(arrow).to_batches()
+
     dealt = px.select(*keys, "y", "x", *values).mapInArrow(deal, packed).join(extent(px, keys) if shape is None else shape, list(keys))
     # few bytes, much work: the number of tasks must not follow the bytes, so partitions are asked for by number
     tasks = 2 * int(px.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(tasks, *keys, "ty", "tx").groupBy(*keys, "ty", "tx").applyInArrow(run, result)
+    return dealt.repartition(tasks, *keys, "ty", "tx").groupBy(*keys, "ty", "tx").applyInArrow(run_whole if tile >= WHOLE else run, result)

@@ -579,5 +579,5 @@ def custom_feature_rgb(spark, sf_dir):
 
 
 add("custom_feature", Q.query(Q.EMB, select="SELECT img, y, x, b * 2.0::DOUBLE AS twice, (255 - b)::DOUBLE AS inverse FROM px"))(
-    lambda spark, sf_dir: X.custom_features(emb(spark, sf_dir), lambda b: [b * 2.0, 255 - b], ["twice", "inverse"])
+    lambda spark, sf_dir: X.custom_features(emb(spark, sf_dir), lambda b: [b * 2.0, 255 - b], ["twice", "inverse"], halo=0)
 )
