@@ -9,7 +9,7 @@ import io
 import struct
 import uuid
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
 import numpy as np
@@ -317,6 +317,8 @@ def _put(files: DataFrame, path: str) -> None:
     files.mapInArrow(run, "path string").count()
 
 
+#: Bytes of an array file to a task, and pixels that are read or written together.
+BAND, BATCH = 32 << 20, 1 << 18
 #: What stacks of features can be kept as.
 STACKS = {"npy": encode_npy, "npz": encode_npz, "tif": encode_tiff}
 
@@ -331,15 +333,64 @@ def save_features(df: DataFrame, path: str, kind: str = "parquet") -> None:
         raise ValueError(f"feature stacks can be kept as parquet, {', '.join(STACKS)}")
     names = [c for c in df.columns if c not in ("img", "y", "x")]
 
-    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        y, x = t.column("y").to_numpy(), t.column("x").to_numpy()
-        kinds = {t.column(n).to_numpy().dtype for n in names}
-        a = np.zeros((int(y.max()) + 1, int(x.max()) + 1, len(names)), np.float32 if kinds == {np.dtype(np.float32)} else float)
-        for k, n in enumerate(names):
-            a[y, x, k] = t.column(n).to_numpy()
-        return pa.table({"path": [f"{key[0].as_py()}.{kind}"], "content": pa.array([STACKS[kind](a)], pa.binary())})
+    number = np.float32 if {t for c, t in df.dtypes if c in names} == {"float"} else float
+    named = kind == "npy" and opens(store_path(df.sparkSession, path))
 
-    _put(df.groupBy("img").applyInArrow(run, "path string, content binary"), path)
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, h, w = np.zeros((0, 0, len(names)), number), 0, 0
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            y, x = rb.column("y").to_numpy(), rb.column("x").to_numpy()
+            h, w = max(h, int(y.max()) + 1), max(w, int(x.max()) + 1)
+            if h > a.shape[0] or w > a.shape[1]:  # sides double, so little is copied
+                wider = np.zeros((*(n if n <= m else max(n, 2 * m) for n, m in zip((h, w), a.shape)), len(names)), number)
+                wider[: a.shape[0], : a.shape[1]] = a
+                a = wider
+            for k, n in enumerate(names):
+                a[y, x, k] = rb.column(n).to_numpy(zero_copy_only=False)
+        name, a = f"{key[0].as_py()}.{kind}", a[:h, :w]
+        if named:
+            _write_npy(path, name, a)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([None if named else STACKS[kind](a)], pa.binary())], ["path", "content"])
+
+    files = df.groupBy("img").applyInArrow(run, "path string, content binary")
+    if named:
+        files.count()
+    else:
+        _put(files, path)
+
+
+def _write_npy(path: str, name: str, a: np.ndarray) -> None:
+    """An array file, written in bands of rows."""
+    system, root = open_store(path)
+    system.create_dir(root, recursive=True)
+    head, step = io.BytesIO(), max(1, BATCH // max(1, a.shape[1]))
+    np.lib.format.write_array_header_1_0(head, {"descr": a.dtype.str, "fortran_order": False, "shape": a.shape})
+    with system.open_output_stream(f"{root}/{name}") as f:
+        f.write(head.getvalue())
+        for top in range(0, a.shape[0], step):
+            f.write(np.ascontiguousarray(a[top : top + step]).tobytes())
+
+
+def _npy_bands(path: str, part: int, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, rows) of a share of an array file, which is read in bands where its rows lie one after the other."""
+    system, root = open_store(path)
+    with system.open_input_file(root) as f:
+        version = np.lib.format.read_magic(f)
+        head = {(1, 0): np.lib.format.read_array_header_1_0, (2, 0): np.lib.format.read_array_header_2_0}.get(version)
+        shape, fortran, kind = head(f) if head else ((), True, np.dtype(float))
+        if fortran or kind.hasobject or len(shape) not in (2, 3):
+            f.seek(0)
+            if part == 0:
+                yield 0, _stack(f.read(), path)
+            return
+        h, w, n = (*shape, 1)[:3]
+        at, step = f.tell(), max(1, BATCH // max(1, w))
+        for top in range(part * h // parts, end := (part + 1) * h // parts, step):
+            rows = min(step, end - top)
+            f.seek(at + top * w * n * kind.itemsize)
+            yield top, np.frombuffer(f.read(rows * w * n * kind.itemsize), kind).reshape(rows, w, n)
 
 
 def load_features(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
@@ -353,17 +404,33 @@ def load_features(spark: SparkSession, path: str, names: list[str] | None = None
         first = files.limit(1).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [_stack(c.as_py(), p).shape[2] for p, c in zip(rb.column("path").to_pylist(), rb.column("content"))]}) for rb in bs), "n long").first()
         names = [f"f{k}" for k in range(first[0] if first else 0)]
 
+    def rows_of(img: str, p: str, first: int, a: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if a.shape[2] != len(names):
+            raise ValueError(f"{p} has {a.shape[2]} features, not {len(names)}")
+        step = max(1, BATCH // max(1, a.shape[1]))
+        for top in range(0, a.shape[0], step):
+            part = a[top : top + step]
+            y, x = (k.ravel().astype(np.int32) for k in np.indices(part.shape[:2]))
+            cols = [pa.array(np.ascontiguousarray(part[..., k]).ravel().astype(float)) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([pa.array([img] * len(y)), pa.array(y + np.int32(first + top)), pa.array(x), *cols], ["img", "y", "x", *names])
+
     def run(batches):
         for rb in batches:
             for img, p, content in zip(rb.column("img").to_pylist(), rb.column("path").to_pylist(), rb.column("content")):
-                a = _stack(content.as_py(), p)
-                if a.shape[2] != len(names):
-                    raise ValueError(f"{p} has {a.shape[2]} features, not {len(names)}")
-                y, x = (k.ravel().astype(np.int32) for k in np.indices(a.shape[:2]))
-                cols = [pa.array(np.ascontiguousarray(a[..., k]).ravel().astype(float)) for k in range(len(names))]
-                yield pa.RecordBatch.from_arrays([pa.array([img] * len(y)), pa.array(y), pa.array(x), *cols], ["img", "y", "x", *names])
-
-    return files.mapInArrow(run, "img string, y int, x int, " + ", ".join(f"`{n}` double" for n in names))
+                yield from rows_of(img, p, 0, _stack(content.as_py(), p))
+
+    def run_bands(batches):
+        for rb in batches:
+            for img, p, part, parts in zip(*(rb.column(c).to_pylist() for c in ("img", "path", "part", "parts"))):
+                for first, a in _npy_bands(p, part, parts):
+                    yield from rows_of(img, p, first, a)
+
+    schema = "img string, y int, x int, " + ", ".join(f"`{n}` double" for n in names)
+    if ext == "npy" and opens(path):  # rows of an array lie one after the other, so its bands are read by many tasks
+        shares = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)\.\w+$", 1).alias("img"), "path", F.ceil(F.col("length") / BAND).cast("int").alias("parts"))
+        shares = shares.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return shares.repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "part").mapInArrow(run_bands, schema)
+    return files.mapInArrow(run, schema)
 
 
 def _stack(data: bytes, path: str) -> np.ndarray:

@@ -93,3 +93,20 @@ def test_tiff_files_of_counts_beyond_255(spark):
         assert np.array_equal(back, a) and (a.max() > 255 or back.dtype == np.uint8)
     with pytest.raises(ValueError):
         images.encode_tiff(np.array([[1 << 40]]))
+
+
+def test_array_files_in_bands(spark, tmp_path, monkeypatch):
+    """Written band by band by the task of an image, read by many tasks, none of which holds a file."""
+    monkeypatch.setattr(images, "BAND", 4096)
+    monkeypatch.setattr(images, "BATCH", 200)
+    for kind in ("double", "float"):
+        df = spark.range(2).selectExpr("concat('i', id) AS img", "explode(sequence(0, 50 + 9 * cast(id AS int))) AS y").selectExpr("*", "explode(sequence(0, 36)) AS x")
+        df = df.filter("y * x <> 6").selectExpr("img", "y", "x", f"cast(y * 0.5 + x AS {kind}) AS f", f"cast(y AS {kind}) AS g").repartition(4)
+        images.save_features(df, f"file://{tmp_path}/{kind}", "npy")
+        a = np.load(tmp_path / kind / "i1.npy")
+        assert a.shape == (60, 37, 2) and a.dtype == np.dtype(kind.replace("float", "float32")) and a[4, 7, 0] == 9 and not a[1, 6].any()
+        back = images.load_features(spark, f"file://{tmp_path}/{kind}/*.npy", ["f", "g"])
+        assert back.filter("y * x <> 6").exceptAll(df.selectExpr("img", "y", "x", "double(f)", "double(g)")).count() == 0 and back.count() == (51 + 60) * 37
+        assert back.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(bool).count() > 4
+    np.save(tmp_path / "t.npy", np.asfortranarray(np.arange(700.0).reshape(35, 20)))
+    assert {(r.y, r.x, r.f) for r in images.load_features(spark, f"file://{tmp_path}/t.npy", ["f"]).collect()} == {(i // 20, i % 20, float(i)) for i in range(700)}
