@@ -164,7 +164,26 @@ class TiffReader(DataSourceReader):
         info = system.get_file_info(root)
         found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
         files = sorted((x.path, x.size) for x in found if x.type == fs.FileType.File and x.path.lower().endswith((".tif", ".tiff")))
-        return [Share(p, k, n) for p, size in files for n in [max(1, -(-size // self.split))] for k in range(n)] or [Share("", 0, 1)]
+        return [Share(p, k, n) for p, size in files for n in [max(1, -(-size // self.split))] for k in self._reached(system, p, n)] or [Share("", 0, 1)]
+
+    def _reached(self, system, path: str, parts: int) -> list[int]:
+        """The shares of a file in which a segment reaches the bounds, by the file's directories; all of them where nothing is bounded."""
+        if parts == 1 or all(b == [-(1 << 31), (1 << 31) - 1] for b in self.bounds.values()):
+            return list(range(parts))
+        found = set()
+        with system.open_input_file(path) as file:
+
+            def read(at: int, n: int) -> bytes:
+                file.seek(at)
+                return file.read(n)
+
+            for page in pages_of(read):
+                if self._meets("page", page.number, page.number + 1):
+                    found |= {((i + 1) * parts - 1) // len(page.segments) for i, s in enumerate(page.segments) if self._wants(s)}
+        return sorted(found)
+
+    def _wants(self, s: Segment) -> bool:
+        return self._meets("y", s.y, s.y + s.h) and self._meets("x", s.x, s.x + s.w) and self._meets("ch", s.ch, s.ch + s.samples)
 
     def _meets(self, column: str, a: int, b: int) -> bool:
         """Do numbers from a to b - 1 reach the bounds?"""
@@ -188,7 +207,7 @@ class TiffReader(DataSourceReader):
                     continue
                 n = len(page.segments)
                 for s in page.segments[partition.part * n // partition.parts : (partition.part + 1) * n // partition.parts]:
-                    if self._meets("y", s.y, s.y + s.h) and self._meets("x", s.x, s.x + s.w) and self._meets("ch", s.ch, s.ch + s.samples):
+                    if self._wants(s):
                         data = read(s.at, s.size)
                         if len(data) < s.size:
                             raise ValueError(f"{partition.path}: a segment ends early")
